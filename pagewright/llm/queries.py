@@ -1,8 +1,8 @@
 """All registered queries of this subpackage and their DuckDB SQL."""
 
-from pagewright.llm import queries_classify
+from pagewright.llm import queries_classify, queries_shape
 
-PARTS = (queries_classify,)
+PARTS = (queries_classify, queries_shape)
 
 
 def queries() -> dict:
