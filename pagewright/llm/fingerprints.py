@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import SPACE, text_key
 from pagewright.llm.mixing import let
 
-FRACTION = 1 / 8
+FRACTION = 1 / 4
 
 
 def shingle_hashes(text: Column, words: int = 5) -> Column:
@@ -66,7 +66,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", per_part: int = 4000, mos
     around = Window.orderBy("part")
     firsts = firsts.select(F.coalesce(F.lag("part").over(around), F.max("part").over(Window.partitionBy())).alias("part"), "x.doc_id", "x.key", "x.text")
     both = rows.withColumn("ghost", F.lit(0)).unionByName(firsts.withColumn("ghost", F.lit(1)))
-    both = both.withColumn("fp", sketch(F.col("text")))
+    both = both.repartition("part").withColumn("fp", sketch(F.col("text")))  # after the rows have moved
     order = Window.partitionBy("part").orderBy("ghost", "doc_id", "key")
     return both.select("doc_id", "text", "fp", "ghost", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp")).where("ghost = 0").drop("ghost")
 
