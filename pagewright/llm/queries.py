@@ -1,8 +1,8 @@
 """All registered queries of this subpackage and their DuckDB SQL."""
 
-from pagewright.llm import queries_classify, queries_shape
+from pagewright.llm import queries_classify, queries_dedup, queries_shape
 
-PARTS = (queries_classify, queries_shape)
+PARTS = (queries_classify, queries_shape, queries_dedup)
 
 
 def queries() -> dict:
