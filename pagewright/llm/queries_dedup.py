@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import substring_dedup
+from pagewright.llm import ngram_join, substring_dedup
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,5 +17,5 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", "words_removed", "text")
 
 
-QUERIES = {"op9_substring_dedup": op9_substring_dedup}
+QUERIES = {"op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup}
 SQL: dict[str, str] = {}
