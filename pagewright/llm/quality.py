@@ -77,15 +77,19 @@ def weigh(x: np.ndarray, idf: np.ndarray, mean: np.ndarray, scale: np.ndarray) -
     return np.hstack([grams, ((x[:, BINS:] - mean) / scale).clip(-4, 4) * 0.15]).astype(np.float32)
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "quality", most: int = 4096, dimensions: int = 48, neighbours: int = 15, sharpness: float = 8.0) -> QualityModel:
-    """Learn from labelled texts.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", on: str = "doc_id", most: int = 4096, dimensions: int = 48, neighbours: int = 15, sharpness: float = 8.0) -> QualityModel:
+    """Learn the labels of `labels` (joined by `on`) from the texts of `docs`.
 
-    Rows without label are left out; null texts count as empty. Document frequencies are counted over all labelled
-    rows; the axes (randomised singular value decomposition) and the voting vectors come from a sample of about `most`
-    rows (the bound that makes them small enough to broadcast), those with the smallest hashes of the text. Without any
-    labelled row every score is 0.5.
+    Rows without label or key are left out; of repeated labels the largest counts; null texts count as empty. Document
+    frequencies are counted over all of `docs`. The axes (randomised singular value decomposition) and the voting
+    vectors come from a sample of about `most` labelled keys, those with the smallest hashes: the bound that makes the
+    keys and the vectors small enough to broadcast. Without any labelled text every score is 0.5.
     """
-    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), (F.col(label) > 0).cast("int").alias("_y")).where("_y is not null")
+    labelled = labels.where(F.col(on).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(on).alias("_on")).agg((F.max(label) > 0).cast("int").alias("_y"))
+    n_labelled = labelled.count()
+    mixed = F.shiftrightunsigned(F.xxhash64(F.lit(5), "_on"), 11) / F.lit(float(1 << 53))
+    sample = labelled.where(mixed <= min(1.0, most / max(1, n_labelled)))
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(on).alias("_doc"))
 
     def count(batches):
         df, n = np.zeros(BINS, np.int64), 0
@@ -104,15 +108,13 @@ def train(labelled: DataFrame, text: str = "text", label: str = "quality", most:
             df[r["bin"]] = r["df"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     empty = np.zeros(0, np.float32)
-    if not n:
-        return QualityModel(idf, empty, empty, np.zeros((BINS, 0)), np.zeros((0, 0)), empty, neighbours, sharpness, 0.5)
-    mixed = F.shiftrightunsigned(F.xxhash64(F.lit(5), "_text"), 11) / F.lit(float(1 << 53))
 
     def vectors(batches):
         for b in batches:
             yield pd.DataFrame({"y": b["_y"], "x": [terms(t).astype(np.float16).tobytes() for t in b["_text"]]})
 
-    got = sorted((bytes(r["x"]), r["y"]) for r in rows.where(mixed <= min(1.0, most / n)).mapInPandas(vectors, "y int, x binary").collect())
+    chosen = rows.join(F.broadcast(sample), F.col("_doc") == F.col("_on")).select("_text", "_y")
+    got = sorted((bytes(r["x"]), r["y"]) for r in chosen.mapInPandas(vectors, "y int, x binary").collect())
     if not got:
         return QualityModel(idf, empty, empty, np.zeros((BINS, 0)), np.zeros((0, 0)), empty, neighbours, sharpness, 0.5)
     x = np.stack([np.frombuffer(b, np.float16) for b, _ in got]).astype(np.float32)

@@ -1,8 +1,8 @@
 """All registered queries of this subpackage and their DuckDB SQL."""
 
-from pagewright.llm import queries_classify, queries_dedup, queries_shape
+from pagewright.llm import queries_classify, queries_dedup, queries_media, queries_shape
 
-PARTS = (queries_classify, queries_shape, queries_dedup)
+PARTS = (queries_classify, queries_shape, queries_dedup, queries_media)
 
 
 def queries() -> dict:

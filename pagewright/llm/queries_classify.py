@@ -10,10 +10,8 @@ from pagewright.llm import language_id, quality, url_filter
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null and quality is not null")
-    labels = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    learn = docs.where(language_id.fold(F.col("doc_id"), 5) != 0).join(labels, "doc_id")
-    model = quality.train(learn)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality.train(docs, labels.where(language_id.fold(F.col("doc_id"), 5) != 0))
     held = F.coalesce(language_id.fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
     return quality.score_quality(docs, model).select("doc_id", held, "score", "predicted")
 
