@@ -183,15 +183,15 @@ def mix_taken(docs: DataFrame, text: str = "text", source: str = "source", **how
     Columns of these names are replaced; all others stay. A null text has size 0. Rows that are equal in all columns
     are different rows. Null is a source of its own, the last. An empty table gives an empty table.
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "shards", "unit", "mix")]
-    named = docs.select(*names).withColumn("size", word_count(F.col(text))).withColumn("mix", F.xxhash64(text))
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "shards")]
     kept = [c for c in names if c != text]
-    rows = materialize(named.select(*kept, "size", "mix", F.monotonically_increasing_id().alias("unit")), "mix-units")
-    units = rows.select("unit", F.col(source).alias("source"), "size", F.xxhash64(*[c for c in kept if c != source], "mix").alias("mix"))
+    rows = docs.select(*kept, word_count(F.col(text)).alias("size"), F.xxhash64(*names).alias("_mix"), F.monotonically_increasing_id().alias("_unit"))
+    rows = materialize(rows, "mix-units")  # so that the row numbers stay as they are
+    units = rows.select(F.col("_unit").alias("unit"), F.col(source).alias("source"), "size", F.col("_mix").alias("mix"))
     mix = mix_units(units, **how)
-    taken = mix.groupBy("unit").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
+    taken = mix.groupBy(F.col("unit").alias("_taker")).agg(F.sum("words").alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
     targets = source_targets(units, how.get("weights", (1, 2, 3)), how.get("max_passes", 3)).select(F.col("source").alias("_source"), "source_size", "target")
-    out = rows.join(targets, F.col(source).eqNullSafe(F.col("_source"))).join(taken, "unit", "left")
+    out = rows.join(targets, F.col(source).eqNullSafe(F.col("_source"))).join(taken, F.col("_unit") == F.col("_taker"), "left")
     return out.select(*kept, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "shards")
 
 

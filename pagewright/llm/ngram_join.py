@@ -66,7 +66,7 @@ def embedding(s: np.ndarray) -> np.ndarray:
     out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(s), 2048):
-            part = s[i : i + 2048, None] * _seeds
+            part = (s[i : i + 2048, None] + _seeds) * _seeds
             part ^= part >> np.uint64(29)
             out = np.minimum(out, (part * _M).min(axis=0))
     return (out >> np.uint64(32)).astype(np.uint32)

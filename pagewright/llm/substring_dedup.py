@@ -55,6 +55,11 @@ def spans(text: str, least: int = 2, words: int = 13) -> tuple[list[tuple[int, i
     cut = sentences(text)
     parts = [text[a:b].split() for a, b in cut]
     out, n = [], len(parts)
+
+    def add(i: int, j: int) -> None:
+        run = " ".join(w for p in parts[i:j] for w in p)
+        out.append((i, j - i, xxhash.xxh3_64_intdigest(run.encode("utf-8", "surrogatepass")) - (1 << 63)))
+
     for i in range(n):
         have, j = 0, i
         while j < n and (j - i < least or have < words):
@@ -62,8 +67,13 @@ def spans(text: str, least: int = 2, words: int = 13) -> tuple[list[tuple[int, i
             j += 1
         if j - i < least or have < words:
             break
-        run = " ".join(w for p in parts[i:j] for w in p)
-        out.append((i, j - i, xxhash.xxh3_64_intdigest(run.encode("utf-8", "surrogatepass")) - (1 << 63)))
+        add(i, j)
+    if out and sum(out[-1][:2]) < n:  # the shortest run that ends with the text
+        i, have = n, 0
+        while i > 0 and (n - i < least or have < words):
+            i -= 1
+            have += len(parts[i])
+        add(i, n)
     return cut, out
 
 

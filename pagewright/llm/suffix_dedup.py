@@ -143,13 +143,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
                 h.extend(xxhash.xxh3_64_intdigest(data[i : i + core_bytes]) for i in c)
                 at.extend(c)
                 keys.extend([k] * len(c))
-            yield pd.DataFrame({"h": np.array(h, np.uint64).view(np.int64), "at": np.array(at, np.int64), "key": keys})
+            yield pd.DataFrame({"h": np.array(h, np.uint64).view(np.int64), "at": np.array(at, np.int64), "_of": keys})
 
-    found = rows.select("_key", "_text").mapInPandas(cores, "h long, at long, key binary")
+    found = rows.select("_key", "_text").mapInPandas(cores, "h long, at long, _of binary")
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    marked = found.join(repeated, "h").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("_at"))
+    marked = found.join(repeated, "h").groupBy("_of").agg(F.array_sort(F.collect_set("at")).alias("_at"))
     marked = materialize(marked, "repeated-cores")
-    candidates = rows.join(marked, F.col("_key") == F.col("key")).drop("key")
+    candidates = rows.join(marked, F.col("_key") == F.col("_of")).drop("_of")
     candidates = materialize(candidates, "candidates")
 
     def surroundings(data: bytes, at: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
@@ -169,7 +169,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
     def places(batches):
         for b in batches:
             out = [(x[4], k, x[0]) for k, t, at in zip(b["_key"], b["_text"], b["_at"], strict=True) for x in surroundings(t.encode("utf-8", "surrogatepass"), np.asarray(at))]
-            yield pd.DataFrame(out, columns=["whole", "key", "at"])
+            yield pd.DataFrame(out, columns=["whole", "_of", "at"])
 
     members = candidates.select("_text", "_at").mapInPandas(around, "core binary, left binary, right binary, whole binary")
     members = members.groupBy("core", "left", "right", "whole").agg(F.count(F.lit(1)).alias("n"))
@@ -202,8 +202,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
 
     repeats = members.repartition("core").sortWithinPartitions("core").mapInPandas(suffixes, "whole binary, runs array<int>")
     repeats = repeats.where("size(runs) > 0")
-    back = candidates.select("_key", "_text", "_at").mapInPandas(places, "whole binary, key binary, at long").join(repeats, "whole")
-    spans = back.groupBy("key").agg(F.collect_set(F.struct("at", "runs")).alias("_spans"))
+    back = candidates.select("_key", "_text", "_at").mapInPandas(places, "whole binary, _of binary, at long").join(repeats, "whole")
+    spans = back.groupBy("_of").agg(F.collect_set(F.struct("at", "runs")).alias("_spans"))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -220,8 +220,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
             out.append((len(data), int(gone.sum()), len(ranges(gone)), hashlib.sha256(kept).hexdigest(), kept))
         return pd.DataFrame(out, columns=list(new))
 
-    changed = candidates.join(spans, F.col("_key") == F.col("key"), "left").withColumn("_x", cut("_text", "_spans")).select(*others, *[f"_x.{c}" for c in new])
+    changed = candidates.join(spans, F.col("_key") == F.col("_of"), "left").withColumn("_x", cut("_text", "_spans")).select(*others, *[f"_x.{c}" for c in new])
     whole = F.encode("_text", "UTF-8")
-    same = rows.join(marked.select("key"), F.col("_key") == F.col("key"), "left_anti")
+    same = rows.join(marked.select("_of"), F.col("_key") == F.col("_of"), "left_anti")
     same = same.select(*others, F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), whole.alias("kept"))
     return changed.unionByName(same)
