@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS: tuple = ()
+from pagewright.plans import library, pages, retrieval
+
+PARTS = (retrieval, library, pages)
 
 
 def queries() -> dict:
@@ -16,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    return retrieval.library_search(spark, sf_dir)
