@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.plans import library, pages, retrieval
+from pagewright.plans import library, pages, retrieval, structure
 
-PARTS = (retrieval, library, pages)
+PARTS = (retrieval, library, pages, structure)
 
 
 def queries() -> dict:
