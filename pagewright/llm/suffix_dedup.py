@@ -5,17 +5,17 @@
    `length - WINDOW + 1` bytes from an anchor on, its core, are part of all its strings.
 2. Anchors whose core occurs once are done with: none of their strings repeats. That leaves the text around repeated
    cores: up to WINDOW - 1 bytes on each side.
-3. For each repeated core, the distinct surroundings (left bytes, the core as one symbol, right bytes) are put one
-   after the other, with a separator of its own after each, and their suffix array is built by linear grouping. A
-   string is repeated if the suffix at its start agrees with a neighbouring one over WINDOW symbols, which span the
-   whole string, or if its surroundings occur more than once as a whole.
+3. For each repeated core, the distinct surroundings (pieces of the left bytes, the core, pieces of the right bytes, a
+   symbol each) are put one after the other, with a separator of its own after each, and their suffix array is built
+   by linear grouping. A string is repeated if the suffix at its start agrees with a neighbouring one over all symbols
+   that the string spans, or if its surroundings occur more than once as a whole.
 4. The repeated starts go back to the documents that have those surroundings.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,94 +25,116 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import materialize, text_key
 from pagewright.llm.gsaca import suffix_array
-from pagewright.llm.ngram_join import grouped, mixed
 
 WINDOW = 160
 
 
-def anchors(data: bytes, length: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first start, last start) of the runs of starts that share an anchor; none if `data` is too short."""
-    n = len(data) - length + 1
-    if n < 1:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    b = np.frombuffer(data, np.uint8).astype(np.uint64)
-    g = b[: n + window - 1].copy()
-    for i in range(1, 8):
-        g |= b[i : i + len(g)] << np.uint64(8 * i)
-    low = (mixed(g) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
-    width = 1
-    while 2 * width <= window:
-        low = np.minimum(low[: len(low) - width], low[width:])
-        width *= 2
-    if width < window:
-        low = np.minimum(low[: len(low) - (window - width)], low[window - width :])
-    at = (low[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    return at[first], first, np.concatenate((first[1:] - 1, [n - 1]))
+def anchors(texts: list[bytes], length: int, window: int = WINDOW, together: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the text, anchor, first start, last start) of the runs of starts that share an anchor, for each text
+    of at least `length` bytes. Texts are put together up to `together` bytes; no start whose string crosses an end counts."""
+    k = 0
+    while k < len(texts):
+        some, size = [], 0
+        while k < len(texts) and (not some or size + len(texts[k]) <= together):
+            if len(texts[k]) >= length:
+                some.append(k)
+                size += len(texts[k])
+            k += 1
+        if not some:
+            continue
+        ends = np.cumsum([len(texts[i]) for i in some])
+        starts = ends - [len(texts[i]) for i in some]
+        b = np.frombuffer(b"".join([*(texts[i] for i in some), bytes(window + 8)]), np.uint8).astype(np.uint64)
+        g = b[:-1] | (b[1:] << np.uint64(8))
+        g = g[:-2] | (g[2:] << np.uint64(16))
+        g = (g[:-4] | (g[4:] << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        g ^= g >> np.uint64(32)
+        g *= np.uint64(0xD6E8FEB86659FD93)
+        low = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
+        width = 1
+        while 2 * width <= window:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        if width < window:
+            low = np.minimum(low[: width - window], low[window - width :])
+        at = (low[:size] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        inside = np.zeros(size + 1, bool)
+        for lo, hi in zip(starts.tolist(), (ends - length + 1).tolist(), strict=True):
+            inside[lo:hi] = True
+        inside = inside[:-1]
+        new = inside.copy()
+        new[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
+        old = inside.copy()
+        old[:-1] &= (at[1:] != at[:-1]) | ~inside[1:]
+        first, last = np.flatnonzero(new), np.flatnonzero(old)
+        edge = np.searchsorted(first, [*starts.tolist(), size])
+        for j, i in enumerate(some):
+            lo, hi = edge[j], edge[j + 1]
+            yield i, at[first[lo:hi]] - starts[j], first[lo:hi] - starts[j], last[lo:hi] - starts[j]
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common start."""
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return n - (x.bit_length() + 7) // 8
+
+
+def branches(sides: list[bytes]) -> list[int]:
+    """The lengths at which some of the strings part or end, and 0: between two of them strings agree wholly or not at all."""
+    order = sorted(set(sides))
+    return sorted({0, *map(len, order), *(common(a, b) for a, b in zip(order, order[1:], strict=False))})
 
 
 def repeated_starts(members: list[tuple[int, bytes, bytes]], window: int = WINDOW) -> list[np.ndarray]:
     """For each (core number, left, right), all distinct: which starts in `left` (and at the core, the last one) begin
-    a string that another member has too."""
+    a string that another member has too.
+
+    The bytes next to a core are taken in pieces, cut where the members of the core part: inside a piece members agree
+    wholly or not at all. So the sequence for the suffix array has a symbol for each piece, for the core, for the pieces
+    on the other side, and a separator of its own.
+    """
     by_core: dict[int, list[int]] = {}
     for k, (core, _, _) in enumerate(members):
         by_core.setdefault(core, []).append(k)
+    names: dict[tuple, int] = {}
     text: list[int] = []
-    where, owner, offset = [], [], []
-    out = [np.zeros(0, bool)] * len(members)
+    begin, cuts = [], []
+    where = [0] * len(members)
     for c, ks in by_core.items():
-        # What all members of a core have next to it on both sides joins the core: one symbol for the whole.
-        near = min(len(members[k][1]) for k in ks)
-        left = 0
-        head = members[ks[0]][1]
-        while left < near and all(members[k][1][-1 - left] == head[-1 - left] for k in ks):
-            left += 1
-        near, right, head = min(len(members[k][2]) for k in ks), 0, members[ks[0]][2]
-        while right < near and all(members[k][2][right] == head[right] for k in ks):
-            right += 1
+        back = {k: members[k][1][::-1] for k in ks}
+        lefts, rights = branches(list(back.values())), branches([members[k][2] for k in ks])
         for k in ks:
-            a, z = members[k][1], members[k][2]
-            n = len(a) + len(z) - (window - 1) + 1
-            out[k] = np.zeros(n, bool)
-            # Starts inside the joined part differ only in how far they reach to the right: keep those symbols apart.
-            begin = len(text)
-            text.extend(a[: len(a) - left])
-            inner = len(text)
-            text.append(256 + c)
-            text.extend(z[right:])
-            for i in range(n):
-                reach = window - 1 - (len(a) - i)  # bytes needed on the right
-                if i < len(a) - left:
-                    where.append(begin + i)
-                    offset.append(len(a) - left - i + 1 + max(0, reach - right))
-                else:
-                    where.append(inner)
-                    offset.append(1 + max(0, reach - right))
-                owner.append((k, i))
+            a, z = back[k], members[k][2]
+            pieces = [(c, 0, i, a[lo:hi]) for i, (lo, hi) in enumerate(zip(lefts, lefts[1:], strict=False)) if hi <= len(a)][::-1]
+            where[k] = len(text) + len(pieces)
+            pieces.append((c, 1, 0, b""))
+            pieces += [(c, 2, i, z[lo:hi]) for i, (lo, hi) in enumerate(zip(rights, rights[1:], strict=False)) if hi <= len(z)]
+            text.extend(names.setdefault(x, len(names)) for x in pieces)
             text.append(-1 - k)
-    # Suffixes in order; separators differ, so no agreement runs past a member's end.
-    shift = len(members)
-    order = suffix_array([s + shift for s in text])
+        begin.append(ks)
+        cuts.append((np.array(lefts), np.array(rights)))
+    order = suffix_array([s + len(members) for s in text])  # all symbols at least 0; the separators differ
     rank = np.empty(len(text), np.int64)
     rank[np.asarray(order)] = np.arange(len(text))
-    where_, need = np.array(where), np.array(offset)
-    t = np.asarray(text)
-    # Agreement of neighbours in the suffix array, up to a window's length.
-    a, b = np.asarray(order[:-1]), np.asarray(order[1:])
+    # Agreement of neighbours in the suffix array.
+    t, a, b = np.asarray(text), np.asarray(order[:-1]), np.asarray(order[1:])
     lcp, open_ = np.zeros(len(a), np.int64), np.arange(len(a))
-    for d in range(window + 1):
-        i, j = a[open_] + d, b[open_] + d
-        fit = (i < len(t)) & (j < len(t))
+    d = 0
+    while len(open_):
+        fit = (a[open_] + d < len(t)) & (b[open_] + d < len(t))
         open_ = open_[fit]
         open_ = open_[t[a[open_] + d] == t[b[open_] + d]]
-        if not len(open_):
-            break
         lcp[open_] += 1
-    up = np.concatenate(([0], lcp))[rank[where_]]
-    down = np.concatenate((lcp, [0]))[rank[where_]]
-    for (k, i), hit in zip(owner, np.maximum(up, down) >= need, strict=True):
-        out[k][i] = hit
+        d += 1
+    best = np.maximum(np.concatenate(([0], lcp)), np.concatenate((lcp, [0])))[rank]
+    out = [np.zeros(0, bool)] * len(members)
+    for ks, (lefts, rights) in zip(begin, cuts, strict=True):
+        for k in ks:
+            n = len(members[k][1])
+            reach = n - np.arange(n + len(members[k][2]) - (window - 1) + 1)  # bytes on the left of each start
+            before, after = np.searchsorted(lefts, reach), np.searchsorted(rights, window - 1 - reach)  # pieces they span
+            out[k] = best[where[k] - before] >= before + 1 + after
     return out
 
 
@@ -122,7 +144,7 @@ def ranges(flags: np.ndarray) -> np.ndarray:
     return np.stack([edge[::2], edge[1::2] - 1], axis=1)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, window: int = WINDOW, symbols: int = 60_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, window: int = WINDOW, together: int = 5_000) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans, kept_sha256 and `kept` (the remaining bytes) instead of the text.
 
     Texts are taken as UTF-8 (null: empty); matches never cross rows, but may overlap and lie in one row. All strings
@@ -136,14 +158,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
 
     def cores(batches):
         for b in batches:
-            h, at, keys = [], [], []
-            for k, t in zip(b["_key"], b["_text"], strict=True):
-                data = t.encode("utf-8", "surrogatepass")
-                c = anchors(data, length, window)[0].tolist()
-                h.extend(xxhash.xxh3_64_intdigest(data[i : i + core_bytes]) for i in c)
-                at.extend(c)
-                keys.extend([k] * len(c))
-            yield pd.DataFrame({"h": np.array(h, np.uint64).view(np.int64), "at": np.array(at, np.int64), "_of": keys})
+            keys = b["_key"].to_numpy()
+            data = [t.encode("utf-8", "surrogatepass") for t in b["_text"]]
+            h, at, of, n = [], [np.zeros(0, np.int64)], [], []
+            for i, c, _, _ in anchors(data, length, window):
+                d = data[i]
+                h.extend(xxhash.xxh3_64_intdigest(d[x : x + core_bytes]) for x in c.tolist())
+                at.append(c)
+                of.append(i)
+                n.append(len(c))
+            yield pd.DataFrame({"h": np.array(h, np.uint64).view(np.int64), "at": np.concatenate(at), "_of": keys[np.repeat(np.array(of, np.int64), n)]})
 
     found = rows.select("_key", "_text").mapInPandas(cores, "h long, at long, _of binary")
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
@@ -152,53 +176,70 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
     candidates = rows.join(marked, F.col("_key") == F.col("_of")).drop("_of")
     candidates = materialize(candidates, "candidates")
 
-    def surroundings(data: bytes, at: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-        c, s0, s1 = anchors(data, length, window)
-        for i in np.flatnonzero(np.isin(c, at)).tolist():
-            a, first, last = int(c[i]), int(s0[i]), int(s1[i])
-            core = xxhash.xxh3_128_digest(data[a : a + core_bytes])
-            left, right = data[first:a], data[a + core_bytes : last + length]
-            whole = xxhash.xxh3_128_digest(b"%d " % len(left) + core + left + right)
-            yield a, core, left, right, whole
+    def surroundings(b: pd.DataFrame) -> Iterator[tuple[int, int, bytes, bytes, bytes, bytes]]:
+        data, marks = [t.encode("utf-8", "surrogatepass") for t in b["_text"]], b["_at"].tolist()
+        for i, c, s0, s1 in anchors(data, length, window):
+            d, own = data[i], np.flatnonzero(np.isin(c, marks[i]))
+            for a, first, last in zip(c[own].tolist(), s0[own].tolist(), s1[own].tolist(), strict=True):
+                core, left, right = d[a : a + core_bytes], d[first:a], d[a + core_bytes : last + length]
+                yield i, a, xxhash.xxh3_128_digest(core), left, right, xxhash.xxh3_128_digest(b"%d %d " % (len(left), len(right)) + left + core + right)
 
     def around(batches):
         for b in batches:
-            out = [x[1:] for t, at in zip(b["_text"], b["_at"], strict=True) for x in surroundings(t.encode("utf-8", "surrogatepass"), np.asarray(at))]
-            yield pd.DataFrame(out, columns=["core", "left", "right", "whole"])
+            yield pd.DataFrame([x[2:] for x in surroundings(b)], columns=["core", "left", "right", "whole"])
 
     def places(batches):
         for b in batches:
-            out = [(x[4], k, x[0]) for k, t, at in zip(b["_key"], b["_text"], b["_at"], strict=True) for x in surroundings(t.encode("utf-8", "surrogatepass"), np.asarray(at))]
-            yield pd.DataFrame(out, columns=["whole", "_of", "at"])
+            found = [(x[5], x[0], x[1]) for x in surroundings(b)]
+            yield pd.DataFrame({"whole": [x[0] for x in found], "_of": b["_key"].to_numpy()[np.array([x[1] for x in found], np.int64)], "at": np.array([x[2] for x in found], np.int64)})
 
     members = candidates.select("_text", "_at").mapInPandas(around, "core binary, left binary, right binary, whole binary")
     members = members.groupBy("core", "left", "right", "whole").agg(F.count(F.lit(1)).alias("n"))
 
-    def search(groups: list[pd.DataFrame]) -> pd.DataFrame:
-        g = pd.concat(groups) if len(groups) > 1 else groups[0]
-        number = pd.factorize(g["core"])[0]
-        left, right = g["left"].tolist(), g["right"].tolist()
-        flags = repeated_starts(list(zip(number.tolist(), left, right, strict=True)), window)
-        out = [(w, (ranges(f) - len(a)).ravel().tolist()) for w, a, f in zip(g["whole"], left, flags, strict=True) if f.any()]
-        return pd.DataFrame(out, columns=["whole", "runs"])
-
     def suffixes(batches):
-        some, size = [], 0
-        for g in grouped(batches, ["core"]):
-            twice = g["n"].to_numpy() > 1
-            if twice.any():
-                own = g[twice]
-                yield pd.DataFrame([(w, [-len(a), window - 1 - len(z)]) for w, a, z in zip(own["whole"], own["left"], own["right"], strict=True)], columns=["whole", "runs"]).assign(
-                    runs=lambda d: [[x, max(x, -y)] for x, y in d["runs"]]
-                )
-            if len(g) > 1:
-                some.append(g)
-                size += int(g["left"].str.len().sum() + g["right"].str.len().sum() + 2 * len(g))
-                if size >= symbols:
-                    yield search(some)
-                    some, size = [], 0
-        if some:
-            yield search(some)
+        """Rows sorted by core -> (whole, runs of repeated starts, from their distance to the anchor)."""
+        done: list[tuple[bytes, list[int]]] = []
+        pool: list[tuple[int, bytes, bytes]] = []
+        names: list[bytes] = []
+        group: list[tuple[bytes, bytes, bytes, int]] = []  # of one core, so far
+        size, number = 0, 0
+
+        def close() -> None:
+            nonlocal size, number
+            for left, right, whole, n in group:
+                if n > 1:
+                    done.append((whole, [-len(left), len(right) - (window - 1)]))
+                if len(group) > 1:
+                    pool.append((number, left, right))
+                    names.append(whole)
+            size += len(group) if len(group) > 1 else 0
+            number += 1
+            group.clear()
+
+        def flush() -> pd.DataFrame:
+            nonlocal size
+            if pool:
+                for w, (_, left, _), f in zip(names, pool, repeated_starts(pool, window), strict=True):
+                    if f.any():
+                        done.append((w, (ranges(f) - len(left)).ravel().tolist()))
+            out = pd.DataFrame(done, columns=["whole", "runs"])
+            done.clear()
+            pool.clear()
+            names.clear()
+            size = 0
+            return out
+
+        core = None
+        for b in batches:
+            for c, left, right, whole, n in zip(b["core"], b["left"], b["right"], b["whole"], b["n"], strict=True):
+                if c != core:
+                    close()
+                    core = c
+                    if size >= together or len(done) >= 4 * together:
+                        yield flush()
+                group.append((left, right, whole, n))
+        close()
+        yield flush()
 
     repeats = members.repartition("core").sortWithinPartitions("core").mapInPandas(suffixes, "whole binary, runs array<int>")
     repeats = repeats.where("size(runs) > 0")
