@@ -19,7 +19,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return substring_dedup.dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", "words_removed", "text")
+    return substring_dedup.dedup_spans(docs).select("doc_id", "n_removed", "words_removed", "text")
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup}

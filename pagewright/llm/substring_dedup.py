@@ -13,114 +13,118 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import materialize, text_key
 
-#: A sentence ends at . ! ? … before white space, or at a line end.
-_END = re.compile(r"[.!?…]+[\"')\]»”’]*(?=\s)|\n+")
+#: A word ends a sentence if one of the first stands at its end, perhaps before some of the second.
+ENDS, CLOSERS = ".!?…", "\"')]»”’"
+_LAST = frozenset(ENDS + CLOSERS)
 _WORD = re.compile(r"\S+")
+_B = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_INVERSE = pow(_B, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def sentences(text: str, long: int = 16, one_in: int = 6) -> list[tuple[int, int]]:
-    """(start, end) of the sentences; together they are the whole text.
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_B, _INVERSE)):
+            out = np.full(max(n, 2 * len(_powers[k])), np.uint64(base))
+            out[0] = 1
+            _powers[k] = np.multiply.accumulate(out)
+    return _powers[0][:n], _powers[1][:n]
 
-    A sentence of more than `long` words is cut further after words whose hash says so (one in `one_in`, no piece
-    under 4 words or, if no hash says so, over 24): where an unpunctuated passage has been put into other text, its pieces still come out alike.
+
+def sentences(text: str, long: int = 16, one_in: int = 6) -> tuple[list[str], list[int]]:
+    """(words, ends): the words and, for each sentence, the number of words up to its end.
+
+    A sentence ends at its mark or at a line end. One of more than `long` words is cut further after words whose hash
+    says so (one in `one_in`; no piece under 4 words or, if no hash says so, over 24): where a passage has been put into
+    the middle of other text, or has no marks, its pieces still come out alike.
     """
-    out, at = [], 0
-    for m in _END.finditer(text):
-        if text[at : m.end()].strip():
-            out.append((at, m.end()))
-            at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
-    fine = []
-    for a, b in out:
-        words = None
-        if b - a > 2 * long:
-            words = list(_WORD.finditer(text, a, b))
-        if words is None or len(words) <= long:
-            fine.append((a, b))
+    words: list[str] = []
+    ends: list[int] = []
+    for line in text.split("\n"):
+        own = line.split()
+        if not own:
             continue
-        start, n = a, 0
-        for w in words[:-1]:
-            n += 1
-            if n >= 24 or n >= 4 and xxhash.xxh32_intdigest(w.group().strip(".,;:!?\"'()").encode("utf-8", "surrogatepass")) % one_in == 0:
-                fine.append((start, w.end()))
-                start, n = w.end(), 0
-        fine.append((start, b))
-    return fine
-
-
-def spans(text: str, least: int = 2, words: int = 13) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """The sentences, and (first sentence, number of sentences, hash) of the shortest run from each sentence that has
-    at least `least` sentences and `words` words. Runs are compared word by word, whatever the white space."""
-    cut = sentences(text)
-    parts = [text[a:b].split() for a, b in cut]
-    out, n = [], len(parts)
-
-    def add(i: int, j: int) -> None:
-        run = " ".join(w for p in parts[i:j] for w in p)
-        out.append((i, j - i, xxhash.xxh3_64_intdigest(run.encode("utf-8", "surrogatepass")) - (1 << 63)))
-
-    for i in range(n):
-        have, j = 0, i
-        while j < n and (j - i < least or have < words):
-            have += len(parts[j])
-            j += 1
-        if j - i < least or have < words:
-            break
-        add(i, j)
-    if out and sum(out[-1][:2]) < n:  # the shortest run that ends with the text
-        i, have = n, 0
-        while i > 0 and (n - i < least or have < words):
-            i -= 1
-            have += len(parts[i])
-        add(i, n)
-    return cut, out
-
-
-def cut_out(text: str, cut: list[tuple[int, int]], hits: list[tuple[int, int]], least_words: int) -> tuple[str, int, int]:
+        at = len(words)
+        ends.extend([i for i, w in enumerate(own, at + 1) if w[-1] in _LAST and w.rstrip(CLOSERS)[-1:] in ENDS and w.rstrip(CLOSERS)])
+        words.extend(own)
+        if not ends or ends[-1] != len(words):
+            ends.append(len(words))
+    fine, start = [], 0
+    for end in ends:
+        if end - start > long:
+            n = 0
+            for i in range(start, end - 1):
+                n += 1
+                if n >= 24 or n >= 4 and xxhash.xxh32_intdigest(words[i].strip(".,;:!?\"'()").encode("utf-8", "surrogatepass")) % one_in == 0:
+                    fine.append(i + 1)
+                    n = 0
+        fine.append(end)
+        start = end
+    return words, fine
+
+
+def spans(words: list[str], ends: list[int], least: int = 2, most_words: int = 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, sentences, hash) of the shortest run from each sentence that has at least `least` sentences and
+    `most_words` words, and of the shortest that ends with the text. Runs are compared word by word, whatever the white space."""
+    n = len(ends)
+    upto = np.array([0, *ends], np.int64)
+    first = np.arange(n)
+    last = np.maximum(first + least, np.searchsorted(upto, upto[:-1] + most_words))
+    first, last = first[last <= n], last[last <= n]
+    if len(first) and last[-1] < n:
+        first = np.append(first, min(n - least, int(np.searchsorted(upto, upto[-1] - most_words, "right")) - 1))
+        last = np.append(last, n)
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    own = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[a:b]).encode("utf-8", "surrogatepass")) for a, b in zip([0, *ends], ends, strict=False)), np.uint64, n)
+    up, down = powers(n)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * up)))
+    h = (total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return first, last - first, (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def cut_out(text: str, ends: list[int], hits: list[tuple[int, int]], least_words: int) -> tuple[str, int, int]:
     """The text without the sentences that the hits cover, where they make up a run of at least `least_words` words."""
-    cover = np.zeros(len(cut) + 1, np.int64)
+    cover = np.zeros(len(ends) + 1, np.int64)
     for i, n in hits:
         cover[i] += 1
         cover[i + n] -= 1
-    inside = np.cumsum(cover[:-1]) > 0
-    keep, removed, words_removed, i = [], 0, 0, 0
-    while i < len(cut):
-        j = i
-        while j < len(cut) and inside[j] == inside[i]:
-            j += 1
-        part = text[cut[i][0] : cut[j - 1][1]]
-        n = len(part.split()) if inside[i] else 0
-        if inside[i] and n >= least_words:
-            removed += j - i
-            words_removed += n
-        else:
-            keep.append(part)
-        i = j
-    return "".join(keep), removed, words_removed
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(cover[:-1]) > 0, [False])).astype(np.int8)))
+    upto = [0, *ends]
+    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    keep, at, removed, gone = [], 0, 0, 0
+    for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        if upto[j] - upto[i] < least_words:
+            continue
+        keep.append(text[at : starts[upto[i]]])
+        at = starts[upto[j]]
+        removed += j - i
+        gone += upto[j] - upto[i]
+    keep.append(text[at:])
+    return "".join(keep), removed, gone
 
 
 def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 2, words: int = 13, least_words: int = 20) -> DataFrame:
-    """`docs` with repeated runs of sentences removed from `text`, and n_sentences, n_removed, words_removed added.
+    """`docs` with repeated runs of sentences removed from `text`, and n_removed (sentences) and words_removed added.
 
     The first occurrence is that with the least doc_id (null last; equal ids: by hash of the text), then the first in
     the text; it stays, all others go, in the same document too. Rows with equal doc_id and text are one document.
     Null and empty texts stay as they are. Columns of the added names are replaced; others pass through.
     """
-    new = ("n_sentences", "n_removed", "words_removed")
+    new = ("n_removed", "words_removed")
     kept = [c for c in docs.columns if c not in new]
     keyed = docs.select(*kept, text_key(F.col(text)).alias("_key"))
 
     def find(batches):
         for b in batches:
-            ids, keys, rows = [], [], []
-            for d, k, t in zip(b["_doc"], b["_key"], b["_text"], strict=True):
-                found = spans(t, least, words)[1]
-                ids.extend([d] * len(found))
-                keys.extend([k] * len(found))
-                rows.extend(found)
-            at = np.array(rows, dtype=np.int64).reshape(-1, 3)
-            yield pd.DataFrame({"doc": pd.array(ids, dtype="Int64"), "key": keys, "at": at[:, 0].astype(np.int32), "n": at[:, 1].astype(np.int32), "h": at[:, 2]})
+            got = [spans(*sentences(t), least, words) for t in b["_text"]]
+            n = [len(g[0]) for g in got]
+            at, size, h = (np.concatenate([np.zeros(0, np.int64), *[g[k] for g in got]]) for k in range(3))
+            of = np.repeat(np.arange(len(n)), n)
+            yield pd.DataFrame({"doc": b["_doc"].astype("Int64").array.take(of), "key": b["_key"].to_numpy()[of], "at": at.astype(np.int32), "n": size.astype(np.int32), "h": h})
 
     plain = keyed.select(F.col(doc_id).cast("long").alias("_doc"), F.substring("_key", 1, 8).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     runs = plain.mapInPandas(find, "doc long, key binary, at int, n int, h long")
@@ -131,20 +135,15 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     hits = later.groupBy("doc", "key").agg(F.collect_set(F.struct("at", "n")).alias("_hits"))
     hits = materialize(hits, "span-hits")
 
-    @F.pandas_udf("text string, n_sentences int, n_removed int, words_removed int")
+    @F.pandas_udf("text string, n_removed int, words_removed int")
     def remove(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
         for t, f in zip(texts, found, strict=True):
-            if t is None:
-                out.append((None, 0, 0, 0))
-                continue
-            cut = sentences(t)
-            if f is None or not len(f):
-                out.append((t, len(cut), 0, 0))
-                continue
-            left, n, w = cut_out(t, cut, [(x["at"], x["n"]) for x in f], least_words)
-            out.append((left, len(cut), n, w))
-        return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed", "words_removed"])
+            if t is None or f is None or not len(f):
+                out.append((t, 0, 0))
+            else:
+                out.append(cut_out(t, sentences(t)[1], [(x["at"], x["n"]) for x in f], least_words))
+        return pd.DataFrame(out, columns=["text", *new])
 
     rows = keyed.withColumn("_doc", F.col(doc_id).cast("long")).withColumn("_key", F.substring("_key", 1, 8))
     hits = hits.select(F.col("doc").alias("_d"), F.col("key").alias("_k"), "_hits")

@@ -42,12 +42,12 @@ def test_repeated_starts_against_all_pairs():
 def test_anchors_cover_every_start_once_and_move_with_the_text():
     rng = np.random.default_rng(3)
     text = bytes(rng.integers(97, 101, 900, dtype=np.uint8))
-    at, first, last = suffix_dedup.anchors(text, 100, 40)
+    (_, at, first, last), (_, moved, _, _) = suffix_dedup.anchors([text, b"short", b"xyz" + text], 100, 40)
     assert first[0] == 0 and last[-1] == len(text) - 100 and (first[1:] == last[:-1] + 1).all()
     assert ((at >= last) & (at - first < 40)).all()
-    moved = suffix_dedup.anchors(b"xyz" + text, 100, 40)[0]
     assert set(at[1:] + 3) <= set(moved)
-    assert len(suffix_dedup.anchors(b"short", 100, 40)[0]) == 0
+    alone = [next(suffix_dedup.anchors([t], 100, 40)) for t in (text, b"xyz" + text)]
+    assert (alone[0][1] == at).all() and (alone[1][1] == moved).all() and not list(suffix_dedup.anchors([b"short", b""], 100, 40))
 
 
 def test_buckets_are_optimal():
@@ -92,10 +92,25 @@ def test_shingles_of_short_texts():
 
 
 def test_sentences_are_the_whole_text():
-    for text in ("", "One. Two! Three?\nFour", "no end " * 60, "a\n\n\nb", "Er " * 300):
-        cut = substring_dedup.sentences(text)
-        assert "".join(text[a:b] for a, b in cut) == text
-        assert all(x[1] == y[0] for x, y in itertools.pairwise(cut))
+    for text in ("", "One. Two! Three?\nFour", "no end " * 60, "a\n\n\nb", "Er " * 300, 'He said "go." Then (left.) ok ..'):
+        words, ends = substring_dedup.sentences(text)
+        assert words == text.split() and ends == sorted(set(ends)) and (ends[-1:] or [0]) == [len(words)]
+        assert substring_dedup.cut_out(text, ends, [], 1) == (text, 0, 0)
+        if words:
+            assert substring_dedup.cut_out(text, ends, [(0, len(ends))], 1)[1:] == (len(ends), len(words))
+    assert substring_dedup.sentences("One. Two! Three?\nFour")[1] == [1, 2, 3, 4]
+
+
+def test_equal_runs_have_equal_hashes_wherever_they_stand():
+    run = "alpha beta gamma. delta epsilon zeta eta theta. iota kappa lambda mu nu xi omicron."
+    seen = []
+    for text in (run, "Some other start. " + run + " An end that is other too, and long enough to be a run. Yes.", "x.\n" + run.replace(" ", "  ")):
+        words, ends = substring_dedup.sentences(text)
+        first, n, h = substring_dedup.spans(words, ends)
+        seen.append({" ".join(words[([0, *ends])[i] : ends[i + k - 1]]): x for i, k, x in zip(first.tolist(), n.tolist(), h.tolist(), strict=True)})
+    everywhere = set.intersection(*map(set, seen))
+    assert everywhere and all(len({s[r] for s in seen}) == 1 for r in everywhere)
+    assert len({x for s in seen for x in s.values()}) == len({r for s in seen for r in s})
 
 
 def test_fingerprints_find_the_offset_of_a_late_and_noisy_copy():

@@ -98,7 +98,7 @@ def test_substring_dedup_removes_later_passages_only(docs, nothing):
     source = dict(texts(docs))
     assert got[10]["text"] == source[10] and got[1]["text"] == source[1] and got[4]["text"] == source[4]
     assert 60 <= got[11]["words_removed"] <= 95 and got[11]["text"].startswith(source[11][:40])
-    assert got[2]["n_removed"] == got[2]["n_sentences"] and got[2]["text"] == ""
+    assert got[2]["words_removed"] == len(source[2].split()) and got[2]["text"] == ""
     assert got[5]["text"] is None and got[6]["text"] == ""
     out = substring_dedup.dedup_spans(nothing)
     assert out.count() == 0 and set(SCHEMA.replace(",", "").split()[::2]) <= set(out.columns)
