@@ -179,20 +179,20 @@ def word_windows(pages: DataFrame, size: int = 420, overlap: int = 70) -> DataFr
 
 
 def anchor_ids(headings: DataFrame) -> DataFrame:
-    """doc, pos, anchor: slugs of headings, repeats numbered without taking the slug of a real title. A fold by document."""
+    """doc, pos, anchor: slugs of headings; a slug that has been given out is numbered. A fold over each document's headings."""
 
     def slug(title: str) -> str:
-        return re.sub(r"\s+", "-", re.sub(r"[^\w\s-]", "", title.strip().lower())) or "section"
+        return re.sub(r"\s+", "-", re.sub(r"[^\w\s-]|_", "", title.lower()).strip()) or "section"
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("pos")
-        base = [slug(t) for t in g["title"]]
-        real, used, out = set(base), set(), []
-        for b in base:
-            name, n = b, 0
-            while name in used or (n and name in real):
+        used, out = set(), []
+        for title in g["title"]:
+            base = name = slug(title)
+            n = 0
+            while name in used:
                 n += 1
-                name = f"{b}-{n}"
+                name = f"{base}-{n}"
             used.add(name)
             out.append(name)
         return pd.DataFrame({"doc": g["doc"], "pos": g["pos"], "anchor": out})

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.plans import library, pages, retrieval, structure
+from pagewright.plans import layouts, library, pages, reading, retrieval, structure
 
-PARTS = (retrieval, library, pages, structure)
+PARTS = (retrieval, library, pages, structure, reading, layouts)
 
 
 def queries() -> dict:
