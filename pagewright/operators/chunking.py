@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.groups import fold_groups
 from pagewright.functions.text import chunk_id
 from pagewright.operators import blocks as structure
 
@@ -184,17 +185,16 @@ def anchor_ids(headings: DataFrame) -> DataFrame:
     def slug(title: str) -> str:
         return re.sub(r"\s+", "-", re.sub(r"[^\w\s-]|_", "", title.lower()).strip()) or "section"
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos")
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
         used, out = set(), []
-        for title in g["title"]:
+        for doc, pos, title in rows:
             base = name = slug(title)
             n = 0
             while name in used:
                 n += 1
                 name = f"{base}-{n}"
             used.add(name)
-            out.append(name)
-        return pd.DataFrame({"doc": g["doc"], "pos": g["pos"], "anchor": out})
+            out.append((doc, pos, name))
+        return out
 
-    return headings.groupBy("doc").applyInPandas(run, "doc long, pos int, anchor string")
+    return fold_groups(headings.select("doc", "pos", "title"), ["doc"], ["pos"], fold, "doc long, pos int, anchor string")

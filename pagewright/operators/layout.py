@@ -6,6 +6,7 @@ page or one document's page windows, never a table.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.groups import fold_groups
+
 LINES = "doc long, page int, line int, text string, x double, y double, font_size double, bold boolean"
 
 
@@ -21,24 +24,22 @@ def text_lines(atoms: DataFrame) -> DataFrame:
     """doc, page, line, text, x, y, font_size, bold: atoms from top to bottom join a line while they stay within
     max(2, 0.35 x the line's median font) of its first one."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
         out, line = [], []
 
         def close() -> None:
-            if line:
-                own = sorted(line, key=lambda a: a[1])
-                fonts = [a[3] for a in own]
-                out.append((g["doc"].iloc[0], g["page"].iloc[0], len(out), " ".join(a[2] for a in own), own[0][1], line[0][0], float(np.median(fonts)), any(a[4] for a in own)))
-                line.clear()
+            own = sorted(line, key=lambda a: a[1])
+            out.append((*key, len(out), " ".join(a[2] for a in own), float(own[0][1]), float(line[0][0]), float(np.median([a[3] for a in own])), any(a[4] for a in own)))
+            line.clear()
 
-        for a in sorted(zip(g["y"], g["x"], g["text"], g["font_size"], g["bold"], strict=True), key=lambda a: (-a[0], a[1])):
+        for a in sorted((r[2:] for r in rows), key=lambda a: (-a[0], a[1])):
             if line and abs(line[0][0] - a[0]) > max(2.0, 0.35 * float(np.median([x[3] for x in line]))):
                 close()
             line.append(a)
         close()
-        return pd.DataFrame(out, columns=["doc", "page", "line", "text", "x", "y", "font_size", "bold"])
+        return out
 
-    return atoms.groupBy("doc", "page").applyInPandas(run, LINES)
+    return fold_groups(atoms.select("doc", "page", "y", "x", "text", "font_size", "bold"), ["doc", "page"], [], fold, LINES)
 
 
 def synthetic_outline(lines: DataFrame, most: int = 250, page_height: float = 792.0) -> DataFrame:
@@ -47,20 +48,16 @@ def synthetic_outline(lines: DataFrame, most: int = 250, page_height: float = 79
     Lines that repeat on three pages and a quarter of all, and the lowest 8 % of a page, are left out. Levels are bands
     of font sizes, 0.75 wide; at most `most` headings a document.
     """
-    body = lines.groupBy("doc").agg(F.percentile("font_size", 0.5).alias("body"), F.countDistinct("page").alias("pages"))
-    t = F.lower(F.trim("text"))
-    often = lines.groupBy("doc", t.alias("t")).agg(F.countDistinct("page").alias("on"))
-    x = lines.withColumn("t", t).join(body, "doc").join(often, ["doc", "t"])
+    of_doc, t = Window.partitionBy("doc"), F.lower(F.trim("text"))
+    x = lines.withColumn("t", t).withColumn("body", F.percentile("font_size", F.lit(0.5)).over(of_doc)).withColumn("pages", F.size(F.collect_set("page").over(of_doc)))
+    x = x.withColumn("on", F.size(F.collect_set("page").over(Window.partitionBy("doc", "t"))))
     prominent = (F.col("font_size") >= 1.28 * F.col("body")) | ((F.col("font_size") >= 1.12 * F.col("body")) & F.col("bold"))
     repeated = (F.col("on") >= 3) & (F.col("on") >= 0.25 * F.col("pages"))
     x = x.where(prominent & ~repeated & (F.col("y") > 0.08 * page_height) & F.length("t").between(2, 160) & F.col("t").rlike(r"\p{L}"))
-    sizes = x.select("doc", "font_size").distinct()
-    bigger = Window.partitionBy("doc").orderBy(F.col("font_size").desc())
-    gap = F.coalesce(F.lag("font_size").over(bigger) - F.col("font_size"), F.lit(0.0))
-    level = F.least(F.lit(6), 1 + F.sum((gap > 0.75).cast("int")).over(bigger))
-    sizes = sizes.withColumn("level", level)
-    w = Window.partitionBy("doc").orderBy("page", F.col("y").desc(), "x")
-    x = x.join(sizes, ["doc", "font_size"]).withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= most)
+    bigger = of_doc.orderBy(F.col("font_size").desc())
+    x = x.withColumn("gap", F.coalesce(F.lag("font_size").over(bigger) - F.col("font_size"), F.lit(0.0)))
+    x = x.withColumn("level", F.least(F.lit(6), 1 + F.sum((F.col("gap") > 0.75).cast("int")).over(bigger.rangeBetween(Window.unboundedPreceding, Window.currentRow))))
+    x = x.withColumn("seq", F.row_number().over(of_doc.orderBy("page", F.col("y").desc(), "x"))).where(F.col("seq") <= most)
     return x.select("doc", "page", "seq", F.col("level").cast("int").alias("level"), F.trim("text").alias("title"))
 
 
@@ -115,12 +112,11 @@ def page_table(lines: list[list[tuple[str, float, float]]]) -> str | None:
 def tables_from_words(words: DataFrame) -> DataFrame:
     """doc, page, markdown of pages of recognised words (line, word_no, text, x0, x1) that make a table."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["line", "word_no"])
-        md = page_table([list(zip(x["text"], x["x0"], x["x1"], strict=True)) for _, x in g.groupby("line")])
-        return pd.DataFrame({"doc": g["doc"].iloc[:1], "page": g["page"].iloc[:1], "markdown": [md]}) if md else pd.DataFrame({"doc": [], "page": [], "markdown": []}).astype({"doc": "int64", "page": "int32", "markdown": "object"})
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
+        md = page_table([[r[4:] for r in line] for _, line in itertools.groupby(rows, key=lambda r: r[2])])
+        return [(*key, md)] if md else []
 
-    return words.groupBy("doc", "page").applyInPandas(run, "doc long, page int, markdown string")
+    return fold_groups(words.select("doc", "page", "line", "word_no", "text", "x0", "x1"), ["doc", "page"], ["line", "word_no"], fold, "doc long, page int, markdown string")
 
 
 def flat(text: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import coverage, output
 from pagewright.plans import inputs
 from pagewright.plans.inputs import with_ctes
+from pagewright.plans.retrieval import plain_sql
 
 
 def src_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,6 +180,18 @@ SELECT doc, page, n AS native_chars, CASE WHEN n >= 100 THEN 'native' WHEN o > n
         _OCR + """, j AS (SELECT doc, page, e.markdown AS m, ocr.markdown AS o, ocr.doc IS NOT NULL AS answered, trim(regexp_replace(e.markdown, '\\s+', ' ', 'g')) <> '' AS own,
   coalesce(trim(regexp_replace(ocr.markdown, '\\s+', ' ', 'g')) <> '', false) AS got, (doc + page) % 7 = 0 AS asked FROM extracted e LEFT JOIN ocr USING (doc, page))
 SELECT doc, page, CASE WHEN own THEN m WHEN got THEN o ELSE '' END AS markdown, CASE WHEN NOT own AND got THEN 'ocr' ELSE 'pdf' END AS source, CASE WHEN own OR got THEN 'read' WHEN answered OR NOT asked THEN 'empty' ELSE 'unresolved' END AS status FROM j""",
+    ),
+    "join_region_text": with_ctes(
+        _EX,
+        """, r AS (SELECT doc, page, string_split(regexp_extract(markdown, '^([^\\n]*)', 1) || chr(10) || 'Figure ' || page || ' shows it', chr(10)) AS l FROM extracted WHERE page % 3 = 1),
+own AS (SELECT doc, page, markdown, """
+        + plain_sql("markdown")
+        + """ AS p FROM extracted), lines AS (SELECT doc, page, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM r),
+new AS (SELECT doc, page, string_agg(line, chr(10) ORDER BY n) AS more FROM lines JOIN own USING (doc, page) WHERE trim(line) <> '' AND NOT contains(p, """
+        + plain_sql("line")
+        + """) GROUP BY doc, page)
+SELECT doc, page, CASE WHEN more IS NULL THEN markdown WHEN trim(regexp_replace(markdown, '\\s+', ' ', 'g')) = '' THEN more ELSE markdown || chr(10) || chr(10) || more END AS markdown,
+  CASE WHEN more IS NULL THEN 'pdf' WHEN trim(regexp_replace(markdown, '\\s+', ' ', 'g')) = '' THEN 'ocr' ELSE 'mixed' END AS source FROM own LEFT JOIN new USING (doc, page)""",
     ),
     "agg_text_source": with_ctes(
         _EX,

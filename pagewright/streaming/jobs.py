@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from pagewright.functions.groups import fold_groups
+
 GAP_MS = 500
 
 
@@ -84,13 +86,11 @@ def throttled(rows: Iterable[tuple[int, float]], gap_ms: int, last: int | None,
 def throttle_table(events: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """key, ms, progress of the updates that are sent for each key, the last always."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ms", "seq"])
-        out, _, _, pending = throttled(zip(g["ms"].tolist(), g["progress"].tolist(), strict=True), gap_ms, None, 0.0)
-        rows = [*out, pending] if pending else out
-        return pd.DataFrame({"key": g["key"].iloc[0], "ms": [r[0] for r in rows], "progress": [float(r[1]) for r in rows]})
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
+        out, _, _, pending = throttled([(r[1], r[3]) for r in rows], gap_ms, None, 0.0)
+        return [(*key, ms, float(p)) for ms, p in ([*out, pending] if pending else out)]
 
-    return events.groupBy("key").applyInPandas(run, "key long, ms long, progress double")
+    return fold_groups(events.select("key", "ms", "seq", "progress"), ["key"], ["ms", "seq"], fold, "key long, ms long, progress double")
 
 
 def throttle_stream(events: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
