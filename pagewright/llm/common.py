@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +45,11 @@ def release(spark: SparkSession) -> int:
     return n
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def slices(batches: Iterable[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Arrow batches in smaller parts, so that what is derived from whole texts stays small in memory."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i : i + rows].reset_index(drop=True)
 
 
 def text_key(text: Column) -> Column:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, text_key
+from pagewright.llm.common import materialize, slices, text_key
 from pagewright.llm.graph import components
 
 HASHES = 64
@@ -36,7 +36,7 @@ class Words(dict):
     """Hash of a word, kept while the dictionary is of moderate size."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         return h
@@ -176,14 +176,14 @@ def ngram_join(
     rows = docs.select(F.col(doc_id).cast("long").alias("_doc"), text_key(F.col(text)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def embed(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pd.DataFrame({"_doc": b["_doc"].astype("Int64"), "_key": b["_key"], "sig": [embedding(shingles(t, words)).tobytes() for t in b["_text"]]})
 
     embedded = materialize(rows.mapInPandas(embed, "_doc long, _key binary, sig binary"), "embedded")
     sets = materialize(embedded.groupBy(F.col("_key").alias("key")).agg(F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "sets")
 
     def first_level(batches):
-        for b in batches:
+        for b in slices(batches):
             keys, paths = [], []
             for k, s in zip(b["key"], b["sig"], strict=True):
                 sig = np.frombuffer(s, np.uint32)
@@ -193,7 +193,7 @@ def ngram_join(
             yield pd.DataFrame({"path": np.array(paths, np.int64), "key": keys})
 
     def next_level(batches):
-        for b in batches:
+        for b in slices(batches):
             keys, paths = [], []
             for v, k, s in zip(b["path"], b["key"], b["sig"], strict=True):
                 p = children(int(v), np.frombuffer(s, np.uint32), chance)

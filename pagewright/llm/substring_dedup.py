@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, text_key
+from pagewright.llm.common import materialize, slices, text_key
 
 #: A word ends a sentence if one of the first stands at its end, perhaps before some of the second.
 ENDS, CLOSERS = ".!?…", "\"')]»”’"
@@ -119,7 +119,7 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     keyed = docs.select(*kept, text_key(F.col(text)).alias("_key"))
 
     def find(batches):
-        for b in batches:
+        for b in slices(batches):
             got = [spans(*sentences(t), least, words) for t in b["_text"]]
             n = [len(g[0]) for g in got]
             at, size, h = (np.concatenate([np.zeros(0, np.int64), *[g[k] for g in got]]) for k in range(3))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, text_key
+from pagewright.llm.common import materialize, slices, text_key
 from pagewright.llm.gsaca import suffix_array
 
 WINDOW = 160
@@ -157,7 +157,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
     core_bytes = length - window + 1
 
     def cores(batches):
-        for b in batches:
+        for b in slices(batches):
             keys = b["_key"].to_numpy()
             data = [t.encode("utf-8", "surrogatepass") for t in b["_text"]]
             h, at, of, n = [], [np.zeros(0, np.int64)], [], []
@@ -185,11 +185,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
                 yield i, a, xxhash.xxh3_128_digest(core), left, right, xxhash.xxh3_128_digest(b"%d %d " % (len(left), len(right)) + left + core + right)
 
     def around(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pd.DataFrame([x[2:] for x in surroundings(b)], columns=["core", "left", "right", "whole"])
 
     def places(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [(x[5], x[0], x[1]) for x in surroundings(b)]
             yield pd.DataFrame({"whole": [x[0] for x in found], "_of": b["_key"].to_numpy()[np.array([x[1] for x in found], np.int64)], "at": np.array([x[2] for x in found], np.int64)})
 
