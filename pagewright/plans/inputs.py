@@ -12,7 +12,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def prose(spark: SparkSession, sf: str, lines: int = 5) -> DataFrame:
     """Documents cut into pages of five lines: doc, page, markdown."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.split("text", "\n", -1).alias("l"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    if d.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):  # a few small files: spread them
+        d = d.repartition(cores)
+    d = d.select(F.col("doc_id").alias("doc"), F.split("text", "\n", -1).alias("l"))
     d = d.select("doc", "l", F.posexplode(F.sequence(F.lit(0), F.ceil(F.size("l") / lines).cast("int") - 1)).alias("p", "i"))
     return d.select("doc", (F.col("i") + 1).alias("page"), F.array_join(F.slice("l", F.col("i") * lines + 1, lines), "\n").alias("markdown"))
 
