@@ -146,6 +146,7 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
         return pd.DataFrame(out, columns=["text", *new])
 
     rows = keyed.withColumn("_doc", F.col(doc_id).cast("long")).withColumn("_key", F.substring("_key", 1, 8))
+    remove = remove.asNondeterministic()  # so that a filter on what it returns doesn't run it a second time
     hits = hits.select(F.col("doc").alias("_d"), F.col("key").alias("_k"), "_hits")
     rows = rows.join(hits, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     rows = rows.withColumn("_out", remove(F.col(text), F.col("_hits")))
