@@ -45,6 +45,16 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound the bytes of an Arrow batch, where the session names no bound: texts may be long, workers are small.
+
+    A batch ends after the row that passes the bound, so a longer text is a batch of its own.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(size))
+
+
 def slices(batches: Iterable[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
     """Arrow batches in smaller parts, so that what is derived from whole texts stays small in memory."""
     for b in batches:

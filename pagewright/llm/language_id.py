@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.llm.common import small_batches
 from pagewright.llm.ngrams import hashed, only_letters, term_counts
 
 BINS, SIZES = 1 << 13, (1, 2, 3)
@@ -69,6 +70,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     and texts without a letter, are left out; an empty table gives a model that knows no language.
     """
     spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.select(F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")).where("_text is not null and _lang is not null")
 
     def count(batches):
@@ -123,6 +125,7 @@ def identify_languages(df: DataFrame, model: LanguageModel, text: str = "text")
 
     Null and empty texts, and texts without a letter, get `und`, 0 and rejected; ties go to the first centroid.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))

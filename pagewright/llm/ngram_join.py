@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, slices, text_key
+from pagewright.llm.common import materialize, slices, small_batches, text_key
 from pagewright.llm.graph import components
 
 HASHES = 64
@@ -164,6 +164,7 @@ def ngram_join(
     the same for rows that links connect. Null texts count as empty; texts of fewer than `words` words are one shingle.
     A run is repeated until a pair at the threshold meets in a bucket of the second level with `target_recall`.
     """
+    small_batches(docs.sparkSession)
     chance = 1 / (threshold * HASHES)
     # A pair agrees on each of about Poisson(1/threshold) (at least one) coordinates with probability `threshold`.
     p0 = math.exp(-1 / threshold)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.llm.common import small_batches
 from pagewright.llm.ngrams import code_points, hashed, letters
 
 BINS, SIZES, SHAPES = 1 << 12, (1, 2, 3), 9
@@ -85,6 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     vectors come from a sample of about `most` labelled keys, those with the smallest hashes: the bound that makes the
     keys and the vectors small enough to broadcast. Without any labelled text every score is 0.5.
     """
+    small_batches(docs.sparkSession)
     labelled = labels.where(F.col(on).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(on).alias("_on")).agg((F.max(label) > 0).cast("int").alias("_y"))
     n_labelled = labelled.count()
     mixed = F.shiftrightunsigned(F.xxhash64(F.lit(5), "_on"), 11) / F.lit(float(1 << 53))
@@ -132,6 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
 def score_quality(df: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Adds score and predicted to `df` (columns of these names are replaced). One pass, no shuffle; null texts count as empty."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())

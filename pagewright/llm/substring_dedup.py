@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, slices, text_key
+from pagewright.llm.common import materialize, slices, small_batches, text_key
 
 #: A word ends a sentence if one of the first stands at its end, perhaps before some of the second.
 ENDS, CLOSERS = ".!?…", "\"')]»”’"
@@ -114,6 +114,7 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     the text; it stays, all others go, in the same document too. Rows with equal doc_id and text are one document.
     Null and empty texts stay as they are. Columns of the added names are replaced; others pass through.
     """
+    small_batches(docs.sparkSession)
     new = ("n_removed", "words_removed")
     kept = [c for c in docs.columns if c not in new]
     keyed = docs.select(*kept, text_key(F.col(text)).alias("_key"))

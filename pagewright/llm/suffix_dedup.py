@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, slices, text_key
+from pagewright.llm.common import materialize, slices, small_batches, text_key
 from pagewright.llm.gsaca import suffix_array
 
 WINDOW = 160
@@ -151,6 +151,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
     are judged on the input. Rows are told apart by their texts only: equal texts of at least `length` bytes lose all.
     Columns of the added names are replaced, others pass through. An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     new = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     others = [c for c in docs.columns if c not in (*new, text)]
     rows = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_text"), text_key(F.col(text)).alias("_key"))
