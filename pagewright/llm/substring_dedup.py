@@ -32,12 +32,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def sentences(text: str, long: int = 16, one_in: int = 6) -> tuple[list[str], list[int]]:
-    """(words, ends): the words and, for each sentence, the number of words up to its end.
+def pieces(text: str, long: int = 16, one_in: int = 6) -> tuple[list[str], list[int], list[int]]:
+    """(words, ends, whole): the words and the number of words up to the end of each piece and of each whole sentence.
 
     A sentence ends at its mark or at a line end. One of more than `long` words is cut further after words whose hash
     says so (one in `one_in`; no piece under 4 words or, if no hash says so, over 24): where a passage has been put into
-    the middle of other text, or has no marks, its pieces still come out alike.
+    the middle of other text, or has no marks, its pieces still come out alike. Others are one piece.
     """
     words: list[str] = []
     ends: list[int] = []
@@ -61,23 +61,28 @@ def sentences(text: str, long: int = 16, one_in: int = 6) -> tuple[list[str], li
                     n = 0
         fine.append(end)
         start = end
-    return words, fine
+    return words, fine, ends
+
 
+def sentences(text: str, long: int = 16, one_in: int = 6) -> tuple[list[str], list[int]]:
+    """The words and the ends of the pieces."""
+    return pieces(text, long, one_in)[:2]
 
-def spans(words: list[str], ends: list[int], least: int = 2, most_words: int = 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, sentences, hash) of the shortest run from each sentence that has at least `least` sentences and
-    `most_words` words, and of the shortest that ends with the text. Runs are compared word by word, whatever the white space."""
+
+def spans(words: list[str], ends: list[int], whole: list[int] | None = None, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first piece, pieces, hash) of all runs of `least` pieces and of all runs of `least` whole sentences (which end at
+    `whole`; none given: each piece is one). Longer runs are made up of these: one that is repeated has all of its parts
+    repeated, so that it is covered to both ends. Runs are compared word by word, whatever the white space."""
     n = len(ends)
-    upto = np.array([0, *ends], np.int64)
-    first = np.arange(n)
-    last = np.maximum(first + least, np.searchsorted(upto, upto[:-1] + most_words))
-    first, last = first[last <= n], last[last <= n]
-    if len(first) and last[-1] < n:
-        first = np.append(first, min(n - least, int(np.searchsorted(upto, upto[-1] - most_words, "right")) - 1))
-        last = np.append(last, n)
-    if not len(first):
+    if n < least:
         none = np.zeros(0, np.int64)
         return none, none, none
+    first = np.arange(n - least + 1)
+    last = first + least
+    if whole is not None:
+        edge = np.searchsorted([0, *ends], [0, *whole])
+        more = np.flatnonzero(edge[least:] - edge[:-least] > least)
+        first, last = np.append(first, edge[more]), np.append(last, edge[more + least])
     own = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[a:b]).encode("utf-8", "surrogatepass")) for a, b in zip([0, *ends], ends, strict=False)), np.uint64, n)
     up, down = powers(n)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * up)))
@@ -86,19 +91,34 @@ def spans(words: list[str], ends: list[int], least: int = 2, most_words: int = 1
     return first, last - first, (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def cut_out(text: str, ends: list[int], hits: list[tuple[int, int]], least_words: int) -> tuple[str, int, int]:
-    """The text without the sentences that the hits cover, where they make up a run of at least `least_words` words."""
-    cover = np.zeros(len(ends) + 1, np.int64)
-    for i, n in hits:
+def covered(hits: list[tuple[int, int]], n: int) -> np.ndarray:
+    """Which of n pieces some hit covers."""
+    cover = np.zeros(n + 1, np.int64)
+    for i, k in hits:
         cover[i] += 1
-        cover[i + n] -= 1
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(cover[:-1]) > 0, [False])).astype(np.int8)))
+        cover[i + k] -= 1
+    return np.cumsum(cover[:-1]) > 0
+
+
+def stretches(flags: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the runs of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def cut_out(text: str, ends: list[int], hits: list[tuple[int, int]], part_words: int, whole: list[int] | None = None, least: int = 2) -> tuple[str, int, int]:
+    """The text without the pieces that the hits cover: all of those that are runs of at least `least` whole sentences,
+    whatever their length, and parts of sentences where the pieces make up a stretch of at least `part_words` words."""
     upto = [0, *ends]
+    number = {0: 0} | {end: k for k, end in enumerate(ends if whole is None else whole, 1)}
+    full = [(i, n) for i, n in hits if number.get(upto[i + n], -1) - number.get(upto[i], len(upto)) >= least]
+    gone_pieces = covered(full, len(ends))
+    for i, j in stretches(covered(hits, len(ends))):
+        if upto[j] - upto[i] >= part_words:
+            gone_pieces[i:j] = True
     starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
     keep, at, removed, gone = [], 0, 0, 0
-    for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if upto[j] - upto[i] < least_words:
-            continue
+    for i, j in stretches(gone_pieces):
         keep.append(text[at : starts[upto[i]]])
         at = starts[upto[j]]
         removed += j - i
@@ -107,8 +127,11 @@ def cut_out(text: str, ends: list[int], hits: list[tuple[int, int]], least_words
     return "".join(keep), removed, gone
 
 
-def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 2, words: int = 13, least_words: int = 20) -> DataFrame:
-    """`docs` with repeated runs of sentences removed from `text`, and n_removed (sentences) and words_removed added.
+def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 2, part_words: int = 13) -> DataFrame:
+    """`docs` with repeated runs of sentences removed from `text`, and n_removed (pieces) and words_removed added.
+
+    Every repeated run of at least `least` whole sentences goes, however short. Besides, parts of long sentences go where
+    consecutive pieces, each repeated together with a neighbour, make up at least `part_words` words.
 
     The first occurrence is that with the least doc_id (null last; equal ids: by hash of the text), then the first in
     the text; it stays, all others go, in the same document too. Rows with equal doc_id and text are one document.
@@ -121,7 +144,7 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
 
     def find(batches):
         for b in slices(batches):
-            got = [spans(*sentences(t), least, words) for t in b["_text"]]
+            got = [spans(*pieces(t), least) for t in b["_text"]]
             n = [len(g[0]) for g in got]
             at, size, h = (np.concatenate([np.zeros(0, np.int64), *[g[k] for g in got]]) for k in range(3))
             of = np.repeat(np.arange(len(n)), n)
@@ -143,7 +166,8 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
             if t is None or f is None or not len(f):
                 out.append((t, 0, 0))
             else:
-                out.append(cut_out(t, sentences(t)[1], [(x["at"], x["n"]) for x in f], least_words))
+                _, ends, whole = pieces(t)
+                out.append(cut_out(t, ends, [(x["at"], x["n"]) for x in f], part_words, whole, least))
         return pd.DataFrame(out, columns=["text", *new])
 
     rows = keyed.withColumn("_doc", F.col(doc_id).cast("long")).withColumn("_key", F.substring("_key", 1, 8))

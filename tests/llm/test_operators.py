@@ -104,6 +104,33 @@ def test_substring_dedup_removes_later_passages_only(docs, nothing):
     assert out.count() == 0 and set(SCHEMA.replace(",", "").split()[::2]) <= set(out.columns)
 
 
+def test_substring_dedup_is_brute_force_over_all_runs_of_sentences(spark):
+    rng = random.Random(12)
+    stock = ["Yes.", "No!", "So it is.", "One more of them.", "This one has seven words in it.", "A longer one, which has all of twelve words in it, is this."]
+    rows = [(i, " ".join(rng.choice(stock) if rng.random() < 0.7 else f"Own{i}x{j} words{j}." for j in range(rng.randrange(1, 14)))) for i in range(40)]
+    rows += [(100, "Head one. Short a. Short b. Tail one."), (101, "Head two. Short a. Short b. Tail two.")]
+    found, want = {}, {}
+    for i, t in rows:
+        s = re.findall(r"[^.!]+[.!]", t)
+        s = [x.strip() for x in s]
+        gone = set()
+        for a in range(len(s)):
+            for b in range(a + 2, len(s) + 1):
+                if found.setdefault(tuple(s[a:b]), (i, a)) != (i, a):
+                    gone |= set(range(a, b))
+        want[i] = (len(gone), " ".join(x for k, x in enumerate(s) if k not in gone))
+    got = substring_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_removed"], " ".join(r["text"].split())) for r in got} == want
+    assert want[101] == (2, "Head two. Tail two.")
+
+
+def test_substring_dedup_covers_a_repeated_run_to_its_end(spark):
+    long_ = " ".join(" ".join(f"w{j}{k}" for k in range(13)) + "." for j in range(3))  # each is one piece
+    rows = [(1, f"First here. {long_} It ends. Here. Other text follows."), (2, f"Second there! {long_} It ends. Here. Not the same text.")]
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["text"].split() == "Second there! Not the same text.".split()
+
+
 def test_mix_meets_targets(docs, nothing):
     got = mixing.mix_taken(docs, block_words=16, shards=4).collect()
     assert len(got) == docs.count()
