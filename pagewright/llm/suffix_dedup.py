@@ -8,7 +8,8 @@
 3. For each repeated core, the distinct surroundings (pieces of the left bytes, the core, pieces of the right bytes, a
    symbol each) are put one after the other, with a separator of its own after each, and their suffix array is built
    by linear grouping. A string is repeated if the suffix at its start agrees with a neighbouring one over all symbols
-   that the string spans, or if its surroundings occur more than once as a whole.
+   that the string spans, or if its surroundings occur more than once as a whole. A core that occurs at more than HOT
+   places is not brought together: each string around it is hashed and counted on its own.
 4. The repeated starts go back to the documents that have those surroundings.
 """
 
@@ -27,6 +28,7 @@ from pagewright.llm.common import materialize, slices, small_batches, text_key
 from pagewright.llm.gsaca import suffix_array
 
 WINDOW = 160
+HOT = 1_000
 
 
 def anchors(texts: list[bytes], length: int, window: int = WINDOW, together: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -144,7 +146,7 @@ def ranges(flags: np.ndarray) -> np.ndarray:
     return np.stack([edge[::2], edge[1::2] - 1], axis=1)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, window: int = WINDOW, together: int = 5_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, window: int = WINDOW, together: int = 5_000, hot: int = HOT) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans, kept_sha256 and `kept` (the remaining bytes) instead of the text.
 
     Texts are taken as UTF-8 (null: empty); matches never cross rows, but may overlap and lie in one row. All strings
@@ -171,31 +173,55 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
             yield pd.DataFrame({"h": np.array(h, np.uint64).view(np.int64), "at": np.concatenate(at), "_of": keys[np.repeat(np.array(of, np.int64), n)]})
 
     found = rows.select("_key", "_text").mapInPandas(cores, "h long, at long, _of binary")
-    repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    marked = found.join(repeated, "h").groupBy("_of").agg(F.array_sort(F.collect_set("at")).alias("_at"))
+    repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", (F.col("c") > hot).alias("hot"))
+    place = F.when(F.col("hot"), -1 - F.col("at")).otherwise(F.col("at"))  # of a hot core: negative
+    marked = found.join(repeated, "h").groupBy("_of").agg(F.array_sort(F.collect_set(place)).alias("_at"))
     marked = materialize(marked, "repeated-cores")
     candidates = rows.join(marked, F.col("_key") == F.col("_of")).drop("_of")
     candidates = materialize(candidates, "candidates")
 
-    def surroundings(b: pd.DataFrame) -> Iterator[tuple[int, int, bytes, bytes, bytes, bytes]]:
-        data, marks = [t.encode("utf-8", "surrogatepass") for t in b["_text"]], b["_at"].tolist()
+    def surroundings(b: pd.DataFrame, cold: bool = True, hot: bool = True) -> Iterator[tuple[int, int, bytes, bytes, bytes, bytes]]:
+        data = [t.encode("utf-8", "surrogatepass") for t in b["_text"]]
+        marks = [np.concatenate((m[m >= 0] if cold else m[:0], -1 - m[m < 0] if hot else m[:0])) for m in map(np.asarray, b["_at"])]
         for i, c, s0, s1 in anchors(data, length, window):
             d, own = data[i], np.flatnonzero(np.isin(c, marks[i]))
             for a, first, last in zip(c[own].tolist(), s0[own].tolist(), s1[own].tolist(), strict=True):
                 core, left, right = d[a : a + core_bytes], d[first:a], d[a + core_bytes : last + length]
                 yield i, a, xxhash.xxh3_128_digest(core), left, right, xxhash.xxh3_128_digest(b"%d %d " % (len(left), len(right)) + left + core + right)
 
-    def around(batches):
+    def around(batches, hot=False):
         for b in slices(batches):
-            yield pd.DataFrame([x[2:] for x in surroundings(b)], columns=["core", "left", "right", "whole"])
+            yield pd.DataFrame([x[2:] for x in surroundings(b, not hot, hot)], columns=["core", "left", "right", "whole"])
+
+    def strings(batches):
+        """The hash of each string of each surroundings, with its start's distance to the anchor."""
+        for b in slices(batches, 200):
+            out = []
+            for core, left, right, whole, n in zip(b["core"], b["left"], b["right"], b["whole"], b["n"], strict=True):
+                for i in range(len(left) + len(right) - (window - 1) + 1):
+                    before = len(left) - i
+                    out.append((xxhash.xxh3_128_digest(b"%b%d " % (core, before) + left[i:] + right[: window - 1 - before]), whole, -before, n))
+            yield pd.DataFrame(out, columns=["s", "whole", "start", "n"])
 
     def places(batches):
         for b in slices(batches):
             found = [(x[5], x[0], x[1]) for x in surroundings(b)]
             yield pd.DataFrame({"whole": [x[0] for x in found], "_of": b["_key"].to_numpy()[np.array([x[1] for x in found], np.int64)], "at": np.array([x[2] for x in found], np.int64)})
 
-    members = candidates.select("_text", "_at").mapInPandas(around, "core binary, left binary, right binary, whole binary")
+    sides = "core binary, left binary, right binary, whole binary"
+    members = candidates.select("_text", "_at").mapInPandas(around, sides)
     members = members.groupBy("core", "left", "right", "whole").agg(F.count(F.lit(1)).alias("n"))
+    crowd = candidates.where("exists(_at, x -> x < 0)").select("_text", "_at").mapInPandas(lambda batches: around(batches, True), sides)
+    crowd = crowd.groupBy("core", "left", "right", "whole").agg(F.count(F.lit(1)).alias("n"))
+    crowd = crowd.mapInPandas(strings, "s binary, whole binary, start int, n long")
+    several = crowd.groupBy("s").agg(F.sum("n").alias("c")).where("c > 1").select("s")
+    crowd = crowd.select("s", "whole", "start").join(several, "s").groupBy("whole").agg(F.array_sort(F.collect_set("start")).alias("runs"))
+
+    @F.pandas_udf("array<int>")
+    def joined(starts: pd.Series) -> pd.Series:
+        return pd.Series([np.stack([x[np.flatnonzero(np.diff(x, prepend=x[0] - 2) > 1)], x[np.flatnonzero(np.diff(x, append=x[-1] + 2) > 1)]], axis=1).ravel().tolist() for x in map(np.asarray, starts)], dtype=object)
+
+    crowd = crowd.select("whole", joined("runs").alias("runs"))
 
     def suffixes(batches):
         """Rows sorted by core -> (whole, runs of repeated starts, from their distance to the anchor)."""
@@ -243,7 +269,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
         yield flush()
 
     repeats = members.repartition("core").sortWithinPartitions("core").mapInPandas(suffixes, "whole binary, runs array<int>")
-    repeats = repeats.where("size(runs) > 0")
+    repeats = repeats.where("size(runs) > 0").unionByName(crowd)
     back = candidates.select("_key", "_text", "_at").mapInPandas(places, "whole binary, _of binary, at long").join(repeats, "whole")
     spans = back.groupBy("_of").agg(F.collect_set(F.struct("at", "runs")).alias("_spans"))
 

@@ -68,6 +68,24 @@ def test_suffix_dedup_is_brute_force(docs, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_suffix_dedup_of_a_hot_core_is_brute_force(spark, hot):
+    rng = random.Random(13)
+    line = "".join(rng.choice("abcd") for _ in range(75))  # over a core of 61 bytes, under the length of 100
+    rows = [(i, "".join(rng.choice("abcd") for _ in range(60)) + line + "".join(rng.choice("abcd") for _ in range(60))) for i in range(40)]
+    rows += [(100 + i, "other" + rows[i][1][20 + i : 150 + i] + "end") for i in range(6)] + [(200, rows[7][1]), (201, rows[8][1] + line), (202, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    count = Counter(t[s : s + 100] for _, t in rows for s in range(len(t) - 99))
+    want = {}
+    for i, t in rows:
+        gone = [False] * len(t)
+        for s in range(len(t) - 99):
+            if count[t[s : s + 100]] > 1:
+                gone[s : s + 100] = [True] * 100
+        want[i] = "".join(x for x, g in zip(t, gone, strict=True) if not g)
+    assert {r["doc_id"]: bytes(r["kept"]).decode() for r in suffix_dedup.remove_repeats(d, length=100, window=40, hot=hot).collect()} == want
+
+
 def test_ngram_join_is_brute_force(docs, nothing):
     got = ngram_join.near_duplicates(docs).collect()
     sets = [(i, set(ngram_join.shingles(t).tolist())) for i, t in texts(docs)]
