@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+from bisect import insort
 
 import numpy as np
 import pandas as pd
@@ -25,17 +26,23 @@ def text_lines(atoms: DataFrame) -> DataFrame:
     max(2, 0.35 x the line's median font) of its first one."""
 
     def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
-        out, line = [], []
+        out, line, sizes = [], [], []  # sizes: the line's, in order
 
         def close() -> None:
             own = sorted(line, key=lambda a: a[1])
-            out.append((*key, len(out), " ".join(a[2] for a in own), float(own[0][1]), float(line[0][0]), float(np.median([a[3] for a in own])), any(a[4] for a in own)))
+            out.append((*key, len(out), " ".join(a[2] for a in own), float(own[0][1]), float(line[0][0]), median(), any(a[4] for a in own)))
             line.clear()
+            sizes.clear()
+
+        def median() -> float:
+            n = len(sizes)
+            return (sizes[(n - 1) // 2] + sizes[n // 2]) / 2
 
         for a in sorted((r[2:] for r in rows), key=lambda a: (-a[0], a[1])):
-            if line and abs(line[0][0] - a[0]) > max(2.0, 0.35 * float(np.median([x[3] for x in line]))):
+            if line and abs(line[0][0] - a[0]) > max(2.0, 0.35 * median()):
                 close()
             line.append(a)
+            insort(sizes, a[3])
         close()
         return out
 

@@ -18,7 +18,7 @@ from pagewright.streaming import jobs
 def _words(spark, sf):
     """Words of prose pages with places: line, word_no, text, x0, x1, and y with a little noise."""
     l = inputs.prose(spark, sf).select("doc", "page", F.posexplode(F.split("markdown", "\n", -1)).alias("line", "t"))  # noqa: E741
-    w = l.select("doc", "page", "line", F.posexplode(F.slice(F.filter(F.split("t", " ", -1), lambda x: x != ""), 1, 40)).alias("word_no", "text"))
+    w = l.select("doc", "page", "line", F.posexplode(F.filter(F.split("t", " ", -1), lambda x: x != "")).alias("word_no", "text"))
     x0 = F.col("word_no") * 60.0
     return w.select("doc", "page", "line", "word_no", "text", x0.alias("x0"), (x0 + 5.0 * F.length("text")).alias("x1"), (700.0 - F.col("line") * 24 - F.col("word_no") % 2).alias("y"))
 
@@ -50,10 +50,11 @@ def win_table_from_lines(spark, sf):
 
 
 def txt_quote_anchor(spark, sf):
-    w = _words(spark, sf).where("page = 1")
+    w = _words(spark, sf)
     runs = w.select("doc", "page", "text", F.col("x0").alias("x"), (700.0 - F.col("line") * 24).alias("y"), (F.col("x1") - F.col("x0")).alias("width"), F.lit(10.0).alias("height"))
-    q = w.where("line = 0 and word_no < 3").groupBy("doc", "page").agg(F.upper(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"]), "  ")).alias("quote"))
-    found = layout.anchor_quotes(runs, q.withColumn("quote_id", F.col("doc").cast("string")))
+    q = w.where("word_no < 3").groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("line", "word_no", "text"))).alias("own"))  # of its first line that has words
+    q = q.select("doc", "page", F.upper(F.array_join(F.transform(F.filter("own", lambda x: x["line"] == F.col("own")[0]["line"]), lambda x: x["text"]), "  ")).alias("quote"))
+    found = layout.anchor_quotes(runs, q.withColumn("quote_id", F.concat_ws(":", "doc", "page")))
     return found.select("quote_id", "occurrences", F.size("rects").alias("lines"), F.round(F.get(F.get("rects", F.lit(0)), F.lit(2)), 3).alias("right"))
 
 
