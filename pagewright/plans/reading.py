@@ -23,7 +23,7 @@ def _annotations(spark, sf):
 
 def _runs(spark, sf):
     """Words of prose lines as positioned runs; every fifth is marked over its middle half."""
-    w = inputs.prose(spark, sf).where("page <= 2").select("doc", "page", F.posexplode(F.filter(F.split("markdown", r"\s+", -1), lambda x: x != "")).alias("n", "text")).where("n < 60")
+    w = inputs.prose(spark, sf).select("doc", "page", F.posexplode(F.filter(F.split("markdown", r"\s+", -1), lambda x: x != "")).alias("n", "text"))
     left = (F.col("n") % 10 * 60).cast("double")
     bottom = (F.lit(700) - F.floor(F.col("n") / 10) * 20).cast("double")
     return w.select("doc", "page", "n", "text", left.alias("left"), (left + 6.0 * F.length("text")).alias("right"), bottom.alias("bottom"), (bottom + 12).alias("top"))

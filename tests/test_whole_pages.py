@@ -2,7 +2,7 @@
 
 import pytest
 
-from pagewright.plans import layouts
+from pagewright.plans import layouts, reading
 
 
 @pytest.fixture(scope="module")
@@ -24,3 +24,9 @@ def test_lines_have_all_words(spark, library):
 def test_each_page_has_its_quote(spark, library):
     got = {r["quote_id"]: r for r in layouts.txt_quote_anchor(spark, library).collect()}
     assert set(got) == {"1:1", "1:2", "1:3", "1:4", "2:1"} and all(r["occurrences"] == 1 and r["lines"] == 1 for r in got.values())
+
+
+def test_marks_lie_on_all_pages_and_words(spark, library):
+    got = {r["annotation_id"]: r["quote"] for r in reading.join_marks_text(spark, library).collect()}
+    assert len(got) == 380 and all(got.values())
+    assert "1:4:295" in got and "1:1:495" in got
