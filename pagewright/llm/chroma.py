@@ -113,7 +113,8 @@ class Index:
         self.code, self.query, self.frame = code[order], self.query[order], self.frame[order]
 
     def align(self, print_: np.ndarray, most_error: float, least_frames: int) -> list[tuple[int, int, float, int]]:
-        """(query number, offset, bit error, frames) of every query whose best offset has at most that bit error."""
+        """(query number, offset, bit error, frames) of every query that has at most that bit error at some offset with
+        an equal integer: at that of least error, then of most equal integers, then the least."""
         lo, hi = np.searchsorted(self.code, print_, "left"), np.searchsorted(self.code, print_, "right")
         n = hi - lo
         if not n.sum():
@@ -123,15 +124,16 @@ class Index:
         span = len(print_) + max(len(p) for p in self.prints)
         key = self.query[at].astype(np.int64) * (2 * span) + (mine - self.frame[at] + span)
         places, votes = np.unique(key, return_counts=True)  # the offset histograms of all queries at once
-        order = np.lexsort((places, -votes, places // (2 * span)))
-        q = places[order] // (2 * span)
-        out = []
-        for k in np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))):
-            offset = int(places[order][k] % (2 * span)) - span
-            error, frames = bit_error(print_, self.prints[q[k]], offset)
-            if error <= most_error and frames >= min(least_frames, len(print_), len(self.prints[q[k]])):
-                out.append((int(q[k]), offset, error, frames))
-        return out
+        best: dict[int, tuple] = {}
+        for place, n_equal in zip(places.tolist(), votes.tolist(), strict=True):
+            q, offset = place // (2 * span), place % (2 * span) - span
+            least = min(least_frames, len(print_), len(self.prints[q]))
+            if min(len(print_), len(self.prints[q]) + offset) - max(0, offset) < least:
+                continue
+            error, frames = bit_error(print_, self.prints[q], offset)
+            if error <= most_error and (q not in best or (error, -n_equal) < best[q][:2]):
+                best[q] = (error, -n_equal, offset, frames)
+        return [(q, offset, error, frames) for q, (error, _, offset, frames) in sorted(best.items())]
 
 
 def fingerprint_audio(df: DataFrame, audio: str = "audio") -> DataFrame:
@@ -150,10 +152,10 @@ def fingerprint_audio(df: DataFrame, audio: str = "audio") -> DataFrame:
 
 
 def align_recordings(prints: DataFrame, queries: DataFrame, rec: str, most_error: float = 0.3, least_frames: int = 16, block: int = 2000) -> DataFrame:
-    """(query, rec, offset, bit_error, frames): for every recording the query that it aligns with best, and how many do.
+    """(query, rec, offset, bit_error, frames): for every recording each query that it aligns with, and how many do.
 
     `prints` and `queries` have `rec` and `fingerprint`. The queries go over all recordings in blocks of `block`; no
-    pair leaves a task. Recordings that align with no query have nulls and n_aligned 0. Equal errors: the least query.
+    pair leaves a task. Recordings that align with no query have one row of nulls and n_aligned 0.
     """
     spark = prints.sparkSession
     count = queries.count()
@@ -171,16 +173,19 @@ def align_recordings(prints: DataFrame, queries: DataFrame, rec: str, most_error
                 out = []
                 for r, f in zip(b[rec], b["fingerprint"], strict=True):
                     got = index.align(np.frombuffer(f, "<u4"), most_error, least_frames) if index.ids else []
-                    best = min(got, key=lambda x: (x[2], index.ids[x[0]]), default=None)
-                    out.append((r, index.ids[best[0]] if best else None, best[1] if best else None, best[2] if best else None, best[3] if best else None, len(got)))
+                    out.extend((r, index.ids[q], offset, error, frames, len(got)) for q, offset, error, frames in got)
+                    if not got:
+                        out.append((r, None, None, None, None, 0))
                 yield pd.DataFrame(out, columns=[rec, "query", "offset", "bit_error", "frames", "n_aligned"]).astype({rec: "Int64", "query": "Int64", "offset": "Int32", "frames": "Int32"})
 
         part = prints.select(F.col(rec).cast("long").alias(rec), "fingerprint").mapInPandas(search, schema)
         parts = part if parts is None else parts.unionByName(part)
     if blocks == 1:
         return parts
-    best = F.min_by(F.struct("query", "offset", "bit_error", "frames"), F.struct(F.coalesce("bit_error", F.lit(2.0)), F.coalesce("query", F.lit(0))))
-    return parts.groupBy(rec).agg(best.alias("x"), F.sum("n_aligned").alias("n_aligned")).select(rec, "x.*", "n_aligned")
+    parts = materialize(parts, "aligned")
+    total = parts.groupBy(F.col(rec).alias("_r")).agg(F.count("query").alias("n_aligned"))
+    total = total.join(parts.where("query is not null").drop("n_aligned"), F.col("_r").eqNullSafe(F.col(rec)), "left")
+    return total.select(F.col("_r").alias(rec), "query", "offset", "bit_error", "frames", "n_aligned")
 
 
 def melody(values: np.ndarray, note: int = 689, seed: int = 0, noise: float = 0.0, skip: int = 0) -> bytes:
@@ -208,7 +213,7 @@ def audio_of_vectors(vectors: DataFrame, key: str, column: str, noise: float = 0
 
 def match_recordings(vectors: DataFrame, key: str, column: str, every: int = 100) -> DataFrame:
     """Fingerprints of all recordings of `vectors` and their alignment with the query recordings: those of every
-    `every`-th key, started late and with noise. Returns key, n_frames, fingerprint_sha256, and what align_recordings says; one row for each key (of repeated keys the least
+    `every`-th key, started late and with noise. Returns key, n_frames, fingerprint_sha256, and what align_recordings says; one row for each key and query that align, one for each other key (of repeated keys the least
     vector counts, null keys are one)."""
     vectors = vectors.groupBy(key).agg(F.min(column).alias(column))
     prints = materialize(fingerprint_audio(audio_of_vectors(vectors, key, column)), "fingerprints")

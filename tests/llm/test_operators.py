@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,6 +303,23 @@ def test_recordings(spark):
     assert chroma.match_recordings(d.limit(0), "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 2000])
+def test_recordings_keep_every_query_that_aligns(spark, block):
+    rng = np.random.default_rng(14)
+    song = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+    held = np.full(40, 7, np.uint32)
+    row = lambda i, x: (i, bytearray(x.astype("<u4").tobytes()))
+    prints = spark.createDataFrame([row(i, song) for i in range(3)] + [row(8, np.zeros(0, np.uint32))], "id long, fingerprint binary")
+    queries = spark.createDataFrame([row(100, song), row(200, song), row(300, song[4:])], "id long, fingerprint binary")
+    got = chroma.align_recordings(prints, queries, "id", block=block).collect()
+    assert sorted((r["id"], r["query"], r["offset"], r["n_aligned"]) for r in got if r["query"]) == [(i, q, o, 3) for i in range(3) for q, o in ((100, 0), (200, 0), (300, 4))]
+    assert [(r["id"], r["n_aligned"]) for r in got if r["query"] is None] == [(8, 0)]
+    a = np.concatenate([song, held[:20]])
+    b = a ^ (np.arange(80) >= 15).astype(np.uint32)  # five equal integers at the right offset,
+    b[:10] = 7  # ten at a wrong one
+    assert [x[:2] for x in chroma.Index([1], [b]).align(a, 0.15, 16)] == [(0, 0)]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, 500)]
