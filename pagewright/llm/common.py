@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_written: list[str] = []
+_written: dict[str, list[str]] = {}
+_own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read; one is chosen here only where the session names none (tests)."""
+    """The folder every executor can read: `spark.checkpoint.dir`. Where the session names none, a local master (tests)
+    gets a temporary folder, and a cluster a folder of its warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-pagewright-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folder:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        _own_folder[app] = tempfile.mkdtemp(prefix="spark-pagewright-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_pagewright"
+    return _own_folder[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -31,20 +36,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables written so far by `materialize`; results that still read them must be saved first."""
+    """Delete the tables that this application has written by `materialize`; results that still read them must be saved
+    before."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for at in _written.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(at)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 
 
+def fields(df: DataFrame, *without: str) -> list[str]:
+    """The columns of `df` but those of the given names, which are compared without case, as Spark does."""
+    gone = {c.lower() for c in without}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def column(name: str) -> Column:
+    """A column of exactly this name, also if it has dots in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def hold(df: DataFrame, kept: Sequence[str], *derived: Column) -> DataFrame:
+    """The kept columns as one struct `row`, and the derived columns beside it: whatever names the kept ones have, they
+    meet none of an operator's own."""
+    row = F.struct(*[column(c).alias(c) for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+    return df.select(row.alias("row"), *derived)
+
+
+def give(kept: Sequence[str]) -> list[Column]:
+    """The kept columns out of their struct."""
+    return [F.col("row").getField(c).alias(c) for c in kept]
+
+
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bound the bytes of an Arrow batch, where the session names no bound: texts may be long, workers are small.
 
@@ -72,7 +101,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: Column, add: dict[str, str], rows_per_part: int = 20_000) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: list[str], order: Column, add: dict[str, str], rows_per_part: int = 4_000) -> DataFrame:
     """For each row, the sum of a column over the rows of its key that stand before it.
 
     `order` is a 64-bit hash column; `add` maps an output name to the summed (long) column. A key with many rows is

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import materialize
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of any ordered type -> (node, root): root is the least node of the component, also for itself.
 
     Loops and repeated pairs don't matter; an empty table gives an empty table. Each round moves every edge towards
     the least node it can see; the minima are aggregated before they are joined, so a node with very many neighbours
-    is no single task's work. The table is written after each round.
+    is no single task's work. The table is written after each round; rounds go on until nothing changes.
     """
     e = materialize(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         # Large star: every larger neighbour of u, and u, points to the least of u and its neighbours.
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -29,7 +29,5 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         e = new
         if not changed:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select("b").distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))

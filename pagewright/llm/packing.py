@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, prefix_sums, word_count
+from pagewright.llm.common import column, fields, give, hold, materialize, prefix_sums, word_count
 
 
 def padded(length: Column, align: int = 8, fine: int = 7) -> Column:
@@ -52,26 +52,31 @@ def optimal_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
 
 
 def pack(docs: DataFrame, text: str = "text", length: Column | None = None, buckets: int = 16, batch_tokens: int = 1 << 16, align: int = 8, seed: int = 29) -> DataFrame:
-    """Adds n_tokens, bucket, bucket_length, batch, slot and padding to `docs` without its text (same names are replaced).
+    """Adds n_tokens, bucket, bucket_length, batch, slot and padding to `docs` without its text.
 
-    `length` defaults to the number of words. All items of a batch are padded to their bucket's length; a batch holds
-    as many as fit into `batch_tokens` (one, if the length is above it). Which items meet in a batch is a fixed random
-    choice within the bucket; the last batch of a bucket may be short. Rows without tokens (null or empty text) are
-    not packed: their bucket, batch and slot are null, padding 0. An empty table gives an empty table.
+    `length` defaults to the number of words, however long the text. All items of a batch are padded to their bucket's
+    length; a batch holds as many as fit into `batch_tokens` (one, if the length is above it). Which items meet in a
+    batch is a fixed random choice within the bucket, repeated rows are items of their own; the last batch of a bucket
+    may be short. Rows without tokens (null or empty text) are not packed: their bucket, batch and slot are null,
+    padding 0. An empty table gives an empty table. Columns of the added names, in any case, are replaced; all others
+    stay, whatever their names.
+
+    The buckets are optimal for lengths rounded up by `padded`. Padding is thus at most that of the best buckets for
+    the lengths themselves plus a 128th of all tokens (below 1,024 words: plus `align` - 1 for each text).
     """
     new = ("n_tokens", "bucket", "bucket_length", "batch", "slot", "padding")
-    kept = [c for c in docs.columns if c not in (*new, text, "_row", "_h", "_end", "_one")]
+    kept = fields(docs, *new, text)
     count = word_count(F.col(text)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
-    rows = docs.select(*kept, count.alias("n_tokens"), F.xxhash64(F.lit(seed), *[c for c in docs.columns if c in (*kept, text)]).alias("_h"))
-    rows = materialize(rows.withColumn("_end", padded(F.col("n_tokens"), align)), "pack-lengths")
-    histogram = rows.where("n_tokens > 0").groupBy("_end").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded by padded()
-    ends = optimal_buckets(np.array([r["_end"] for r in histogram]), np.array([r["n"] for r in histogram]), buckets)
+    rows = hold(docs, kept, count.alias("n_tokens"), F.xxhash64(F.lit(seed), *[column(c) for c in fields(docs, *new)]).alias("h"))
+    rows = materialize(rows.withColumn("end", padded(F.col("n_tokens"), align)), "pack-lengths")
+    histogram = rows.where("n_tokens > 0").groupBy("end").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded by padded()
+    ends = optimal_buckets(np.array([r["end"] for r in histogram]), np.array([r["n"] for r in histogram]), buckets)
     limits = F.array(*[F.lit(e).cast("long") for e in ends]) if ends else F.array().cast("array<bigint>")
-    rows = rows.withColumn("bucket", F.when(F.col("n_tokens") > 0, F.size(F.filter(limits, lambda e: e < F.col("_end")))))
-    rows = rows.withColumn("bucket_length", F.try_element_at(limits, F.col("bucket") + 1)).withColumn("_one", F.lit(1).cast("long"))
-    packed = prefix_sums(rows.where("bucket is not null"), ["bucket"], F.col("_h"), {"_rank": "_one"})
+    rows = rows.withColumn("bucket", F.when(F.col("n_tokens") > 0, F.size(F.filter(limits, lambda e: e < F.col("end")))))
+    rows = rows.withColumn("bucket_length", F.try_element_at(limits, F.col("bucket") + 1)).withColumn("one", F.lit(1).cast("long"))
+    packed = prefix_sums(rows.where("bucket is not null"), ["bucket"], F.col("h"), {"rank": "one"})
     fit = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(batch_tokens) / F.col("bucket_length")).cast("long"))
-    packed = packed.withColumn("batch", F.floor(F.col("_rank") / fit).cast("long")).withColumn("slot", (F.col("_rank") % fit).cast("long"))
+    packed = packed.withColumn("batch", F.floor(F.col("rank") / fit).cast("long")).withColumn("slot", (F.col("rank") % fit).cast("long"))
     packed = packed.withColumn("padding", F.col("bucket_length") - F.col("n_tokens"))
     rest = rows.where("bucket is null").withColumn("batch", F.lit(None).cast("long")).withColumn("slot", F.lit(None).cast("long")).withColumn("padding", F.lit(0).cast("long"))
-    return packed.select(*kept, *new).unionByName(rest.select(*kept, *new))
+    return packed.select(*give(kept), *new).unionByName(rest.select(*give(kept), *new))
