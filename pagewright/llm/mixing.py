@@ -14,12 +14,17 @@ Every random number is a hash of a seed and a stable identity, so reruns agree.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, prefix_sums, text_key, word_count
+from pagewright.llm.common import column, fields, give, hold, materialize, prefix_sums, text_key, word_count
+
+
+#: Half the width of the region from which ratios of uniforms are proposed: so many standard deviations, and so much more.
+_WIDER, _WIDE = 2 * math.sqrt(2 / math.e), 3 - 2 * math.sqrt(3 / math.e)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,7 +40,8 @@ def uniform(*parts: Column) -> Column:
 def source_targets(units: DataFrame, weights: Sequence[float] = (1, 2, 3), max_passes: int = 3) -> DataFrame:
     """One row per source: place (1, 2, ... by code point, null last), source, source_size, target.
 
-    A source without words has target 0. The windows run over the table of sources only.
+    A source without words has target 0. The windows run over the table of sources only, which, like `split_quotas`,
+    takes it as one task's work: meant for up to some ten thousands of sources.
     """
     sources = units.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -58,8 +64,9 @@ def source_targets(units: DataFrame, weights: Sequence[float] = (1, 2, 3), max_p
 def hypergeometric(total: Column, good: Column, drawn: Column, u: Column, v: Column) -> Column:
     """How many of `drawn` items from `total` are among the `good`, for uniform `u` (and `v`).
 
-    Inverts the distribution function over 8 standard deviations around the mean. Where the standard deviation is
-    over 1000, a rounded normal number takes its place (relative error about 1/sd), so that the work stays bounded.
+    Exact at every spread. Narrow distributions are inverted with `u` over 8 standard deviations around the mean. Where
+    the standard deviation is over 64, numbers are proposed and accepted by ratios of uniforms (a stream derived from
+    `v`), so that the work doesn't grow with the spread; 64 proposals are all refused in one case of 1e30.
     """
 
     def given(x: Column) -> Column:
@@ -89,8 +96,27 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column, v: Col
                 lambda s: s["at"],
             ),
         )
-        normal = F.round(mean + sd * F.sqrt(F.log(u) * -2.0) * F.cos(v * 6.283185307179586)).cast("long")
-        return F.when(lo >= hi, lo).when(sd > 1000, F.greatest(lo, F.least(hi, normal))).otherwise(exact)
+        # Ratio of uniforms: a place is proposed around the mean and accepted by its probability over that of the mode.
+        mode = F.floor((n + 1).cast("double") * (k + 1) / (n_all + 2)).cast("long")
+
+        def log_ratio(z: Column) -> Column:
+            """ln of p(z) / p(mode), arranged so that nothing large cancels: Stirling's series of four factorials."""
+            d = (z - mode).cast("double")
+            out = -d * F.log(z.cast("double") * (n_all - k - n + z) / ((k - z).cast("double") * (n - z)))
+            for sign, at in ((1, mode), (-1, k - mode), (-1, n - mode), (1, n_all - k - n + mode)):
+                b = at.cast("double")
+                a = b + sign * d
+                out = out - ((b + 0.5) * F.log1p(sign * d / b) - sign * d + 1 / (a * 12) - 1 / (b * 12) - 1 / (a * a * a * 360) + 1 / (b * b * b * 360))
+            return out
+
+        def attempt(i: Column) -> Column:
+            x, y = uniform(v, i, F.lit(0)), uniform(v, i, F.lit(1))
+            place = F.floor(mean + 0.5 + (F.sqrt(sd * sd + 0.5) * _WIDER + _WIDE) * (y - 0.5) / x)
+            near = (place > lo) & (place < hi) & (F.abs(place - mean) < sd * 16)
+            return let(place.cast("long"), lambda z: F.when(near & (F.log(x) * 2 <= log_ratio(z)), z))
+
+        wide = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(None).cast("long"), lambda s, i: F.when(s.isNotNull(), s).otherwise(attempt(i)), lambda s: F.coalesce(s, mode))
+        return F.when(lo >= hi, lo).when(sd > 64, wide).otherwise(exact)
 
     share = good / F.greatest(total, F.lit(1))
     spread = F.sqrt(F.greatest(F.lit(0.0), drawn * share * (1 - share) * (total - drawn) / F.greatest(total - 1, F.lit(1))))
@@ -172,45 +198,52 @@ def mix_units(units: DataFrame, weights: Sequence[float] = (1, 2, 3), max_passes
     drawn = blocks.join(ends, "place").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + (F.col("_last") > 0).cast("long"))))
     # The blocks of whole passes come first, then those of the last; each pass in the permuted order.
     at = (F.col("pass") - 1) * F.col("_blocks") + F.col("_rank")
-    shard = F.least(F.size(F.filter("_ends", lambda e: e <= at)), F.lit(shards - 1))
+    # The shard that draws it, by the shards' quotas; what no quota reaches isn't drawn.
+    drawn = drawn.withColumn("_shard", F.size(F.filter("_ends", lambda e: e <= at))).where(F.col("_shard") < shards)
+    shard = F.col("_shard")
     words = F.when(F.col("pass") <= F.col("_whole"), F.col("words")).otherwise(F.col("_last"))
-    return drawn.select("unit", "block", F.col("pass").cast("int").alias("pass"), words.alias("words"), "place", "source_size", "target", shard.alias("shard")).withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), "shard", "unit", "block", "pass"))
+    return drawn.select("unit", "block", F.col("pass").cast("int").alias("pass"), words.alias("words"), "place", "source_size", "target", shard.alias("shard")).withColumn(
+        "shuffle_key", F.xxhash64(F.lit(seed + 1), "shard", "unit", "block", "pass")
+    )
 
 
 def mix_taken(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
-    """Every row of `docs` with size, source_size, target, taken and the shards it goes to.
+    """Every row of `docs` with size, source_size, target, taken (the words of its blocks that the shards draw) and the
+    shards it goes to, instead of its text.
 
-    Columns of these names are replaced; all others stay. A null text has size 0. Rows that are equal in all columns
-    are different rows. Null is a source of its own, the last. An empty table gives an empty table.
+    Columns of these names, in any case, are replaced; all others stay, whatever their names. A null text has size 0, a
+    long one many blocks. Rows that are equal in all columns are different rows. Null is a source of its own, the last.
+    An empty table gives an empty table.
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "shards")]
-    kept = [c for c in names if c != text]
-    rows = docs.select(*kept, word_count(F.col(text)).alias("size"), F.xxhash64(*names).alias("_mix"), F.monotonically_increasing_id().alias("_unit"))
+    names = fields(docs, "size", "source_size", "target", "taken", "shards")
+    kept = [c for c in names if c.lower() != text.lower()]
+    rows = hold(docs, kept, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(*[column(c) for c in names]).alias("mix"), F.monotonically_increasing_id().alias("unit"))
     rows = materialize(rows, "mix-units")  # so that the row numbers stay as they are
-    units = rows.select(F.col("_unit").alias("unit"), F.col(source).alias("source"), "size", F.col("_mix").alias("mix"))
+    units = rows.select("unit", "source", "size", "mix")
     mix = mix_units(units, **how)
-    taken = mix.groupBy(F.col("unit").alias("_taker")).agg(F.sum("words").alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
-    targets = source_targets(units, how.get("weights", (1, 2, 3)), how.get("max_passes", 3)).select(F.col("source").alias("_source"), "source_size", "target")
-    out = rows.join(targets, F.col(source).eqNullSafe(F.col("_source"))).join(taken, F.col("_unit") == F.col("_taker"), "left")
-    return out.select(*kept, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "shards")
+    taken = mix.groupBy(F.col("unit").alias("taker")).agg(F.sum("words").alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
+    targets = source_targets(units, how.get("weights", (1, 2, 3)), how.get("max_passes", 3)).select(F.col("source").alias("from"), "source_size", "target")
+    out = rows.join(targets, F.col("source").eqNullSafe(F.col("from"))).join(taken, F.col("unit") == F.col("taker"), "left")
+    return out.select(*give(kept), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "shards")
 
 
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
     """The rows of `docs` that the mix takes, each as often as it is drawn, with shard and shuffle_key added.
 
-    Documents are drawn whole. Rows that are equal in all columns share one identity and are drawn as often as all of
-    them together.
+    Documents are drawn whole, however long; null and empty texts are never drawn. Rows that are equal in all columns
+    share one identity and are drawn as often as all of them together. Columns of the added names, in any case, are
+    replaced; all others stay, whatever their names. An empty table gives an empty table.
     """
-    names = [c for c in docs.columns if c not in ("shard", "shuffle_key")]
-    keyed = docs.select(*names).withColumn("_key", text_key(F.to_json(F.struct(*names), {"ignoreNullFields": "false"})))
-    sizes = keyed.select("_key", F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    sizes = sizes.groupBy("_key").agg(F.first("source").alias("source"), F.max("size").alias("size"), F.count(F.lit(1)).alias("_n"))
-    copies = sizes.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    units = copies.select(F.struct("_key", "_copy").alias("unit"), "source", "size", F.xxhash64("_key", "_copy").alias("mix"))
+    names = fields(docs, "shard", "shuffle_key")
+    key = text_key(F.to_json(F.struct(*[column(c).alias(c) for c in names]), {"ignoreNullFields": "false"}))
+    keyed = hold(docs, names, key.alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sizes = keyed.groupBy("key").agg(F.first("source").alias("source"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    copies = sizes.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    units = copies.select(F.struct("key", "copy").alias("unit"), "source", "size", F.xxhash64("key", "copy").alias("mix"))
     mix = mix_units(units, block_words=None, **how)
-    drawn = mix.select(F.col("unit._key").alias("_key"), "shard", "shuffle_key").groupBy("_key").agg(F.collect_list(F.struct("shard", "shuffle_key")).alias("_drawn"))
-    one = keyed.dropDuplicates(["_key"])
-    return one.join(drawn, "_key").withColumn("_x", F.explode("_drawn")).select(*names, "_x.shard", "_x.shuffle_key")
+    drawn = mix.select(F.col("unit.key").alias("taker"), "shard", "shuffle_key")
+    one = keyed.select("row", "key").dropDuplicates(["key"])
+    return one.join(drawn, F.col("key") == F.col("taker")).select(*give(names), "shard", "shuffle_key")
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:
