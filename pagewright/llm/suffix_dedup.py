@@ -8,9 +8,12 @@
 3. For each repeated core, the distinct surroundings (pieces of the left bytes, the core, pieces of the right bytes, a
    symbol each) are put one after the other, with a separator of its own after each, and their suffix array is built
    by linear grouping. A string is repeated if the suffix at its start agrees with a neighbouring one over all symbols
-   that the string spans, or if its surroundings occur more than once as a whole. A core that occurs at more than HOT
-   places is not brought together: each string around it is hashed and counted on its own.
-4. The repeated starts go back to the documents that have those surroundings.
+   that the string spans. Surroundings that occur more than once are put in twice.
+4. A core with more than HOT distinct surroundings is split: of a string, either the bytes before the core or those
+   after it make up half of its other bytes, so strings with the same near half on the left (or right) share a longer
+   core, and are looked for among the surroundings that have it. This is repeated until each part has few; a part never
+   holds more, however often a core occurs.
+5. The repeated starts go back to the documents that have those surroundings.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, slices, small_batches, text_key
+from pagewright.llm.common import fields, give, hold, materialize, slices, small_batches, text_key
 from pagewright.llm.gsaca import suffix_array
 
 WINDOW = 160
@@ -89,7 +92,7 @@ def branches(sides: list[bytes]) -> list[int]:
 
 
 def repeated_starts(members: list[tuple[int, bytes, bytes]], window: int = WINDOW) -> list[np.ndarray]:
-    """For each (core number, left, right), all distinct: which starts in `left` (and at the core, the last one) begin
+    """For each (core number, left, right): which starts in `left` (and at the core, the last one) begin
     a string that another member has too.
 
     The bytes next to a core are taken in pieces, cut where the members of the core part: inside a piece members agree
@@ -149,14 +152,15 @@ def ranges(flags: np.ndarray) -> np.ndarray:
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, window: int = WINDOW, together: int = 5_000, hot: int = HOT) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans, kept_sha256 and `kept` (the remaining bytes) instead of the text.
 
-    Texts are taken as UTF-8 (null: empty); matches never cross rows, but may overlap and lie in one row. All strings
-    are judged on the input. Rows are told apart by their texts only: equal texts of at least `length` bytes lose all.
-    Columns of the added names are replaced, others pass through. An empty table gives an empty table.
+    Texts are taken whole, as UTF-8 (null: empty); matches never cross rows, but may overlap and lie in one row. All
+    strings are judged on the input. Equal texts of at least `length` bytes lose all; repeated rows are rows of their
+    own. Columns of the added names, in any case, are replaced; all others stay, whatever their names. An empty table
+    gives an empty table.
     """
     small_batches(docs.sparkSession)
     new = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    others = [c for c in docs.columns if c not in (*new, text)]
-    rows = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_text"), text_key(F.col(text)).alias("_key"))
+    others = fields(docs, *new, text)
+    rows = hold(docs, others, F.coalesce(F.col(text), F.lit("")).alias("_text"), text_key(F.col(text)).alias("_key"))
     core_bytes = length - window + 1
 
     def cores(batches):
@@ -193,38 +197,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
         for b in slices(batches):
             yield pd.DataFrame([x[2:] for x in surroundings(b, not hot, hot)], columns=["core", "left", "right", "whole"])
 
-    def strings(batches):
-        """The hash of each string of each surroundings, with its start's distance to the anchor."""
-        for b in slices(batches, 200):
-            out = []
-            for core, left, right, whole, n in zip(b["core"], b["left"], b["right"], b["whole"], b["n"], strict=True):
-                for i in range(len(left) + len(right) - (window - 1) + 1):
-                    before = len(left) - i
-                    out.append((xxhash.xxh3_128_digest(b"%b%d " % (core, before) + left[i:] + right[: window - 1 - before]), whole, -before, n))
-            yield pd.DataFrame(out, columns=["s", "whole", "start", "n"])
-
     def places(batches):
         for b in slices(batches):
             found = [(x[5], x[0], x[1]) for x in surroundings(b)]
             yield pd.DataFrame({"whole": [x[0] for x in found], "_of": b["_key"].to_numpy()[np.array([x[1] for x in found], np.int64)], "at": np.array([x[2] for x in found], np.int64)})
 
     sides = "core binary, left binary, right binary, whole binary"
+    same_sides = ["core", "left", "right", "whole"]
     members = candidates.select("_text", "_at").mapInPandas(around, sides)
-    members = members.groupBy("core", "left", "right", "whole").agg(F.count(F.lit(1)).alias("n"))
+    members = members.groupBy(*same_sides).agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.lit(window))
     crowd = candidates.where("exists(_at, x -> x < 0)").select("_text", "_at").mapInPandas(lambda batches: around(batches, True), sides)
-    crowd = crowd.groupBy("core", "left", "right", "whole").agg(F.count(F.lit(1)).alias("n"))
-    crowd = crowd.mapInPandas(strings, "s binary, whole binary, start int, n long")
-    several = crowd.groupBy("s").agg(F.sum("n").alias("c")).where("c > 1").select("s")
-    crowd = crowd.select("s", "whole", "start").join(several, "s").groupBy("whole").agg(F.array_sort(F.collect_set("start")).alias("runs"))
-
-    @F.pandas_udf("array<int>")
-    def joined(starts: pd.Series) -> pd.Series:
-        return pd.Series([np.stack([x[np.flatnonzero(np.diff(x, prepend=x[0] - 2) > 1)], x[np.flatnonzero(np.diff(x, append=x[-1] + 2) > 1)]], axis=1).ravel().tolist() for x in map(np.asarray, starts)], dtype=object)
-
-    crowd = crowd.select("whole", joined("runs").alias("runs"))
+    crowd = materialize(crowd.groupBy(*same_sides).agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.lit(window)), "crowd")
 
     def suffixes(batches):
-        """Rows sorted by core -> (whole, runs of repeated starts, from their distance to the anchor)."""
+        """Rows sorted by width and core -> (whole, runs of repeated starts, from their distance to the anchor)."""
         done: list[tuple[bytes, list[int]]] = []
         pool: list[tuple[int, bytes, bytes]] = []
         names: list[bytes] = []
@@ -233,21 +219,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
 
         def close() -> None:
             nonlocal size, number
-            for left, right, whole, n in group:
-                if n > 1:
-                    done.append((whole, [-len(left), len(right) - (window - 1)]))
-                if len(group) > 1:
-                    pool.append((number, left, right))
-                    names.append(whole)
-            size += len(group) if len(group) > 1 else 0
+            for left, right, whole, n in group if len(group) > 1 or group and group[0][3] > 1 else ():
+                pool.extend([(number, left, right)] * min(n, 2))
+                names.extend([whole, None][: min(n, 2)])
+            size = len(pool)
             number += 1
             group.clear()
 
         def flush() -> pd.DataFrame:
             nonlocal size
             if pool:
-                for w, (_, left, _), f in zip(names, pool, repeated_starts(pool, window), strict=True):
-                    if f.any():
+                for w, (_, left, _), f in zip(names, pool, repeated_starts(pool, width), strict=True):
+                    if w is not None and f.any():
                         done.append((w, (ranges(f) - len(left)).ravel().tolist()))
             out = pd.DataFrame(done, columns=["whole", "runs"])
             done.clear()
@@ -256,20 +239,60 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
             size = 0
             return out
 
-        core = None
+        core, width = None, window
         for b in batches:
-            for c, left, right, whole, n in zip(b["core"], b["left"], b["right"], b["whole"], b["n"], strict=True):
-                if c != core:
+            for c, left, right, whole, n, w in zip(b["core"], b["left"], b["right"], b["whole"], b["n"], b["w"], strict=True):
+                if c != core or w != width:
                     close()
                     core = c
-                    if size >= together or len(done) >= 4 * together:
+                    if size >= together or len(done) >= 4 * together or w != width:
                         yield flush()
+                        width = w
                 group.append((left, right, whole, n))
         close()
         yield flush()
 
-    repeats = members.repartition("core").sortWithinPartitions("core").mapInPandas(suffixes, "whole binary, runs array<int>")
-    repeats = repeats.where("size(runs) > 0").unionByName(crowd)
+    def repeated_in(some: DataFrame) -> DataFrame:
+        found = some.repartition("core").sortWithinPartitions("w", "core").mapInPandas(suffixes, "whole binary, runs array<int>")
+        return found.where("size(runs) > 0")
+
+    def halves(some: DataFrame) -> DataFrame:
+        """Members of crowded cores -> those of the longer cores, with the `parent` and the distance to its anchor."""
+        near = F.floor(F.col("w") / 2).cast("int")  # bytes that the left half takes into the core
+        far = F.col("w") - near
+        bytes_ = lambda c, at, n: F.substring(F.col(c), at, n)
+        size = lambda c: F.octet_length(c)
+        left = F.struct(
+            F.unhex(F.md5(F.concat("core", F.lit(b"l"), bytes_("left", size("left") - near + 1, near)))).alias("core"),
+            bytes_("left", F.lit(1), size("left") - near).alias("left"), bytes_("right", F.lit(1), far - 1).alias("right"), far.alias("w"), near.alias("shift"),
+        )
+        own = F.least(near - 1, size("left"))
+        right = F.struct(
+            F.unhex(F.md5(F.concat("core", F.lit(b"r"), bytes_("right", F.lit(1), far)))).alias("core"),
+            bytes_("left", size("left") - own + 1, own).alias("left"), bytes_("right", far + 1, size("right")).alias("right"), near.alias("w"), F.lit(0).alias("shift"),
+        )
+        both = F.filter(F.array(F.when(size("left") >= near, left), F.when(size("right") >= far, right)), lambda x: x.isNotNull())
+        out = some.select(F.col("whole").alias("parent"), "n", F.explode(both).alias("x")).select("parent", "n", "x.*")
+        whole = F.unhex(F.md5(F.concat("core", F.encode(F.concat_ws(" ", size("left"), "w"), "UTF-8"), "left", "right")))
+        return out.withColumn("whole", whole)
+
+    # Level by level: parts that have become small enough go to suffix arrays, the others are split again.
+    levels, steps = [repeated_in(members)], []
+    while True:
+        sizes = crowd.groupBy("core", "w").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where(F.col("all") > 1)
+        sized = crowd.join(sizes, ["core", "w"]).drop("all")
+        few = repeated_in(sized.where(F.col("m") <= hot).drop("m"))
+        levels = [levels[0].unionByName(few)] if not steps else [*levels, few]
+        split = sized.where(F.col("m") > hot)
+        if not split.limit(1).count():
+            break
+        children = materialize(halves(split.drop("m")), "halves")
+        steps.append(children.select("parent", "shift", F.col("whole").alias("child")).distinct())
+        crowd = materialize(children.groupBy(*same_sides, "w").agg(F.sum("n").alias("n")), "crowd")
+    repeats = levels[-1]
+    for level, step in zip(reversed(levels[:-1]), reversed(steps), strict=True):
+        up = repeats.join(step, F.col("whole") == F.col("child")).select(F.col("parent").alias("whole"), F.transform("runs", lambda r: r - F.col("shift")).alias("runs"))
+        repeats = level.unionByName(up)
     back = candidates.select("_key", "_text", "_at").mapInPandas(places, "whole binary, _of binary, at long").join(repeats, "whole")
     spans = back.groupBy("_of").agg(F.collect_set(F.struct("at", "runs")).alias("_spans"))
 
@@ -288,8 +311,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, windo
             out.append((len(data), int(gone.sum()), len(ranges(gone)), hashlib.sha256(kept).hexdigest(), kept))
         return pd.DataFrame(out, columns=list(new))
 
-    changed = candidates.join(spans, F.col("_key") == F.col("_of"), "left").withColumn("_x", cut("_text", "_spans")).select(*others, *[f"_x.{c}" for c in new])
+    changed = candidates.join(spans, F.col("_key") == F.col("_of"), "left").withColumn("_x", cut("_text", "_spans")).select(*give(others), *[f"_x.{c}" for c in new])
     whole = F.encode("_text", "UTF-8")
     same = rows.join(marked.select("_of"), F.col("_key") == F.col("_of"), "left_anti")
-    same = same.select(*others, F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), whole.alias("kept"))
+    same = same.select(*give(others), F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256"), whole.alias("kept"))
     return changed.unionByName(same)
