@@ -8,14 +8,12 @@ on one offset; the share of differing bits at that offset says how alike they ar
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize
+from pagewright.llm.common import fields, give, hold, materialize
 
 RATE, FRAME, HOP = 5512, 2048, 512
 WIDTH = 8  # frames that a filter spans
@@ -101,91 +99,80 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float((_BITS[x & 0xFFFF].sum(dtype=np.int64) + _BITS[x >> 16].sum(dtype=np.int64)) / (32 * len(x))), hi - lo
 
 
-class Index:
-    """A bounded block of query fingerprints: their integers in order, with query and frame."""
-
-    def __init__(self, ids: Iterable[int], prints: list[np.ndarray]):
-        self.ids, self.prints = list(ids), prints
-        code = np.concatenate([np.zeros(0, np.uint32), *prints])
-        self.query = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
-        self.frame = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(p)) for p in prints]])
-        order = np.argsort(code, kind="stable")
-        self.code, self.query, self.frame = code[order], self.query[order], self.frame[order]
-
-    def align(self, print_: np.ndarray, most_error: float, least_frames: int) -> list[tuple[int, int, float, int]]:
-        """(query number, offset, bit error, frames) of every query that has at most that bit error at some offset with
-        an equal integer: at that of least error, then of most equal integers, then the least."""
-        lo, hi = np.searchsorted(self.code, print_, "left"), np.searchsorted(self.code, print_, "right")
-        n = hi - lo
-        if not n.sum():
-            return []
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        mine = np.repeat(np.arange(len(print_)), n)
-        span = len(print_) + max(len(p) for p in self.prints)
-        key = self.query[at].astype(np.int64) * (2 * span) + (mine - self.frame[at] + span)
-        places, votes = np.unique(key, return_counts=True)  # the offset histograms of all queries at once
-        best: dict[int, tuple] = {}
-        for place, n_equal in zip(places.tolist(), votes.tolist(), strict=True):
-            q, offset = place // (2 * span), place % (2 * span) - span
-            least = min(least_frames, len(print_), len(self.prints[q]))
-            if min(len(print_), len(self.prints[q]) + offset) - max(0, offset) < least:
-                continue
-            error, frames = bit_error(print_, self.prints[q], offset)
-            if error <= most_error and (q not in best or (error, -n_equal) < best[q][:2]):
-                best[q] = (error, -n_equal, offset, frames)
-        return [(q, offset, error, frames) for q, (error, _, offset, frames) in sorted(best.items())]
-
-
 def fingerprint_audio(df: DataFrame, audio: str = "audio") -> DataFrame:
-    """Adds n_frames and fingerprint (little-endian 32-bit integers) to `df`, without the audio (same names are replaced).
+    """Adds n_frames and fingerprint (little-endian 32-bit integers) to `df`, without the audio.
 
-    Null, empty and very short audio has no frames and an empty fingerprint.
+    Null, empty and very short audio has no frames and an empty fingerprint; audio is taken whole. Columns of the added
+    names, in any case, are replaced; all others stay, whatever their names.
     """
-    kept = [c for c in df.columns if c not in ("n_frames", "fingerprint", audio)]
 
     @F.pandas_udf("n_frames int, fingerprint binary")
     def make(values: pd.Series) -> pd.DataFrame:
         prints = [fingerprint(v) for v in values]
         return pd.DataFrame({"n_frames": [len(p) for p in prints], "fingerprint": [p.astype("<u4").tobytes() for p in prints]})
 
-    return df.select(*kept, make(F.col(audio)).alias("_x")).select(*kept, "_x.n_frames", "_x.fingerprint")
+    kept = fields(df, "n_frames", "fingerprint", audio)
+    made = hold(df, kept, make(F.col(audio)).alias("made"))
+    return made.select(*give(kept), "made.n_frames", "made.fingerprint")
+
+
+def print_key(fingerprint: Column) -> Column:
+    """Identity of a fingerprint: recordings that share it are one class."""
+    return F.unhex(F.md5(fingerprint))
 
 
-def align_recordings(prints: DataFrame, queries: DataFrame, rec: str, most_error: float = 0.3, least_frames: int = 16, block: int = 2000) -> DataFrame:
-    """(query, rec, offset, bit_error, frames): for every recording each query that it aligns with, and how many do.
+def align_classes(prints: DataFrame, queries: DataFrame, most_error: float = 0.3, least_frames: int = 16) -> DataFrame:
+    """class, asked, offset, bit_error, frames: for each two distinct fingerprints of `prints` and `queries` that align,
+    the best offset.
 
-    `prints` and `queries` have `rec` and `fingerprint`. The queries go over all recordings in blocks of `block`; no
-    pair leaves a task. Recordings that align with no query have one row of nulls and n_aligned 0.
+    The integers of both sides are joined. Counting the joined rows by offset gives the histogram of each pair; at every
+    offset of it the bit error is taken over all overlapping frames, at least `least_frames` of them (or the whole of the
+    shorter side). Of the offsets with at most `most_error`, that of least error counts, then that of most equal
+    integers, then the least.
     """
-    spark = prints.sparkSession
-    count = queries.count()
-    blocks = max(1, -(-count // block))
-    placed = queries.select(F.col(rec).alias("q"), "fingerprint").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
-    schema = f"`{rec}` long, query long, offset int, bit_error double, frames int, n_aligned long"
-    parts = None
-    for k in range(blocks):
-        own = sorted((r["q"], bytes(r["fingerprint"])) for r in placed.where(F.col("block") == k).collect() if r["q"] is not None)  # one block at a time
-        shared = spark.sparkContext.broadcast(own)
-
-        def search(batches, shared=shared):
-            index = Index([q for q, _ in shared.value], [np.frombuffer(f, "<u4") for _, f in shared.value])
-            for b in batches:
-                out = []
-                for r, f in zip(b[rec], b["fingerprint"], strict=True):
-                    got = index.align(np.frombuffer(f, "<u4"), most_error, least_frames) if index.ids else []
-                    out.extend((r, index.ids[q], offset, error, frames, len(got)) for q, offset, error, frames in got)
-                    if not got:
-                        out.append((r, None, None, None, None, 0))
-                yield pd.DataFrame(out, columns=[rec, "query", "offset", "bit_error", "frames", "n_aligned"]).astype({rec: "Int64", "query": "Int64", "offset": "Int32", "frames": "Int32"})
-
-        part = prints.select(F.col(rec).cast("long").alias(rec), "fingerprint").mapInPandas(search, schema)
-        parts = part if parts is None else parts.unionByName(part)
-    if blocks == 1:
-        return parts
-    parts = materialize(parts, "aligned")
-    total = parts.groupBy(F.col(rec).alias("_r")).agg(F.count("query").alias("n_aligned"))
-    total = total.join(parts.where("query is not null").drop("n_aligned"), F.col("_r").eqNullSafe(F.col(rec)), "left")
-    return total.select(F.col("_r").alias(rec), "query", "offset", "bit_error", "frames", "n_aligned")
+
+    def integers(batches):
+        for b in batches:
+            p = [np.frombuffer(f, "<u4") for f in b["fingerprint"]]
+            n = [len(x) for x in p]
+            of = np.repeat(np.arange(len(p)), n)
+            frame = np.concatenate([np.zeros(0, np.int64), *[np.arange(k) for k in n]])
+            yield pd.DataFrame({"key": b["key"].to_numpy()[of], "code": np.concatenate([np.zeros(0, np.uint32), *p]).astype(np.int64), "frame": frame.astype(np.int32)})
+
+    distinct = lambda df: materialize(df.select(print_key(F.col("fingerprint")).alias("key"), "fingerprint").dropDuplicates(["key"]), "prints")
+    mine, theirs = distinct(prints), distinct(queries)
+    a = mine.mapInPandas(integers, "key binary, code long, frame int").withColumnRenamed("key", "class")
+    b = theirs.mapInPandas(integers, "key binary, code long, frame int").select(F.col("key").alias("asked"), "code", F.col("frame").alias("their"))
+    histogram = a.join(b, "code").groupBy("class", "asked", (F.col("frame") - F.col("their")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+
+    @F.pandas_udf("bit_error double, frames int")
+    def compare(x: pd.Series, y: pd.Series, offset: pd.Series) -> pd.DataFrame:
+        out = [bit_error(np.frombuffer(f, "<u4"), np.frombuffer(g, "<u4"), int(o)) for f, g, o in zip(x, y, offset, strict=True)]
+        return pd.DataFrame(out, columns=["bit_error", "frames"])
+
+    both = histogram.join(mine.select(F.col("key").alias("class"), F.col("fingerprint").alias("x")), "class").join(theirs.select(F.col("key").alias("asked"), F.col("fingerprint").alias("y")), "asked")
+    least = F.least(F.lit(least_frames), F.octet_length("x") / 4, F.octet_length("y") / 4)
+    both = both.select("class", "asked", "offset", "votes", least.alias("least"), compare("x", "y", "offset").alias("c"))
+    fit = both.where((F.col("c.frames") >= F.col("least")) & (F.col("c.bit_error") <= most_error))
+    best = F.min(F.struct(F.col("c.bit_error").alias("e"), (-F.col("votes")).alias("v"), "offset", F.col("c.frames").alias("f"))).alias("x")
+    return fit.groupBy("class", "asked").agg(best).select("class", "asked", "x.offset", F.col("x.e").alias("bit_error"), F.col("x.f").alias("frames"))
+
+
+def align_recordings(prints: DataFrame, queries: DataFrame, rec: str, most_error: float = 0.3, least_frames: int = 16) -> DataFrame:
+    """rec, query, offset, bit_error, frames, n_aligned: for every recording each query that it aligns with, and how many
+    do.
+
+    `prints` and `queries` have `rec` and `fingerprint`. Recordings that align with no query have one row of nulls and
+    n_aligned 0. Repeated rows are recordings, and queries, of their own; queries without a key are none. Recordings of
+    one fingerprint are compared once (see `align_classes`) and written out here for each of them.
+    """
+    asked = queries.where(F.col(rec).isNotNull())
+    found = materialize(align_classes(prints, asked, most_error, least_frames), "aligned")
+    named = found.join(asked.select(F.col(rec).alias("query"), print_key(F.col("fingerprint")).alias("asked")), "asked").drop("asked")
+    own = hold(prints, [rec], print_key(F.col("fingerprint")).alias("own"), F.monotonically_increasing_id().alias("unit"))
+    count = named.groupBy(F.col("class").alias("of")).agg(F.count(F.lit(1)).alias("n_aligned"))
+    out = own.join(named, F.col("own") == F.col("class"), "left").join(count, F.col("own") == F.col("of"), "left")
+    return out.select(*give([rec]), "query", "offset", "bit_error", "frames", F.coalesce("n_aligned", F.lit(0)).cast("long").alias("n_aligned"))
 
 
 def melody(values: np.ndarray, note: int = 689, seed: int = 0, noise: float = 0.0, skip: int = 0) -> bytes:
@@ -213,12 +200,23 @@ def audio_of_vectors(vectors: DataFrame, key: str, column: str, noise: float = 0
 
 def match_recordings(vectors: DataFrame, key: str, column: str, every: int = 100) -> DataFrame:
     """Fingerprints of all recordings of `vectors` and their alignment with the query recordings: those of every
-    `every`-th key, started late and with noise. Returns key, n_frames, fingerprint_sha256, and what align_recordings says; one row for each key and query that align, one for each other key (of repeated keys the least
-    vector counts, null keys are one)."""
-    vectors = vectors.groupBy(key).agg(F.min(column).alias(column))
-    prints = materialize(fingerprint_audio(audio_of_vectors(vectors, key, column)), "fingerprints")
-    asked = vectors.where(F.col(key) % every == 0)
-    queries = fingerprint_audio(audio_of_vectors(asked, key, column, noise=0.05, skip=3 * HOP))
-    found = align_recordings(prints, queries, key)
-    shown = prints.select(F.col(key).cast("long").alias("_k"), "n_frames", F.sha2("fingerprint", 256).alias("fingerprint_sha256"))
-    return shown.join(found, F.col("_k").eqNullSafe(F.col(key))).drop("_k")
+    `every`-th key, started late and with noise.
+
+    Returns key, n_frames, fingerprint_sha256, class_id (the least key of the recordings that share the fingerprint) and
+    what `align_recordings` says. Each recording has a row; the queries that a class aligns with stand at one of its
+    recordings, a row for each, the others have their number in n_aligned only. Null vectors have no frames. Repeated
+    rows are recordings of their own; other columns don't matter. An empty table gives an empty table.
+    """
+    held = vectors.select(F.col(key).alias("key"), F.col(column).alias("values"))
+    prints = fingerprint_audio(audio_of_vectors(held, "key", "values")).withColumn("unit", F.monotonically_increasing_id())
+    prints = materialize(prints.withColumn("own", print_key(F.col("fingerprint"))), "fingerprints")
+    asked = fingerprint_audio(audio_of_vectors(held.where(F.col("key") % every == 0), "key", "values", noise=0.05, skip=3 * HOP))
+    asked = materialize(asked, "queries")
+    found = materialize(align_classes(prints, asked), "aligned")
+    named = found.join(asked.select(F.col("key").alias("query"), print_key(F.col("fingerprint")).alias("asked")), "asked").drop("asked")
+    classes = prints.groupBy("own").agg(F.min("key").alias("class_id"), F.min("unit").alias("first"))
+    count = named.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    classes = classes.join(count, F.col("own") == F.col("class"), "left").select(F.col("own").alias("of"), "class_id", "first", F.coalesce("n", F.lit(0)).alias("n_aligned"))
+    rows = prints.join(classes, F.col("own") == F.col("of"))
+    rows = rows.join(named, (F.col("own") == F.col("class")) & (F.col("unit") == F.col("first")), "left")
+    return rows.select(F.col("key").alias(key), "n_frames", F.sha2("fingerprint", 256).alias("fingerprint_sha256"), "class_id", "query", "offset", "bit_error", "frames", "n_aligned")
