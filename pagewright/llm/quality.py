@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.common import small_batches
+from pagewright.llm.common import fields, give, hold, small_batches
 from pagewright.llm.ngrams import code_points, hashed, letters
 
 BINS, SIZES, SHAPES = 1 << 12, (1, 2, 3), 9
@@ -81,7 +81,8 @@ def weigh(x: np.ndarray, idf: np.ndarray, mean: np.ndarray, scale: np.ndarray) -
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", on: str = "doc_id", most: int = 4096, dimensions: int = 48, neighbours: int = 15, sharpness: float = 8.0) -> QualityModel:
     """Learn the labels of `labels` (joined by `on`) from the texts of `docs`.
 
-    Rows without label or key are left out; of repeated labels the largest counts; null texts count as empty. Document
+    Rows without label or key are left out; of repeated labels the largest counts, of documents with one key the least
+    text; null texts count as empty. Document
     frequencies are counted over all of `docs`. The axes (randomised singular value decomposition) and the voting
     vectors come from a sample of about `most` labelled keys, those with the smallest hashes: the bound that makes the
     keys and the vectors small enough to broadcast. Without any labelled text every score is 0.5.
@@ -115,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         for b in batches:
             yield pd.DataFrame({"y": b["_y"], "x": [terms(t).astype(np.float16).tobytes() for t in b["_text"]]})
 
-    chosen = rows.join(F.broadcast(sample), F.col("_doc") == F.col("_on")).select("_text", "_y")
+    chosen = rows.join(F.broadcast(sample), F.col("_doc") == F.col("_on")).groupBy("_on").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y")).select("_text", "_y")
     got = sorted((bytes(r["x"]), r["y"]) for r in chosen.mapInPandas(vectors, "y int, x binary").collect())
     if not got:
         return QualityModel(idf, empty, empty, np.zeros((BINS, 0)), np.zeros((0, 0)), empty, neighbours, sharpness, 0.5)
@@ -133,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
 
 def score_quality(df: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Adds score and predicted to `df` (columns of these names are replaced). One pass, no shuffle; null texts count as empty."""
+    """Adds score and predicted to `df`. One pass, no shuffle; null texts count as empty, texts are taken whole, equal
+    texts have equal scores. Columns of these names, in any case, are replaced; all others stay, whatever their names."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -141,5 +143,6 @@ def score_quality(df: DataFrame, model: QualityModel, text: str = "text", thresh
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(list(texts)), dtype="float64")
 
-    df = df.drop("score", "predicted").withColumn("score", score(F.col(text)))
-    return df.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    kept = fields(df, "score", "predicted")
+    scored = hold(df, kept, score(F.col(text)).alias("score"))
+    return scored.select(*give(kept), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
