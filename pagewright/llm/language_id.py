@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.common import small_batches
+from pagewright.llm.common import fields, give, hold, small_batches
 from pagewright.llm.ngrams import hashed, only_letters, term_counts
 
 BINS, SIZES = 1 << 13, (1, 2, 3)
+MOST_LANGUAGES = 10_000  # what one model is meant for at most
 
 
 def vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,17 +32,29 @@ class LanguageModel:
     langs: list[str]  # of each centroid
     centroids: np.ndarray  # rows of unit length
     idf: np.ndarray
-    reject_below: dict[str, float] = field(default_factory=dict)
+    reject_below: dict[tuple[str, int], float] = field(default_factory=dict)  # by language and class of length
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, cosine in 0..1, rejected). `und`, 0 and rejected for null, for no letter, or without a model."""
+    def nearest(self, text: str | None) -> tuple[str, float, int]:
+        """(language, cosine in 0..1, class of length). `und`, 0 and -1 for null, for no letter, or without a model."""
         at, w = vector(text, self.idf)
         if not len(at) or not self.langs:
-            return "und", 0.0, True
+            return "und", 0.0, -1
         cos = self.centroids[:, at] @ w
         best = int(np.argmax(cos))
-        score = float(np.clip(cos[best], 0, 1))
-        return self.langs[best], score, score < self.reject_below.get(self.langs[best], 0.0)
+        return self.langs[best], float(np.clip(cos[best], 0, 1)), length_class(len(text))
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, cosine in 0..1, rejected). `und`, 0 and rejected for null, for no letter, or without a model."""
+        lang, score, size = self.nearest(text)
+        return lang, score, size < 0 or score < self.reject_below.get((lang, size), 0.0)
+
+
+#: Classes of length: up to 64 characters, up to 128, ... and all above 8,192.
+CLASSES = 9
+
+
+def length_class(chars: int) -> int:
+    return min(CLASSES - 1, max(0, (chars - 1).bit_length() - 6))
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -61,13 +74,15 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     return c / np.linalg.norm(c, axis=1, keepdims=True).clip(1e-12)
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800, centroids: int = 4, slack: float = 0.8) -> LanguageModel:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800, centroids: int = 4, slack: float = 0.8, quantile: float = 0.01) -> LanguageModel:
     """Learn from all rows with text and language.
 
     Document frequencies are counted over every row. The centroids are clustered from a sample of about `per_language`
-    rows of each language (the bound; rows with the smallest hashes of the text). A document is rejected if its cosine
-    is below `slack` times the smallest that a row of the sample has with its own language. Null languages or texts,
-    and texts without a letter, are left out; an empty table gives a model that knows no language.
+    distinct texts of each language (the bound; those with the smallest hashes; copies count once). A document is
+    rejected if its cosine is below `slack` times a low quantile of the cosines of all learning rows of its language and
+    class of length that are nearest to their own language; a class without such rows takes the limit of the next
+    shorter one that has some, or if there is none half of the limit of the shortest that has some. Null languages or texts, and texts without a letter, are left out; an empty table gives a
+    model that knows no language. The model has `centroids` rows for each language; more than MOST_LANGUAGES are refused.
     """
     spark = labelled.sparkSession
     small_batches(spark)
@@ -93,10 +108,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
             df[r["bin"]] = r["df"]
     idf = np.log((1 + n) / (1 + df)) + 1
 
-    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, per_language / v))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
+    sizes = rows.groupBy(F.col("_lang").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     mixed = F.shiftrightunsigned(F.xxhash64(F.lit(11), "_text"), 11) / F.lit(float(1 << 53))
-    sample = rows.where(mixed <= F.element_at(share, F.col("_lang")))
+    sample = rows.join(F.broadcast(sizes), F.col("_lang") == F.col("_of")).where(mixed * F.col("_n") <= per_language).select("_text", "_lang").distinct()
     shared = spark.sparkContext.broadcast(idf)
 
     def vectors(batches):
@@ -106,24 +122,43 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
 
     got = sample.mapInPandas(vectors, "lang string, at binary, w binary").collect()
     model = LanguageModel([], np.zeros((0, BINS)), idf)
-    for name in sorted(sizes):
-        own = sorted((bytes(r["at"]), bytes(r["w"])) for r in got if r["lang"] == name and r["at"])
-        if not own:
-            continue
+    by_name: dict[str, list[tuple[bytes, bytes]]] = {}
+    for r in got:
+        if r["at"]:
+            by_name.setdefault(r["lang"], []).append((bytes(r["at"]), bytes(r["w"])))
+    for name, own in sorted(by_name.items()):
+        own.sort()
         x = np.zeros((len(own), BINS), np.float32)
         for i, (at, w) in enumerate(own):
             x[i, np.frombuffer(at, np.int32)] = np.frombuffer(w, np.float32)
         c = spherical_kmeans(x, centroids)
-        model.reject_below[name] = slack * float(np.max(x @ c.T, axis=1).min())
         model.langs += [name] * len(c)
         model.centroids = np.vstack([model.centroids, c])
+    if not model.langs:
+        return model
+    learned = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("near string, score double, size int")
+    def near(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([learned.value.nearest(t) for t in texts], columns=["near", "score", "size"])
+
+    own = rows.select("_lang", near("_text").alias("_x")).where(F.col("_lang") == F.col("_x.near"))
+    limits = {}
+    for r in own.groupBy("_lang", "_x.size").agg(F.percentile_approx("_x.score", quantile, 1000).alias("limit")).collect():  # CLASSES rows a language
+        limits[r["_lang"], r["size"]] = slack * r["limit"]
+    for name in by_name:
+        last = min((k, x) for (la, k), x in limits.items() if la == name)[1] / 2 if any(la == name for la, _ in limits) else 0.0
+        for k in range(CLASSES):
+            last = limits.get((name, k), last)
+            model.reject_below[name, k] = last
     return model
 
 
 def identify_languages(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score and rejected to `df` (columns of these names are replaced). One pass, no shuffle.
+    """Adds lang_pred, score and rejected to `df`. One pass, no shuffle; texts are taken whole.
 
-    Null and empty texts, and texts without a letter, get `und`, 0 and rejected; ties go to the first centroid.
+    Null and empty texts, and texts without a letter, get `und`, 0 and rejected; ties go to the first centroid; repeated
+    rows are judged alike. Columns of the added names, in any case, are replaced; all others stay, whatever their names.
     """
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -133,8 +168,9 @@ def identify_languages(df: DataFrame, model: LanguageModel, text: str = "text")
         m = shared.value
         return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    df = df.drop("lang_pred", "score", "rejected", "_said").withColumn("_said", predict(F.col(text)))
-    return df.select(*[c for c in df.columns if c != "_said"], "_said.lang_pred", "_said.score", "_said.rejected")
+    kept = fields(df, "lang_pred", "score", "rejected")
+    said = hold(df, kept, predict(F.col(text)).alias("said"))
+    return said.select(*give(kept), "said.lang_pred", "said.score", "said.rejected")
 
 
 def fold(doc_id: Column, of: int) -> Column:
