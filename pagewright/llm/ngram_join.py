@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialize, slices, small_batches, text_key
+from pagewright.llm.common import fields, give, hold, materialize, slices, small_batches, text_key
 from pagewright.llm.graph import components
 
 HASHES = 64
@@ -156,13 +156,14 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold
 
 def ngram_join(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, words: int = 5,
-    target_recall: float = 0.99, bucket: int = 96, depth: int = 4, slack: float = 0.15, block: int = 384,
+    target_recall: float = 0.99, bucket: int = 96, depth: int = 4, slack: float = 0.15, block: int = 1024, block_chars: int = 8 << 20,
 ) -> DataFrame:
     """One row for each row of `docs`: _doc, _key (identity of the text), _root (identity of its group), _links.
 
     `_links` counts the other rows whose text is a copy or has Jaccard similarity of at least `threshold`; `_root` is
     the same for rows that links connect. Null texts count as empty; texts of fewer than `words` words are one shingle.
-    A run is repeated until a pair at the threshold meets in a bucket of the second level with `target_recall`.
+    A run is repeated until a pair at the threshold meets in a bucket of the second level with `target_recall`. Ids may
+    be of any type that can be ordered. Groups are checked in blocks of about `block` texts and `block_chars` characters.
     """
     small_batches(docs.sparkSession)
     chance = 1 / (threshold * HASHES)
@@ -174,14 +175,14 @@ def ngram_join(
     runs = max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - min(meet, 0.999))))
     roots = [int(x) for x in mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(7919))]
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("_doc"), text_key(F.col(text)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(doc_id).alias("_doc"), text_key(F.col(text)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
-    def embed(batches):
-        for b in slices(batches):
-            yield pd.DataFrame({"_doc": b["_doc"].astype("Int64"), "_key": b["_key"], "sig": [embedding(shingles(t, words)).tobytes() for t in b["_text"]]})
+    @F.pandas_udf("binary")
+    def embed(texts: pd.Series) -> pd.Series:
+        return pd.Series([embedding(shingles(t, words)).tobytes() for t in texts], dtype=object)
 
-    embedded = materialize(rows.mapInPandas(embed, "_doc long, _key binary, sig binary"), "embedded")
-    sets = materialize(embedded.groupBy(F.col("_key").alias("key")).agg(F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "sets")
+    embedded = materialize(rows.select("_doc", "_key", embed("_text").alias("sig"), F.length("_text").cast("long").alias("chars")), "embedded")
+    sets = materialize(embedded.groupBy(F.col("_key").alias("key")).agg(F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n"), F.max("chars").alias("chars")), "sets")
 
     def first_level(batches):
         for b in slices(batches):
@@ -230,8 +231,9 @@ def ngram_join(
     groups = materialize(components(edges), "groups")
 
     # All pairs inside a group, block by block, with exact sets.
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    placed = groups.join(sizes, "root").join(sets.select(F.col("key").alias("node"), "n"), "node")
+    sized = groups.join(sets.select(F.col("key").alias("node"), "n", "chars"), "node")
+    sizes = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("chars") / block_chars)).cast("int").alias("blocks"))
+    placed = sized.drop("chars").join(sizes, "root")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = rows.select(F.col("_key").alias("node"), "_text").join(placed, "node").dropDuplicates(["node"])
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -261,18 +263,23 @@ def ngram_join(
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """doc_id, class_id (least doc_id of the group; null ids only if there is no other) and n_links for each row."""
+    """doc_id, class_id (least doc_id of the group; null ids only if there is no other) and n_links for each row.
+
+    Null texts count as empty, all empty ones are copies of one another; texts are taken whole; repeated rows are rows of
+    their own. Other columns don't matter. An empty table gives an empty table.
+    """
     joined = materialize(ngram_join(docs, text, doc_id, **how), "joined")
     least = joined.groupBy("_root").agg(F.min("_doc").alias("class_id"))
     return joined.join(least, "_root").select(F.col("_doc").alias(doc_id), "class_id", F.col("_links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """One row of each group: that with the least doc_id (null last), of equal ids that with the least text hash."""
-    names = docs.columns
+    """One row of each group: that with the least doc_id (null last), of equal ids that with the least text hash, of rows
+    with equal id and text any one. All columns stay as they are, whatever their names."""
+    kept = fields(docs)
     joined = ngram_join(docs, text, doc_id, **how)
-    best = joined.groupBy("_root").agg(F.min(F.struct(F.col("_doc").isNull().alias("z"), "_doc", "_key")).alias("x")).select(F.col("x._doc").alias("_d"), F.col("x._key").alias("_k"))
+    best = joined.groupBy("_root").agg(F.min(F.struct(F.col("_doc").isNull().alias("z"), "_doc", "_key")).alias("x")).select(F.col("x._doc").alias("best"), F.col("x._key").alias("best_key"))
     best = materialize(best, "kept")
-    keyed = docs.withColumn("_key", text_key(F.col(text)))
-    rows = keyed.join(best, (F.col("_key") == F.col("_k")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_d")))
-    return rows.dropDuplicates(["_key", "_d"]).select(*names)
+    rows = hold(docs, kept, text_key(F.col(text)).alias("key"), F.col(doc_id).alias("doc"))
+    rows = rows.join(best, (F.col("key") == F.col("best_key")) & F.col("doc").eqNullSafe(F.col("best")))
+    return rows.dropDuplicates(["key", "doc"]).select(*give(kept))
