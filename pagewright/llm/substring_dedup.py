@@ -7,29 +7,33 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagewright.llm.common import materialize, slices, small_batches, text_key
+from pagewright.llm.common import fields, hold, materialize, small_batches, text_key
 
 #: A word ends a sentence if one of the first stands at its end, perhaps before some of the second.
 ENDS, CLOSERS = ".!?…", "\"')]»”’"
 _LAST = frozenset(ENDS + CLOSERS)
 _WORD = re.compile(r"\S+")
-_B = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_B, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+SALTS = 64
+#: Two odd multipliers, so that both have inverses modulo 2**64: together a hash has 128 bits.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_powers = {b: np.ones(1, np.uint64) for base in _BASES for b in (base, pow(base, -1, 1 << 64))}
+HASH = np.dtype([("h", np.int64), ("g", np.int64)])
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_B, _INVERSE)):
-            out = np.full(max(n, 2 * len(_powers[k])), np.uint64(base))
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0][:n], _powers[1][:n]
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base."""
+    if len(_powers[base]) < n:
+        out = np.full(max(n, 2 * len(_powers[base])), np.uint64(base))
+        out[0] = 1
+        _powers[base] = np.multiply.accumulate(out)
+    return _powers[base][:n]
 
 
 def pieces(text: str, long: int = 16, one_in: int = 6) -> tuple[list[str], list[int], list[int]]:
@@ -75,20 +79,21 @@ def spans(words: list[str], ends: list[int], whole: list[int] | None = None, lea
     repeated, so that it is covered to both ends. Runs are compared word by word, whatever the white space."""
     n = len(ends)
     if n < least:
-        none = np.zeros(0, np.int64)
-        return none, none, none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, HASH)
     first = np.arange(n - least + 1)
     last = first + least
     if whole is not None:
         edge = np.searchsorted([0, *ends], [0, *whole])
         more = np.flatnonzero(edge[least:] - edge[:-least] > least)
         first, last = np.append(first, edge[more]), np.append(last, edge[more + least])
-    own = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[a:b]).encode("utf-8", "surrogatepass")) for a, b in zip([0, *ends], ends, strict=False)), np.uint64, n)
-    up, down = powers(n)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * up)))
-    h = (total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return first, last - first, (h ^ (h >> np.uint64(32))).view(np.int64)
+    own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(words[a:b]).encode("utf-8", "surrogatepass")) for a, b in zip([0, *ends], ends, strict=False)), np.uint64).reshape(n, 2)
+    out = np.zeros(len(first), HASH)
+    for k, base in enumerate(_BASES):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own[:, k] * powers(base, n))))
+        h = (total[last] - total[first]) * powers(pow(base, -1, 1 << 64), n)[first] + (last - first).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(31))) * _MIX
+        out[HASH.names[k]] = (h ^ (h >> np.uint64(32))).view(np.int64)
+    return first, last - first, out
 
 
 def covered(hits: list[tuple[int, int]], n: int) -> np.ndarray:
@@ -134,29 +139,41 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     consecutive pieces, each repeated together with a neighbour, make up at least `part_words` words.
 
     The first occurrence is that with the least doc_id (null last; equal ids: by hash of the text), then the first in
-    the text; it stays, all others go, in the same document too. Rows with equal doc_id and text are one document.
-    Null and empty texts stay as they are. Columns of the added names are replaced; others pass through.
+    the text; it stays, all others go, in the same document too. Rows with equal doc_id and text are one document. Ids
+    may be of any type that can be ordered. Null and empty texts stay as they are, texts are taken whole. Columns of the
+    added names, in any case, are replaced; all others stay, whatever their names. An empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
     new = ("n_removed", "words_removed")
-    kept = [c for c in docs.columns if c not in new]
-    keyed = docs.select(*kept, text_key(F.col(text)).alias("_key"))
+    kept = fields(docs, *new)
+    others = [c for c in kept if c.lower() != text.lower()]
+    keyed = hold(docs, others, F.col(text).alias("text"), F.col(doc_id).alias("doc"), F.substring(text_key(F.col(text)), 1, 8).alias("key"))
 
     def find(batches):
-        for b in slices(batches):
-            got = [spans(*pieces(t), least) for t in b["_text"]]
-            n = [len(g[0]) for g in got]
-            at, size, h = (np.concatenate([np.zeros(0, np.int64), *[g[k] for g in got]]) for k in range(3))
-            of = np.repeat(np.arange(len(n)), n)
-            yield pd.DataFrame({"doc": b["_doc"].astype("Int64").array.take(of), "key": b["_key"].to_numpy()[of], "at": at.astype(np.int32), "n": size.astype(np.int32), "h": h})
-
-    plain = keyed.select(F.col(doc_id).cast("long").alias("_doc"), F.substring("_key", 1, 8).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    runs = plain.mapInPandas(find, "doc long, key binary, at int, n int, h long")
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                got = [spans(*pieces(t), least) for t in b.column("text").to_pylist()]
+                at, size, h = (np.concatenate([np.zeros(0, HASH if k == 2 else np.int64), *[g[k] for g in got]]) for k in range(3))
+                of = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc").take(of), b.column("key").take(of), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h["h"]), pa.array(h["g"])],
+                    ["doc", "key", "at", "n", "h", "g"],
+                )
+
+    plain = keyed.select("doc", "key", F.coalesce("text", F.lit("")).alias("text"))
+    runs = plain.mapInArrow(find, T.StructType([*plain.select("doc", "key").schema.fields, *T.StructType.fromDDL("at int, n int, h long, g long").fields]))
+    runs = materialize(runs, "runs")  # hashed once, read twice
     # Of each hash: how many places there are and which is the first.
     place = F.struct(F.col("doc").isNull().alias("z"), "doc", "key", "at")
-    repeated = runs.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c > 1").select("h", "first")
-    later = runs.join(repeated, "h").where(place != F.col("first"))
-    hits = later.groupBy("doc", "key").agg(F.collect_set(F.struct("at", "n")).alias("_hits"))
+    repeated = materialize(runs.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c > 1"), "repeated-runs")
+    # A hash of over a thousandth of all runs (there are fewer than a thousand of them, so they can be broadcast) would
+    # be one task's work in the join: it is dealt by SALTS numbers besides.
+    hot = repeated.where(F.col("c") * 1000 > runs.count()).select("h", "g", F.lit(True).alias("hot"))
+    dealt = runs.join(F.broadcast(hot), ["h", "g"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "key", "at"), F.lit(SALTS))).otherwise(0).cast("int"))
+    firsts = repeated.join(F.broadcast(hot), ["h", "g"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))))
+    later = dealt.drop("hot").join(firsts.select("h", "g", "salt", "first"), ["h", "g", "salt"]).where(place != F.col("first"))
+    hits = later.groupBy(F.col("doc").alias("of"), F.col("key").alias("of_key")).agg(F.collect_set(F.struct("at", "n")).alias("hits"))
     hits = materialize(hits, "span-hits")
 
     @F.pandas_udf("text string, n_removed int, words_removed int")
@@ -170,9 +187,7 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
                 out.append(cut_out(t, ends, [(x["at"], x["n"]) for x in f], part_words, whole, least))
         return pd.DataFrame(out, columns=["text", *new])
 
-    rows = keyed.withColumn("_doc", F.col(doc_id).cast("long")).withColumn("_key", F.substring("_key", 1, 8))
     remove = remove.asNondeterministic()  # so that a filter on what it returns doesn't run it a second time
-    hits = hits.select(F.col("doc").alias("_d"), F.col("key").alias("_k"), "_hits")
-    rows = rows.join(hits, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    rows = rows.withColumn("_out", remove(F.col(text), F.col("_hits")))
-    return rows.select(*[F.col("_out.text").alias(text) if c == text else F.col(c) for c in kept], *[f"_out.{c}" for c in new])
+    rows = keyed.join(hits, F.col("doc").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    rows = rows.select("row", remove("text", "hits").alias("out"))
+    return rows.select(*[F.col("out.text").alias(c) if c.lower() == text.lower() else F.col("row").getField(c).alias(c) for c in kept], *[f"out.{c}" for c in new])
