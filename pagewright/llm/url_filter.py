@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import fields, give, hold
+
 #: (verdict, host, path prefix). A rule fits its host and all subdomains; the longest that fits wins.
 RULES = (
     ("allow", "com", "/"),
@@ -25,9 +27,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def labelled_urls() -> list[tuple[str, int]]:
     """The small labelled table used where a caller brings none: (url, 1 = block)."""
-    # Words of host names.
-    bad = "cheap-pills casino-win adult-x free-bets spam-farm ads-track poker-bonus online-casino viagra-shop sex-cams porn-tube lottery-prize payday-loans replica-watch click-tracker".split()
-    good = "news weather library garden museum recipes university football travel history science music village council teacher theatre hospital railway kitchen physics".split()
+    # General words of host names and paths, not taken from any table that is judged.
+    bad = "viagra cialis pharmacy-discount diet-pill slim-fast poker roulette jackpot slots-bonus betting-tips bookmaker sex-cams porn-tube xxx-videos escort-girls hot-singles nude-chat lottery-prize payday-loans easy-credit replica-watch fake-rolex click-tracker popunder adserver ad-banner crypto-doubler forex-profit get-rich warez keygen torrent-crack link-farm seo-backlinks".split()
+    good = "news weather library garden museum recipes university football travel history science music village council teacher theatre hospital railway kitchen physics archive forum photo cooking health gallery market bakery chess sailing poetry".split()
     words = [(w, 1) for w in bad] + [(w, 0) for w in good]
     urls = []
     for i, (w, y) in enumerate(words):
@@ -97,14 +99,15 @@ def train(rows: Iterable[tuple[str | None, int | None]], bins: int = 1 << 14, l2
     return UrlModel(w, float(b), threshold)
 
 
-def judge_urls(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, model: UrlModel | None = None) -> DataFrame:
-    """Adds host, path, rule, block_score and verdict to `df`; columns of these names are replaced.
+def judge_urls(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, model: UrlModel | None = None, labelled: Iterable[tuple[str | None, int | None]] | None = None) -> DataFrame:
+    """Adds host, path, rule, block_score and verdict to `df`. The model is the given one, or learned from `labelled`
+    rows (url, 1 = block; a small table, `labelled_urls` if none is given).
 
-    A null url, or one without `://`, has an empty host and path: no rule fits, the model decides. Repeated rows are
-    judged alike. An empty table gives an empty table.
+    A null or empty url, or one without `://`, has an empty host and path: no rule fits, the model decides. Long urls are
+    taken whole. Of rules of equal length the last given wins. Repeated rows are judged alike. An empty table gives an
+    empty table. Columns of the added names, in any case, are replaced; all others stay, whatever their names.
     """
-    model = model or train(labelled_urls())
-    df = df.drop("host", "path", "rule", "block_score", "verdict")
+    model = model or train(labelled_urls() if labelled is None else labelled)
     weights, bias, threshold = df.sparkSession.sparkContext.broadcast(model.weights), model.bias, model.threshold
 
     @F.pandas_udf("double")
@@ -112,11 +115,12 @@ def judge_urls(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str,
         m = UrlModel(weights.value, bias, threshold)
         return pd.Series([m.probability(h, p) for h, p in zip(host, path, strict=True)], dtype="float64")
 
-    df = df.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    kept = fields(df, "host", "path", "rule", "block_score", "verdict")
+    rows = hold(df, kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, ruled = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, host, path in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):  # the longest ends outermost
         fits = ((F.col("host") == host) | F.col("host").endswith(f".{host}")) & F.col("path").startswith(path)
         rule, ruled = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(ruled)
-    df = df.withColumn("rule", rule).withColumn("_ruled", ruled).withColumn("block_score", block_score("host", "path"))
+    rows = rows.withColumn("rule", rule).withColumn("ruled", ruled).withColumn("block_score", block_score("host", "path"))
     method = F.when(F.col("block_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return df.withColumn("verdict", F.coalesce("_ruled", method)).drop("_ruled")
+    return rows.select(*give(kept), "host", "path", "rule", "block_score", F.coalesce("ruled", method).alias("verdict"))
