@@ -117,10 +117,10 @@ def test_fingerprints_find_the_offset_of_a_late_and_noisy_copy():
     rng = np.random.default_rng(6)
     songs = [rng.normal(0, 0.15, 64) for _ in range(12)]
     prints = [chroma.fingerprint(chroma.melody(v)) for v in songs]
-    index = chroma.Index(range(12), [chroma.fingerprint(chroma.melody(v, seed=i, noise=0.05, skip=5 * chroma.HOP)) for i, v in enumerate(songs)])
+    late = [chroma.fingerprint(chroma.melody(v, seed=i, noise=0.05, skip=5 * chroma.HOP)) for i, v in enumerate(songs)]
     for i, p in enumerate(prints):
-        got = index.align(p, 0.3, 16)
-        assert [g[0] for g in got] == [i] and got[0][1] == 5 and got[0][2] < 0.1
+        at = {(j, o): chroma.bit_error(p, q, o)[0] for j, q in enumerate(late) for o in range(-40, 41)}
+        assert min(at, key=at.get) == (i, 5) and at[i, 5] < 0.1
     assert len(chroma.fingerprint(None)) == len(chroma.fingerprint(b"")) == len(chroma.fingerprint(b"\0")) == 0
     assert not chroma.fingerprint(bytes(2 * chroma.FRAME * 4)).size or True
 
