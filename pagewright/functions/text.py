@@ -6,6 +6,7 @@ Lengths are code points. White space is the Unicode set, not only ASCII.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +34,16 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{WS}+", " "))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` with `value` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def strip(text: Column) -> Column:
+    """No white space at the ends."""
+    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+
+
 def is_blank(text: Column) -> Column:
     return collapse(F.coalesce(text, F.lit(""))) == ""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import is_blank
+
 
 def latest_versions(documents: DataFrame) -> DataFrame:
     """The newest row of each path (last_opened, then doc), and every row without a path."""
@@ -52,15 +54,18 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def reusable(incoming: DataFrame, documents: DataFrame, pages: DataFrame, claims: DataFrame, chunks: DataFrame, current_version: int) -> DataFrame:
-    """doc, reusable, chunk_count for each incoming content hash: known, extracted by the current version, claimed for
-    the scope, no unresolved page, and chunks unless all pages are blank."""
-    state = pages.groupBy("doc").agg(F.count_if(F.col("status") == "unresolved").alias("open"), F.bool_and(F.trim("markdown") == "").alias("blank"))
+def reusable(incoming: DataFrame, documents: DataFrame, pages: DataFrame, finished: DataFrame, chunks: DataFrame, current: dict[str, object]) -> DataFrame:
+    """doc, reusable, chunk_count for each incoming content hash: text, recognition, engine and Markdown of the versions
+    in `current` (column: value), a page for each page, none unresolved, the scope marked as finished, and chunks unless
+    all pages are blank."""
+    state = pages.groupBy("doc").agg(F.count_if(F.col("status") == "unresolved").alias("open"), F.bool_and(is_blank(F.col("markdown"))).alias("blank"), F.countDistinct("page").alias("cached"))
     n = chunks.groupBy("doc").agg(F.count(F.lit(1)).alias("chunk_count"))
-    d = documents.select("doc", "content_hash", "text_version").join(state, "doc", "left").join(n, "doc", "left").join(claims.select("doc", F.lit(True).alias("claimed")), "doc", "left")
+    d = documents.select("doc", "content_hash", "page_count", *current).join(state, "doc", "left").join(n, "doc", "left").join(finished.select("doc", F.lit(True).alias("finished")), "doc", "left")
     n = F.coalesce("chunk_count", F.lit(0))
-    ok = (F.col("text_version") == current_version) & F.coalesce("claimed", F.lit(False)) & (F.coalesce("open", F.lit(1)) == 0) & ((n > 0) | F.coalesce("blank", F.lit(True)))
-    d = d.select("doc", "content_hash", ok.alias("reusable"), n.alias("chunk_count"))
+    ok = F.coalesce("finished", F.lit(False)) & (F.coalesce("open", F.lit(1)) == 0) & (F.col("cached") == F.col("page_count")) & ((n > 0) | F.coalesce("blank", F.lit(True)))
+    for column, value in current.items():
+        ok = ok & F.col(column).eqNullSafe(F.lit(value))
+    d = d.select("doc", "content_hash", F.coalesce(ok, F.lit(False)).alias("reusable"), n.alias("chunk_count"))
     return incoming.select("content_hash").distinct().join(d, "content_hash").select("doc", "reusable", "chunk_count")
 
 

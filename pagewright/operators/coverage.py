@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import is_blank, plain
+from pagewright.functions.text import is_blank, plain, strip
 
-SPARSE = 100
+# Below so many visible characters a page is sparse, a sample of pages weak; shares of sampled pages.
+SPARSE, WEAK, TEXTLESS = 100, 600, 0.6
 
 
 def needs_recognition(pages: DataFrame) -> DataFrame:
@@ -19,36 +20,36 @@ def visible_chars(text: Column) -> Column:
 
 
 def sparse_pages(pages: DataFrame, ocr: DataFrame, least: int = SPARSE) -> DataFrame:
-    """doc, page, native_chars, source, warning: which text a page of little own text ends up with."""
+    """doc, page, native_chars, source, warning: a sparse page takes the recognised text if there is any. Warned of are
+    pages without any text, and sparse ones that nothing was recognised on."""
     p = pages.join(ocr.select("doc", "page", F.col("markdown").alias("ocr")), ["doc", "page"], "left")
     native, other = visible_chars(F.col("markdown")), visible_chars(F.col("ocr"))
     thin = native < least
-    source = F.when(~thin, "native").when(other > native, "ocr").when(native > 0, "native").otherwise("none")
-    warning = F.when(~thin, None).when(other > native, "recognised").when(native > 0, "sparse").otherwise("empty")
-    return p.select("doc", "page", native.alias("native_chars"), source.alias("source"), warning.alias("warning"))
+    warning = F.when((native == 0) & (other == 0), "no-text").when(thin & (other == 0), "low-confidence")
+    return p.select("doc", "page", native.alias("native_chars"), F.when(thin & (other > 0), "ocr").otherwise("pdf").alias("source"), warning.alias("warning"))
 
 
 def merge_sources(pages: DataFrame, ocr: DataFrame) -> DataFrame:
-    """doc, page, markdown, source, status. Recognised text stands in where a page has none of its own; a page is
-    `unresolved` if it was to be recognised and nothing came back, `empty` if what came back is blank."""
-    o = ocr.select("doc", "page", F.col("markdown").alias("ocr"), F.lit(True).alias("answered"))
-    p = pages.join(o, ["doc", "page"], "left")
-    own, got = ~is_blank(F.col("markdown")), ~is_blank(F.col("ocr"))
-    text = F.when(own, F.col("markdown")).when(got, F.col("ocr")).otherwise("")
-    status = F.when(own | got, "read").when(F.col("answered") | ~F.coalesce("asked", F.lit(False)), "empty").otherwise("unresolved")
-    return p.select("doc", "page", text.alias("markdown"), F.when(~own & got, "ocr").otherwise("pdf").alias("source"), status.alias("status"))
+    """doc, page, markdown, source, status. A page that is flagged, or has no text, takes what was recognised or nothing:
+    it is `empty` if recognition was asked and gave nothing, `unresolved` if nobody asked. Others keep their own text."""
+    p = pages.join(ocr.select("doc", "page", F.col("markdown").alias("ocr")), ["doc", "page"], "left")
+    unread, got = F.coalesce("needs_ocr", F.lit(False)) | is_blank(F.col("markdown")), ~is_blank(F.col("ocr"))
+    text = F.when(~unread, strip(F.col("markdown"))).when(got, strip(F.col("ocr"))).otherwise("")
+    status = F.when(~unread | got, "read").when(F.coalesce("asked", F.lit(False)), "empty").otherwise("unresolved")
+    return p.select("doc", "page", text.alias("markdown"), F.when(~unread, "pdf").when(got, "ocr").otherwise("none").alias("source"), status.alias("status"))
 
 
 def merge_region_text(pages: DataFrame, regions: DataFrame) -> DataFrame:
-    """doc, page, markdown, source: lines recognised in images are appended unless the page's own words hold them."""
+    """doc, page, markdown, source: after the page's own text and a blank line, the trimmed lines recognised in images
+    that its visible words don't hold."""
     lines = regions.select("doc", "page", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
     p = pages.withColumn("_own", plain(F.col("markdown")))
-    new = lines.join(p.select("doc", "page", "_own"), ["doc", "page"]).where(~is_blank(F.col("line")) & ~F.contains("_own", plain(F.col("line"))))
+    said = plain(F.col("line"))
+    new = lines.join(p.select("doc", "page", "_own"), ["doc", "page"]).where((said != "") & ~F.contains("_own", said)).withColumn("line", strip(F.col("line")))
     new = new.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("more"))
     p = p.join(new, ["doc", "page"], "left")
-    text = F.when(F.col("more").isNull(), F.col("markdown")).when(is_blank(F.col("markdown")), F.col("more")).otherwise(F.concat("markdown", F.lit("\n\n"), "more"))
-    source = F.when(F.col("more").isNull(), "pdf").when(is_blank(F.col("markdown")), "ocr").otherwise("mixed")
-    return p.select("doc", "page", text.alias("markdown"), source.alias("source"))
+    text = F.when(F.col("more").isNull(), F.col("markdown")).otherwise(F.concat("markdown", F.lit("\n\n"), "more"))
+    return p.select("doc", "page", text.alias("markdown"), F.when(F.col("more").isNull(), "pdf").otherwise("mixed").alias("source"))
 
 
 def text_source(pages: DataFrame) -> DataFrame:
@@ -99,13 +100,19 @@ def recognition_targets(unread: DataFrame, regions: DataFrame) -> DataFrame:
     return unread.select("doc", "page").unionByName(regions.select("doc", "page")).distinct()
 
 
-def extraction_profile(pages: DataFrame) -> DataFrame:
-    """doc, chars, sparse, images, engine: from pages 1, 2, 3, the middle and the last; `images` counts flagged pages."""
+def extraction_profile(pages: DataFrame, recognised: DataFrame) -> DataFrame:
+    """doc, chars, sparse, images, engine: from pages 1, 2, 3, the middle and the last; `images` counts those with images.
+
+    The engine is `visual` for a weak text layer (few characters, or mostly sparse pages) with images in the sample or
+    anything recognised in the document before, else `standard`. `recognised` has a row for each recognised page.
+    """
     total = pages.groupBy("doc").agg(F.max("page").alias("n"))
     p = pages.join(total, "doc").where((F.col("page") <= 3) | (F.col("page") == F.ceil(F.col("n") / 2)) | (F.col("page") == F.col("n")))
     c = visible_chars(F.col("markdown"))
     p = p.groupBy("doc").agg(F.sum(c).alias("chars"), F.count_if(c < SPARSE).alias("sparse"), F.count_if("has_image").alias("images"), F.count(F.lit(1)).alias("sampled"))
-    engine = F.when(F.col("sparse") * 2 > F.col("sampled"), "ocr").when(F.col("images") * 2 >= F.col("sampled"), "layout").otherwise("text")
+    p = p.join(recognised.select("doc", F.lit(True).alias("ocr")).distinct(), "doc", "left")
+    weak = (F.col("chars") < WEAK) | (F.col("sparse") / F.col("sampled") >= TEXTLESS)
+    engine = F.when(weak & ((F.col("images") > 0) | F.col("ocr").isNotNull()), "visual").otherwise("standard")
     return p.select("doc", "chars", "sparse", "images", engine.alias("engine"))
 
 

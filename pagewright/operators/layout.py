@@ -17,55 +17,76 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.groups import fold_groups
+from pagewright.functions.text import collapse
 
 LINES = "doc long, page int, line int, text string, x double, y double, font_size double, bold boolean"
 
 
 def text_lines(atoms: DataFrame) -> DataFrame:
-    """doc, page, line, text, x, y, font_size, bold: atoms from top to bottom join a line while they stay within
-    max(2, 0.35 x the line's median font) of its first one."""
+    """doc, page, line, text, x, y, font_size, bold: atoms from top to bottom join a line while they are within
+    max(2, 0.35 x font) of its median height, where the font is the greater of the line's median and the atom's own."""
+
+    def middle(of: list[float]) -> float:  # in order
+        return (of[(len(of) - 1) // 2] + of[len(of) // 2]) / 2
 
     def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
-        out, line, sizes = [], [], []  # sizes: the line's, in order
+        out, line, sizes, heights = [], [], [], []  # sizes and heights: the line's, in order
 
         def close() -> None:
             own = sorted(line, key=lambda a: a[1])
-            out.append((*key, len(out), " ".join(a[2] for a in own), float(own[0][1]), float(line[0][0]), median(), any(a[4] for a in own)))
-            line.clear()
-            sizes.clear()
-
-        def median() -> float:
-            n = len(sizes)
-            return (sizes[(n - 1) // 2] + sizes[n // 2]) / 2
+            text = " ".join(" ".join(a[2] for a in own).split())
+            if text:
+                out.append((*key, len(out), text, float(own[0][1]), float(middle(heights)), float(middle(sizes)), any(a[4] for a in own)))
+            for part in (line, sizes, heights):
+                part.clear()
 
         for a in sorted((r[2:] for r in rows), key=lambda a: (-a[0], a[1])):
-            if line and abs(line[0][0] - a[0]) > max(2.0, 0.35 * median()):
+            if line and abs(middle(heights) - a[0]) > max(2.0, 0.35 * max(middle(sizes), a[3])):
                 close()
             line.append(a)
             insort(sizes, a[3])
+            insort(heights, a[0])
         close()
         return out
 
     return fold_groups(atoms.select("doc", "page", "y", "x", "text", "font_size", "bold"), ["doc", "page"], [], fold, LINES)
 
 
+# Ratios to the body's font, length and word limits, patterns of lines that are no headings.
+NUMBERED = r"^(\d+(?:\.\d+){0,4})([.)])?\s+\S"
+NO_HEADING = (r"^\d+$", r"(?i)^page\s+\d+", r"^\d{4}[.)]", r"(?i)https?://", r"(?i)\bwww\.", r"^[\d\s._-]+$")
+BAND, LEVELS = 0.75, 3
+
+
 def synthetic_outline(lines: DataFrame, most: int = 250, page_height: float = 792.0) -> DataFrame:
-    """doc, page, seq, level, title: lines that stand out by size (1.28 x the body's median font, or 1.12 and bold).
+    """doc, page, seq, level, title: lines that stand out by size, weight or a number, in order, at most `most` a document.
 
-    Lines that repeat on three pages and a quarter of all, and the lowest 8 % of a page, are left out. Levels are bands
-    of font sizes, 0.75 wide; at most `most` headings a document.
+    Left out are lines that repeat on three pages and a quarter of all, those in the lowest 8 % of a page unless they are
+    numbered, page numbers, years, links, and lines that are too long or end like a sentence. The level is the depth of
+    the number, else the place of the font among the three largest bands of candidates (0.75 wide), else by the ratio.
     """
-    of_doc, t = Window.partitionBy("doc"), F.lower(F.trim("text"))
-    x = lines.withColumn("t", t).withColumn("body", F.percentile("font_size", F.lit(0.5)).over(of_doc)).withColumn("pages", F.size(F.collect_set("page").over(of_doc)))
-    x = x.withColumn("on", F.size(F.collect_set("page").over(Window.partitionBy("doc", "t"))))
-    prominent = (F.col("font_size") >= 1.28 * F.col("body")) | ((F.col("font_size") >= 1.12 * F.col("body")) & F.col("bold"))
-    repeated = (F.col("on") >= 3) & (F.col("on") >= 0.25 * F.col("pages"))
-    x = x.where(prominent & ~repeated & (F.col("y") > 0.08 * page_height) & F.length("t").between(2, 160) & F.col("t").rlike(r"\p{L}"))
-    bigger = of_doc.orderBy(F.col("font_size").desc())
-    x = x.withColumn("gap", F.coalesce(F.lag("font_size").over(bigger) - F.col("font_size"), F.lit(0.0)))
-    x = x.withColumn("level", F.least(F.lit(6), 1 + F.sum((F.col("gap") > 0.75).cast("int")).over(bigger.rangeBetween(Window.unboundedPreceding, Window.currentRow))))
-    x = x.withColumn("seq", F.row_number().over(of_doc.orderBy("page", F.col("y").desc(), "x"))).where(F.col("seq") <= most)
-    return x.select("doc", "page", "seq", F.col("level").cast("int").alias("level"), F.trim("text").alias("title"))
+    x = lines.withColumn("title", collapse(F.col("text"))).withColumn("key", F.lower("title"))
+    of_doc = x.groupBy("doc").agg(F.percentile(F.when(F.col("font_size") > 0, F.col("font_size")), F.lit(0.5)).alias("body"), F.countDistinct("page").alias("pages"))
+    on = x.groupBy("doc", "key").agg(F.countDistinct("page").alias("on"))
+    x = x.join(of_doc, "doc").join(on, ["doc", "key"])
+    number, mark = F.regexp_extract("title", NUMBERED, 1), F.regexp_extract("title", NUMBERED, 2)
+    depth = F.when((number != "") & (number.contains(".") | (mark != "")), F.size(F.split(number, r"\.")))
+    x = x.withColumn("depth", depth).withColumn("ratio", F.col("font_size") / F.col("body")).withColumn("words", F.size(F.split("title", " ")))
+    numbered, words, ratio = F.col("depth").isNotNull(), F.col("words"), F.col("ratio")
+    sentence = (words > 10) & F.col("title").rlike(r"[.!?]$")
+    barred = (F.col("on") >= 3) & (F.col("on") / F.col("pages") >= 0.25)
+    for pattern in NO_HEADING:
+        barred = barred | F.col("title").rlike(pattern)
+    barred = barred | ((F.col("y") < 0.08 * page_height) & ~numbered) | (numbered & (ratio < 1.08) & ~F.col("bold"))
+    stands_out = numbered | ((ratio >= 1.28) & (words <= 18)) | ((ratio >= 1.12) & (words <= 14) & ~sentence) | (F.col("bold") & (ratio >= 1.04) & (words <= 16) & ~sentence)
+    x = x.where(F.length("title").between(3, 140) & (words <= 22) & ~barred & stands_out)
+    sizes = F.sort_array(F.collect_set("font_size"), asc=False)
+    bands = x.groupBy("doc").agg(F.aggregate(sizes, F.array().cast("array<double>"), lambda b, s: F.when(F.exists(b, lambda o: F.abs(o - s) <= BAND), b).otherwise(F.concat(b, F.array(s)))).alias("b"))
+    x = x.join(bands.select("doc", F.slice("b", 1, LEVELS).alias("b")), "doc")
+    band = F.array_position(F.transform("b", lambda o: F.abs(o - F.col("font_size")) <= BAND), F.lit(True))
+    level = F.when(numbered, F.least(F.lit(LEVELS), F.col("depth"))).when(band > 0, band).when(ratio >= 1.35, 1).when(ratio >= 1.18, 2).otherwise(3)
+    x = x.withColumn("seq", F.row_number().over(Window.partitionBy("doc").orderBy("page", "line"))).where(F.col("seq") <= most)
+    return x.select("doc", "page", "seq", level.cast("int").alias("level"), "title")
 
 
 def page_table(lines: list[list[tuple[str, float, float]]]) -> str | None:

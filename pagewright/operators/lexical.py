@@ -6,19 +6,55 @@ the scoring unit; all parts must occur, and the words of a part must stand next
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.text import WS, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MOST_CHARS, MOST_PARTS = 1000, 32
+MOST_ASKED = 1_000_000  # words that are broadcast
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """token, chunk_id, doc, tf, positions: one row for each word of each chunk. Row-local up to the one aggregation."""
-    words = chunks.select("chunk_id", "doc", F.posexplode(tokens(F.coalesce("text", F.lit("")))).alias("pos", "token"))
-    return words.groupBy("token", "chunk_id", "doc").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """token, chunk_id, doc, tf, positions: one row for each word of each chunk. A chunk's words are grouped where the
+    chunk is, so nothing is shuffled. Null texts have no words."""
+    words = chunks.select("chunk_id", "doc", tokens(F.coalesce("text", F.lit(""))).alias("t"))
+
+    def group(batches):
+        for b in batches:
+            of, token, start, places = [], [], [0], []
+            offsets, flat = b.column("t").offsets.to_numpy(), b.column("t").flatten().to_pylist()
+            first = int(offsets[0])
+            for i in range(b.num_rows):
+                own: dict[str, list[int]] = {}
+                for at, w in enumerate(flat[offsets[i] - first : offsets[i + 1] - first]):
+                    own.setdefault(w, []).append(at)
+                of.extend([i] * len(own))
+                for w, at in own.items():
+                    token.append(w)
+                    places.extend(at)
+                    start.append(len(places))
+            of, start = pa.array(of, pa.int32()), np.array(start, np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(start), pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), b.column("chunk_id").take(of), b.column("doc").take(of), pa.array(np.diff(start)), positions], ["token", "chunk_id", "doc", "tf", "positions"])
+
+    field = T.StructType.fromDDL("tf int, positions array<int>").fields
+    return words.mapInArrow(group, T.StructType([T.StructField("token", T.StringType()), *words.select("chunk_id", "doc").schema.fields, *field]))
+
+
+def asked_words(chunks: DataFrame, plan: DataFrame) -> DataFrame:
+    """token, chunk_id, doc, pos, len of the chunks' words that the queries ask for: the join with the asked words
+    comes before any grouping, so the words nobody asked for go nowhere."""
+    asked = plan.where("token is not null").select("token").distinct()
+    if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
+        asked = F.broadcast(asked)
+    words = chunks.select("chunk_id", "doc", tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    words = words.select("chunk_id", "doc", F.size("t").alias("len"), F.posexplode("t").alias("pos", "token"))
+    return words.join(asked, "token")
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
@@ -55,26 +91,46 @@ def plan_queries(queries: DataFrame) -> DataFrame:
     return q.select("query_id", "status", "mode", "min_score", "n_parts", "part", "n_tokens", F.posexplode_outer("t").alias("token_no", "token"))
 
 
-def phrase_matches(index: DataFrame, plan: DataFrame) -> DataFrame:
-    """query_id, part, chunk_id, doc, tf, n_parts: chunks that have all words of a part next to each other.
+def stored_words(index: DataFrame, lengths: DataFrame, plan: DataFrame) -> DataFrame:
+    """The same from a stored index (`postings`) and the lengths of its chunks: cut to the asked words before positions
+    are exploded."""
+    asked = plan.where("token is not null").select("token").distinct()
+    if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
+        asked = F.broadcast(asked)
+    return index.join(asked, "token").select("token", "chunk_id", "doc", F.explode("positions").alias("pos")).join(lengths.select("chunk_id", "len"), "chunk_id")
 
-    The index is cut to the queries' words before positions are exploded.
-    """
+
+def part_matches(words: DataFrame, plan: DataFrame) -> DataFrame:
+    """query_id, chunk_id, doc, len, n_parts, parts (part, tf): the parts of each query that a chunk has, all words of a
+    part next to each other. `words` are asked or stored words."""
     asked = plan.where("token is not null").select("query_id", "part", "token_no", "token", "n_tokens", "n_parts")
-    hits = asked.join(index, "token").select("query_id", "part", "n_tokens", "n_parts", "chunk_id", "doc", "token_no", F.explode("positions").alias("pos"))
-    whole = hits.groupBy("query_id", "part", "n_tokens", "n_parts", "chunk_id", "doc", (F.col("pos") - F.col("token_no")).alias("start")).agg(F.countDistinct("token_no").alias("c"))
-    return whole.where("c = n_tokens").groupBy("query_id", "part", "n_parts", "chunk_id", "doc").agg(F.count(F.lit(1)).alias("tf"))
+    kept = ["query_id", "chunk_id", "doc", "len", "n_parts", "part"]
+    hits = asked.join(words, "token").groupBy(*kept, "n_tokens", (F.col("pos") - F.col("token_no")).alias("start")).agg(F.countDistinct("token_no").alias("c"))
+    found = hits.where("c = n_tokens").groupBy(*kept).agg(F.count(F.lit(1)).alias("tf"))
+    return found.groupBy(*kept[:-1]).agg(F.collect_list(F.struct("part", "tf")).alias("parts"))  # at most MOST_PARTS
+
 
+def phrase_matches(words: DataFrame, plan: DataFrame) -> DataFrame:
+    """query_id, part, chunk_id, doc, tf: the parts found in chunks that have all parts of the query."""
+    found = part_matches(words, plan).where(F.size("parts") == F.col("n_parts"))
+    return found.select("query_id", "chunk_id", "doc", F.explode("parts").alias("p")).select("query_id", "p.part", "chunk_id", "doc", "p.tf")
 
-def bm25(matches: DataFrame, lengths: DataFrame) -> DataFrame:
-    """query_id, chunk_id, doc, rank (negative; the least is best) of chunks in which all parts occur."""
+
+def bm25(found: DataFrame, lengths: DataFrame) -> DataFrame:
+    """query_id, chunk_id, doc, rank (negative; the least is best) of chunks in which all parts occur.
+
+    `found` are the parts found in each chunk (`part_matches`); the number of chunks that a part occurs in counts them
+    all, also where another part is missing.
+    """
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    df = matches.groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    scored = matches.join(df, ["query_id", "part"]).join(lengths, ["chunk_id", "doc"]).crossJoin(F.broadcast(stats))  # one row
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = scored.groupBy("query_id", "chunk_id", "doc", "n_parts").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("c"))
-    return scored.where("c = n_parts").select("query_id", "chunk_id", "doc", F.round(-F.col("s"), 6).alias("rank"))
+    df = found.select("query_id", F.explode("parts").alias("p")).groupBy("query_id", "p.part").agg(F.count(F.lit(1)).alias("df"))
+    df = df.groupBy(F.col("query_id").alias("_q")).agg(F.map_from_entries(F.collect_list(F.struct("part", "df"))).alias("dfs"))
+    whole = found.where(F.size("parts") == F.col("n_parts"))
+    scored = whole.join(df, F.col("query_id") == F.col("_q")).crossJoin(F.broadcast(stats))  # one row
+    idf = lambda d: F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - d + 0.5) / (d + 0.5)))
+    norm = K1 * (1 - B + B * F.col("len") / F.col("avgdl"))
+    part = lambda p: idf(F.col("dfs")[p["part"]]) * p["tf"] * (K1 + 1) / (p["tf"] + norm)
+    return scored.select("query_id", "chunk_id", "doc", F.round(-F.aggregate(F.array_sort("parts"), F.lit(0.0), lambda s, p: s + part(p)), 6).alias("rank"))
 
 
 def missing_postings(chunks: DataFrame, index: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import is_blank
+from pagewright.functions.text import is_blank, once
 
 MOST_RANGE = 10_000
 
@@ -24,19 +24,22 @@ def export_markdown(pages: DataFrame, mode: str = "pages") -> DataFrame:
 def select_pages(pages: DataFrame, selections: DataFrame) -> DataFrame:
     """doc, page, refusal: the pages of selections like `1,4-6`; a refused selection has one row without page.
 
-    Refused are empty or malformed parts, page 0, reversed or very long ranges, and pages beyond the end.
+    Parts, and the ends of a range, may have blanks around them. Refused are empty or malformed parts and page 0, reversed
+    ranges, ranges or whole selections of over MOST_RANGE pages, and pages beyond the end; of several reasons the first
+    part's counts.
     """
     total = pages.groupBy("doc").agg(F.max("page").alias("n"))
-    s = selections.join(total, "doc").withColumn("parts", F.split(F.regexp_replace("selection", " ", ""), ",", -1))
-    lo, hi = (lambda p: F.regexp_extract(p, r"^(\d+)", 1).try_cast("long")), (lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"-(\d+)$", 1), F.lit("")), F.regexp_extract(p, r"^(\d+)", 1)).try_cast("long"))
-    malformed = F.exists("parts", lambda p: ~p.rlike(r"^\d{1,9}(-\d{1,9})?$"))
-    reversed_ = F.exists("parts", lambda p: (lo(p) > hi(p)) | (lo(p) < 1))
-    wide = F.exists("parts", lambda p: hi(p) - lo(p) >= MOST_RANGE)
-    beyond = F.exists("parts", lambda p: hi(p) > F.col("n"))
-    refusal = F.when(malformed, "malformed").when(reversed_, "reversed").when(wide, "too-long").when(beyond, "beyond-end")
-    s = s.withColumn("refusal", refusal)
-    ranges = F.when(F.col("refusal").isNull(), F.array_distinct(F.flatten(F.transform("parts", lambda p: F.sequence(F.least(lo(p), hi(p)), F.least(hi(p), F.least(lo(p), hi(p)) + MOST_RANGE))))))
-    s = s.select("doc", "refusal", F.explode_outer(ranges).alias("page"))
+    s = selections.join(total, "doc").withColumn("parts", F.transform(F.split("selection", ",", -1), lambda p: F.regexp_replace(F.trim(p), r"\s*-\s*", "-")))
+    number = r"0*[1-9]\d{0,14}"
+    lo = lambda p: F.regexp_extract(p, r"^(\d+)", 1).try_cast("long")
+    hi = lambda p: F.regexp_extract(p, r"(\d+)$", 1).try_cast("long")
+    reason = lambda p: F.when(~p.rlike(f"^{number}(-{number})?$"), "malformed").when(lo(p) > hi(p), "reversed").when(hi(p) - lo(p) >= MOST_RANGE, "too-long")
+    s = s.withColumn("refusal", F.get(F.filter(F.transform("parts", reason), lambda r: r.isNotNull()), F.lit(0)))
+    ranges = F.when(F.col("refusal").isNull(), F.array_distinct(F.flatten(F.transform("parts", lambda p: F.sequence(lo(p), hi(p))))))
+    s = s.withColumn("pages", ranges)
+    late = F.when(F.size("pages") > MOST_RANGE, "too-long").when(F.array_max("pages") > F.col("n"), "beyond-end")
+    s = s.withColumn("refusal", F.coalesce("refusal", late))
+    s = s.select("doc", "refusal", F.explode_outer(F.when(F.col("refusal").isNull(), F.col("pages"))).alias("page"))
     return s.select("doc", F.col("page").cast("int").alias("page"), "refusal")
 
 
@@ -55,21 +58,30 @@ def content_budget(items: DataFrame, keys: list[str], order: list[str], text: st
     return x.withColumn("total_bytes", F.sum(size).over(whole)).withColumn("omitted_bytes", F.sum(F.when(F.col("kept"), 0).otherwise(size)).over(whole))
 
 
-def cut_at_line(text: Column, room: Column) -> Column:
-    """At most `room` characters, ended at the last line end inside it if there is one (ASCII: a character is a byte)."""
-    head = F.left(text, room)
-    last = F.length(head) - F.locate("\n", F.reverse(head)) + 1
-    return F.when(F.length(text) <= room, text).when(F.contains(head, F.lit("\n")), F.left(head, last)).otherwise(head)
+def fitting(text: Column, room: Column) -> Column:
+    """The start of `text` that fits `room` bytes of UTF-8: all of it, else up to its last line end (without that) if
+    there is one after the first character, else as many whole characters as fit."""
+    b = F.encode(text, "UTF-8")
+    inside = lambda i: F.hex(F.substring(b, i, F.lit(1))).between("80", "BF")  # noqa: E731  a byte that continues a character
+    n = F.when(~inside(room + 1), room).when(~inside(room), room - 1).when(~inside(room - 1), room - 2).otherwise(room - 3)
+    head = F.decode(F.substring(b, F.lit(1), F.greatest(n, F.lit(0))), "UTF-8")
+
+    def ended(h: Column) -> Column:
+        last = F.length(h) - F.locate("\n", F.reverse(h))
+        return F.when(F.contains(h, F.lit("\n")) & (last > 0), F.left(h, last)).otherwise(h)
+
+    return F.when(F.octet_length(text) <= room, text).otherwise(once(head, ended))
 
 
 def page_budget(pages: DataFrame, budget: int) -> DataFrame:
-    """doc, page, markdown, shortened: whole pages; the one across the budget ends at a line end; the first always stays."""
+    """doc, page, markdown, shortened: whole pages while their bytes fit; the one across the budget is shortened, at a
+    line end if there is one; the first always stays."""
     w = Window.partitionBy("doc").orderBy("page")
-    before = F.coalesce(F.sum(F.length("markdown")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = F.octet_length("markdown")
+    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     p = pages.withColumn("_before", before).withColumn("_n", F.row_number().over(w)).where((F.col("_before") < budget) | (F.col("_n") == 1))
-    room = F.lit(budget) - F.col("_before")
-    p = p.withColumn("_cut", cut_at_line(F.col("markdown"), room.cast("int")))
-    return p.where((F.length("_cut") > 0) | (F.col("_n") == 1)).select("doc", "page", F.col("_cut").alias("markdown"), (F.length("_cut") < F.length("markdown")).alias("shortened"))
+    p = p.withColumn("_cut", fitting(F.col("markdown"), (F.lit(budget) - F.col("_before")).cast("int")))
+    return p.where((F.length("_cut") > 0) | (size == 0) | (F.col("_n") == 1)).select("doc", "page", F.col("_cut").alias("markdown"), (F.octet_length("_cut") < size).alias("shortened"))
 
 
 def reply_pack(hits: DataFrame, budget: int = 48_000) -> DataFrame:
@@ -89,18 +101,28 @@ def page_ranges(pages: DataFrame) -> DataFrame:
 
 
 def text_page(text: Column, offset: Column, budget: Column) -> Column:
-    """struct(text, next_offset, omitted): a piece from `offset` of at most `budget` characters, ended at a line end."""
-    rest = F.substr(text, offset + 1)
-    piece = cut_at_line(rest, budget)
-    end = offset + F.length(piece)
-    return F.struct(piece.alias("text"), F.when(end < F.length(text), end).alias("next_offset"), (F.length(text) - end).alias("omitted_bytes"))
+    """struct(text, next_offset, omitted_bytes): what fits `budget` bytes from character `offset` on (at most the end);
+    next_offset is null at the end, omitted_bytes are those that follow."""
+    start = F.least(offset, F.length(text))
+
+    def cut(piece: Column) -> Column:
+        end = start + F.length(piece)
+        return F.struct(piece.alias("text"), F.when(end < F.length(text), end).alias("next_offset"), F.octet_length(F.substr(text, end + 1)).alias("omitted_bytes"))
 
+    return once(fitting(F.substr(text, start + 1), budget), cut)
 
-def comment_pages(comments: DataFrame, offset: int, most: int, budget: int) -> DataFrame:
-    """doc, comment_no, next_offset: comments in reading order from an offset, while their notes fit the budget."""
+
+def comment_pages(comments: DataFrame, offset: int, budget: int, field: int = 4_000) -> DataFrame:
+    """doc, comment_no, next_offset: comments in reading order after the first `offset`, while the bytes of their notes,
+    quotes (both cut to `field` bytes) and authors fit the budget.
+
+    The budget holds for the first comment too: if that doesn't fit, the document has one row without comment_no, and the
+    next offset is the one asked for. next_offset is null where no comment is left.
+    """
+    size = lambda c: F.octet_length(F.coalesce(c, F.lit("")))
+    fields = size(fitting(F.col("note"), F.lit(field))) + size(fitting(F.col("quote"), F.lit(field))) + size(F.col("author"))
     w = Window.partitionBy("doc").orderBy("seq")
-    c = comments.withColumn("_len", F.least(F.octet_length("note"), F.lit(4_000))).where((F.col("seq") > offset) & (F.col("seq") <= offset + most))
-    upto = F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    c = c.withColumn("_ok", (upto <= budget) | (F.row_number().over(w) == 1)).where("_ok")
-    last, total = F.max("seq").over(Window.partitionBy("doc")), F.col("total")
-    return c.select("doc", F.col("seq").alias("comment_no"), F.when(last < total, last).alias("next_offset"))
+    c = comments.where(F.col("seq") > offset).withColumn("_upto", F.sum(fields).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    c = c.withColumn("_ok", F.col("_upto") <= budget).where((F.col("seq") == offset + 1) | F.col("_ok"))
+    end = offset + F.count_if("_ok").over(Window.partitionBy("doc"))
+    return c.select("doc", F.when(F.col("_ok"), F.col("seq")).alias("comment_no"), F.when(end < F.col("total"), end).cast("int").alias("next_offset"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import cosine
+from pagewright.operators import lexical
 
 RRF, DEEPEST, CAP, TOP_K = 60, 1600, 3, 12
 
@@ -31,8 +32,8 @@ def semantic_scores(queries: DataFrame, vectors: DataFrame, least: float | None
 def semantic_top(queries: DataFrame, vectors: DataFrame, depth: int = DEEPEST, block: int = 1024) -> DataFrame:
     """The best `depth` chunks of each query by matrix products over Arrow batches: query_id, chunk_id, doc, score.
 
-    Queries (query_id, qv, min_score) go out in blocks of at most `block` rows. Each task keeps its own best `depth`;
-    the ranking over tasks is the caller's window.
+    Queries (query_id, qv, min_score) go out in blocks of at most `block` rows. Each task keeps its own best `depth`, of
+    each batch only what may still be among them (with all ties); the ranking over tasks is the caller's window.
     """
     rows = [(r["query_id"], r["qv"], r["min_score"]) for r in queries.orderBy("query_id").toLocalIterator()]
     parts = None
@@ -44,20 +45,26 @@ def semantic_top(queries: DataFrame, vectors: DataFrame, depth: int = DEEPEST, b
 
         def best(batches, shared=shared):
             m, ids, least = shared.value
-            held = None
+            held, floor = None, least
             for b in batches:
                 if not len(b) or not len(ids):
                     continue
                 v = np.stack(b["vector"].to_numpy()).astype(np.float64)
                 v = v / np.linalg.norm(v, axis=1, keepdims=True).clip(1e-300)
                 s = np.round(m @ v.T, 6)
-                q, c = np.nonzero(s >= least[:, None])
-                new = pd.DataFrame({"query_id": ids[q], "chunk_id": b["chunk_id"].to_numpy()[c], "doc": b["doc"].to_numpy()[c], "score": s[q, c]})
+                enough = np.maximum(floor, np.partition(s, -depth, axis=1)[:, -depth]) if s.shape[1] > depth else floor
+                q, c = np.nonzero(s >= enough[:, None])
+                new = pd.DataFrame({"number": q, "chunk_id": b["chunk_id"].to_numpy()[c], "doc": b["doc"].to_numpy()[c], "score": s[q, c]})
                 held = new if held is None else pd.concat([held, new])
-                if len(held) > 4 * depth * len(ids):
-                    held = held.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(depth)
+                if len(held) > 2 * depth * len(ids):
+                    held = held.sort_values(["number", "score", "chunk_id"], ascending=[True, False, True]).groupby("number").head(depth)
+                    full = held.groupby("number")["score"].agg(["size", "min"])
+                    full = full[full["size"] >= depth]
+                    floor = floor.copy()
+                    floor[full.index.to_numpy()] = np.maximum(floor[full.index.to_numpy()], full["min"].to_numpy())
             if held is not None:
-                yield held.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(depth)
+                held = held.sort_values(["number", "score", "chunk_id"], ascending=[True, False, True]).groupby("number").head(depth)
+                yield held.assign(query_id=ids[held["number"].to_numpy()])[["query_id", "chunk_id", "doc", "score"]]
 
         part = vectors.select("chunk_id", "doc", "vector").mapInPandas(best, "query_id long, chunk_id string, doc long, score double")
         parts = part if parts is None else parts.unionByName(part)
@@ -143,6 +150,31 @@ def late_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks.select("chunk_id", "page", "text"), "chunk_id")
 
 
+def library_documents(latest: DataFrame, discoverable: DataFrame, scoped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc of the documents that are searched, one row of counts): of the latest versions those that a grant covers, of
+    these those with chunks under the active scope."""
+    seen = discoverable.select("doc").distinct().withColumn("seen", F.lit(True))
+    inside = scoped.select("doc").distinct().withColumn("inside", F.lit(True))
+    d = latest.select("doc").join(seen, "doc", "left").join(inside, "doc", "left")
+    counts = d.agg(F.count_if(F.col("seen") & F.col("inside")).alias("documents_searched"), F.count_if(F.col("seen").isNull()).alias("documents_not_discoverable"), F.count_if(F.col("seen") & F.col("inside").isNull()).alias("documents_outside_scope"))
+    return d.where("seen and inside").select("doc"), counts
+
+
+def library_search(plan: DataFrame, asked: DataFrame, words: DataFrame, lengths: DataFrame, vectors: DataFrame, searched: DataFrame, k: int = TOP_K, cap: int | None = CAP) -> DataFrame:
+    """query_id, status, mode, depth, place, chunk_id, doc, score, semantic_score, matched_by, candidates_truncated of a
+    batch of planned queries; a query without hits, or refused, has one row of nulls.
+
+    Each query is ranked as its mode says: by meaning, by exact words, or by both fused. Only `searched` documents are
+    ranked, but the statistics of words are those of the whole index. `cap` None is for searches in one document.
+    """
+    modes = plan.groupBy("query_id").agg(F.first("status").alias("status"), F.first("mode").alias("mode"))
+    by_meaning = asked.join(modes.where("status = 'ok' and mode <> 'exact'"), "query_id", "left_semi")
+    meant = top(semantic_top(by_meaning, vectors.join(searched, "doc", "left_semi")), "score", DEEPEST)
+    exact = lexical.bm25(lexical.part_matches(words, plan), lengths).join(searched, "doc", "left_semi")
+    ladder = depth_ladder(meant, top(exact, "rank", DEEPEST, descending=False), k, cap)
+    return modes.join(ladder, "query_id", "left").withColumn("candidates_truncated", F.coalesce("candidates_truncated", F.lit(False)))
+
+
 def reading_order(hits: DataFrame) -> DataFrame:
     """query_id, seq: hits of one document by page, then score."""
     order = Window.partitionBy("query_id", "doc").orderBy("page", F.col("score").desc(), "chunk_id")

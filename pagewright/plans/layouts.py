@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,7 +67,7 @@ def txt_markdown_scan(spark, sf):
     """Literal search over the visible text of blocks."""
     b = blocks.blocks(inputs.structured(spark, sf)).select("doc", F.col("pos").alias("page"), plain(F.col("text")).alias("markdown"))
     t = spark.createDataFrame([("order",), ("URGENT",)], "term string")
-    return annotations.keyword_scan(b, t, 56).withColumnRenamed("page", "pos")
+    return annotations.keyword_scan(b, t, 56).drop("source").withColumnRenamed("page", "pos")
 
 
 def _events(spark, sf):
@@ -100,8 +99,7 @@ def st_progress_throttle(spark, sf):
 
 
 def _scratch(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pagewright-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{files.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def st_ingest(spark, sf):

@@ -9,7 +9,7 @@ from pagewright.operators import catalog
 from pagewright.plans import inputs
 from pagewright.plans.inputs import with_ctes
 
-VERSION = 2
+CURRENT = {"text_version": 2, "ocr_version": 1, "engine": "standard", "markdown_version": 3}
 
 
 def win_latest_version(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,8 +69,9 @@ def _claims(spark, sf):
 
 
 def _reusable(spark, sf):
-    d = inputs.catalogue(spark, sf)
-    return catalog.reusable(d.select("content_hash"), d, inputs.extracted(spark, sf), _claims(spark, sf), inputs.chunks(spark, sf), VERSION)
+    k = F.col("doc")
+    d = inputs.catalogue(spark, sf).withColumn("ocr_version", F.when(k % 13 == 0, 2).otherwise(1)).withColumn("engine", F.when(k % 17 == 0, "visual").otherwise("standard")).withColumn("markdown_version", F.when(k % 19 == 0, 2).otherwise(3))
+    return catalog.reusable(d.select("content_hash"), d, inputs.extracted(spark, sf), _claims(spark, sf), inputs.chunks(spark, sf), CURRENT)
 
 
 def join_reuse(spark, sf):
@@ -131,9 +132,9 @@ QUERIES = {
 
 _LATEST = ", latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_opened DESC, doc DESC) AS n FROM catalogue) WHERE n = 1 OR path IS NULL)"
 _SEEN = _LATEST + ", seen AS (SELECT DISTINCT doc, path FROM latest JOIN roots ON path = root OR (starts_with(path, root || '/') AND path[length(root) + 2 : length(root) + 3] <> '..') WHERE path_provenance = 'resolved')"
-_REUSE = """, state AS (SELECT doc, count(*) FILTER (status = 'unresolved') AS o, bool_and(trim(markdown) = '') AS blank FROM extracted GROUP BY doc),
+_REUSE = """, state AS (SELECT doc, count(*) FILTER (status = 'unresolved') AS o, bool_and(regexp_replace(markdown, '\\s', '', 'g') = '') AS blank, count(DISTINCT page) AS cached FROM extracted GROUP BY doc),
 n AS (SELECT doc, count(*) AS chunk_count FROM chunks GROUP BY doc),
-reuse AS (SELECT DISTINCT doc, (text_version = 2 AND doc % 3 <> 1 AND coalesce(o, 1) = 0 AND (coalesce(chunk_count, 0) > 0 OR coalesce(blank, true))) AS reusable, coalesce(chunk_count, 0) AS chunk_count
+reuse AS (SELECT DISTINCT doc, (text_version = 2 AND doc % 13 <> 0 AND doc % 17 <> 0 AND doc % 19 <> 0 AND doc % 3 <> 1 AND coalesce(o, 1) = 0 AND coalesce(cached = page_count, false) AND (coalesce(chunk_count, 0) > 0 OR coalesce(blank, true))) AS reusable, coalesce(chunk_count, 0) AS chunk_count
   FROM catalogue LEFT JOIN state USING (doc) LEFT JOIN n USING (doc))"""
 
 SQL = {

@@ -41,7 +41,7 @@ def join_page_sources(spark, sf):
 def join_region_text(spark, sf):
     """Regions of every third page: its own first line, and a line that the page doesn't have."""
     p = inputs.extracted(spark, sf)
-    r = p.where("page % 3 = 1").select("doc", "page", F.concat(F.regexp_extract("markdown", r"^([^\n]*)", 1), F.lit("\nFigure "), F.col("page").cast("string"), F.lit(" shows it")).alias("text"))
+    r = p.where("page % 3 = 1").select("doc", "page", F.concat(F.regexp_extract("markdown", r"^([^\n]*)", 1), F.lit("\n  Figure "), F.col("page").cast("string"), F.lit(" shows it \n**")).alias("text"))
     return coverage.merge_region_text(p.select("doc", "page", "markdown"), r)
 
 
@@ -76,7 +76,7 @@ def set_recognition_targets(spark, sf):
 
 
 def agg_extraction_profile(spark, sf):
-    return coverage.extraction_profile(inputs.extracted(spark, sf).withColumn("has_image", (F.col("doc") * 3 + F.col("page")) % 5 == 0))
+    return coverage.extraction_profile(inputs.extracted(spark, sf).withColumn("has_image", (F.col("doc") * 3 + F.col("page")) % 5 == 0), _ocr(spark, sf).where("doc % 3 = 0"))
 
 
 def agg_ocr_arbitration(spark, sf):
@@ -100,7 +100,7 @@ def sink_markdown(spark, sf):
     return output.export_markdown(p).withColumn("mode", F.lit("pages")).unionByName(output.export_markdown(p, "clean").withColumn("mode", F.lit("clean")))
 
 
-SELECTIONS = ("1", "1-2", "1,3-4", "2,2-3", "3-1", "", "x", "1-20000", "0", "1,500")
+SELECTIONS = ("1", "1-2", "1, 3 - 4", "2,2-3", "3-1", "", "x", "1-20000", "0", "1,500", "1 2", "1-9000,9001-12000", "x,3-1", "3-1,x")
 
 
 def _selections(spark, sf):
@@ -128,16 +128,12 @@ def win_content_budget(spark, sf):
     return output.content_budget(p, ["doc"], ["page"], "markdown", 1500).select("doc", "page", "kept", "omitted_bytes", "total_bytes")
 
 
-def _ascii(spark, sf):
-    return inputs.prose(spark, sf).withColumn("markdown", F.regexp_replace("markdown", r"[^\x00-\x7F]", "?"))
-
-
 def win_page_budget(spark, sf):
-    return output.page_budget(_ascii(spark, sf), 1200)
+    return output.page_budget(inputs.prose(spark, sf), 1200)
 
 
 def txt_text_pages(spark, sf):
-    t = _ascii(spark, sf).withColumn("offset", (F.col("page") * 10).cast("int")).where(F.length("markdown") > F.col("offset"))
+    t = inputs.prose(spark, sf).withColumn("offset", (F.col("page") * 10).cast("int"))
     x = t.withColumn("x", output.text_page(F.col("markdown"), F.col("offset"), F.lit(200)))
     return x.select(F.concat_ws(":", "doc", "page").alias("request_id"), "x.text", "x.next_offset", "x.omitted_bytes")
 
@@ -159,8 +155,8 @@ QUERIES = {
 _EX = "prose extracted"
 _OCR = """, ocr AS (SELECT doc, page, regexp_extract(markdown, '^(\\S*)', 1) AS markdown FROM prose WHERE (doc + page) % 7 = 0 AND page % 2 = 0)"""
 _CHARS = "length(regexp_replace(coalesce({0}, ''), '\\s', '', 'g'))"
-_CUT = "CASE WHEN length({t}) <= {n} THEN {t} WHEN contains({t}[1:{n}], chr(10)) THEN regexp_extract({t}[1:{n}], '(?s)^(.*\\n)', 1) ELSE {t}[1:{n}] END"
-_ASCII = ", plain AS (SELECT doc, page, regexp_replace(markdown, '[^\\x00-\\x7F]', '?', 'g') AS m FROM prose)"
+_HEAD = "{t}[1 : list_max(list_filter(range(greatest(0, {n} - (strlen({t}) - length({t}))), {n} + 1), lambda i: strlen({t}[1:i]) <= {n}))]"
+_CUT = "CASE WHEN strlen({t}) <= {n} THEN {t} WHEN regexp_matches(head, '(?s)^.+\\n') THEN regexp_extract(head, '(?s)^(.+)\\n', 1) ELSE head END"
 
 
 def _chars(c: str) -> str:
@@ -173,25 +169,26 @@ SQL = {
     "flt_sparse_pages": with_ctes(
         _EX,
         _OCR + f""", j AS (SELECT doc, page, {_chars('e.markdown')} AS n, {_chars('ocr.markdown')} AS o FROM extracted e LEFT JOIN ocr USING (doc, page))
-SELECT doc, page, n AS native_chars, CASE WHEN n >= 100 THEN 'native' WHEN o > n THEN 'ocr' WHEN n > 0 THEN 'native' ELSE 'none' END AS source, CASE WHEN n >= 100 THEN NULL WHEN o > n THEN 'recognised' WHEN n > 0 THEN 'sparse' ELSE 'empty' END AS warning FROM j""",
+SELECT doc, page, n AS native_chars, CASE WHEN n < 100 AND o > 0 THEN 'ocr' ELSE 'pdf' END AS source, CASE WHEN n = 0 AND o = 0 THEN 'no-text' WHEN n < 100 AND o = 0 THEN 'low-confidence' END AS warning FROM j""",
     ),
     "join_page_sources": with_ctes(
         _EX,
-        _OCR + """, j AS (SELECT doc, page, e.markdown AS m, ocr.markdown AS o, ocr.doc IS NOT NULL AS answered, trim(regexp_replace(e.markdown, '\\s+', ' ', 'g')) <> '' AS own,
-  coalesce(trim(regexp_replace(ocr.markdown, '\\s+', ' ', 'g')) <> '', false) AS got, (doc + page) % 7 = 0 AS asked FROM extracted e LEFT JOIN ocr USING (doc, page))
-SELECT doc, page, CASE WHEN own THEN m WHEN got THEN o ELSE '' END AS markdown, CASE WHEN NOT own AND got THEN 'ocr' ELSE 'pdf' END AS source, CASE WHEN own OR got THEN 'read' WHEN answered OR NOT asked THEN 'empty' ELSE 'unresolved' END AS status FROM j""",
+        _OCR + """, j AS (SELECT doc, page, regexp_replace(e.markdown, '^\\s+|\\s+$', '', 'g') AS m, coalesce(regexp_replace(ocr.markdown, '^\\s+|\\s+$', '', 'g'), '') AS o, (doc + page) % 13 = 0 AS flagged, (doc + page) % 7 = 0 AS asked FROM extracted e LEFT JOIN ocr USING (doc, page))
+SELECT doc, page, CASE WHEN flagged OR m = '' THEN o ELSE m END AS markdown, CASE WHEN NOT flagged AND m <> '' THEN 'pdf' WHEN o <> '' THEN 'ocr' ELSE 'none' END AS source,
+  CASE WHEN NOT flagged AND m <> '' OR o <> '' THEN 'read' WHEN asked THEN 'empty' ELSE 'unresolved' END AS status FROM j""",
     ),
     "join_region_text": with_ctes(
         _EX,
-        """, r AS (SELECT doc, page, string_split(regexp_extract(markdown, '^([^\\n]*)', 1) || chr(10) || 'Figure ' || page || ' shows it', chr(10)) AS l FROM extracted WHERE page % 3 = 1),
+        """, r AS (SELECT doc, page, string_split(regexp_extract(markdown, '^([^\\n]*)', 1) || chr(10) || '  Figure ' || page || ' shows it ' || chr(10) || '**', chr(10)) AS l FROM extracted WHERE page % 3 = 1),
 own AS (SELECT doc, page, markdown, """
         + plain_sql("markdown")
         + """ AS p FROM extracted), lines AS (SELECT doc, page, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM r),
-new AS (SELECT doc, page, string_agg(line, chr(10) ORDER BY n) AS more FROM lines JOIN own USING (doc, page) WHERE trim(line) <> '' AND NOT contains(p, """
+new AS (SELECT doc, page, string_agg(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), chr(10) ORDER BY n) AS more FROM lines JOIN own USING (doc, page) WHERE """
+        + plain_sql("line")
+        + """ <> '' AND NOT contains(p, """
         + plain_sql("line")
         + """) GROUP BY doc, page)
-SELECT doc, page, CASE WHEN more IS NULL THEN markdown WHEN trim(regexp_replace(markdown, '\\s+', ' ', 'g')) = '' THEN more ELSE markdown || chr(10) || chr(10) || more END AS markdown,
-  CASE WHEN more IS NULL THEN 'pdf' WHEN trim(regexp_replace(markdown, '\\s+', ' ', 'g')) = '' THEN 'ocr' ELSE 'mixed' END AS source FROM own LEFT JOIN new USING (doc, page)""",
+SELECT doc, page, CASE WHEN more IS NULL THEN markdown ELSE markdown || chr(10) || chr(10) || more END AS markdown, CASE WHEN more IS NULL THEN 'pdf' ELSE 'mixed' END AS source FROM own LEFT JOIN new USING (doc, page)""",
     ),
     "agg_text_source": with_ctes(
         _EX,
@@ -221,9 +218,9 @@ UNION ALL SELECT doc, 'version', 1, text_version FROM catalogue WHERE text_versi
     "set_recognition_targets": with_ctes(_EX, "SELECT doc, page FROM extracted WHERE (doc + page) % 13 = 0 OR trim(regexp_replace(markdown, '\\s+', ' ', 'g')) = '' OR page % 4 = 0"),
     "agg_extraction_profile": with_ctes(
         _EX,
-        f""", n AS (SELECT doc, max(page) AS n FROM extracted GROUP BY doc), s AS (SELECT doc, sum({_chars('markdown')}) AS chars, count(*) FILTER ({_chars('markdown')} < 100) AS sparse, count(*) FILTER ((doc * 3 + page) % 5 = 0) AS images, count(*) AS k
+        _OCR + f""", n AS (SELECT doc, max(page) AS n FROM extracted GROUP BY doc), s AS (SELECT doc, sum({_chars('markdown')}) AS chars, count(*) FILTER ({_chars('markdown')} < 100) AS sparse, count(*) FILTER ((doc * 3 + page) % 5 = 0) AS images, count(*) AS k
   FROM extracted JOIN n USING (doc) WHERE page <= 3 OR page = ceil(n / 2.0) OR page = n GROUP BY doc)
-SELECT doc, CAST(chars AS BIGINT) AS chars, sparse, images, CASE WHEN sparse * 2 > k THEN 'ocr' WHEN images * 2 >= k THEN 'layout' ELSE 'text' END AS engine FROM s""",
+SELECT doc, CAST(chars AS BIGINT) AS chars, sparse, images, CASE WHEN (chars < 600 OR sparse / k >= 0.6) AND (images > 0 OR doc IN (SELECT doc FROM ocr WHERE doc % 3 = 0)) THEN 'visual' ELSE 'standard' END AS engine FROM s""",
     ),
     "agg_ocr_arbitration": with_ctes(_EX, f"SELECT count(*) AS pages, count(*) FILTER (((doc + page) % 13 = 0) <> ({_chars('markdown')} < 100)) AS disagreements FROM extracted"),
     "flt_image_regions": with_ctes(
@@ -240,8 +237,8 @@ UNION ALL SELECT doc, 'clean', string_agg(trim(markdown), chr(10) || chr(10) ORD
     "flt_page_selection": with_ctes(
         "prose",
         """, n AS (SELECT doc, max(page) AS n FROM prose GROUP BY doc),
-s AS (SELECT doc, n, CASE doc % 10 WHEN 0 THEN [1] WHEN 1 THEN [1, 2] WHEN 2 THEN [1, 3, 4] WHEN 3 THEN [2, 3] WHEN 9 THEN [1, 500] ELSE [1] END AS l, doc % 10 AS k FROM n),
-r AS (SELECT *, CASE WHEN k IN (5, 6) THEN 'malformed' WHEN k IN (4, 8) THEN 'reversed' WHEN k = 7 THEN 'too-long' WHEN list_max(l) > n THEN 'beyond-end' END AS refusal FROM s),
+s AS (SELECT doc, n, CASE doc % 14 WHEN 0 THEN [1] WHEN 1 THEN [1, 2] WHEN 2 THEN [1, 3, 4] WHEN 3 THEN [2, 3] WHEN 9 THEN [1, 500] ELSE [1] END AS l, doc % 14 AS k FROM n),
+r AS (SELECT *, CASE WHEN k IN (5, 6, 8, 10, 12) THEN 'malformed' WHEN k IN (4, 13) THEN 'reversed' WHEN k IN (7, 11) THEN 'too-long' WHEN list_max(l) > n THEN 'beyond-end' END AS refusal FROM s),
 e AS (SELECT doc, refusal, CASE WHEN refusal IS NULL THEN unnest(CASE WHEN refusal IS NULL THEN l ELSE [0] END) END AS page FROM (SELECT * FROM r))
 SELECT e.doc, e.page, refusal, length(markdown) AS chars FROM e LEFT JOIN prose p ON e.doc = p.doc AND e.page = p.page""",
     ),
@@ -258,13 +255,14 @@ SELECT doc, page, kept, CAST(sum(CASE WHEN kept THEN 0 ELSE n END) OVER (PARTITI
     ),
     "win_page_budget": with_ctes(
         "prose",
-        _ASCII + """, b AS (SELECT *, CAST(1200 - coalesce(sum(length(m)) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS room, row_number() OVER (PARTITION BY doc ORDER BY page) AS n FROM plain),
-c AS (SELECT *, """ + _CUT.format(t="m", n="room") + """ AS t FROM b WHERE room > 0 OR n = 1)
-SELECT doc, page, t AS markdown, length(t) < length(m) AS shortened FROM c WHERE length(t) > 0 OR n = 1""",
+        """, b AS (SELECT doc, page, markdown AS m, CAST(1200 - coalesce(sum(strlen(markdown)) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS room, row_number() OVER (PARTITION BY doc ORDER BY page) AS n FROM prose),
+h AS (SELECT *, CASE WHEN strlen(m) > room THEN """ + _HEAD.format(t="m", n="room") + """ END AS head FROM b WHERE room > 0 OR n = 1), c AS (SELECT *, """ + _CUT.format(t="m", n="room") + """ AS t FROM h)
+SELECT doc, page, t AS markdown, strlen(t) < strlen(m) AS shortened FROM c WHERE t <> '' OR m = '' OR n = 1""",
     ),
     "txt_text_pages": with_ctes(
         "prose",
-        _ASCII + """, r AS (SELECT doc, page, m, page * 10 AS o, m[page * 10 + 1 :] AS rest FROM plain WHERE length(m) > page * 10), c AS (SELECT *, """ + _CUT.format(t="rest", n="200") + """ AS t FROM r)
-SELECT doc || ':' || page AS request_id, t AS text, CASE WHEN o + length(t) < length(m) THEN o + length(t) END AS next_offset, length(m) - o - length(t) AS omitted_bytes FROM c""",
+        """, r AS (SELECT doc, page, markdown AS m, least(page * 10, length(markdown)) AS o, markdown[least(page * 10, length(markdown)) + 1 :] AS rest FROM prose), h AS (SELECT *, CASE WHEN strlen(rest) > 200 THEN """ + _HEAD.format(t="rest", n="200") + """ END AS head FROM r),
+c AS (SELECT *, """ + _CUT.format(t="rest", n="200") + """ AS t FROM h)
+SELECT doc || ':' || page AS request_id, t AS text, CASE WHEN o + length(t) < length(m) THEN o + length(t) END AS next_offset, strlen(m[o + length(t) + 1 :]) AS omitted_bytes FROM c""",
     ),
 }

@@ -68,9 +68,20 @@ def top_comments_order(spark, sf):
     return ops.reading_order(_annotations(spark, sf))
 
 
+KINDS = ("comment", "highlight", "bookmark", "text", "signature", "underline")
+
+
+def _noted(spark, sf):
+    """Annotations of six kinds: every eleventh without a note, every fourth with characters to escape, every second with a quote."""
+    k = F.col("annotation_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in KINDS]), (k % 6 + 1).cast("int"))
+    note = F.when(k % 11 == 0, "  ").when(k % 4 == 0, F.concat("note", F.lit(" `a\\b` "))).otherwise(F.col("note"))
+    return _annotations(spark, sf).withColumn("type", kind).withColumn("note", note).withColumn("quote", F.when(k % 2 == 0, F.concat(F.lit("the quoted é "), k.cast("string"))))
+
+
 def join_annotation_export(spark, sf):
     p = inputs.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("page"))
-    return ops.export_blocks(p, _annotations(spark, sf))
+    return ops.export_blocks(p, _noted(spark, sf))
 
 
 def win_comment_pages(spark, sf):
@@ -78,10 +89,10 @@ def win_comment_pages(spark, sf):
 
     from pagewright.operators.output import comment_pages
 
-    a = _annotations(spark, sf)
+    a = _noted(spark, sf)
     total = F.count(F.lit(1)).over(Window.partitionBy("doc"))
-    c = ops.reading_order(a).join(a.select("annotation_id", "note"), "annotation_id").withColumn("total", total)
-    return comment_pages(c, 2, 5, 60)
+    c = ops.reading_order(a).join(a.select("annotation_id", "note", "quote", "author"), "annotation_id").withColumn("total", total)
+    return comment_pages(c, 2, 110)
 
 
 def flt_safe_links(spark, sf):
@@ -99,20 +110,25 @@ def join_internal_links(spark, sf):
     return ops.internal_links(links, first.groupBy("name").agg(F.min("page_id").alias("target")))
 
 
-TERMS = ("the", "tion", "License", "de la", "zz-none")
+TERMS = (" the ", "tion", "License", "de la", "zz-none", " ")
 
 
 def _terms(spark):
     return spark.createDataFrame([(t,) for t in TERMS], "term string")
 
 
+def _recognised(spark, sf):
+    """Recognised text of every third page; it counts on the sparse ones."""
+    return inputs.prose(spark, sf).where("page % 3 = 1").select("doc", "page", F.concat(F.lit("The licensed  Tion of the page "), F.col("page").cast("string")).alias("markdown"))
+
+
 def txt_keyword_scan(spark, sf):
-    return ops.keyword_scan(inputs.prose(spark, sf), _terms(spark).where("term <> 'the'"))
+    return ops.keyword_scan(inputs.prose(spark, sf), _terms(spark), ocr=_recognised(spark, sf))
 
 
 def agg_find_matches(spark, sf):
-    p = inputs.prose(spark, sf).crossJoin(F.broadcast(_terms(spark)))  # five terms
-    n = F.regexp_count(F.lower("markdown"), F.concat(F.lit("\\Q"), F.lower("term"), F.lit("\\E")))
+    p = ops.searched_text(inputs.prose(spark, sf), _recognised(spark, sf)).crossJoin(F.broadcast(_terms(spark)))  # six terms
+    n = F.when(F.trim("term") == "", 0).otherwise(F.regexp_count(F.lower("text"), F.concat(F.lit("\\Q"), F.lower(F.trim("term")), F.lit("\\E"))))
     return p.groupBy("doc", "term").agg(F.sum(n).alias("matches"))
 
 
@@ -123,17 +139,20 @@ def win_nth_occurrence(spark, sf):
 
 
 def agg_repetitive_descriptions(spark, sf):
-    d = inputs.table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("text"))
-    return ops.repetitive(d.unionByName(d.select(F.concat(F.lit("loop:"), "id").alias("id"), F.repeat(F.concat(F.left("text", F.lit(20)), F.lit(". ")), F.lit(4)).alias("text"))))
+    """Turns of conversations, and the start of each said seven times."""
+    d = inputs.table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    return ops.repetitive(d.unionByName(d.select(F.concat(F.lit("loop:"), "id").alias("id"), F.repeat(F.concat(F.left("text", F.lit(20)), F.lit("; ")), F.lit(7)).alias("text"))))
 
 
 def txt_image_descriptions(spark, sf):
-    """Documents of three images with a caption each; every third caption already stands above its image."""
+    """Documents of three images with a description each: some too short, some looping; every third stands above its
+    image already, on two lines."""
     d = inputs.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc"), "c_mktsegment")
-    cap = lambda i: F.concat(F.lit("a "), F.lower("c_mktsegment"), F.lit(f" picture {i}"))
-    above = lambda i: F.when((F.col("doc") + i) % 3 == 0, F.concat(cap(i), F.lit("\n"))).otherwise("")
-    md = F.concat(*[x for i in (1, 2, 3) for x in (F.lit(f"text {i}\n"), above(i), F.lit(f"![image {i}](img{i}.png)\n"))])
-    desc = d.select("doc", F.explode(F.array(*[F.struct(F.lit(i).alias("image_no"), cap(i).alias("description")) for i in (1, 2, 3)])).alias("x")).select("doc", "x.image_no", "x.description")
+    cap = lambda i, end: F.concat(F.lit(f"a drawing of the{end}"), F.lower("c_mktsegment"), F.lit(f" picture {i}"))
+    above = lambda i: F.when((F.col("doc") + i) % 3 == 0, F.concat(F.lit("\n"), cap(i, "\n"), F.lit("\n\n"))).otherwise("")
+    md = F.concat(*[x for i in (1, 2, 3) for x in (F.lit(f"text {i}\n"), above(i), F.lit(f"see ![image {i}](img{i}.png) here\n\n"))])
+    given = lambda i: F.when((F.col("doc") + i) % 7 == 0, "too short").when((F.col("doc") + i) % 7 == 1, "red, red, red, red, red, red, red").when((F.col("doc") + i) % 7 == 2, F.concat(F.lit("**Image description:** "), cap(i, " "))).otherwise(cap(i, " "))
+    desc = d.select("doc", F.explode(F.array(*[F.struct(F.lit(i).alias("image_no"), given(i).alias("description")) for i in (1, 2, 3)])).alias("x")).select("doc", "x.image_no", "x.description")
     return ops.image_descriptions(d.select("doc", md.alias("markdown")), desc)
 
 
@@ -148,6 +167,12 @@ QUERIES = {
 _ANN = """WITH ann AS (SELECT o_orderkey AS annotation_id, o_custkey AS doc, CAST(o_orderkey % 7 + 1 AS INT) AS page, CASE o_orderkey % 3 WHEN 0 THEN 'highlight' WHEN 1 THEN 'underline' ELSE 'text' END AS type,
   'author-' || o_orderkey % 5 AS author, o_orderpriority || ' ' || o_orderkey AS note, (o_orderkey * 13 % 700)::DOUBLE AS top, (o_orderkey * 7 % 500)::DOUBLE AS "left", CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey - 1 END AS in_reply_to FROM orders)
 """
+_NOTED = _ANN.rstrip() + """, noted AS (SELECT annotation_id, doc, page, top, "left", author, ['comment', 'highlight', 'bookmark', 'text', 'signature', 'underline'][annotation_id % 6 + 1] AS type,
+  CASE WHEN annotation_id % 11 = 0 THEN '  ' WHEN annotation_id % 4 = 0 THEN note || ' `a\\b` ' ELSE note END AS note, CASE WHEN annotation_id % 2 = 0 THEN 'the quoted é ' || annotation_id END AS quote FROM ann)
+"""
+_TEXT = """, terms AS (SELECT unnest([' the ', 'tion', 'License', 'de la', 'zz-none', ' ']) AS term), own AS (SELECT doc, page, trim(regexp_replace(markdown, '\\s+', ' ', 'g')) AS t FROM prose),
+searched AS (SELECT doc, page, CASE WHEN page % 3 = 1 AND length(regexp_replace(t, '\\s', '', 'g')) < 100 THEN 'The licensed  Tion of the page ' || page ELSE t END AS text, CASE WHEN page % 3 = 1 AND length(regexp_replace(t, '\\s', '', 'g')) < 100 THEN 'ocr' ELSE 'pdf' END AS source FROM own)
+"""
 _POS = """, hits AS (SELECT doc, page, markdown, term, list_transform(string_split(lower(markdown), lower(term)), lambda x: length(x)) AS n FROM prose, terms),
 starts AS (SELECT doc, page, markdown, term, i - 1 AS ordinal, CAST(list_sum(n[1:i]) + (i - 1) * length(term) AS INT) AS start FROM (SELECT *, unnest(range(1, len(n))) AS i FROM hits))
 """
@@ -161,26 +186,31 @@ SELECT annotation_id, CASE k WHEN 0 THEN 2 WHEN 1 THEN NULL WHEN 5 THEN NULL ELS
     "join_replies": _ANN + "SELECT a.annotation_id, b.annotation_id AS reply_to FROM ann a LEFT JOIN ann b ON a.doc = b.doc AND a.in_reply_to = b.annotation_id",
     "join_annotation_dedupe": _ANN + "SELECT annotation_id::VARCHAR AS annotation_id, page, type, author, note, CASE WHEN page <= 2 THEN 'own' ELSE 'foreign' END AS origin FROM ann WHERE page <= 2 OR type IN ('highlight', 'text')",
     "top_comments_order": _ANN + 'SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page, top DESC, "left", annotation_id) AS seq, annotation_id FROM ann',
-    "join_annotation_export": _ANN + """, b AS (SELECT doc, page, '### Annotations' || chr(10) || chr(10) || string_agg('- **' || CASE type WHEN 'highlight' THEN 'Highlight' WHEN 'underline' THEN 'Underline' ELSE 'Note' END || '**: ' || note, chr(10) ORDER BY top DESC, "left", annotation_id) AS block FROM ann GROUP BY doc, page)
+    "join_annotation_export": _NOTED + """, b AS (SELECT doc, page, '### Annotations' || chr(10) || chr(10) || string_agg('- **' || CASE type WHEN 'comment' THEN 'Comment' WHEN 'highlight' THEN 'Highlight' WHEN 'bookmark' THEN 'Bookmark' WHEN 'text' THEN 'Text' WHEN 'signature' THEN 'Signature' ELSE 'Annotation' END
+  || ':** ' || CASE WHEN trim(note) = '' THEN 'Signature' ELSE replace(replace(trim(note), '\\', '\\\\'), '`', '\\`') END, chr(10) ORDER BY top, "left", annotation_id) AS block FROM noted WHERE trim(note) <> '' OR type = 'signature' GROUP BY doc, page)
 SELECT c_custkey AS doc, p.page, block FROM customer JOIN (SELECT unnest(range(1, 8))::INT AS page) p ON true LEFT JOIN b ON b.doc = c_custkey AND b.page = p.page""",
-    "win_comment_pages": _ANN + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, top DESC, "left", annotation_id) AS seq, count(*) OVER (PARTITION BY doc) AS total FROM ann),
-k AS (SELECT *, sum(least(strlen(note), 4000)) OVER (PARTITION BY doc ORDER BY seq) AS s, row_number() OVER (PARTITION BY doc ORDER BY seq) AS n FROM o WHERE seq > 2 AND seq <= 7), f AS (SELECT * FROM k WHERE s <= 60 OR n = 1)
-SELECT doc, seq AS comment_no, CASE WHEN max(seq) OVER (PARTITION BY doc) < total THEN max(seq) OVER (PARTITION BY doc) END AS next_offset FROM f""",
+    "win_comment_pages": _NOTED + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, top DESC, "left", annotation_id) AS seq, count(*) OVER (PARTITION BY doc) AS total FROM noted),
+k AS (SELECT *, sum(strlen(note) + coalesce(strlen(quote), 0) + strlen(author)) OVER (PARTITION BY doc ORDER BY seq) <= 110 AS ok FROM o WHERE seq > 2), n AS (SELECT *, 2 + count(*) FILTER (ok) OVER (PARTITION BY doc) AS e FROM k)
+SELECT doc, CASE WHEN ok THEN seq END AS comment_no, CASE WHEN e < total THEN e::INT END AS next_offset FROM n WHERE ok OR seq = 3""",
     "flt_safe_links": """SELECT page_id, url, regexp_extract(url, '^([a-z]+):', 1) AS scheme, true AS ok FROM pages
 UNION ALL SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'mailto:a' || page_id || '@example.org' WHEN 1 THEN 'javascript:alert(1)' WHEN 2 THEN '/relative/path' ELSE 'file:///x/' || page_id END,
   CASE page_id % 4 WHEN 0 THEN 'mailto' WHEN 1 THEN 'javascript' WHEN 3 THEN 'file' END, page_id % 4 = 0 FROM pages""",
     "join_internal_links": """WITH links AS (SELECT page_id, unnest(l) AS name, generate_subscripts(l, 1) - 1 AS link_no FROM (SELECT page_id, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS l FROM pages)),
 names AS (SELECT regexp_extract(html, 'href="/([^"]*)"', 1) AS name, min(page_id) AS target FROM pages WHERE page_id % 2 = 0 GROUP BY 1 HAVING name <> '')
 SELECT page_id, link_no, target, target IS NULL AS broken FROM links LEFT JOIN names USING (name)""",
-    "txt_keyword_scan": with_ctes("prose", ", terms AS (SELECT unnest(['tion', 'License', 'de la', 'zz-none']) AS term)" + _POS + """SELECT doc, page, term, ordinal, start, CASE WHEN start > 42 THEN '...' ELSE '' END || markdown[greatest(0, start - 42) + 1 : least(length(markdown), start + length(term) + 42)] || CASE WHEN start + length(term) + 42 < length(markdown) THEN '...' ELSE '' END AS snippet FROM starts"""),
-    "agg_find_matches": with_ctes("prose", ", terms AS (SELECT unnest(['the', 'tion', 'License', 'de la', 'zz-none']) AS term) SELECT doc, term, CAST(sum(len(string_split(lower(markdown), lower(term))) - 1) AS BIGINT) AS matches FROM prose, terms GROUP BY doc, term"),
+    "txt_keyword_scan": with_ctes("prose", _TEXT + """, hits AS (SELECT doc, page, text, source, term, trim(term) AS w, list_transform(string_split(lower(text), lower(trim(term))), lambda x: length(x)) AS n FROM searched, terms WHERE trim(term) <> ''),
+starts AS (SELECT *, i - 1 AS ordinal, CAST(list_sum(n[1:i]) + (i - 1) * length(w) AS INT) AS start FROM (SELECT *, unnest(range(1, len(n))) AS i FROM hits))
+SELECT doc, page, term, ordinal, start, CASE WHEN start > 42 THEN '...' ELSE '' END || text[greatest(0, start - 42) + 1 : least(length(text), start + length(w) + 42)] || CASE WHEN start + length(w) + 42 < length(text) THEN '...' ELSE '' END AS snippet, source FROM starts"""),
+    "agg_find_matches": with_ctes("prose", _TEXT + "SELECT doc, term, CAST(sum(CASE WHEN trim(term) = '' THEN 0 ELSE len(string_split(lower(text), lower(trim(term)))) - 1 END) AS BIGINT) AS matches FROM searched, terms GROUP BY doc, term"),
     "win_nth_occurrence": with_ctes(
         "prose",
         ", terms AS (SELECT 'on' AS term)" + _POS + """, l AS (SELECT doc, page, list(start ORDER BY start) AS s FROM starts GROUP BY doc, page)
 SELECT p.doc || ':' || p.page AS request_id, coalesce(s[p.doc % 6 + 1], s[1]) AS start FROM prose p LEFT JOIN l ON p.doc = l.doc AND p.page = l.page""",
     ),
-    "agg_repetitive_descriptions": """WITH d0 AS (SELECT conv_id || ':' || turn AS id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM conversations), d AS (SELECT * FROM d0 UNION ALL SELECT 'loop:' || id, repeat(text[1:20] || '. ', 4) FROM d0),
-s AS (SELECT id, s, count(*) AS c FROM (SELECT id, lower(trim(unnest(regexp_split_to_array(text, '[.;\\n]+')))) AS s FROM d) WHERE s <> '' GROUP BY ALL)
-SELECT id, CAST(sum(c) AS BIGINT) AS segments, count(*) AS distinct_segments, sum(c) >= 6 AND (max(c) >= 3 OR count(*) / sum(c) < 0.55) AS repetitive FROM s GROUP BY id""",
-    "txt_image_descriptions": "SELECT c_custkey AS doc, i::INT AS image_no, 'a ' || lower(c_mktsegment) || ' picture ' || i AS description FROM customer, (SELECT unnest([1, 2, 3]) AS i) WHERE (c_custkey + i) % 3 <> 0",
+    "agg_repetitive_descriptions": """WITH d0 AS (SELECT conv_id || ':' || turn AS id, text FROM conversations), d AS (SELECT * FROM d0 UNION ALL SELECT 'loop:' || id, repeat(text[1:20] || '; ', 7) FROM d0),
+l AS (SELECT id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[;,]+'), lambda x: lower(trim(regexp_replace(x, '\\s+', ' ', 'g')))), lambda x: length(x) > 2) AS s FROM d),
+c AS (SELECT id, len(s) AS n, len(list_distinct(s)) AS k, list_max(list_transform(list_distinct(s), lambda x: len(list_filter(s, lambda y: y = x)))) AS m FROM l)
+SELECT id, n AS segments, k AS distinct_segments, coalesce(n >= 6 AND (m >= 3 OR k / n < 0.55), false) AS repetitive FROM c""",
+    "txt_image_descriptions": """SELECT c_custkey AS doc, i::INT AS image_no, CASE WHEN (c_custkey + i) % 7 > 1 THEN 'a drawing of the ' || lower(c_mktsegment) || ' picture ' || i END AS description, (c_custkey + i) % 3 = 0 AND (c_custkey + i) % 7 > 2 AS replaces_block
+FROM customer, (SELECT unnest([1, 2, 3]) AS i)""",
 }

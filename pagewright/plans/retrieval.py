@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import bow_vector, chunk_id, fingerprint, plain, snippet, tokens
-from pagewright.operators import lexical, search
+from pagewright.operators import catalog, lexical, search
 from pagewright.plans import inputs
 from pagewright.plans.inputs import with_ctes
 
@@ -23,11 +23,14 @@ def _plan(spark, sf):
 
 
 def _matches(spark, sf):
-    return lexical.phrase_matches(_index(spark, sf), _plan(spark, sf))
+    plan = _plan(spark, sf)
+    return lexical.phrase_matches(lexical.asked_words(inputs.chunks(spark, sf), plan), plan)
 
 
 def _exact(spark, sf):
-    return lexical.bm25(_matches(spark, sf), lexical.chunk_lengths(inputs.chunks(spark, sf)))
+    c = inputs.chunks(spark, sf)
+    plan = _plan(spark, sf)
+    return lexical.bm25(lexical.part_matches(lexical.asked_words(c, plan), plan), lexical.chunk_lengths(c))
 
 
 def _vectors(spark, sf):
@@ -80,9 +83,9 @@ def agg_embed_bow(spark, sf):
 
 
 def join_semantic(spark, sf):
-    """The given vectors against the first five of them."""
+    """The given vectors against every hundredth of them."""
     e = inputs.table(spark, sf, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     return search.semantic_scores(q, e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc"), F.col("embedding").alias("vector")))
 
 
@@ -132,10 +135,23 @@ def top_depth_ladder(spark, sf):
 
 
 def library_search(spark, sf):
-    """The whole search: both rankings, depth ladder, cap, then text, snippet and order. The flagship."""
-    s, e = _ranked(spark, sf)
-    hits = search.late_text(search.depth_ladder(s, e), inputs.chunks(spark, sf))
-    return hits.select("query_id", F.col("place").alias("rank"), "chunk_id", "doc", "page", "score", "semantic_score", "matched_by", snippet(plain(F.col("text"))).alias("snippet"))
+    """The whole search, the flagship: latest versions, grants and scope decide what is searched; queries of all modes,
+    some refused; then text, snippet, and what the catalogue says of each hit."""
+    c, d = inputs.chunks(spark, sf), inputs.catalogue(spark, sf)
+    latest = catalog.latest_versions(d).where("path is not null")
+    searched, counts = search.library_documents(latest, catalog.discoverable(latest, inputs.roots(spark)), c.where("doc % 4 <> 1"))
+    i = F.col("query_id") % 5
+    q = inputs.queries(spark, sf).withColumn("mode", F.when(i == 3, "semantic").when(i >= 2, "exact").otherwise("hybrid"))
+    q = q.withColumn("min_score", F.lit(LEAST)).withColumn("explicit_min_score", (i == 4) & (F.col("query_id") % 2 == 0))
+    plan = lexical.plan_queries(q)
+    vectors = _vectors(spark, sf).where("doc % 4 <> 1")
+    hits = search.library_search(plan, _asked(spark, sf), lexical.asked_words(c, plan), lexical.chunk_lengths(c), vectors, searched)
+    hits = hits.join(c.select("chunk_id", "page", "text"), "chunk_id", "left")
+    hits = hits.join(d.select("doc", "content_hash", "path", F.col("last_opened").alias("snapshot_recorded_at")), "doc", "left").crossJoin(F.broadcast(counts))  # one row
+    return hits.select(
+        "query_id", "status", "mode", F.col("place").alias("rank"), "chunk_id", "doc", "page", "score", "semantic_score", "matched_by", snippet(plain(F.col("text"))).alias("snippet"), "candidates_truncated",
+        "content_hash", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "path", "snapshot_recorded_at", "documents_searched", "documents_not_discoverable", "documents_outside_scope",
+    )
 
 
 def join_eligible(spark, sf):
@@ -208,13 +224,13 @@ def _fused_sql(body: str) -> str:
     return with_ctes(_ALL, _FUSED + body)
 
 
-def _ladder_sql(body: str) -> str:
+def _ladder_sql(body: str, before: str = "", s: str = "semantic", e: str = "exact", ctes: str = _ALL) -> str:
     return with_ctes(
-        _ALL,
-        f""",
+        ctes,
+        before + f""",
 ladder AS (SELECT unnest([50, 100, 200, 400, 800, 1600]) AS depth),
-all_s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM semantic),
-all_e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS place FROM exact),
+all_s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM {s}),
+all_e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS place FROM {e}),
 ls AS (SELECT * FROM all_s, ladder WHERE place <= depth), le AS (SELECT * FROM all_e, ladder WHERE place <= depth),
 filled AS (SELECT query_id, depth, bool_or(n >= depth) AS is_full FROM (SELECT query_id, depth, count(*) AS n FROM ls GROUP BY ALL UNION ALL SELECT query_id, depth, count(*) FROM le GROUP BY ALL) GROUP BY ALL),
 fused AS (SELECT query_id, depth, chunk_id, doc, round(coalesce(1.0 / (60 + s.place), 0) + coalesce(1.0 / (60 + e.place), 0), 9) AS score, s.score AS semantic_score,
@@ -240,12 +256,12 @@ parts AS (SELECT query_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS part
 tokens AS (SELECT query_id, part, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS token_no FROM parts)
 SELECT query_id, status, mode, min_score, part, token_no, token FROM status LEFT JOIN tokens USING (query_id)""",
     ),
-    "join_phrase": with_ctes("prose chunks postings queries parts phrase_tf", "SELECT query_id, part - 1 AS part, chunk_id, tf FROM phrase_tf"),
+    "join_phrase": with_ctes("prose chunks postings queries parts phrase_tf matches", "SELECT query_id, part - 1 AS part, chunk_id, tf FROM phrase_tf JOIN matches USING (query_id, chunk_id)"),
     "agg_doc_stats": with_ctes("prose chunks postings", "SELECT token, count(DISTINCT (chunk_id)) AS df, (SELECT count(*) FROM words) AS n, (SELECT round(avg(len(t)), 6) FROM words) AS avgdl FROM occurrences GROUP BY token"),
     "agg_bm25": with_ctes(_LEX, "SELECT query_id, chunk_id, doc, rank FROM exact"),
     "top_exact": with_ctes(_LEX, "SELECT query_id, chunk_id, doc, score, rank FROM (SELECT query_id, chunk_id, doc, rank AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS rank FROM exact) WHERE rank <= 10"),
     "agg_embed_bow": with_ctes("prose chunks queries bow", "SELECT chunk_id, slot, round(c / sqrt(sum(c * c) OVER (PARTITION BY chunk_id)), 6) AS x FROM chunk_counts"),
-    "join_semantic": "SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label AS doc, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5",
+    "join_semantic": "SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label AS doc, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0",
     "flt_min_score": with_ctes("prose chunks queries bow semantic", "SELECT query_id, chunk_id, score FROM semantic"),
     "top_semantic": with_ctes("prose chunks queries bow semantic", "SELECT query_id, chunk_id, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM semantic) WHERE rank <= 10"),
     "join_fuse_rrf": _fused_sql("SELECT * FROM fused"),
@@ -257,7 +273,20 @@ SELECT query_id, status, mode, min_score, part, token_no, token FROM status LEFT
     "join_late_text": _fused_sql("SELECT query_id, place AS rank, chunk_id, page, length(text) AS chars FROM ordered JOIN chunks USING (chunk_id) WHERE place <= 12"),
     "txt_snippets": _fused_sql(f"SELECT query_id, chunk_id, {snippet_sql('text')} AS snippet FROM ordered JOIN chunks USING (chunk_id) WHERE place <= 12"),
     "top_depth_ladder": _ladder_sql("SELECT query_id, depth, chunk_id, place AS rank, candidates_truncated FROM answer"),
-    "library_search": _ladder_sql(f"SELECT query_id, place AS rank, chunk_id, a.doc, page, score, semantic_score, matched_by, {snippet_sql('text')} AS snippet FROM answer a JOIN chunks USING (chunk_id)"),
+    "library_search": _ladder_sql(
+        f"""SELECT query_id, status, mode, place AS rank, chunk_id, a.doc, page, score, semantic_score, matched_by, CASE WHEN text IS NOT NULL THEN {snippet_sql('text')} END AS snippet, coalesce(candidates_truncated, false) AS candidates_truncated,
+  content_hash, regexp_extract(path, '([^/]*)$', 1) AS name, path, last_opened AS snapshot_recorded_at, documents_searched, documents_not_discoverable, documents_outside_scope
+FROM modes LEFT JOIN answer a USING (query_id) LEFT JOIN chunks USING (chunk_id) LEFT JOIN catalogue ON catalogue.doc = a.doc, counts""",
+        """, latest AS (SELECT doc, path, path_provenance FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_opened DESC, doc DESC) AS n FROM catalogue WHERE path IS NOT NULL) WHERE n = 1),
+seen AS (SELECT DISTINCT doc FROM latest JOIN roots ON path = root OR (starts_with(path, root || '/') AND path[length(root) + 2 : length(root) + 3] <> '..') WHERE path_provenance = 'resolved'),
+inside AS (SELECT DISTINCT doc FROM chunks WHERE doc % 4 <> 1), searched AS (SELECT doc FROM seen JOIN inside USING (doc)),
+counts AS (SELECT (SELECT count(*) FROM searched) AS documents_searched, (SELECT count(*) FROM latest) - (SELECT count(*) FROM seen) AS documents_not_discoverable, (SELECT count(*) FROM seen) - (SELECT count(*) FROM searched) AS documents_outside_scope),
+said AS (SELECT query_id, CASE WHEN query_id % 5 = 3 THEN 'semantic' WHEN query_id % 5 >= 2 THEN 'exact' ELSE 'hybrid' END AS m, query_id % 5 = 4 AND query_id % 2 = 0 AS refused, (SELECT count(*) FROM part_tokens p WHERE p.query_id = q.query_id) AS w FROM queries q),
+modes AS (SELECT query_id, CASE WHEN refused THEN 'refused' WHEN w = 0 AND m = 'exact' THEN 'no-words' ELSE 'ok' END AS status, CASE WHEN w = 0 AND m = 'hybrid' THEN 'semantic' ELSE m END AS mode FROM said),
+sem AS (SELECT semantic.* FROM semantic JOIN searched USING (doc) JOIN modes USING (query_id) WHERE status = 'ok' AND mode <> 'exact'),
+exa AS (SELECT exact.* FROM exact JOIN searched USING (doc) JOIN modes USING (query_id) WHERE status = 'ok' AND mode <> 'semantic')""",
+        "sem", "exa", _ALL + " catalogue roots",
+    ),
     "join_eligible": with_ctes("prose chunks", "SELECT chunk_id FROM chunks WHERE doc % 2 = 0"),
     "join_missing_postings": with_ctes("prose chunks postings", "SELECT chunk_id FROM words WHERE doc % 5 = 0 AND len(t) > 0"),
     "txt_plain": with_ctes("structured", f"SELECT doc, page, {plain_sql('markdown')} AS plain FROM structured"),

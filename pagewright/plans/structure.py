@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,7 +141,7 @@ def src_synthetic_library(spark, sf):
 
 def sink_passages(spark, sf):
     """Written to the shared folder, in buckets of documents."""
-    at = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pagewright-")) + "/passages"
+    at = f"{files.shared_folder(spark)}/passages-{uuid.uuid4().hex}"
     c = inputs.chunks(spark, sf)
     return files.write_passages({"chunks": c, "pages": inputs.prose(spark, sf)}, at, 8)
 
