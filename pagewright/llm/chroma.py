@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagewright.llm.common import fields, give, hold, materialize
+from pagewright.llm.common import fields, give, hold, materialize, small_batches
 
 RATE, FRAME, HOP = 5512, 2048, 512
 WIDTH = 8  # frames that a filter spans
@@ -106,6 +108,8 @@ def fingerprint_audio(df: DataFrame, audio: str = "audio") -> DataFrame:
     names, in any case, are replaced; all others stay, whatever their names.
     """
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf("n_frames int, fingerprint binary")
     def make(values: pd.Series) -> pd.DataFrame:
         prints = [fingerprint(v) for v in values]
@@ -188,14 +192,19 @@ def melody(values: np.ndarray, note: int = 689, seed: int = 0, noise: float = 0.
     return (np.clip(x, -1.2, 1.2) * 20000).astype("<i2").tobytes()
 
 
-def audio_of_vectors(vectors: DataFrame, key: str, column: str, noise: float = 0.0, skip: int = 0) -> DataFrame:
-    """(key, audio): a recording for each vector, derived on the executors. Null vectors give null audio."""
+def audio_of_vectors(vectors: DataFrame, key: str, column: str, noise: float = 0.0, skip: int = 0, rows: int = 64) -> DataFrame:
+    """(key, audio): a recording for each vector, derived on the executors. Null vectors give null audio. Recordings are
+    much larger than their vectors, so they leave a worker `rows` at a time."""
+    asked = vectors.select(F.col(key).alias(key), F.col(column).alias("values"))
 
-    @F.pandas_udf("binary")
-    def render(keys: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else melody(v, seed=0 if pd.isna(k) else int(k), noise=noise, skip=skip) for k, v in zip(keys, values, strict=True)], dtype=object)
+    def render(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                b = whole.slice(start, rows)
+                audio = [None if v is None else melody(v, seed=0 if k is None else int(k), noise=noise, skip=skip) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(audio, pa.binary())], [key, "audio"])
 
-    return vectors.select(key, render(key, column).alias("audio"))
+    return asked.mapInArrow(render, T.StructType([asked.schema.fields[0], T.StructField("audio", T.BinaryType())]))
 
 
 def match_recordings(vectors: DataFrame, key: str, column: str, every: int = 100) -> DataFrame:
