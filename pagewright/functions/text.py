@@ -91,7 +91,7 @@ def bow_vector(text: Column, dims: int = 64) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
     signed = lambda h: F.when(h >= (1 << 31), h - (1 << 32)).otherwise(h)
     slots = F.transform(words, lambda w: F.abs(signed(fnv1a(w))) % dims)
-    counts = F.element_at(F.transform(F.array(slots), lambda s: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(s, lambda x: x == d)).cast("double"))), 1)
+    counts = once(slots, lambda s: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), lambda d: (F.size(s) - F.size(F.array_remove(s, d))).cast("double")))
     size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     unit = lambda v: F.element_at(F.transform(F.array(size(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)), 1)
     return F.element_at(F.transform(F.array(counts), unit), 1)

@@ -186,14 +186,15 @@ def anchor_ids(headings: DataFrame) -> DataFrame:
         return re.sub(r"\s+", "-", re.sub(r"[^\w\s-]|_", "", title.lower()).strip()) or "section"
 
     def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
-        used, out = set(), []
+        used, last, out = set(), {}, []  # last: the greatest number given out after a slug
         for doc, pos, title in rows:
             base = name = slug(title)
-            n = 0
+            n = last.get(base, 0)
             while name in used:
                 n += 1
                 name = f"{base}-{n}"
             used.add(name)
+            last[base] = n
             out.append((doc, pos, name))
         return out
 

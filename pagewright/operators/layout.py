@@ -208,16 +208,17 @@ def page_positions(pages: DataFrame, converted: DataFrame) -> DataFrame:
     spots = found.groupBy("doc", "page", "n").agg(F.sort_array(F.collect_set("position")).alias("spots"))
     table = p.select("doc", "page").join(spots, ["doc", "page"], "left")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
         cursor, out = 0, []
-        for page, own in g.sort_values("page").groupby("page"):
+        for page, own in itertools.groupby(rows, key=lambda r: r[1]):
             place = None
-            for _, s in sorted(((n, s) for n, s in zip(own["n"], own["spots"], strict=True) if s is not None), key=lambda x: -x[0]):
-                place = next((max(0, int(x)) for x in s if x >= cursor), None)
+            for *_, spots in own:  # the longest windows first
+                place = None if spots is None else next((max(0, int(x)) for x in spots if x >= cursor), None)
                 if place is not None:
                     break
             cursor = cursor if place is None else place
-            out.append((g["doc"].iloc[0], page, cursor, place is not None))
-        return pd.DataFrame(out, columns=["doc", "page", "position", "matched"])
+            out.append((*key, page, cursor, place is not None))
+        return out
 
-    return table.groupBy("doc").applyInPandas(run, "doc long, page int, position int, matched boolean")
+    table = table.select("doc", "page", (-F.col("n")).alias("n"), "spots")
+    return fold_groups(table, ["doc"], ["page", "n"], fold, "doc long, page int, position int, matched boolean")
