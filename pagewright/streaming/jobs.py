@@ -14,20 +14,27 @@ from pagewright.functions.groups import fold_groups
 GAP_MS = 500
 
 
-def ingest(pages: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def ingest(pages: DataFrame, table: str, checkpoint: str, digits: int = 1) -> StreamingQuery:
     """Write new pages of a stream (content_hash, doc, page, markdown) as passages to `table`, each content once.
 
-    A batch that is run again after a failure replaces its own folder, and content that is stored already is left out.
+    A batch that is run again after a failure replaces its own folders, and content that is stored already is left out.
+    The table is partitioned by the first `digits` digits of the hash, and a batch is compared with the partitions that
+    its own hashes fall into: a small batch reads a small part of the table. It writes one file for each of them, so more
+    digits are for large tables that are fed by batches of few documents. Pages without a hash are equal to no others.
     """
 
     def store(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(["content_hash", "page"])
+        new = batch.where("content_hash is null").unionByName(batch.where("content_hash is not null").dropDuplicates(["content_hash", "page"]))
+        new = new.withColumn("prefix", F.concat(F.lit("h"), F.left(F.coalesce("content_hash", F.lit("")), F.lit(digits))))
         fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
         if fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-            have = spark.read.parquet(table).where(F.col("epoch") != epoch).select("content_hash", "page")
+            touched = [r["prefix"] for r in new.select("prefix").distinct().collect()]  # at most 16 ** digits
+            stored = spark.read.schema(f"{new.schema.toDDL()}, epoch long").parquet(table)
+            have = stored.where(F.col("prefix").isin(touched) & (F.col("epoch") != epoch)).select("content_hash", "page")
             new = new.join(have, ["content_hash", "page"], "left_anti")
-        new.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(table)
+        new = new.withColumn("epoch", F.lit(epoch)).repartition("prefix")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "epoch").parquet(table)
 
     return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -114,7 +114,22 @@ def test_ingest_is_idempotent(spark, tmp_path):
     for n in range(2):
         spark.createDataFrame(rows[: 2 + n], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         jobs.ingest(jobs.page_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    assert sorted(r["markdown"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["one", "two"]
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r["markdown"] for r in out.collect()) == ["one", "two"]
+    assert all(r["prefix"] == "h" + r["content_hash"][:1] for r in out.collect())
+
+
+def test_ingest_compares_only_equal_hashes_and_replays(spark, tmp_path):
+    schema = "content_hash string, doc long, page int, markdown string"
+    for n, rows in enumerate([[("00a", 1, 1, "x"), (None, 2, 1, "y"), (None, 3, 1, "y")], [("00a", 4, 1, "x"), ("00b", 5, 1, "z"), ("00a", 4, 2, "w")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for again in range(2):  # the second time without a memory of the first: batch 0 holds all files
+            state = f"{tmp_path}/state-{n}-{again}" if again else f"{tmp_path}/state"
+            table = f"{tmp_path}/out-{n}" if again else f"{tmp_path}/out"
+            jobs.ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), table, state).awaitTermination()
+    for table in ("out", "out-1"):
+        got = spark.read.parquet(f"{tmp_path}/{table}").collect()
+        assert sorted(r["markdown"] for r in got) == ["w", "x", "y", "y", "z"]
 
 
 def test_throttle_on_a_stream(spark, tmp_path):
