@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
-TOKEN = r"[\p{L}\p{N}\p{Co}]+"
+NOT_TOKEN = r"[^\p{L}\p{N}\p{Co}]+"
 SNIPPET = 260
 
 
@@ -77,7 +77,7 @@ def fold(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Folded runs of letters, numbers and private-use characters, in order."""
-    return F.regexp_extract_all(fold(text), F.lit(f"({TOKEN})"), 1)
+    return F.array_remove(F.split(fold(text), NOT_TOKEN, -1), "")
 
 
 def fnv1a(word: Column) -> Column:

@@ -26,32 +26,30 @@ def postings(chunks: DataFrame) -> DataFrame:
 
     def group(batches):
         for b in batches:
-            of, token, start, places = [], [], [0], []
-            offsets, flat = b.column("t").offsets.to_numpy(), b.column("t").flatten().to_pylist()
-            first = int(offsets[0])
-            for i in range(b.num_rows):
-                own: dict[str, list[int]] = {}
-                for at, w in enumerate(flat[offsets[i] - first : offsets[i + 1] - first]):
-                    own.setdefault(w, []).append(at)
-                of.extend([i] * len(own))
-                for w, at in own.items():
-                    token.append(w)
-                    places.extend(at)
-                    start.append(len(places))
-            of, start = pa.array(of, pa.int32()), np.array(start, np.int32)
-            positions = pa.ListArray.from_arrays(pa.array(start), pa.array(places, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), b.column("chunk_id").take(of), b.column("doc").take(of), pa.array(np.diff(start)), positions], ["token", "chunk_id", "doc", "tf", "positions"])
+            offsets, words = b.column("t").offsets.to_numpy(), b.column("t").flatten().dictionary_encode()
+            row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+            place = np.arange(len(row)) - (offsets[row] - offsets[0])
+            code = words.indices.to_numpy()
+            key = row * max(1, len(words.dictionary)) + code
+            order = np.argsort(key, kind="stable")  # places of a word stay in order
+            start = np.flatnonzero(np.diff(key[order], prepend=-1))
+            one, size = order[start], np.diff(start, append=len(order)).astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+            of = pa.array(row[one])
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[one])), b.column("chunk_id").take(of), b.column("doc").take(of), pa.array(size), positions], ["token", "chunk_id", "doc", "tf", "positions"])
 
     field = T.StructType.fromDDL("tf int, positions array<int>").fields
     return words.mapInArrow(group, T.StructType([T.StructField("token", T.StringType()), *words.select("chunk_id", "doc").schema.fields, *field]))
 
 
+def _broadcast_if_small(asked: DataFrame) -> DataFrame:
+    return F.broadcast(asked) if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED else asked
+
+
 def asked_words(chunks: DataFrame, plan: DataFrame) -> DataFrame:
     """token, chunk_id, doc, pos, len of the chunks' words that the queries ask for: the join with the asked words
     comes before any grouping, so the words nobody asked for go nowhere."""
-    asked = plan.where("token is not null").select("token").distinct()
-    if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
-        asked = F.broadcast(asked)
+    asked = _broadcast_if_small(plan.where("token is not null").select("token").distinct())
     words = chunks.select("chunk_id", "doc", tokens(F.coalesce("text", F.lit(""))).alias("t"))
     words = words.select("chunk_id", "doc", F.size("t").alias("len"), F.posexplode("t").alias("pos", "token"))
     return words.join(asked, "token")
@@ -94,43 +92,63 @@ def plan_queries(queries: DataFrame) -> DataFrame:
 def stored_words(index: DataFrame, lengths: DataFrame, plan: DataFrame) -> DataFrame:
     """The same from a stored index (`postings`) and the lengths of its chunks: cut to the asked words before positions
     are exploded."""
-    asked = plan.where("token is not null").select("token").distinct()
-    if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
-        asked = F.broadcast(asked)
+    asked = _broadcast_if_small(plan.where("token is not null").select("token").distinct())
     return index.join(asked, "token").select("token", "chunk_id", "doc", F.explode("positions").alias("pos")).join(lengths.select("chunk_id", "len"), "chunk_id")
 
 
-def part_matches(words: DataFrame, plan: DataFrame) -> DataFrame:
-    """query_id, chunk_id, doc, len, n_parts, parts (part, tf): the parts of each query that a chunk has, all words of a
-    part next to each other. `words` are asked or stored words."""
-    asked = plan.where("token is not null").select("query_id", "part", "token_no", "token", "n_tokens", "n_parts")
-    kept = ["query_id", "chunk_id", "doc", "len", "n_parts", "part"]
-    hits = asked.join(words, "token").groupBy(*kept, "n_tokens", (F.col("pos") - F.col("token_no")).alias("start")).agg(F.countDistinct("token_no").alias("c"))
-    found = hits.where("c = n_tokens").groupBy(*kept).agg(F.count(F.lit(1)).alias("tf"))
-    return found.groupBy(*kept[:-1]).agg(F.collect_list(F.struct("part", "tf")).alias("parts"))  # at most MOST_PARTS
+def asked_parts(plan: DataFrame) -> DataFrame:
+    """query_id, n_parts, part, phrase, n_tokens: the words of each part, with blanks between them, are its phrase."""
+    words = F.array_sort(F.collect_list(F.struct("token_no", "token")))  # at most MOST_CHARS / 2
+    parts = plan.where("token is not null").groupBy("query_id", "n_parts", "part", "n_tokens").agg(words.alias("w"))
+    return parts.select("query_id", "n_parts", "part", F.array_join(F.transform("w", lambda x: x["token"]), " ").alias("phrase"), "n_tokens")
 
 
-def phrase_matches(words: DataFrame, plan: DataFrame) -> DataFrame:
-    """query_id, part, chunk_id, doc, tf: the parts found in chunks that have all parts of the query."""
-    found = part_matches(words, plan).where(F.size("parts") == F.col("n_parts"))
-    return found.select("query_id", "chunk_id", "doc", F.explode("parts").alias("p")).select("query_id", "p.part", "chunk_id", "doc", "p.tf")
+def phrase_hits(words: DataFrame, plan: DataFrame) -> DataFrame:
+    """phrase, chunk_id, doc, len, tf: how often a chunk has all words of a phrase next to each other. `words` are asked or
+    stored words; a phrase is looked for once, however many queries ask for it.
+
+    Single words are counted where the chunk is; of longer phrases each start that has all words counts.
+    """
+    phrases = asked_parts(plan).select("phrase", "n_tokens").distinct()
+    phrases = _broadcast_if_small(phrases.select("phrase", "n_tokens", F.posexplode(F.split("phrase", " ")).alias("token_no", "token")))
+    start = F.when(F.col("n_tokens") > 1, F.col("pos") - F.col("token_no"))
+    kept = ["phrase", "chunk_id", "doc", "len"]
+    found = words.join(phrases, "token").where("chunk_id is not null and phrase is not null")
+    found = found.groupBy(*kept, "n_tokens", start.alias("start")).agg(F.count(F.lit(1)).alias("c"))
+    found = found.where("n_tokens = 1 or c = n_tokens")
+    return found.groupBy(*kept).agg(F.sum(F.when(F.col("n_tokens") == 1, F.col("c")).otherwise(1)).alias("tf"))
 
 
-def bm25(found: DataFrame, lengths: DataFrame) -> DataFrame:
-    """query_id, chunk_id, doc, rank (negative; the least is best) of chunks in which all parts occur.
+def whole_matches(hits: DataFrame, plan: DataFrame) -> DataFrame:
+    """query_id, chunk_id, doc, len, parts (part, tf, df): chunks in which all parts of a query occur.
 
-    `found` are the parts found in each chunk (`part_matches`); the number of chunks that a part occurs in counts them
-    all, also where another part is missing.
+    The candidates of a query are the chunks with its rarest part, and the other parts are looked up in those only. df is
+    the number of chunks that have the part, also where another part is missing.
     """
+    df = hits.groupBy("phrase").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    known = asked_parts(plan).join(df, "phrase").groupBy("query_id", "n_parts")
+    known = known.agg(F.collect_list(F.struct("part", "phrase", "df")).alias("asked"), F.min_by("phrase", F.struct("df", "part")).alias("rarest"))  # at most MOST_PARTS
+    known = known.where(F.size("asked") == F.col("n_parts"))
+    near = hits.where("tf > 0").join(known, F.col("phrase") == F.col("rarest")).select("query_id", "n_parts", "chunk_id", F.inline("asked"))
+    both = near.join(hits.where("tf > 0"), ["phrase", "chunk_id"])
+    found = both.groupBy("query_id", "n_parts", "chunk_id", "doc", "len").agg(F.array_sort(F.collect_list(F.struct("part", "tf", "df"))).alias("parts"))
+    return found.where(F.size("parts") == F.col("n_parts")).drop("n_parts")
+
+
+def phrase_matches(words: DataFrame, plan: DataFrame) -> DataFrame:
+    """query_id, part, chunk_id, doc, tf: the parts found in chunks that have all parts of the query."""
+    return whole_matches(phrase_hits(words, plan), plan).select("query_id", "chunk_id", "doc", F.inline("parts")).select("query_id", "part", "chunk_id", "doc", "tf")
+
+
+def bm25(words: DataFrame, plan: DataFrame, lengths: DataFrame) -> DataFrame:
+    """query_id, chunk_id, doc, rank (negative; the least is best) of chunks in which all parts occur. `lengths` are those
+    of all chunks of the index."""
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    df = found.select("query_id", F.explode("parts").alias("p")).groupBy("query_id", "p.part").agg(F.count(F.lit(1)).alias("df"))
-    df = df.groupBy(F.col("query_id").alias("_q")).agg(F.map_from_entries(F.collect_list(F.struct("part", "df"))).alias("dfs"))
-    whole = found.where(F.size("parts") == F.col("n_parts"))
-    scored = whole.join(df, F.col("query_id") == F.col("_q")).crossJoin(F.broadcast(stats))  # one row
+    scored = whole_matches(phrase_hits(words, plan), plan).crossJoin(F.broadcast(stats))  # one row
     idf = lambda d: F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - d + 0.5) / (d + 0.5)))
     norm = K1 * (1 - B + B * F.col("len") / F.col("avgdl"))
-    part = lambda p: idf(F.col("dfs")[p["part"]]) * p["tf"] * (K1 + 1) / (p["tf"] + norm)
-    return scored.select("query_id", "chunk_id", "doc", F.round(-F.aggregate(F.array_sort("parts"), F.lit(0.0), lambda s, p: s + part(p)), 6).alias("rank"))
+    part = lambda p: idf(p["df"]) * p["tf"] * (K1 + 1) / (p["tf"] + norm)
+    return scored.select("query_id", "chunk_id", "doc", F.round(-F.aggregate("parts", F.lit(0.0), lambda s, p: s + part(p)), 6).alias("rank"))
 
 
 def missing_postings(chunks: DataFrame, index: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ def library_search(plan: DataFrame, asked: DataFrame, words: DataFrame, lengths:
     modes = plan.groupBy("query_id").agg(F.first("status").alias("status"), F.first("mode").alias("mode"))
     by_meaning = asked.join(modes.where("status = 'ok' and mode <> 'exact'"), "query_id", "left_semi")
     meant = top(semantic_top(by_meaning, vectors.join(searched, "doc", "left_semi")), "score", DEEPEST)
-    exact = lexical.bm25(lexical.part_matches(words, plan), lengths).join(searched, "doc", "left_semi")
+    exact = lexical.bm25(words, plan, lengths).join(searched, "doc", "left_semi")
     ladder = depth_ladder(meant, top(exact, "rank", DEEPEST, descending=False), k, cap)
     return modes.join(ladder, "query_id", "left").withColumn("candidates_truncated", F.coalesce("candidates_truncated", F.lit(False)))
 

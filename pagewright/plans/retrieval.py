@@ -30,7 +30,7 @@ def _matches(spark, sf):
 def _exact(spark, sf):
     c = inputs.chunks(spark, sf)
     plan = _plan(spark, sf)
-    return lexical.bm25(lexical.part_matches(lexical.asked_words(c, plan), plan), lexical.chunk_lengths(c))
+    return lexical.bm25(lexical.asked_words(c, plan), plan, lexical.chunk_lengths(c))
 
 
 def _vectors(spark, sf):

@@ -21,7 +21,7 @@ def ask(spark, text, mode="exact", notes=NOTES):
     lengths = lexical.chunk_lengths(chunks)
     found = []
     for words in (lexical.asked_words(chunks, plan), lexical.stored_words(lexical.postings(chunks), lengths, plan)):
-        found.append({r["doc"]: r["rank"] for r in lexical.bm25(lexical.part_matches(words, plan), lengths).collect()})
+        found.append({r["doc"]: r["rank"] for r in lexical.bm25(words, plan, lengths).collect()})
         assert {r["doc"] for r in lexical.phrase_matches(words, plan).collect()} == set(found[-1])
     assert found[0] == found[1]
     return found[0]
