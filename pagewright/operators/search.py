@@ -175,6 +175,16 @@ def library_search(plan: DataFrame, asked: DataFrame, words: DataFrame, lengths:
     return modes.join(ladder, "query_id", "left").withColumn("candidates_truncated", F.coalesce("candidates_truncated", F.lit(False)))
 
 
+def document_search(asked: DataFrame, exact: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
+    """query_id, place, chunk_id, doc, score, semantic_score, matched_by: each query (query_id, doc, qv, min_score) in its
+    one document, both rankings fused and not capped. `exact` ranks the queries in the whole index, so words weigh what
+    they weigh there."""
+    near = vectors.join(asked, "doc").withColumn("score", F.round(cosine(F.col("qv"), F.col("vector")), 6)).where("score >= min_score")
+    inside = exact.join(asked.select("query_id", "doc"), ["query_id", "doc"], "left_semi")
+    depth = first_depth(k)
+    return top_fused(fuse(top(near.select("query_id", "chunk_id", "doc", "score"), "score", depth), top(inside, "rank", depth, descending=False)), k)
+
+
 def reading_order(hits: DataFrame) -> DataFrame:
     """query_id, seq: hits of one document by page, then score."""
     order = Window.partitionBy("query_id", "doc").orderBy("page", F.col("score").desc(), "chunk_id")

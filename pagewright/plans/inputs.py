@@ -107,6 +107,7 @@ CTE = {
       SELECT item_id * 3 + k AS query_id, item_id, CASE k WHEN 0 THEN concat_ws(' ', w[1], w[2]) WHEN 1 THEN '"' || w[3] || ' ' || w[4] || '" ' || w[5] ELSE concat('zzqx', item_id, ' --') END AS text
       FROM (SELECT item_id, string_split(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS w, unnest([0, 1, 2]) AS k FROM benchmark))""",
     "chunks": "chunks AS (SELECT concat_ws(':', doc, page) AS chunk_id, doc, page, markdown AS text FROM prose)",
+    "indexed": "chunks AS (SELECT concat_ws(':', doc, page) AS chunk_id, doc, page, markdown AS text FROM prose WHERE doc % 11 <> 0 AND (doc % 7 <> 0 OR page = 1))",
     "postings": """words AS (SELECT chunk_id, doc, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}\\p{Co}]+') AS t FROM chunks),
       occurrences AS (SELECT chunk_id, doc, unnest(t) AS token, unnest(range(len(t))) AS pos FROM words)""",
     "parts": """raw_parts AS (SELECT query_id, unnest(regexp_extract_all(text, '"[^"]*"|[^\\s"]+')) AS p, generate_subscripts(regexp_extract_all(text, '"[^"]*"|[^\\s"]+'), 1) AS part FROM queries),

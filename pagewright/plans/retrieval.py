@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from pagewright.functions.text import bow_vector, chunk_id, fingerprint, plain,
 from pagewright.operators import catalog, lexical, search
 from pagewright.plans import inputs
 from pagewright.plans.inputs import with_ctes
+from pagewright.sources import files, word_index
 
 LEAST = 0.24
 
@@ -154,6 +157,27 @@ def library_search(spark, sf):
     )
 
 
+def top_in_document(spark, sf):
+    """Each query in one document, that with its number: no cap, in reading order."""
+    c, asked = inputs.chunks(spark, sf), _asked(spark, sf).withColumn("doc", F.col("query_id"))
+    plan = _plan(spark, sf)
+    exact = lexical.bm25(lexical.asked_words(c, plan), plan, lexical.chunk_lengths(c))
+    hits = search.late_text(search.document_search(asked, exact, _vectors(spark, sf)), c)
+    return search.reading_order(hits).select("query_id", "doc", "seq", "page", "chunk_id", "matched_by")
+
+
+def inc_word_index(spark, sf):
+    """The stored index: written without every fifth document; these come in, of every seventh only the first page stays,
+    every eleventh is forgotten; then all queries are ranked from what is stored."""
+    c, at = inputs.chunks(spark, sf), f"{files.shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    word_index.write_index(c.where("doc % 5 <> 0"), at, 8)
+    word_index.replace_documents(at, c.where("doc % 5 = 0 or doc % 7 = 0"), c.where("(doc % 5 = 0 and doc % 7 <> 0) or (doc % 7 = 0 and page = 1)"), 8)
+    word_index.replace_documents(at, c.where("doc % 11 = 0"), None, 8)
+    plan = _plan(spark, sf)
+    index, lengths = word_index.read_index(spark, at, plan)
+    return lexical.bm25(lexical.stored_words(index, lengths, plan), plan, lengths)
+
+
 def join_eligible(spark, sf):
     """Chunks that also have a vector under the scope: here, those of documents with an even id."""
     vectors = _vectors(spark, sf).where("doc % 2 = 0").select("chunk_id", F.lit("small").alias("model_id"))
@@ -193,7 +217,7 @@ QUERIES = {
     for f in (
         txt_tokenize_index, txt_query_plan, join_phrase, agg_doc_stats, agg_bm25, top_exact, agg_embed_bow, join_semantic, flt_min_score, top_semantic,
         join_fuse_rrf, win_doc_cap, top_fused, top_reading_order, join_late_text, txt_snippets, top_depth_ladder, library_search, join_eligible,
-        join_missing_postings, txt_plain, txt_fingerprint_ids, agg_retrieval_metrics,
+        top_in_document, inc_word_index, join_missing_postings, txt_plain, txt_fingerprint_ids, agg_retrieval_metrics,
     )
 }
 
@@ -287,6 +311,13 @@ sem AS (SELECT semantic.* FROM semantic JOIN searched USING (doc) JOIN modes USI
 exa AS (SELECT exact.* FROM exact JOIN searched USING (doc) JOIN modes USING (query_id) WHERE status = 'ok' AND mode <> 'semantic')""",
         "sem", "exa", _ALL + " catalogue roots",
     ),
+    "top_in_document": with_ctes(
+        _ALL,
+        ", sem AS (SELECT * FROM semantic WHERE doc = query_id), exa AS (SELECT * FROM exact WHERE doc = query_id)"
+        + _FUSED.replace("FROM semantic", "FROM sem").replace("FROM exact", "FROM exa")
+        + "SELECT query_id, o.doc, row_number() OVER (PARTITION BY query_id, o.doc ORDER BY page, score DESC, chunk_id) AS seq, page, chunk_id, matched_by FROM ordered o JOIN chunks USING (chunk_id) WHERE place <= 12",
+    ),
+    "inc_word_index": with_ctes(_LEX.replace("chunks", "indexed"), "SELECT query_id, chunk_id, doc, rank FROM exact"),
     "join_eligible": with_ctes("prose chunks", "SELECT chunk_id FROM chunks WHERE doc % 2 = 0"),
     "join_missing_postings": with_ctes("prose chunks postings", "SELECT chunk_id FROM words WHERE doc % 5 = 0 AND len(t) > 0"),
     "txt_plain": with_ctes("structured", f"SELECT doc, page, {plain_sql('markdown')} AS plain FROM structured"),
