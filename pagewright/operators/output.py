@@ -126,3 +126,53 @@ def comment_pages(comments: DataFrame, offset: int, budget: int, field: int = 4_
     c = c.withColumn("_ok", F.col("_upto") <= budget).where((F.col("seq") == offset + 1) | F.col("_ok"))
     end = offset + F.count_if("_ok").over(Window.partitionBy("doc"))
     return c.select("doc", F.when(F.col("_ok"), F.col("seq")).alias("comment_no"), F.when(end < F.col("total"), end).cast("int").alias("next_offset"))
+
+
+def json_object(fields: dict[str, Column], indent: str) -> Column:
+    """JSON of several lines, two more blanks a level; the values are JSON already."""
+    lines = [F.concat(F.lit(f'{indent}  "{k}": '), v) for k, v in fields.items()]
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *lines), F.lit(f"\n{indent}}}"))
+
+
+def json_value(value: Column) -> Column:
+    one = F.to_json(F.array(value))
+    return F.substring(one, F.lit(2), F.length(one) - 2)
+
+
+def comments_reply(comments: DataFrame, offset: int, content_budget: int, reply_budget: int, field: int = 4_000) -> DataFrame:
+    """doc, n_comments, next_offset, omitted, reply_bytes, reply: the comments after the first `offset`, as many as both
+    budgets hold, in one JSON text for each document; none may be left.
+
+    `comments` have doc, name, document_hash, seq, total, id, page, type, author, note, quote. First the notes, quotes and
+    authors must fit the content budget, as in `comment_pages`; then the bytes of the whole reply, with all it says of what
+    is left out, must fit the reply budget. A reply without comments is given even if it alone is too long.
+    """
+    cut = {c: fitting(F.col(c), F.lit(field)) for c in ("note", "quote")}
+    item = {c: json_value(cut.get(c, F.col(c))) for c in ("id", "page", "type", "author", "note")}
+    short = lambda c: json_value(F.coalesce(F.octet_length(c) > field, F.lit(False)))
+    item |= {"noteTruncated": short("note"), "quote": json_value(cut["quote"]), "quoteTruncated": short("quote")}
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in (cut["note"], cut["quote"], F.col("author"))), F.lit(0))
+    upto = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.least(F.lit(offset), F.col("total"))
+
+    def reply(n: Column, items: Column) -> Column:
+        end = (start + n).cast("int")
+        left = end < F.col("total")
+        list_ = F.when(n > 0, F.concat(F.lit("[\n    "), items, F.lit("\n  ]"))).otherwise("[]")
+        head = {"name": F.col("name"), "documentHash": F.col("document_hash"), "totalComments": F.col("total"), "offset": start}
+        tail = {"truncated": left, "nextOffset": F.when(left, end), "omittedComments": F.col("total") - end}
+        value = lambda d: {k: json_value(v) for k, v in d.items()}
+        return json_object({**value(head), "comments": list_, **value(tail)}, "")
+
+    between = ",\n    "
+    c = comments.where(F.col("seq") > offset).withColumn("_item", json_object(item, "    ")).withColumn("_content", F.sum(size).over(upto)).where(F.col("_content") <= content_budget)
+    c = c.withColumn("_n", F.col("seq") - offset).withColumn("_items", F.sum(F.octet_length("_item") + len(between)).over(upto) - len(between))
+    c = c.withColumn("_bytes", F.octet_length(reply(F.col("_n"), F.lit(""))) + F.col("_items"))
+    most = F.max(F.when(F.col("_bytes") <= reply_budget, F.col("_n"))).over(Window.partitionBy("doc"))
+    c = c.withColumn("_most", most).where(F.col("_n") <= F.col("_most"))
+    kept = c.groupBy("doc").agg(F.max("_n").alias("_kept"), F.array_sort(F.collect_list(F.struct("seq", "_item"))).alias("_l"))  # within the reply budget
+    d = comments.groupBy("doc").agg(*[F.first(x).alias(x) for x in ("name", "document_hash", "total")]).join(kept, "doc", "left")
+    n = F.coalesce("_kept", F.lit(0)).cast("int")
+    d = d.withColumn("reply", reply(n, F.coalesce(F.array_join(F.transform("_l", lambda x: x["_item"]), between), F.lit(""))))
+    end = (start + n).cast("int")
+    return d.select("doc", n.alias("n_comments"), F.when(end < F.col("total"), end).alias("next_offset"), (F.col("total") - end).cast("int").alias("omitted"), F.octet_length("reply").alias("reply_bytes"), "reply")

@@ -95,6 +95,18 @@ def win_comment_pages(spark, sf):
     return comment_pages(c, 2, 110)
 
 
+def win_comments_reply(spark, sf):
+    """The same comments as one JSON reply for each document, within a budget of content and one of the whole reply."""
+    from pyspark.sql import Window
+
+    from pagewright.operators.output import comments_reply
+
+    a = _noted(spark, sf)
+    c = ops.reading_order(a).drop("page").join(a.select("annotation_id", "page", "type", "note", "quote", "author"), "annotation_id")
+    c = c.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("doc")).cast("int")).withColumn("name", F.concat(F.lit("customer "), F.col("doc").cast("string")))
+    return comments_reply(c.withColumn("document_hash", F.sha2(F.col("doc").cast("string"), 256)).withColumnRenamed("annotation_id", "id"), 2, 110, 800)
+
+
 def flt_safe_links(spark, sf):
     """All page addresses, and some of other schemes made from them."""
     p = inputs.table(spark, sf, "pages").select("page_id", "url")
@@ -159,7 +171,7 @@ def txt_image_descriptions(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        join_marks_text, txt_quads_to_boxes, txt_annotation_dates, join_replies, join_annotation_dedupe, top_comments_order, join_annotation_export, win_comment_pages,
+        join_marks_text, txt_quads_to_boxes, txt_annotation_dates, join_replies, join_annotation_dedupe, top_comments_order, join_annotation_export, win_comment_pages, win_comments_reply,
         flt_safe_links, join_internal_links, txt_keyword_scan, agg_find_matches, win_nth_occurrence, agg_repetitive_descriptions, txt_image_descriptions,
     )
 }
@@ -192,6 +204,14 @@ SELECT c_custkey AS doc, p.page, block FROM customer JOIN (SELECT unnest(range(1
     "win_comment_pages": _NOTED + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, top DESC, "left", annotation_id) AS seq, count(*) OVER (PARTITION BY doc) AS total FROM noted),
 k AS (SELECT *, sum(strlen(note) + coalesce(strlen(quote), 0) + strlen(author)) OVER (PARTITION BY doc ORDER BY seq) <= 110 AS ok FROM o WHERE seq > 2), n AS (SELECT *, 2 + count(*) FILTER (ok) OVER (PARTITION BY doc) AS e FROM k)
 SELECT doc, CASE WHEN ok THEN seq END AS comment_no, CASE WHEN e < total THEN e::INT END AS next_offset FROM n WHERE ok OR seq = 3""",
+    "win_comments_reply": _NOTED + """, o AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY page, top DESC, "left", annotation_id) AS INT) AS seq, CAST(count(*) OVER (PARTITION BY doc) AS INT) AS total FROM noted),
+k AS (SELECT *, '{' || chr(10) || '      "id": ' || coalesce(to_json(annotation_id)::VARCHAR, 'null') || ',' || chr(10) || '      "page": ' || coalesce(to_json(page)::VARCHAR, 'null') || ',' || chr(10) || '      "type": ' || coalesce(to_json(type)::VARCHAR, 'null') || ',' || chr(10) || '      "author": ' || coalesce(to_json(author)::VARCHAR, 'null') || ',' || chr(10) || '      "note": ' || coalesce(to_json(note)::VARCHAR, 'null') || ',' || chr(10) || '      "noteTruncated": ' || coalesce('false', 'null') || ',' || chr(10) || '      "quote": ' || coalesce(to_json(quote)::VARCHAR, 'null') || ',' || chr(10) || '      "quoteTruncated": ' || coalesce('false', 'null') || chr(10) || '    }' AS item,
+  sum(strlen(note) + coalesce(strlen(quote), 0) + strlen(author)) OVER (PARTITION BY doc ORDER BY seq) AS content FROM o WHERE seq > 2),
+fit AS (SELECT doc, seq, item FROM k WHERE content <= 110),
+sized AS (SELECT doc, max(total) AS total, unnest(range((SELECT count(*) FROM fit WHERE fit.doc = o.doc) + 1))::INT AS n FROM o GROUP BY doc),
+replies AS (SELECT s.doc, n, total, '{' || chr(10) || '  "name": ' || coalesce(to_json('customer ' || s.doc)::VARCHAR, 'null') || ',' || chr(10) || '  "documentHash": ' || coalesce(to_json(sha256(s.doc::VARCHAR))::VARCHAR, 'null') || ',' || chr(10) || '  "totalComments": ' || coalesce(to_json(total)::VARCHAR, 'null') || ',' || chr(10) || '  "offset": ' || coalesce(to_json(least(2, total))::VARCHAR, 'null') || ',' || chr(10) || '  "comments": ' || coalesce(CASE WHEN n = 0 THEN '[]' ELSE '[' || chr(10) || '    ' || string_agg(item, ',' || chr(10) || '    ' ORDER BY seq) || chr(10) || '  ]' END, 'null') || ',' || chr(10) || '  "truncated": ' || coalesce(to_json(least(2, total) + n < total)::VARCHAR, 'null') || ',' || chr(10) || '  "nextOffset": ' || coalesce(CASE WHEN least(2, total) + n < total THEN to_json(least(2, total) + n)::VARCHAR END, 'null') || ',' || chr(10) || '  "omittedComments": ' || coalesce(to_json(total - least(2, total) - n)::VARCHAR, 'null') || chr(10) || '}' AS reply FROM sized s LEFT JOIN fit ON fit.doc = s.doc AND fit.seq <= 2 + n GROUP BY s.doc, n, total),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN strlen(reply) <= 800 THEN n ELSE 0 END DESC, n) AS b FROM replies)
+SELECT doc, n AS n_comments, CASE WHEN least(2, total) + n < total THEN least(2, total) + n END AS next_offset, total - least(2, total) - n AS omitted, strlen(reply) AS reply_bytes, reply FROM best WHERE b = 1""",
     "flt_safe_links": """SELECT page_id, url, regexp_extract(url, '^([a-z]+):', 1) AS scheme, true AS ok FROM pages
 UNION ALL SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'mailto:a' || page_id || '@example.org' WHEN 1 THEN 'javascript:alert(1)' WHEN 2 THEN '/relative/path' ELSE 'file:///x/' || page_id END,
   CASE page_id % 4 WHEN 0 THEN 'mailto' WHEN 1 THEN 'javascript' WHEN 3 THEN 'file' END, page_id % 4 = 0 FROM pages""",

@@ -90,6 +90,25 @@ def test_comment_pages_hold_the_budget_even_for_the_first(spark):
     assert (3, 1, None) in got(0, 8001) and (3, None, 0) in got(0, 8000)
 
 
+def test_comments_reply_fits_both_budgets(spark):
+    import json
+
+    rows = [(1, "a \"b\"", "h", i, 3, i, 1, "text", "au", "n" * 4000 + "m" if i == 3 else 'é"', None) for i in (1, 2, 3)] + [(2, "c", "h", 1, 1, 9, 1, "text", None, "x", "q")]
+    c = table(spark, rows, "doc long, name string, document_hash string, seq int, total int, id long, page int, type string, author string, note string, quote string")
+    got = lambda *budgets: {r["doc"]: r for r in output.comments_reply(c, *budgets).collect()}
+    full = got(0, 9000, 9000)
+    reply = json.loads(full[1]["reply"])
+    assert [x["id"] for x in reply["comments"]] == [1, 2, 3] and reply["comments"][2]["noteTruncated"] and reply["comments"][2]["note"] == "n" * 4000
+    assert reply["name"] == 'a "b"' and reply["nextOffset"] is None and not reply["truncated"] and reply["omittedComments"] == 0
+    assert full[1]["reply"] == json.dumps(reply, indent=2, ensure_ascii=False) and full[1]["reply_bytes"] == len(full[1]["reply"].encode())
+    two = got(0, 10, 9000)[1]  # notes and authors of two comments are 10 bytes
+    assert (two["n_comments"], two["next_offset"], two["omitted"]) == (2, 2, 1) and got(0, 9, 9000)[1]["n_comments"] == 1
+    assert got(0, 9000, two["reply_bytes"])[1]["n_comments"] == 2 and got(0, 9000, two["reply_bytes"] - 1)[1]["n_comments"] == 1
+    none = got(0, 9000, 5)
+    assert none[2]["n_comments"] == 0 and json.loads(none[2]["reply"])["comments"] == [] and none[2]["next_offset"] == 0
+    assert got(7, 90, 900)[2]["next_offset"] is None and json.loads(got(7, 90, 900)[2]["reply"])["offset"] == 1
+
+
 def test_annotation_export(spark):
     rows = [(1, 1, 5, "comment", " a`b\\c ", 2.0, 1.0), (1, 1, 6, "highlight", "first", 1.0, 9.0), (1, 1, 7, "ink", "same height", 2.0, 0.5), (1, 1, 8, "text", "  ", 0.0, 0.0), (1, 1, 9, "signature", None, 9.0, 0.0), (1, 2, 10, "bookmark", None, 0.0, 0.0)]
     a = table(spark, rows, "doc long, page int, annotation_id long, type string, note string, top double, left double")
