@@ -136,3 +136,16 @@ def prefix_sums(df: DataFrame, keys: list[str], order: Column, add: dict[str, st
         out = out.withColumn(n, F.col(f"_w_{n}") + F.col(f"_b_{n}"))
     drop = ["_o", "_ranges", "_range", "_r", *[f"_k{i}" for i in range(len(keys))]]
     return out.drop(*drop, *[f"_{x}_{n}" for x in "wb" for n in add])
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: list[str], most: int = 100_000, salts: int = 64) -> DataFrame:
+    """`rows` joined with a table that has one row for each key `on`, whichever key holds many of the rows.
+
+    The rows of `small` are counted: up to `most` they are broadcast. Beyond, they are repeated for each of `salts` parts,
+    and the rows of a key are dealt to these parts.
+    """
+    if small.count() <= most:
+        return rows.join(F.broadcast(small), on)
+    part = F.pmod(F.hash(*map(column, rows.columns)), F.lit(salts))
+    repeated = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_part", part).join(repeated, [*on, "_part"]).drop("_part")

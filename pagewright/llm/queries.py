@@ -1,8 +1,8 @@
 """All registered queries of this subpackage and their DuckDB SQL."""
 
-from pagewright.llm import queries_classify, queries_dedup, queries_media, queries_shape, queries_vectors
+from pagewright.llm import queries_audit, queries_classify, queries_dedup, queries_media, queries_shape, queries_vectors
 
-PARTS = (queries_classify, queries_shape, queries_dedup, queries_media, queries_vectors)
+PARTS = (queries_classify, queries_shape, queries_dedup, queries_media, queries_audit, queries_vectors)
 
 
 def queries() -> dict:
