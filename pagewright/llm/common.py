@@ -149,3 +149,21 @@ def join_small(rows: DataFrame, small: DataFrame, on: list[str], most: int = 100
     part = F.pmod(F.hash(*map(column, rows.columns)), F.lit(salts))
     repeated = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_part", part).join(repeated, [*on, "_part"]).drop("_part")
+
+
+def join_hot(rows: DataFrame, single: DataFrame, key: str, bound: int = 100_000) -> DataFrame:
+    """`rows` joined with a table that has at most one row for each key, none of the tasks holding a hot key.
+
+    Keys are counted first. One with more than `bound` rows (or a millionth of all, so that at most a million keys are
+    broadcast) is dealt to as many parts as its count asks for, and its single row is repeated for these.
+    """
+    counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound), "hot")
+    seen = counts.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if not seen[0]:
+        return rows.join(single, key)
+    bound = max(bound, seen[1] // 1_000_000)
+    hot = counts.where(F.col("_n") > bound).select(key, F.ceil(F.col("_n") / bound).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*map(column, rows.columns)), parts).cast("int")).drop("_parts")
+    repeated = single.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(repeated, [key, "_part"]).drop("_part")

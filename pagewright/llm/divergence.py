@@ -192,7 +192,8 @@ def pair_values(rows: DataFrame, groups: DataFrame) -> DataFrame:
                     a.append(one)
                     b.append(other)
                     value.append(price_block(*have[one][1:], *have[other][1:], kept) if kept else 0)
-            yield pd.DataFrame({"lang": g["lang"].iloc[0], "source": a, "item": b, "value": np.array(value, np.int64)})
+            text = {n: pd.Series(v, dtype=object) for n, v in (("lang", [g["lang"].iloc[0]] * len(a)), ("source", a), ("item", b))}
+            yield pd.DataFrame({**text, "value": np.array(value, np.int64)})
 
     keys = ["lang", "block", "i", "j"]
     found = tasks.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(merge, "lang string, source string, item string, value long")

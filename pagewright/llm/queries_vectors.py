@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import centroids
+from pagewright.llm import centroids, posting_lists
+
+
+def op12_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return posting_lists.nearest_rows(vectors, "vec_id", "embedding")
 
 
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +37,5 @@ def _lloyd_sql(clusters: int = 8, rounds: int = 10) -> str:
       FROM a{rounds} JOIN (SELECT k, sha256(string_agg(m, ',' ORDER BY d)) AS digest FROM c{rounds} GROUP BY k) ON k = near.k"""
 
 
-QUERIES = {"op13_centroid_clustering": op13_centroid_clustering}
+QUERIES = {"op12_posting_lists": op12_posting_lists, "op13_centroid_clustering": op13_centroid_clustering}
 SQL = {"op13_centroid_clustering": _lloyd_sql()}
