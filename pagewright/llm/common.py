@@ -20,14 +20,17 @@ _own_folder: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read: `spark.checkpoint.dir`. Where the session names none, a local master (tests)
-    gets a temporary folder, and a cluster a folder of its warehouse."""
+    gets a temporary folder, and a cluster a folder of its warehouse, unless that is a machine's own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         local = spark.sparkContext.master.split("[")[0] == "local"
-        _own_folder[app] = tempfile.mkdtemp(prefix="spark-pagewright-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_pagewright"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not local and (warehouse.startswith("file:") or ":" not in warehouse):
+            raise ValueError("set spark.checkpoint.dir: on a cluster, executors don't share the warehouse's local folder")
+        _own_folder[app] = tempfile.mkdtemp(prefix="spark-pagewright-") if local else f"{warehouse}/_pagewright"
     return _own_folder[app]
 
 
@@ -151,19 +154,22 @@ def join_small(rows: DataFrame, small: DataFrame, on: list[str], most: int = 100
     return rows.withColumn("_part", part).join(repeated, [*on, "_part"]).drop("_part")
 
 
-def join_hot(rows: DataFrame, single: DataFrame, key: str, bound: int = 100_000) -> DataFrame:
-    """`rows` joined with a table that has at most one row for each key, none of the tasks holding a hot key.
+def join_hot(rows: DataFrame, single: DataFrame, on: list[str], bound: int = 20_000, counted: str | None = None) -> DataFrame:
+    """`rows` joined with a table that has at most one row for each key `on`, no task holding a hot key.
 
-    Keys are counted first. One with more than `bound` rows (or a millionth of all, so that at most a million keys are
-    broadcast) is dealt to as many parts as its count asks for, and its single row is repeated for these.
+    Keys are counted first (or `counted` names the column of `single` that has the number of their rows). One with more
+    than `bound` rows, or than a millionth of all, so that at most a million keys are broadcast, is dealt to as many parts
+    as its count asks for; its single row is repeated for these.
     """
-    counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound), "hot")
+    n = F.col(counted) if counted else F.col("_n")
+    counts = single.select(*on, n.alias("_n")) if counted else rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(counts.where(F.col("_n") > bound), "hot")
     seen = counts.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if not seen[0]:
-        return rows.join(single, key)
+        return rows.join(single, on)
     bound = max(bound, seen[1] // 1_000_000)
-    hot = counts.where(F.col("_n") > bound).select(key, F.ceil(F.col("_n") / bound).cast("int").alias("_parts"))
+    hot = F.broadcast(counts.where(F.col("_n") > bound).select(*on, F.ceil(F.col("_n") / bound).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*map(column, rows.columns)), parts).cast("int")).drop("_parts")
-    repeated = single.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return dealt.join(repeated, [key, "_part"]).drop("_part")
+    dealt = rows.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(*map(column, rows.columns)), parts).cast("int")).drop("_parts")
+    repeated = single.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(repeated, [*on, "_part"]).drop("_part")

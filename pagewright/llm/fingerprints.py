@@ -58,11 +58,11 @@ def as_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def place_among(bounds: list[int], x: Column) -> Column:
-    """How many of the sorted bounds are at most x (null: 0), by binary search."""
+def place_among(bounds: list, x: Column, kind: str = "long") -> Column:
+    """How many of the sorted bounds, values of the type `kind`, are at most x (null: 0), by binary search."""
     if not bounds:
         return F.lit(0)
-    limits = F.array(*[F.lit(b).cast("long") for b in bounds])
+    limits = F.array(*[F.lit(b).cast(kind) for b in bounds])
 
     def halve(s: Column, _: Column) -> Column:
         middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
@@ -73,21 +73,29 @@ def place_among(bounds: list[int], x: Column) -> Column:
     return F.when(x.isNull(), 0).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"]))
 
 
+def range_bounds(rows: DataFrame, n: int, parts: int, drawn: int = 16) -> list:
+    """Ids that cut `n` rows into about `parts` ranges: every `drawn`-th of some drawn * parts ids, chosen by hash, in
+    order. Both the sample and the bounds are of the square root of the table at most."""
+    share = min(1.0, drawn * parts / n)
+    sample = rows.where(F.col("doc_id").isNotNull()).where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    ids = [r[0] for r in sample.select("doc_id").distinct().orderBy("doc_id").limit(2 * drawn * parts).collect()]
+    return ids[drawn::drawn]
+
+
 def with_next(docs: DataFrame, doc_id: str = "doc_id", per_part: int = 4000) -> DataFrame:
     """doc_id, text, fp and next_text, next_fp: those of the next document by ascending id; after the last, the first.
 
     Null texts count as empty, null ids come first, equal ids stand in the order of their texts' hashes; null ids, and
-    equal ones, share a range. Ranges of ids of similar row counts are windows of their own; the first row of each range
-    is repeated as the last of the range before, so no window spans the table and the rows move once. A range has
-    `per_part` rows, in a table of over per_part ** 2 rows as many as there are ranges, so that neither a window nor the
-    list of bounds grows with the table itself.
+    equal ones, share a range. Ids may be of any type that can be ordered. Ranges of ids of similar row counts, told from
+    a sample of ids by hash, are windows of their own; the first row of each range is repeated as the last of the range
+    before, so no window spans the table and the rows move once. A range has about `per_part` rows, in a table of over
+    per_part ** 2 rows as many as there are ranges, so that neither a window nor the list of bounds grows with the table.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n = rows.count()
     parts = max(1, n // max(per_part, math.isqrt(n)))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * parts)).alias("b")).first()["b"] or [])) if shares else []
-    rows = rows.withColumn("part", place_among(bounds, F.col("doc_id"))).withColumn("key", text_key(F.col("text")))
+    bounds = range_bounds(rows, n, parts) if parts > 1 else []
+    rows = rows.withColumn("part", place_among(bounds, F.col("doc_id"), dict(rows.dtypes)["doc_id"])).withColumn("key", text_key(F.col("text")))
     firsts = rows.groupBy("part").agg(F.min_by(F.struct("doc_id", "key", "text"), F.struct("doc_id", "key")).alias("x"))
     firsts = materialize(firsts, "range-firsts")
     # The range before each: windows over the ranges' numbers only, the first comes after the last.

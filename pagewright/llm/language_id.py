@@ -14,7 +14,7 @@ from pagewright.llm.common import fields, give, hold, small_batches
 from pagewright.llm.ngrams import hashed, only_letters, term_counts
 
 BINS, SIZES = 1 << 13, (1, 2, 3)
-MOST_LANGUAGES = 10_000  # what one model is meant for at most
+MOST_LANGUAGES = 1_000  # what one model is meant for at most: four centroids of 64 KB each a language
 
 
 def vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +78,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     """Learn from all rows with text and language.
 
     Document frequencies are counted over every row. The centroids are clustered from a sample of about `per_language`
-    distinct texts of each language (the bound; those with the smallest hashes; copies count once). A document is
+    distinct texts of each language (the bound; those with the smallest hashes; copies count once), a language in a task. A document is
     rejected if its cosine is below `slack` times a low quantile of the cosines of all learning rows of its language and
     class of length that are nearest to their own language; a class without such rows takes the limit of the next
     shorter one that has some, or if there is none half of the limit of the shortest that has some. Null languages or texts, and texts without a letter, are left out; an empty table gives a
@@ -108,32 +108,26 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
             df[r["bin"]] = r["df"]
     idf = np.log((1 + n) / (1 + df)) + 1
 
-    sizes = rows.groupBy(F.col("_lang").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    # Copies count once: a language with few texts and very many copies of one is learned from all of its texts.
+    mixed = F.xxhash64(F.lit(11), "_text")
+    sizes = rows.groupBy(F.col("_lang").alias("_of")).agg(F.approx_count_distinct(mixed, 0.02).alias("_n"))
     if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    mixed = F.shiftrightunsigned(F.xxhash64(F.lit(11), "_text"), 11) / F.lit(float(1 << 53))
-    sample = rows.join(F.broadcast(sizes), F.col("_lang") == F.col("_of")).where(mixed * F.col("_n") <= per_language).select("_text", "_lang").distinct()
+    share = F.shiftrightunsigned(mixed, 11) / F.lit(float(1 << 53))
+    sample = rows.join(F.broadcast(sizes), F.col("_lang") == F.col("_of")).where(share * F.col("_n") <= per_language).select("_text", "_lang").distinct()
     shared = spark.sparkContext.broadcast(idf)
 
-    def vectors(batches):
-        for b in batches:
-            both = [vector(t, shared.value) for t in b["_text"]]
-            yield pd.DataFrame({"lang": b["_lang"], "at": [x.astype(np.int32).tobytes() for x, _ in both], "w": [w.astype(np.float32).tobytes() for _, w in both]})
-
-    got = sample.mapInPandas(vectors, "lang string, at binary, w binary").collect()
-    model = LanguageModel([], np.zeros((0, BINS)), idf)
-    by_name: dict[str, list[tuple[bytes, bytes]]] = {}
-    for r in got:
-        if r["at"]:
-            by_name.setdefault(r["lang"], []).append((bytes(r["at"]), bytes(r["w"])))
-    for name, own in sorted(by_name.items()):
-        own.sort()
-        x = np.zeros((len(own), BINS), np.float32)
-        for i, (at, w) in enumerate(own):
-            x[i, np.frombuffer(at, np.int32)] = np.frombuffer(w, np.float32)
-        c = spherical_kmeans(x, centroids)
-        model.langs += [name] * len(c)
-        model.centroids = np.vstack([model.centroids, c])
+    def cluster(own: pd.DataFrame) -> pd.DataFrame:
+        """The centroids of one language from its sample."""
+        found = [(at, w) for at, w in (vector(t, shared.value) for t in sorted(own["_text"])) if len(at)]
+        x = np.zeros((len(found), BINS), np.float32)
+        for i, (at, w) in enumerate(found):
+            x[i, at] = w
+        c = spherical_kmeans(x, centroids) if found else x
+        return pd.DataFrame({"lang": pd.Series([own["_lang"].iloc[0]] * len(c), dtype=object), "i": range(len(c)), "c": pd.Series([v.astype("<f4").tobytes() for v in c], dtype=object)})
+
+    got = sorted(sample.groupBy("_lang").applyInPandas(cluster, "lang string, i int, c binary").collect(), key=lambda r: (r["lang"], r["i"]))
+    model = LanguageModel([r["lang"] for r in got], np.array([np.frombuffer(r["c"], "<f4") for r in got]).reshape(len(got), BINS), idf)
     if not model.langs:
         return model
     learned = spark.sparkContext.broadcast(model)
@@ -146,7 +140,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     limits = {}
     for r in own.groupBy("_lang", "_x.size").agg(F.percentile_approx("_x.score", quantile, 1000).alias("limit")).collect():  # CLASSES rows a language
         limits[r["_lang"], r["size"]] = slack * r["limit"]
-    for name in by_name:
+    for name in sorted(set(model.langs)):
         last = min((k, x) for (la, k), x in limits.items() if la == name)[1] / 2 if any(la == name for la, _ in limits) else 0.0
         for k in range(CLASSES):
             last = limits.get((name, k), last)

@@ -408,5 +408,5 @@ def nearest_rows(
     calibrate(classes, asked, index, copies, closure, k, recall, calibrating)
     found = read_lists(posted, asked, index, held, k + 1, piece, block)
     others = F.slice(F.filter("best", lambda r: r["unit"] != F.col("unit")), 1, k)
-    told = join_hot(wanted, found, "same").select(F.col("id").alias("query_id"), F.posexplode(others).alias("i", "x"))
+    told = join_hot(wanted, found, ["same"]).select(F.col("id").alias("query_id"), F.posexplode(others).alias("i", "x"))
     return told.select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.minus")).alias("score"))

@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.common import fields, hold, materialize, small_batches, text_key
+from pagewright.llm.common import fields, hold, join_hot, materialize, small_batches, text_key
 
 #: A word ends a sentence if one of the first stands at its end, perhaps before some of the second.
 ENDS, CLOSERS = ".!?…", "\"')]»”’"
 _LAST = frozenset(ENDS + CLOSERS)
 _WORD = re.compile(r"\S+")
-SALTS = 64
 #: Two odd multipliers, so that both have inverses modulo 2**64: together a hash has 128 bits.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -36,12 +35,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def pieces(text: str, long: int = 16, one_in: int = 6) -> tuple[list[str], list[int], list[int]]:
+def pieces(text: str, long: int = 0, one_in: int = 6) -> tuple[list[str], list[int], list[int]]:
     """(words, ends, whole): the words and the number of words up to the end of each piece and of each whole sentence.
 
-    A sentence ends at its mark or at a line end. One of more than `long` words is cut further after words whose hash
-    says so (one in `one_in`; no piece under 4 words or, if no hash says so, over 24): where a passage has been put into
-    the middle of other text, or has no marks, its pieces still come out alike. Others are one piece.
+    A sentence ends at its mark or at a line end, and is one piece, whatever its length. Only where `long` is given, one of
+    more than `long` words is cut further after words whose hash says so (one in `one_in`; no piece under 4 words or, if
+    no hash says so, over 24): where a passage has been put into the middle of other text, or has no marks, its pieces
+    still come out alike.
     """
     words: list[str] = []
     ends: list[int] = []
@@ -56,7 +56,7 @@ def pieces(text: str, long: int = 16, one_in: int = 6) -> tuple[list[str], list[
             ends.append(len(words))
     fine, start = [], 0
     for end in ends:
-        if end - start > long:
+        if long and end - start > long:
             n = 0
             for i in range(start, end - 1):
                 n += 1
@@ -68,7 +68,7 @@ def pieces(text: str, long: int = 16, one_in: int = 6) -> tuple[list[str], list[
     return words, fine, ends
 
 
-def sentences(text: str, long: int = 16, one_in: int = 6) -> tuple[list[str], list[int]]:
+def sentences(text: str, long: int = 0, one_in: int = 6) -> tuple[list[str], list[int]]:
     """The words and the ends of the pieces."""
     return pieces(text, long, one_in)[:2]
 
@@ -132,11 +132,12 @@ def cut_out(text: str, ends: list[int], hits: list[tuple[int, int]], part_words:
     return "".join(keep), removed, gone
 
 
-def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 2, part_words: int = 13) -> DataFrame:
+def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 2, long: int = 0, part_words: int = 13) -> DataFrame:
     """`docs` with repeated runs of sentences removed from `text`, and n_removed (pieces) and words_removed added.
 
-    Every repeated run of at least `least` whole sentences goes, however short. Besides, parts of long sentences go where
-    consecutive pieces, each repeated together with a neighbour, make up at least `part_words` words.
+    Every repeated run of at least `least` whole sentences goes, however short, and nothing else. With the option `long`
+    sentences of over `long` words are looked at in pieces, and stretches of at least `part_words` words of such pieces,
+    each repeated together with a neighbour, go as well: passages put into the middle of other sentences are found then.
 
     The first occurrence is that with the least doc_id (null last; equal ids: by hash of the text), then the first in
     the text; it stays, all others go, in the same document too. Rows with equal doc_id and text are one document. Ids
@@ -153,7 +154,7 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
-                got = [spans(*pieces(t), least) for t in b.column("text").to_pylist()]
+                got = [spans(*pieces(t, long), least) for t in b.column("text").to_pylist()]
                 at, size, h = (np.concatenate([np.zeros(0, HASH if k == 2 else np.int64), *[g[k] for g in got]]) for k in range(3))
                 of = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
                 yield pa.RecordBatch.from_arrays(
@@ -167,12 +168,7 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     # Of each hash: how many places there are and which is the first.
     place = F.struct(F.col("doc").isNull().alias("z"), "doc", "key", "at")
     repeated = materialize(runs.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c > 1"), "repeated-runs")
-    # A hash of over a thousandth of all runs (there are fewer than a thousand of them, so they can be broadcast) would
-    # be one task's work in the join: it is dealt by SALTS numbers besides.
-    hot = repeated.where(F.col("c") * 1000 > runs.count()).select("h", "g", F.lit(True).alias("hot"))
-    dealt = runs.join(F.broadcast(hot), ["h", "g"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "key", "at"), F.lit(SALTS))).otherwise(0).cast("int"))
-    firsts = repeated.join(F.broadcast(hot), ["h", "g"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))))
-    later = dealt.drop("hot").join(firsts.select("h", "g", "salt", "first"), ["h", "g", "salt"]).where(place != F.col("first"))
+    later = join_hot(runs, repeated, ["h", "g"], counted="c").where(place != F.col("first"))
     hits = later.groupBy(F.col("doc").alias("of"), F.col("key").alias("of_key")).agg(F.collect_set(F.struct("at", "n")).alias("hits"))
     hits = materialize(hits, "span-hits")
 
@@ -183,7 +179,7 @@ def dedup_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
             if t is None or f is None or not len(f):
                 out.append((t, 0, 0))
             else:
-                _, ends, whole = pieces(t)
+                _, ends, whole = pieces(t, long)
                 out.append(cut_out(t, ends, [(x["at"], x["n"]) for x in f], part_words, whole, least))
         return pd.DataFrame(out, columns=["text", *new])
 

@@ -221,5 +221,5 @@ def test_joins_with_hot_keys(spark):
     rows = spark.range(5000).selectExpr("id", "IF(id % 3 = 0, 'hot', concat('k', id % 50)) AS k")
     single = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(49)], "k string, v int")
     want = sorted((r.id, r.v) for r in rows.join(single, "k").collect())
-    assert sorted((r.id, r.v) for r in join_hot(rows, single, "k", bound=100).select("id", "v").collect()) == want
+    assert sorted((r.id, r.v) for r in join_hot(rows, single, ["k"], bound=100).select("id", "v").collect()) == want
     assert sorted((r.id, r.v) for r in join_small(rows, single, ["k"], most=10, salts=4).select("id", "v").collect()) == want
