@@ -44,14 +44,19 @@ def library_counts(documents: DataFrame, roots: DataFrame, indexed: DataFrame) -
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """By content_hash: newest name and path win, version 0 and null keep what was known, created stays the first."""
-    both = stored.withColumn("seq", F.lit(0)).unionByName(incoming.withColumn("seq", F.lit(1)))
-    latest = F.max_by("path", F.struct("seq", "last_opened", "doc"))
-    version = F.max_by(F.col("text_version"), F.when(F.col("text_version") != 0, F.struct("seq", "last_opened", "doc")))
-    return both.groupBy("content_hash").agg(
-        F.coalesce(F.max_by("path", F.when(F.col("path").isNotNull(), F.struct("seq", "last_opened", "doc"))), latest).alias("path"),
-        F.coalesce(version, F.lit(0)).alias("text_version"), F.min("created").alias("created"), F.max("last_opened").alias("last_opened"),
+    """One row for each content hash. Name, path and its provenance, size, page count and text source are those of the
+    newest row, nulls included; engine and Markdown version keep what was known where the newest is null, text and
+    recognition versions where it is 0; doc and created stay the first, last_opened is the last."""
+    both = stored.withColumn("_seq", F.lit(0)).unionByName(incoming.withColumn("_seq", F.lit(1)))
+    when = F.struct("_seq", "last_opened", "doc")
+    newest = F.max_by(F.struct("name", "path", "path_provenance", "size", "page_count", "text_source"), when)
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), when)).alias(c)
+    said = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != 0, when)), F.lit(0)).alias(c)
+    merged = both.groupBy("content_hash").agg(
+        F.min_by("doc", when).alias("doc"), newest.alias("_new"), said("text_version"), said("ocr_version"), known("engine"), known("markdown_version"),
+        F.min_by("created", when).alias("created"), F.max_by("last_opened", when).alias("last_opened"),
     )
+    return merged.select("*", "_new.*").drop("_new")
 
 
 def reusable(incoming: DataFrame, documents: DataFrame, pages: DataFrame, finished: DataFrame, chunks: DataFrame, current: dict[str, object]) -> DataFrame:
@@ -69,13 +74,13 @@ def reusable(incoming: DataFrame, documents: DataFrame, pages: DataFrame, finish
     return incoming.select("content_hash").distinct().join(d, "content_hash").select("doc", "reusable", "chunk_count")
 
 
-def exact_chunks(expected: DataFrame, stored: DataFrame, claims: DataFrame) -> DataFrame:
-    """doc, outcome: `claimed` or `unclaimed` if exactly the expected chunks are stored, else `conflicted`."""
+def exact_chunks(docs: DataFrame, expected: DataFrame, stored: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc, outcome for each of `docs`: `conflicted` unless exactly the expected chunks are stored (none at all may be
+    both), else `claimed` if there is a text of the document, else `unclaimed`."""
     both = expected.select("doc", "chunk_id", F.lit(1).alias("e")).join(stored.select("doc", "chunk_id", F.lit(1).alias("s")), ["doc", "chunk_id"], "full_outer")
     same = both.groupBy("doc").agg(F.bool_and(F.col("e").isNotNull() & F.col("s").isNotNull()).alias("same"))
-    same = same.join(claims.select("doc", F.lit(True).alias("c")), "doc", "left")
-    outcome = F.when(~F.col("same"), "conflicted").when(F.col("c"), "claimed").otherwise("unclaimed")
-    return same.select("doc", outcome.alias("outcome"))
+    asked = docs.select("doc").distinct().join(same, "doc", "left").join(texts.select("doc").distinct().withColumn("t", F.lit(True)), "doc", "left")
+    return asked.select("doc", F.when(~F.coalesce("same", F.lit(True)), "conflicted").when(F.col("t"), "claimed").otherwise("unclaimed").alias("outcome"))
 
 
 def chunk_difference(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -90,21 +95,5 @@ def orphans(documents: DataFrame, chunks: DataFrame, vectors: DataFrame) -> Data
     return lone.unionByName(chunks.join(documents, "doc", "left_anti").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id")))
 
 
-def replace_scope(chunks: DataFrame, new: DataFrame, docs: DataFrame, profile: str) -> DataFrame:
-    """The chunk table after the given documents' chunks of one profile have been replaced; other scopes stay."""
-    gone = docs.select("doc").distinct().withColumn("profile", F.lit(profile))
-    return chunks.join(gone, ["doc", "profile"], "left_anti").select("doc", "profile", "chunk_id").unionByName(new.select("doc", "profile", "chunk_id"))
-
-
-def forget(tables: dict[str, DataFrame], docs: DataFrame) -> DataFrame:
-    """table, kept, removed: row counts of each table after the documents have been taken out of it."""
-    out = None
-    for name, t in tables.items():
-        marked = t.join(docs.select(F.col("doc").alias("_gone")).distinct(), F.col("doc") == F.col("_gone"), "left")
-        n = marked.agg(F.count_if(F.col("_gone").isNull()).alias("kept"), F.count_if(F.col("_gone").isNotNull()).alias("removed")).select(F.lit(name).alias("table"), "kept", "removed")
-        out = n if out is None else out.unionByName(n)
-    return out
-
-
 def stale(chunks: DataFrame, current: int) -> DataFrame:
     return chunks.where(F.col("chunk_version") != current).select("doc").distinct()

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import plain
 from pagewright.operators import annotations, blocks, evaluate, layout
 from pagewright.plans import inputs
-from pagewright.sources import files
+from pagewright.plans.inputs import with_ctes
+from pagewright.sources import files, passages
 from pagewright.streaming import jobs
 
 
@@ -40,8 +41,6 @@ def win_table_from_lines(spark, sf):
     li = inputs.table(spark, sf, "lineitem")
     cells = F.array(F.struct(F.col("l_linenumber").cast("string").alias("text"), F.lit(72.0).alias("x0")), F.struct(F.col("l_partkey").cast("string").alias("text"), F.lit(180.0).alias("x0")), F.struct(F.lit("pieces").alias("text"), F.lit(300.0).alias("x0")), F.struct(F.col("l_quantity").cast("int").cast("string").alias("text"), F.lit(341.0).alias("x0")))
     w = li.select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.xxhash64("l_linenumber", "l_partkey", "l_quantity").alias("h"), "l_linenumber", F.posexplode(cells).alias("word_no", "c"))
-    from pyspark.sql import Window
-
     line = F.dense_rank().over(Window.partitionBy("doc").orderBy("l_linenumber", "h"))
     w = w.select("doc", "page", line.alias("line"), "word_no", "c.text", "c.x0", (F.col("c.x0") + 6.0 * F.length("c.text")).alias("x1"))
     title = w.select("doc", "page").distinct().withColumn("line", F.lit(0)).withColumn("word_no", F.lit(0)).withColumn("text", F.lit("Order")).withColumn("x0", F.lit(72.0)).withColumn("x1", F.lit(102.0))
@@ -103,10 +102,20 @@ def _scratch(spark, name):
 
 
 def st_ingest(spark, sf):
-    """Streams the documents folder once into a passage table; equal contents are stored once."""
-    table = _scratch(spark, "ingest")
-    jobs.ingest(jobs.page_stream(spark, f"{sf}/documents.parquet*"), f"{table}/passages", f"{table}/state").awaitTermination()
-    return spark.read.parquet(f"{table}/passages").select("content_hash", "page", F.length("markdown").alias("chars"))
+    """Streams the documents folder into a store, equal contents once. Each stored page, and whether its document is
+    indexed: claimed, with a vector and a length for each of its chunks, and chunks unless it is blank."""
+    at = _scratch(spark, "ingest")
+    store = passages.passages(spark, f"{at}/store", 8)
+    jobs.ingest(jobs.page_stream(spark, f"{sf}/documents.parquet*"), store, passages.Scope("balanced", 4, "words", 1, 64), jobs.chunked(), f"{at}/state").awaitTermination()
+    now = store.snapshot()
+    chunks = store.read("chunks", now).join(store.read("vectors", now).select("doc", "chunk_id", F.lit(1).alias("v")), ["doc", "chunk_id"], "left")
+    chunks = chunks.join(store.read("lengths", now).select("doc", "chunk_id", "len"), ["doc", "chunk_id"], "left")
+    state = chunks.groupBy("doc").agg(F.bool_and(F.col("v").isNotNull() & F.col("len").isNotNull()).alias("whole"))
+    state = store.read("claims", now).select("doc").join(state, "doc", "left").select("doc", F.coalesce("whole", F.lit(False)).alias("whole"))
+    d = store.read("documents", now).select("doc", "content_hash").join(state, "doc", "left")
+    p = store.read("pages", now).join(d, "doc")
+    blank = F.min(F.trim("markdown") == "").over(Window.partitionBy("doc"))
+    return p.select("content_hash", "page", F.length("markdown").alias("chars"), (F.coalesce("whole", F.lit(False)) | blank).alias("indexed"))
 
 
 def src_corpus_walk(spark, sf):
@@ -141,7 +150,7 @@ SELECT ref, w AS "window", w = n AND i = 0 AS active, i = 0 AS active_in_window
 p AS (SELECT doc, max(status) FILTER (k = 0) AS o, max(percent) FILTER (k = 0) AS op, max(status) FILTER (k = 1) AS i, max(percent) FILTER (k = 1) AS ip FROM e GROUP BY doc),
 s AS (SELECT *, CASE WHEN coalesce(o, '') = 'error' OR coalesce(i, '') = 'error' THEN 'failed' WHEN o = 'running' THEN 'ocr' WHEN o = 'checking' THEN 'checking-text' WHEN i = 'running' THEN 'indexing' WHEN i = 'checking' THEN 'checking-index' ELSE 'ready' END AS stage FROM p)
 SELECT doc, stage, CASE stage WHEN 'ocr' THEN op WHEN 'indexing' THEN ip WHEN 'ready' THEN 100 END AS percent FROM s""",
-    "st_ingest": "SELECT sha256(text) AS content_hash, 1 AS page, length(text) AS chars FROM documents GROUP BY ALL",
+    "st_ingest": with_ctes("prose", ", first AS (SELECT sha256(text) AS content_hash, min(doc_id) AS doc FROM documents GROUP BY 1) SELECT content_hash, page, length(markdown) AS chars, true AS indexed FROM prose JOIN first USING (doc)"),
     "agg_latency": """WITH t AS (SELECT event_type AS mode, user_id % 3 AS kind, round(value, 6) AS ms, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY round(value, 6)) - 1 AS i, count(*) OVER (PARTITION BY event_type, user_id % 3) AS n FROM events)
 SELECT mode, kind, max(ms) FILTER (i = least(floor(0.5 * n), n - 1)) AS p50, max(ms) FILTER (i = least(floor(0.95 * n), n - 1)) AS p95 FROM t GROUP BY mode, kind""",
     "agg_batch_outcome": """WITH r AS (SELECT o_custkey AS batch, count(*) FILTER (o_orderstatus = 'O') AS succeeded, count(*) FILTER (o_orderstatus <> 'O') AS failed, arg_min(CASE o_orderstatus WHEN 'F' THEN 3 ELSE 4 END, o_orderkey) FILTER (o_orderstatus <> 'O') AS first FROM orders GROUP BY 1)

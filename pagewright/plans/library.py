@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators import catalog
+from pagewright.functions.text import bow_vector
+from pagewright.operators import catalog, lexical
 from pagewright.plans import inputs
 from pagewright.plans.inputs import with_ctes
+from pagewright.sources import files, passages
 
 CURRENT = {"text_version": 2, "ocr_version": 1, "engine": "standard", "markdown_version": 3}
 
@@ -55,9 +59,19 @@ def agg_store_info(spark, sf):
     return n.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(inputs.table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("embeddings"))))  # one row each
 
 
+def _records(spark, sf):
+    """The catalogue with all columns of a stored document."""
+    k = F.col("doc")
+    d = inputs.catalogue(spark, sf).withColumn("created", F.col("last_opened") % 1000).withColumnRenamed("bytes", "size")
+    return d.select(
+        "doc", "content_hash", F.concat(F.lit("name "), k % 7).alias("name"), "path", "path_provenance", "size", "page_count", F.when(k % 4 == 0, "ocr").otherwise("pdf").alias("text_source"),
+        "text_version", (k % 3).cast("int").alias("ocr_version"), F.when(k % 5 != 1, F.concat(F.lit("engine "), k % 2)).alias("engine"), F.when(k % 6 != 1, (k % 9).cast("int")).alias("markdown_version"), "created", "last_opened",
+    )
+
+
 def inc_upsert_documents(spark, sf):
-    d = inputs.catalogue(spark, sf).withColumn("created", F.col("last_opened") % 1000)
-    return catalog.upsert(d.where("doc % 2 = 0").drop("page_count"), d.where("doc % 2 = 1").drop("page_count"))
+    d = _records(spark, sf)
+    return catalog.upsert(d.where("doc % 2 = 0"), d.where("doc % 2 = 1"))
 
 
 def _chunk_table(spark, sf):
@@ -88,21 +102,68 @@ def inc_rechunk_on_version(spark, sf):
     return catalog.stale(_chunk_table(spark, sf), 4)
 
 
+def _store(spark, tables, buckets=8):
+    store = passages.passages(spark, f"{files.shared_folder(spark)}/passages-{uuid.uuid4().hex}", buckets)
+    passages.fill(store, tables)
+    return store
+
+
+def _scoped(spark, sf):
+    """Chunks in scopes: two profiles by page, three versions by document, vectors of one model."""
+    c = inputs.chunks(spark, sf).withColumn("profile", F.when(F.col("page") % 2 == 0, "precise").otherwise("balanced")).withColumn("version", (3 + F.col("doc") % 3).cast("int"))
+    return c.withColumn("idx", F.lit(0)).withColumn("heading_path", F.lit("[]")).withColumn("vector", bow_vector(F.col("text")))
+
+
+SCOPE = passages.Scope("precise", 4, "small", 1, 64)
+
+
+def _tables(c):
+    vectors = c.withColumn("model", F.lit(SCOPE.model)).withColumn("model_version", F.lit(1)).withColumn("dims", F.lit(64))
+    claims = vectors.select("doc", "profile", "version", "model", "model_version", "dims").distinct().withColumn("written", F.lit(1).cast("long"))
+    return {"chunks": c, "vectors": vectors, "claims": claims}
+
+
 def inc_replace_scope(spark, sf):
-    c = _chunk_table(spark, sf)
-    docs = c.where("doc % 10 = 0").select("doc")
-    new = c.where("doc % 10 = 0 and profile = 'precise'").withColumn("chunk_id", F.concat("chunk_id", F.lit(":new")))
-    return catalog.replace_scope(c, new, docs, "precise")
+    """Every tenth document is read again: its scope is replaced, its new chunks come in, and it claims to be complete. Of
+    some a chunk is missing, of some there is no text. What the store then holds: chunks and claims, and what was said."""
+    c = _scoped(spark, sf)
+    store = _store(spark, _tables(c))
+    docs = c.where("doc % 10 = 0").select("doc").distinct()
+    new = c.where("doc % 10 = 0 and page % 2 = 0").withColumn("chunk_id", F.concat("chunk_id", F.lit(":new")))
+    passages.begin_replace(store, docs, SCOPE)
+    passages.insert(store, new, SCOPE)
+    expected = new.select("doc", "chunk_id").unionByName(docs.where("doc % 20 = 10").select("doc", F.concat("doc", F.lit(":lost")).alias("chunk_id")))
+    pages = inputs.extracted(spark, sf).where("doc % 10 = 0 and doc % 30 <> 0")
+    told = passages.complete(store, docs, SCOPE, expected, pages, 2)
+    kinds = {"chunk": (store.read("chunks"), "chunk_id"), "claim": (store.read("claims"), "model"), "outcome": (told.withColumn("profile", F.lit(SCOPE.profile)).withColumn("version", F.lit(SCOPE.version)), "outcome")}
+    out = None
+    for kind, (t, said) in kinds.items():
+        rows = t.select(F.lit(kind).alias("kind"), "doc", "profile", "version", F.col(said).alias("said"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def inc_forget(spark, sf):
-    d, c = inputs.catalogue(spark, sf), inputs.chunks(spark, sf)
-    return catalog.forget({"documents": d.select("doc"), "chunks": c.select("doc"), "pages": inputs.prose(spark, sf).select("doc")}, d.where("doc % 9 = 4"))
+    """Every ninth document is taken out of all tables of a stored library; what each table keeps and has lost."""
+    c = _scoped(spark, sf)
+    store = _store(spark, {**_tables(c), "documents": _records(spark, sf), "pages": inputs.extracted(spark, sf), "postings": lexical.postings(c), "lengths": lexical.chunk_lengths(c)})
+    return passages.forget(store, inputs.catalogue(spark, sf).where("doc % 9 = 4"))
 
 
 def join_exact_chunks(spark, sf):
     c = inputs.chunks(spark, sf)
-    return catalog.exact_chunks(c, c.where("(doc * 31 + page) % 40 <> 0"), _claims(spark, sf))
+    return catalog.exact_chunks(c, c, c.where("(doc * 31 + page) % 40 <> 0"), _claims(spark, sf))
+
+
+def join_missing_postings(spark, sf):
+    """A stored library of which every fifth document has no word index: batches fill it in until none is missing. The
+    length of each chunk and the number of its words, as stored."""
+    c = _scoped(spark, sf)
+    known = c.where("doc % 5 <> 0")
+    store = _store(spark, {"chunks": c, "postings": lexical.postings(known), "lengths": lexical.chunk_lengths(known)}, 4)
+    passages.complete_index(store)
+    words = store.read("postings").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("words"))
+    return store.read("lengths").join(words, "chunk_id", "left").select("chunk_id", "len", F.coalesce("words", F.lit(0)).alias("words"))
 
 
 def set_chunk_difference(spark, sf):
@@ -126,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         win_latest_version, set_library_union, flt_discoverable, agg_library_counts, join_library_target, src_content_hash, top_recent_documents, agg_store_info,
-        inc_upsert_documents, join_reuse, inc_index_new, inc_rechunk_on_version, inc_replace_scope, inc_forget, join_exact_chunks, set_chunk_difference, join_orphans, flt_scope,
+        inc_upsert_documents, join_reuse, inc_index_new, inc_rechunk_on_version, inc_replace_scope, inc_forget, join_exact_chunks, join_missing_postings, set_chunk_difference, join_orphans, flt_scope,
     )
 }
 
@@ -154,21 +215,35 @@ SQL = {
     "agg_store_info": with_ctes("catalogue prose chunks", "SELECT (SELECT count(*) FROM catalogue) AS documents, (SELECT CAST(sum(bytes) AS BIGINT) FROM catalogue) AS bytes, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM embeddings) AS embeddings"),
     "inc_upsert_documents": with_ctes(
         "catalogue",
-        """, both_ AS (SELECT *, doc % 2 AS seq, last_opened % 1000 AS created FROM catalogue)
-SELECT content_hash, arg_max(path, (seq, last_opened, doc)) FILTER (path IS NOT NULL) AS path, coalesce(arg_max(text_version, (seq, last_opened, doc)) FILTER (text_version <> 0), 0) AS text_version, min(created) AS created, max(last_opened) AS last_opened FROM both_ GROUP BY 1""",
+        """, r AS (SELECT doc, content_hash, 'name ' || doc % 7 AS name, path, path_provenance, bytes AS size, page_count, CASE WHEN doc % 4 = 0 THEN 'ocr' ELSE 'pdf' END AS text_source, text_version, CAST(doc % 3 AS INT) AS ocr_version,
+  CASE WHEN doc % 5 <> 1 THEN 'engine ' || doc % 2 END AS engine, CASE WHEN doc % 6 <> 1 THEN CAST(doc % 9 AS INT) END AS markdown_version, last_opened % 1000 AS created, last_opened,
+  row_number() OVER (PARTITION BY content_hash ORDER BY doc % 2, last_opened, doc) AS place FROM catalogue)
+SELECT content_hash, arg_min(doc, place) AS doc, arg_max({'x': name}, place).x AS name, arg_max({'x': path}, place).x AS path, arg_max({'x': path_provenance}, place).x AS path_provenance, arg_max(size, place) AS size, arg_max({'x': page_count}, place).x AS page_count, arg_max(text_source, place) AS text_source,
+  coalesce(arg_max(text_version, place) FILTER (text_version <> 0), 0) AS text_version, coalesce(arg_max(ocr_version, place) FILTER (ocr_version <> 0), 0) AS ocr_version, arg_max(engine, place) FILTER (engine IS NOT NULL) AS engine, arg_max(markdown_version, place) FILTER (markdown_version IS NOT NULL) AS markdown_version,
+  arg_min(created, place) AS created, arg_max(last_opened, place) AS last_opened FROM r GROUP BY 1""",
     ),
     "join_reuse": with_ctes("catalogue prose extracted chunks", _REUSE + "SELECT * FROM reuse"),
     "inc_index_new": with_ctes("catalogue prose extracted chunks", _REUSE + "SELECT doc, chunk_id FROM chunks WHERE doc NOT IN (SELECT doc FROM reuse WHERE reusable)"),
     "inc_rechunk_on_version": with_ctes("prose chunks", "SELECT DISTINCT doc FROM chunks WHERE 3 + doc % 2 <> 4"),
     "inc_replace_scope": with_ctes(
         "prose chunks",
-        ", t AS (SELECT doc, CASE WHEN page % 2 = 0 THEN 'precise' ELSE 'balanced' END AS profile, chunk_id FROM chunks) SELECT doc, profile, CASE WHEN doc % 10 = 0 AND profile = 'precise' THEN chunk_id || ':new' ELSE chunk_id END AS chunk_id FROM t",
+        """, t AS (SELECT doc, CASE WHEN page % 2 = 0 THEN 'precise' ELSE 'balanced' END AS profile, CAST(3 + doc % 3 AS INT) AS version, chunk_id, page FROM chunks),
+gone AS (SELECT *, doc % 10 = 0 AND (version < 4 OR (version = 4 AND profile = 'precise')) AS gone FROM t),
+told AS (SELECT DISTINCT doc, CASE WHEN doc % 20 = 10 THEN 'conflicted' WHEN doc % 30 = 0 THEN 'unclaimed' ELSE 'claimed' END AS said FROM t WHERE doc % 10 = 0)
+SELECT 'chunk' AS kind, doc, profile, version, chunk_id AS said FROM gone WHERE NOT gone
+UNION ALL SELECT 'chunk', doc, 'precise', 4, chunk_id || ':new' FROM t WHERE doc % 10 = 0 AND page % 2 = 0
+UNION ALL SELECT DISTINCT 'claim', doc, profile, version, 'small' FROM gone WHERE NOT gone AND doc NOT IN (SELECT doc FROM told WHERE said = 'claimed')
+UNION ALL SELECT 'claim', doc, 'precise', 4, 'small' FROM told WHERE said = 'claimed'
+UNION ALL SELECT 'outcome', doc, 'precise', 4, said FROM told""",
     ),
     "inc_forget": with_ctes(
-        "catalogue prose chunks",
-        "SELECT 'documents' AS \"table\", count(*) FILTER (doc % 9 <> 4) AS kept, count(*) FILTER (doc % 9 = 4) AS removed FROM catalogue UNION ALL SELECT 'chunks', count(*) FILTER (doc % 9 <> 4), count(*) FILTER (doc % 9 = 4) FROM chunks UNION ALL SELECT 'pages', count(*) FILTER (doc % 9 <> 4), count(*) FILTER (doc % 9 = 4) FROM prose",
+        "catalogue prose chunks postings",
+        """, t AS (SELECT 'documents' AS "table", doc FROM catalogue UNION ALL SELECT k, doc FROM chunks, (VALUES ('chunks'), ('vectors'), ('lengths')) v(k) UNION ALL SELECT 'pages', doc FROM prose
+  UNION ALL SELECT 'postings', doc FROM (SELECT DISTINCT chunk_id, doc, token FROM occurrences) UNION ALL SELECT 'claims', doc FROM (SELECT DISTINCT doc, page % 2 FROM chunks))
+SELECT "table", count(*) FILTER (doc % 9 <> 4) AS kept, count(*) FILTER (doc % 9 = 4) AS removed FROM t GROUP BY 1""",
     ),
     "join_exact_chunks": with_ctes("prose chunks", "SELECT doc, CASE WHEN bool_or((doc * 31 + page) % 40 = 0) THEN 'conflicted' WHEN doc % 3 <> 1 THEN 'claimed' ELSE 'unclaimed' END AS outcome FROM chunks GROUP BY doc"),
+    "join_missing_postings": with_ctes("prose chunks postings", "SELECT chunk_id, CAST(len(t) AS INT) AS len, len(list_distinct(t)) AS words FROM words"),
     "set_chunk_difference": with_ctes("prose chunks", "SELECT chunk_id, 'add' AS change FROM chunks WHERE (doc + page) % 7 <> 0 AND (doc + page) % 6 = 0 UNION ALL SELECT chunk_id, 'delete' FROM chunks WHERE (doc + page) % 6 <> 0 AND (doc + page) % 7 = 0"),
     "join_orphans": with_ctes("prose chunks", "SELECT 'vector' AS kind, chunk_id AS id FROM chunks WHERE doc % 2 = 0 AND page % 5 = 0 UNION ALL SELECT 'chunk', chunk_id FROM chunks WHERE page % 5 <> 0 AND doc % 8 = 3"),
     "flt_scope": with_ctes("prose chunks", "SELECT chunk_id, doc FROM chunks WHERE page % 2 = 1 AND doc % 2 = 1 AND doc % 3 <> 2"),

@@ -184,11 +184,6 @@ def join_eligible(spark, sf):
     return inputs.chunks(spark, sf).join(vectors.where("model_id = 'small'"), "chunk_id", "left_semi").select("chunk_id")
 
 
-def join_missing_postings(spark, sf):
-    c = inputs.chunks(spark, sf)
-    return lexical.missing_postings(c, lexical.postings(c.where("doc % 5 <> 0")))
-
-
 def txt_plain(spark, sf):
     return inputs.structured(spark, sf).select("doc", "page", plain(F.col("markdown")).alias("plain"))
 
@@ -217,7 +212,7 @@ QUERIES = {
     for f in (
         txt_tokenize_index, txt_query_plan, join_phrase, agg_doc_stats, agg_bm25, top_exact, agg_embed_bow, join_semantic, flt_min_score, top_semantic,
         join_fuse_rrf, win_doc_cap, top_fused, top_reading_order, join_late_text, txt_snippets, top_depth_ladder, library_search, join_eligible,
-        top_in_document, inc_word_index, join_missing_postings, txt_plain, txt_fingerprint_ids, agg_retrieval_metrics,
+        top_in_document, inc_word_index, txt_plain, txt_fingerprint_ids, agg_retrieval_metrics,
     )
 }
 
@@ -319,7 +314,6 @@ exa AS (SELECT exact.* FROM exact JOIN searched USING (doc) JOIN modes USING (qu
     ),
     "inc_word_index": with_ctes(_LEX.replace("chunks", "indexed"), "SELECT query_id, chunk_id, doc, rank FROM exact"),
     "join_eligible": with_ctes("prose chunks", "SELECT chunk_id FROM chunks WHERE doc % 2 = 0"),
-    "join_missing_postings": with_ctes("prose chunks postings", "SELECT chunk_id FROM words WHERE doc % 5 = 0 AND len(t) > 0"),
     "txt_plain": with_ctes("structured", f"SELECT doc, page, {plain_sql('markdown')} AS plain FROM structured"),
     "txt_fingerprint_ids": with_ctes(
         "prose chunks",

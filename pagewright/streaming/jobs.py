@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,40 +10,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from pagewright.functions.groups import fold_groups
+from pagewright.functions.text import bow_vector
+from pagewright.operators import chunking
+from pagewright.sources import passages
+from pagewright.sources.passages import Scope
+from pagewright.sources.store import Store
 
 GAP_MS = 500
 
 
-def ingest(pages: DataFrame, table: str, checkpoint: str, digits: int = 1) -> StreamingQuery:
-    """Write new pages of a stream (content_hash, doc, page, markdown) as passages to `table`, each content once.
+def ingest(pages: DataFrame, store: Store, scope: Scope, cut: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+    """Index the pages of a stream (content_hash, doc, page, markdown; the pages of a document in one batch) into a store.
 
-    A batch that is run again after a failure replaces its own folders, and content that is stored already is left out.
-    The table is partitioned by the first `digits` digits of the hash, and a batch is compared with the partitions that
-    its own hashes fall into: a small batch reads a small part of the table. It writes one file for each of them, so more
-    digits are for large tables that are fed by batches of few documents. Pages without a hash are equal to no others.
+    Each batch is one step of the store (see `add_documents`), so a batch that is run again after a failure changes nothing.
+    A batch reads and writes only the buckets that its own documents and contents fall into.
     """
 
-    def store(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.where("content_hash is null").unionByName(batch.where("content_hash is not null").dropDuplicates(["content_hash", "page"]))
-        new = new.withColumn("prefix", F.concat(F.lit("h"), F.left(F.coalesce("content_hash", F.lit("")), F.lit(digits))))
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-        if fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-            touched = [r["prefix"] for r in new.select("prefix").distinct().collect()]  # at most 16 ** digits
-            stored = spark.read.schema(f"{new.schema.toDDL()}, epoch long").parquet(table)
-            have = stored.where(F.col("prefix").isin(touched) & (F.col("epoch") != epoch)).select("content_hash", "page")
-            new = new.join(have, ["content_hash", "page"], "left_anti")
-        new = new.withColumn("epoch", F.lit(epoch)).repartition("prefix")
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "epoch").parquet(table)
-
-    return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def page_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over folders of the documents table: content_hash, doc, page (one page a document), markdown."""
-    schema = "doc_id long, text string"
-    d = spark.readStream.schema(schema).parquet(path)
-    return d.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.col("text").alias("markdown"))
+    def one(batch: DataFrame, epoch: int) -> None:
+        passages.add_documents(store, batch, scope, cut, epoch)
+
+    return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def chunked(profile: str = "balanced") -> Callable[[DataFrame], DataFrame]:
+    """The chunk job and bag-of-words vectors, as `ingest` wants them."""
+
+    def cut(pages: DataFrame) -> DataFrame:
+        c = chunking.chunk_corpus(pages.select("doc", "page", "markdown"), profile)
+        return c.select("doc", "chunk_id", "page", "idx", "text", F.to_json("headings").alias("heading_path"), bow_vector(F.col("embed_text")).alias("vector"))
+
+    return cut
+
+
+def page_stream(spark: SparkSession, path: str, lines: int = 5) -> DataFrame:
+    """A stream over folders of the documents table, in pages of some lines: content_hash, doc, page, markdown."""
+    d = spark.readStream.schema("doc_id long, text string").parquet(path).withColumn("l", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    d = d.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.col("doc_id").alias("doc"), "l", F.posexplode(F.sequence(F.lit(0), F.ceil(F.size("l") / lines).cast("int") - 1)).alias("p", "i"))
+    return d.select("content_hash", "doc", (F.col("i") + 1).alias("page"), F.array_join(F.slice("l", F.col("i") * lines + 1, lines), "\n").alias("markdown"))
 
 
 def open_documents(snapshots: DataFrame) -> DataFrame:
