@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.groups import fold_groups
-from pagewright.functions.text import chunk_id
+from pagewright.functions.text import chunk_id, plain
 from pagewright.operators import blocks as structure
 
 PROFILES = {"precise": 260, "balanced": 420, "contextual": 640}
@@ -171,6 +171,17 @@ def lossless(found: DataFrame, cut: DataFrame) -> DataFrame:
     return same.select("doc", "pos", (F.col("text") == F.col("back")).alias("lossless"))
 
 
+def rows_reaching(tables: DataFrame, cut: DataFrame) -> DataFrame:
+    """doc, pos, row, intact: does a row of a table stand in the visible text of one of its windows, all cells in order with
+    a blank between them? A row is looked for in the windows that have a part of it."""
+    cells = F.transform(F.split(F.trim("line"), r"(?<!\\)\|", -1), lambda c: F.trim(c))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
+    rows = tables.select("doc", "pos", F.posexplode(lines).alias("n", "line")).where("n >= 2").select("doc", "pos", (F.col("n") - 2).alias("row"), F.array_join(F.filter(cells, lambda c: c != ""), " ").alias("said"))
+    seen = cut.select("doc", "pos", plain(F.concat("embed_prefix", "text")).alias("visible"), F.explode(F.array_distinct(F.transform("fragments", lambda f: f["row"]))).alias("row"))
+    hits = rows.join(seen, ["doc", "pos", "row"], "left")
+    return hits.groupBy("doc", "pos", "row").agg(F.coalesce(F.bool_or(F.contains("visible", "said")), F.lit(False)).alias("intact"))
+
+
 def word_windows(pages: DataFrame, size: int = 420, overlap: int = 70) -> DataFrame:
     """doc, page, start_word, text: overlapping windows of words, the baseline to compare with."""
     w = pages.select("doc", "page", F.filter(F.split(F.col("markdown"), r"\s+"), lambda x: x != "").alias("w")).where("size(w) > 0")

@@ -145,80 +145,3 @@ def tables_from_words(words: DataFrame) -> DataFrame:
         return [(*key, md)] if md else []
 
     return fold_groups(words.select("doc", "page", "line", "word_no", "text", "x0", "x1"), ["doc", "page"], ["line", "word_no"], fold, "doc long, page int, markdown string")
-
-
-def flat(text: str) -> str:
-    """For tolerant comparison: compatibility forms, lower case, no soft hyphens, hyphens at line ends or white space."""
-    t = unicodedata.normalize("NFKC", text).lower().replace("­", "")
-    return re.sub(r"\s+", "", re.sub(r"-\s*\n\s*", "", t))
-
-
-def anchor_quotes(runs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """quote_id, occurrences, rects: where a quote stands on its page, forgiving case, spaces, hyphenation, ligatures.
-
-    Occurrences may overlap; the rectangles (left, bottom, right, top; one for each line) are those of the first.
-    """
-
-    def run(key: tuple, r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        r = r.sort_values(["y", "x"], ascending=[False, True])
-        text, owner = [], []
-        rows = list(r[["text", "x", "y", "width", "height"]].itertuples(index=False))
-        for k, row in enumerate(rows):
-            own = flat(row.text)
-            ends_line = k + 1 == len(rows) or rows[k + 1].y != row.y
-            if ends_line and own.endswith("-"):
-                own = own[:-1]
-            text.append(own)
-            owner += [(k, i, len(own)) for i in range(len(own))]
-        page, out = "".join(text), []
-        for qid, quote in zip(q["quote_id"], q["quote"], strict=True):
-            wanted = flat(quote or "")
-            hits = [m.start() for m in re.finditer(f"(?={re.escape(wanted)})", page)] if wanted else []
-            rects: dict[float, list[float]] = {}
-            for k, i, n in owner[hits[0] : hits[0] + len(wanted)] if hits else []:
-                row = rows[k]
-                a, b = row.x + row.width * i / n, row.x + row.width * (i + 1) / n
-                box = rects.setdefault(row.y, [a, row.y, b, row.y + row.height])
-                box[0], box[2] = min(box[0], a), max(box[2], b)
-            out.append((qid, len(hits), [[float(v) for v in rects[y]] for y in sorted(rects, reverse=True)]))
-        return pd.DataFrame(out, columns=["quote_id", "occurrences", "rects"])
-
-    return runs.groupBy("doc", "page").cogroup(quotes.groupBy("doc", "page")).applyInPandas(run, "quote_id string, occurrences int, rects array<array<double>>")
-
-
-SIZES = (14, 12, 10, 8, 6)
-
-
-def page_positions(pages: DataFrame, converted: DataFrame) -> DataFrame:
-    """doc, page, position, matched: where each page begins in a converted document, in words.
-
-    Windows of 14, 12, ... 6 words of each page (half overlapping, at least 65 % distinct) are joined to the document's
-    windows by hash; a page takes the first place at or after that of the page before, by the longest window that has one.
-    """
-    split = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
-    p = pages.select("doc", "page", split(F.col("markdown")).alias("w"))
-    c = converted.select("doc", split(F.col("markdown")).alias("w"))
-    found = None
-    for n in SIZES:
-        starts = lambda step: F.explode(F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)), F.lit(step)), lambda i: i + n <= F.size("w")))  # noqa: E731, B023
-        a = p.select("doc", "page", "w", starts(n // 2).alias("at")).select("doc", "page", "at", F.slice("w", F.col("at") + 1, n).alias("s")).where(F.size(F.array_distinct("s")) >= 0.65 * n)
-        b = c.select("doc", "w", starts(1).alias("position")).select("doc", "position", F.xxhash64(F.slice("w", F.col("position") + 1, n)).alias("h"))
-        j = a.withColumn("h", F.xxhash64("s")).join(b, ["doc", "h"]).select("doc", "page", F.lit(n).alias("n"), "at", (F.col("position") - F.col("at")).alias("position"))
-        found = j if found is None else found.unionByName(j)
-    spots = found.groupBy("doc", "page", "n").agg(F.sort_array(F.collect_set("position")).alias("spots"))
-    table = p.select("doc", "page").join(spots, ["doc", "page"], "left")
-
-    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
-        cursor, out = 0, []
-        for page, own in itertools.groupby(rows, key=lambda r: r[1]):
-            place = None
-            for *_, spots in own:  # the longest windows first
-                place = None if spots is None else next((max(0, int(x)) for x in spots if x >= cursor), None)
-                if place is not None:
-                    break
-            cursor = cursor if place is None else place
-            out.append((*key, page, cursor, place is not None))
-        return out
-
-    table = table.select("doc", "page", (-F.col("n")).alias("n"), "spots")
-    return fold_groups(table, ["doc"], ["page", "n"], fold, "doc long, page int, position int, matched boolean")

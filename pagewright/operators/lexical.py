@@ -119,17 +119,19 @@ def phrase_hits(words: DataFrame, plan: DataFrame) -> DataFrame:
     return found.groupBy(*kept).agg(F.sum(F.when(F.col("n_tokens") == 1, F.col("c")).otherwise(1)).alias("tf"))
 
 
-def whole_matches(hits: DataFrame, plan: DataFrame) -> DataFrame:
+def whole_matches(hits: DataFrame, plan: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, doc, len, parts (part, tf, df): chunks in which all parts of a query occur.
 
     The candidates of a query are the chunks with its rarest part, and the other parts are looked up in those only. df is
-    the number of chunks that have the part, also where another part is missing.
+    the number of chunks that have the part, also where another part is missing. With `only` (chunk_id) the candidates are
+    cut to these chunks before they are looked into; df stays that of the whole index.
     """
     df = hits.groupBy("phrase").agg(F.count_if(F.col("tf") > 0).alias("df"))
     known = asked_parts(plan).join(df, "phrase").groupBy("query_id", "n_parts")
     known = known.agg(F.collect_list(F.struct("part", "phrase", "df")).alias("asked"), F.min_by("phrase", F.struct("df", "part")).alias("rarest"))  # at most MOST_PARTS
     known = known.where(F.size("asked") == F.col("n_parts"))
     near = hits.where("tf > 0").join(known, F.col("phrase") == F.col("rarest")).select("query_id", "n_parts", "chunk_id", F.inline("asked"))
+    near = near if only is None else near.join(only.select("chunk_id"), "chunk_id", "left_semi")
     both = near.join(hits.where("tf > 0"), ["phrase", "chunk_id"])
     found = both.groupBy("query_id", "n_parts", "chunk_id", "doc", "len").agg(F.array_sort(F.collect_list(F.struct("part", "tf", "df"))).alias("parts"))
     return found.where(F.size("parts") == F.col("n_parts")).drop("n_parts")
@@ -140,11 +142,11 @@ def phrase_matches(words: DataFrame, plan: DataFrame) -> DataFrame:
     return whole_matches(phrase_hits(words, plan), plan).select("query_id", "chunk_id", "doc", F.inline("parts")).select("query_id", "part", "chunk_id", "doc", "tf")
 
 
-def bm25(words: DataFrame, plan: DataFrame, lengths: DataFrame) -> DataFrame:
+def bm25(words: DataFrame, plan: DataFrame, lengths: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, doc, rank (negative; the least is best) of chunks in which all parts occur. `lengths` are those
-    of all chunks of the index."""
+    of all chunks of the index. With `only` (chunk_id) just these chunks are ranked."""
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    scored = whole_matches(phrase_hits(words, plan), plan).crossJoin(F.broadcast(stats))  # one row
+    scored = whole_matches(phrase_hits(words, plan), plan, only).crossJoin(F.broadcast(stats))  # one row
     idf = lambda d: F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - d + 0.5) / (d + 0.5)))
     norm = K1 * (1 - B + B * F.col("len") / F.col("avgdl"))
     part = lambda p: idf(p["df"]) * p["tf"] * (K1 + 1) / (p["tf"] + norm)

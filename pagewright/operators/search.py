@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import cosine
@@ -150,6 +150,18 @@ def late_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks.select("chunk_id", "page", "text"), "chunk_id")
 
 
+def in_scope(chunks: DataFrame, vectors: DataFrame, profile: str, version: int, model: str, model_version: int, dims: int) -> DataFrame:
+    """chunk_id, doc, vector of the chunks of a profile and version that have a vector of the model, its version and width."""
+    own = vectors.where((F.col("model") == model) & (F.col("model_version") == model_version) & (F.col("dims") == dims))
+    return chunks.where((F.col("profile") == profile) & (F.col("version") == version)).select("chunk_id", "doc").join(own.select("chunk_id", "vector"), "chunk_id")
+
+
+def heading_inherited(headings: Column, page: Column) -> Column:
+    """Does the nearest of a chunk's headings (title, page) stand on another page? One of unknown page claims nothing."""
+    nearest = F.get(headings, F.size(headings) - 1)["page"]
+    return F.coalesce(nearest != page, F.lit(False))
+
+
 def library_documents(latest: DataFrame, discoverable: DataFrame, scoped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc of the documents that are searched, one row of counts): of the latest versions those that a grant covers, of
     these those with chunks under the active scope."""
@@ -164,13 +176,15 @@ def library_search(plan: DataFrame, asked: DataFrame, words: DataFrame, lengths:
     """query_id, status, mode, depth, place, chunk_id, doc, score, semantic_score, matched_by, candidates_truncated of a
     batch of planned queries; a query without hits, or refused, has one row of nulls.
 
-    Each query is ranked as its mode says: by meaning, by exact words, or by both fused. Only `searched` documents are
-    ranked, but the statistics of words are those of the whole index. `cap` None is for searches in one document.
+    Each query is ranked as its mode says: by meaning, by exact words, or by both fused. Both rankings cover the same
+    chunks, those of the `searched` documents that have one of `vectors` (of the active scope); the statistics of words are
+    those of the whole index. `cap` None is for searches in one document.
     """
     modes = plan.groupBy("query_id").agg(F.first("status").alias("status"), F.first("mode").alias("mode"))
     by_meaning = asked.join(modes.where("status = 'ok' and mode <> 'exact'"), "query_id", "left_semi")
-    meant = top(semantic_top(by_meaning, vectors.join(searched, "doc", "left_semi")), "score", DEEPEST)
-    exact = lexical.bm25(words, plan, lengths).join(searched, "doc", "left_semi")
+    vectors = vectors.join(searched, "doc", "left_semi")
+    meant = top(semantic_top(by_meaning, vectors), "score", DEEPEST)
+    exact = lexical.bm25(words, plan, lengths, vectors)
     ladder = depth_ladder(meant, top(exact, "rank", DEEPEST, descending=False), k, cap)
     return modes.join(ladder, "query_id", "left").withColumn("candidates_truncated", F.coalesce("candidates_truncated", F.lit(False)))
 

@@ -49,19 +49,22 @@ def structured(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as a catalogue with several versions of a path."""
+    """Documents as a catalogue: five shelves of a hundred folders, every eighth document an earlier or later version of
+    the next one."""
     i = F.col("doc_id")
+    k = F.when(i % 8 == 0, i + 1).otherwise(i)
+    shelf = F.concat(F.lit("shelf"), (k % 5).cast("string"))
     return table(spark, sf, "documents").select(
         i.alias("doc"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"),
-        F.when(i % 11 != 0, F.concat(F.lit("/lib/"), "source", F.lit("/"), (i % 50).cast("string"))).alias("path"),
-        F.when(i % 3 != 0, "resolved").otherwise("guessed").alias("path_provenance"),
+        F.when(i % 11 != 0, F.concat(F.lit("/lib/"), shelf, F.lit("/"), (F.floor(k / 5) % 100).cast("string"), F.lit("/"), k.cast("string"))).alias("path"),
+        F.when(i % 13 != 0, "resolved").otherwise("guessed").alias("path_provenance"),
         (i * 7919 % 100003).alias("last_opened"), F.ceil(F.size(F.split("text", "\n", -1)) / 5).cast("int").alias("page_count"),
         (i % 4).cast("int").alias("text_version"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"),
     )
 
 
 def roots(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("/lib/src0",), ("/lib/src1",), ("/lib/src7/3",)], "root string")
+    return spark.createDataFrame([("/lib/shelf0",), ("/lib/shelf1",), ("/lib/shelf2",), ("/lib/shelf3",), ("/lib/shelf4/3",)], "root string")
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,10 +102,10 @@ CTE = {
       FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS page FROM orders
             JOIN (SELECT l_orderkey, string_agg(r, chr(10) ORDER BY l_linenumber, l_partkey, r) AS rows FROM (SELECT *, concat('| ', l_linenumber, ' | ', l_partkey, ' | ', CAST(trunc(l_quantity) AS INT), ' |') AS r FROM lineitem) GROUP BY 1) ON o_orderkey = l_orderkey) JOIN customer ON o_custkey = c_custkey)""",
     "catalogue": """catalogue AS (
-      SELECT doc_id AS doc, sha256(text) AS content_hash, CASE WHEN doc_id % 11 <> 0 THEN concat('/lib/', source, '/', doc_id % 50) END AS path,
-        CASE WHEN doc_id % 3 <> 0 THEN 'resolved' ELSE 'guessed' END AS path_provenance, doc_id * 7919 % 100003 AS last_opened,
-        CAST(ceil(len(string_split(text, chr(10))) / 5.0) AS INT) AS page_count, CAST(doc_id % 4 AS INT) AS text_version, strlen(text) AS bytes FROM documents)""",
-    "roots": "roots AS (SELECT unnest(['/lib/src0', '/lib/src1', '/lib/src7/3']) AS root)",
+      SELECT doc_id AS doc, sha256(text) AS content_hash, CASE WHEN doc_id % 11 <> 0 THEN concat('/lib/shelf', k % 5, '/', k // 5 % 100, '/', k) END AS path,
+        CASE WHEN doc_id % 13 <> 0 THEN 'resolved' ELSE 'guessed' END AS path_provenance, doc_id * 7919 % 100003 AS last_opened,
+        CAST(ceil(len(string_split(text, chr(10))) / 5.0) AS INT) AS page_count, CAST(doc_id % 4 AS INT) AS text_version, strlen(text) AS bytes FROM (SELECT *, CASE WHEN doc_id % 8 = 0 THEN doc_id + 1 ELSE doc_id END AS k FROM documents))""",
+    "roots": "roots AS (SELECT unnest(['/lib/shelf0', '/lib/shelf1', '/lib/shelf2', '/lib/shelf3', '/lib/shelf4/3']) AS root)",
     "queries": """queries AS (
       SELECT item_id * 3 + k AS query_id, item_id, CASE k WHEN 0 THEN concat_ws(' ', w[1], w[2]) WHEN 1 THEN '"' || w[3] || ' ' || w[4] || '" ' || w[5] ELSE concat('zzqx', item_id, ' --') END AS text
       FROM (SELECT item_id, string_split(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS w, unnest([0, 1, 2]) AS k FROM benchmark))""",

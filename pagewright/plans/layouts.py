@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import plain
-from pagewright.operators import annotations, blocks, evaluate, layout
+from pagewright.operators import annotations, blocks, evaluate, layout, placing
 from pagewright.plans import inputs
 from pagewright.plans.inputs import with_ctes
 from pagewright.sources import files, passages
@@ -52,14 +52,18 @@ def txt_quote_anchor(spark, sf):
     runs = w.select("doc", "page", "text", F.col("x0").alias("x"), (700.0 - F.col("line") * 24).alias("y"), (F.col("x1") - F.col("x0")).alias("width"), F.lit(10.0).alias("height"))
     q = w.where("word_no < 3").groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("line", "word_no", "text"))).alias("own"))  # of its first line that has words
     q = q.select("doc", "page", F.upper(F.array_join(F.transform(F.filter("own", lambda x: x["line"] == F.col("own")[0]["line"]), lambda x: x["text"]), "  ")).alias("quote"))
-    found = layout.anchor_quotes(runs, q.withColumn("quote_id", F.concat_ws(":", "doc", "page")))
+    found = placing.anchor_quotes(runs, q.withColumn("quote_id", F.concat_ws(":", "doc", "page")))
     return found.select("quote_id", "occurrences", F.size("rects").alias("lines"), F.round(F.get(F.get("rects", F.lit(0)), F.lit(2)), 3).alias("right"))
 
 
 def join_page_markers(spark, sf):
-    """Pages against their document with the page breaks taken out and every word in lower case."""
-    whole = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.lower(F.regexp_replace("text", r"\s+", " ")).alias("markdown"))
-    return layout.page_positions(inputs.prose(spark, sf), whole)
+    """Pages against their document with every word in lower case and paragraphs for page breaks; every third document has
+    a table around its second page, every fifth the marker of its first page."""
+    whole = inputs.prose(spark, sf).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", F.lower("markdown").alias("t")))).alias("p"))
+    table = lambda t: F.concat(F.lit("| a | b |\n| --- | --- |\n| "), F.regexp_replace(t, r"\s+", " "), F.lit(" | x |"))
+    own = F.transform("p", lambda x: F.when((F.col("doc") % 3 == 0) & (x["page"] == 2), table(x["t"])).otherwise(x["t"]))
+    marked = F.concat(F.when(F.col("doc") % 5 == 0, '<a id="page-1"></a>\n\n').otherwise(""), F.array_join(own, "\n\n"))
+    return placing.page_positions(inputs.prose(spark, sf), whole.select("doc", marked.alias("markdown")))
 
 
 def txt_markdown_scan(spark, sf):
@@ -85,10 +89,19 @@ def st_suggestion_state(spark, sf):
     return jobs.suggestion_state(_events(spark, sf).select((k % 40).alias("doc"), k.alias("suggestion"), status.alias("status"), "ts", F.col("event_id").alias("seq")))
 
 
+STAGES = ("running", "checking", "skipped", "ocr", "downloading", "indexing", "done", "skipped", "checking", "indexing", "idle", "error", "ocr")
+
+
 def st_stage_rollup(spark, sf):
     i = F.col("event_id")
-    status = F.element_at(F.array(*[F.lit(s) for s in ("running", "checking", "done", "error", "done")]), (i % 5 + 1).cast("int"))
-    return jobs.stage_rollup(_events(spark, sf).select(F.col("user_id").alias("doc"), F.when(i % 2 == 0, "ocr").otherwise("index").alias("source"), status.alias("status"), (i % 101).alias("percent"), "ts", i.alias("seq")))
+    status = F.element_at(F.array(*[F.lit(s) for s in STAGES]), (i % 13 + 1).cast("int"))
+    total = F.when(i % 7 != 0, (i % 5 * 20).cast("int"))
+    return jobs.stage_rollup(
+        _events(spark, sf).select(
+            F.col("user_id").alias("doc"), F.when(i % 2 == 0, "document").otherwise("index").alias("source"), status.alias("status"), F.when(i % 11 != 0, (i % 90).cast("int")).alias("current"),
+            total.alias("total"), F.when(i % 3 != 0, (i % 4 - 1) / 2.0).alias("within"), (i % 8 == 2).alias("dismissed"), "ts", i.alias("seq"),
+        )
+    )
 
 
 def st_progress_throttle(spark, sf):
@@ -120,7 +133,7 @@ def st_ingest(spark, sf):
 
 def src_corpus_walk(spark, sf):
     """The table files under the folder itself, found by their ending."""
-    return files.corpus_walk(spark, sf, ".parquet").select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "size")
+    return files.corpus_walk(spark, sf, ".PARQUET").where("readable").select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "size")
 
 
 def agg_latency(spark, sf):
@@ -146,10 +159,15 @@ SQL = {
 newest AS (SELECT arg_max(w, (ts, event_id)) AS n FROM s), r AS (SELECT w, 'doc-' || (event_id * k) % 40 AS ref, min(i) AS i FROM s, (VALUES (0, 1), (1, 3), (2, 7)) t(i, k) GROUP BY ALL)
 SELECT ref, w AS "window", w = n AND i = 0 AS active, i = 0 AS active_in_window FROM r, newest""",
     "st_suggestion_state": """SELECT doc, count(*) FILTER (u % 3 = 0) AS pending FROM (SELECT event_id % 700 % 40 AS doc, event_id % 700 AS s, arg_max(user_id, (ts, event_id)) AS u FROM events GROUP BY ALL) GROUP BY doc""",
-    "st_stage_rollup": """WITH e AS (SELECT user_id AS doc, event_id % 2 AS k, event_id % 101 AS percent, ['running', 'checking', 'done', 'error', 'done'][event_id % 5 + 1] AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) = 1),
-p AS (SELECT doc, max(status) FILTER (k = 0) AS o, max(percent) FILTER (k = 0) AS op, max(status) FILTER (k = 1) AS i, max(percent) FILTER (k = 1) AS ip FROM e GROUP BY doc),
-s AS (SELECT *, CASE WHEN coalesce(o, '') = 'error' OR coalesce(i, '') = 'error' THEN 'failed' WHEN o = 'running' THEN 'ocr' WHEN o = 'checking' THEN 'checking-text' WHEN i = 'running' THEN 'indexing' WHEN i = 'checking' THEN 'checking-index' ELSE 'ready' END AS stage FROM p)
-SELECT doc, stage, CASE stage WHEN 'ocr' THEN op WHEN 'indexing' THEN ip WHEN 'ready' THEN 100 END AS percent FROM s""",
+    "st_stage_rollup": """WITH e AS (SELECT user_id AS doc, event_id % 2 AS k, CASE WHEN event_id % 11 <> 0 THEN event_id % 90 END AS c, CASE WHEN event_id % 7 <> 0 THEN event_id % 5 * 20 END AS n, CASE WHEN event_id % 3 <> 0 THEN (event_id % 4 - 1) / 2.0 ELSE 0 END AS x, event_id % 8 = 2 AS d,
+  ['running', 'checking', 'skipped', 'ocr', 'downloading', 'indexing', 'done', 'skipped', 'checking', 'indexing', 'idle', 'error', 'ocr'][event_id % 13 + 1] AS s FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) = 1),
+p AS (SELECT doc, max(s) FILTER (k = 0) AS w, max(c) FILTER (k = 0) AS wc, max(n) FILTER (k = 0) AS wn, max(x) FILTER (k = 0) AS wx, bool_or(d) FILTER (k = 0) AS wd, max(s) FILTER (k = 1) AS i, max(c) FILTER (k = 1) AS ic, max(n) FILTER (k = 1) AS n FROM e GROUP BY doc),
+q AS (SELECT *, CASE WHEN wc IS NOT NULL AND wn > 0 THEN least(100, greatest(4, floor(least(wn, greatest(0, wc - 1) + least(1, greatest(0, wx))) / wn * 100 + 0.5))) END AS wp, CASE WHEN ic IS NOT NULL AND n > 0 THEN least(100, greatest(4, floor(ic / n * 100 + 0.5))) END AS ip,
+  CASE WHEN w = 'error' THEN 1 WHEN i = 'error' THEN 2 WHEN w = 'running' THEN 3 WHEN i = 'ocr' THEN 4 WHEN w = 'checking' THEN 5 WHEN i = 'downloading' THEN 6 WHEN i = 'indexing' THEN 7 WHEN i = 'checking' THEN 8 WHEN w = 'skipped' AND NOT wd THEN 9 END AS r FROM p)
+SELECT doc, ['failed', 'failed', 'ocr', 'ocr', 'checking-text', 'downloading', 'indexing', 'checking-index', 'native-text'][r] AS stage,
+  CASE WHEN r = 3 AND wp IS NOT NULL THEN concat('OCR ', wc, '/', wn) WHEN r = 4 AND ip IS NOT NULL THEN concat('OCR ', ic, '/', n) WHEN r = 7 AND ip IS NOT NULL THEN concat('Index ', ic, '/', n)
+    ELSE ['OCR failed', 'Index failed', 'OCR running', 'OCR running', 'Checking text', 'Downloading model', 'Indexing', 'Checking index', 'Native text detected'][r] END AS label,
+  CAST(CASE WHEN r = 3 THEN wp WHEN r IN (4, 6, 7) THEN ip END AS INT) AS percent, CASE WHEN r IN (1, 3, 5, 9) THEN 'document' WHEN r IS NOT NULL THEN 'index' END AS source FROM q""",
     "st_ingest": with_ctes("prose", ", first AS (SELECT sha256(text) AS content_hash, min(doc_id) AS doc FROM documents GROUP BY 1) SELECT content_hash, page, length(markdown) AS chars, true AS indexed FROM prose JOIN first USING (doc)"),
     "agg_latency": """WITH t AS (SELECT event_type AS mode, user_id % 3 AS kind, round(value, 6) AS ms, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY round(value, 6)) - 1 AS i, count(*) OVER (PARTITION BY event_type, user_id % 3) AS n FROM events)
 SELECT mode, kind, max(ms) FILTER (i = least(floor(0.5 * n), n - 1)) AS p50, max(ms) FILTER (i = least(floor(0.95 * n), n - 1)) AS p95 FROM t GROUP BY mode, kind""",

@@ -146,7 +146,7 @@ def agg_find_matches(spark, sf):
 
 def win_nth_occurrence(spark, sf):
     p = inputs.prose(spark, sf)
-    r = p.select(F.concat_ws(":", "doc", "page").alias("request_id"), "doc", "page", F.lit("on").alias("term"), (F.col("doc") % 6).cast("int").alias("ordinal"))
+    r = p.select(F.concat_ws(":", "doc", "page").alias("request_id"), "doc", "page", F.lit("On").alias("term"), (F.col("doc") % 6 - 1).cast("int").alias("ordinal"), (F.instr(F.lower("markdown"), "on") - 1 + (F.col("doc") % 3 - 1) * 40).alias("preferred"))
     return ops.nth_occurrence(r, p)
 
 
@@ -225,7 +225,8 @@ SELECT doc, page, term, ordinal, start, CASE WHEN start > 42 THEN '...' ELSE ''
     "win_nth_occurrence": with_ctes(
         "prose",
         ", terms AS (SELECT 'on' AS term)" + _POS + """, l AS (SELECT doc, page, list(start ORDER BY start) AS s FROM starts GROUP BY doc, page)
-SELECT p.doc || ':' || p.page AS request_id, coalesce(s[p.doc % 6 + 1], s[1]) AS start FROM prose p LEFT JOIN l ON p.doc = l.doc AND p.page = l.page""",
+SELECT p.doc || ':' || p.page AS request_id, CAST(CASE WHEN preferred >= 0 AND lower(markdown[preferred + 1 : preferred + 2]) = 'on' THEN preferred ELSE coalesce(CASE WHEN p.doc % 6 > 0 THEN s[p.doc % 6] END, s[1]) END AS INT) AS start
+FROM (SELECT *, instr(lower(markdown), 'on') - 1 + (doc % 3 - 1) * 40 AS preferred FROM prose) p LEFT JOIN l ON p.doc = l.doc AND p.page = l.page""",
     ),
     "agg_repetitive_descriptions": """WITH d0 AS (SELECT conv_id || ':' || turn AS id, text FROM conversations), d AS (SELECT * FROM d0 UNION ALL SELECT 'loop:' || id, repeat(text[1:20] || '; ', 7) FROM d0),
 l AS (SELECT id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[;,]+'), lambda x: lower(trim(regexp_replace(x, '\\s+', ' ', 'g')))), lambda x: length(x) > 2) AS s FROM d),

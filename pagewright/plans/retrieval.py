@@ -129,7 +129,13 @@ def join_late_text(spark, sf):
 
 def txt_snippets(spark, sf):
     hits = search.late_text(search.top_fused(_fused(spark, sf)), inputs.chunks(spark, sf))
-    return hits.select("query_id", "chunk_id", snippet(plain(F.col("text"))).alias("snippet"))
+    # A chunk's headings: its document's title, and the heading that every third page begins with; of some the page is unknown.
+    title = F.struct(F.lit("Title").alias("title"), F.when(F.col("doc") % 7 != 0, 1).alias("page"))
+    last = (F.floor(F.col("page") / 3) * 3).cast("int")
+    headings = F.when(last > 0, F.array(title, F.struct(F.concat(F.lit("Part "), last.cast("string")).alias("title"), last.alias("page")))).otherwise(F.array(title))
+    hits = hits.withColumn("headings", F.when(F.col("doc") % 5 != 0, headings).otherwise(F.array().cast("array<struct<title:string,page:int>>")))
+    path = F.array_join(F.transform("headings", lambda h: h["title"]), " > ")
+    return hits.select("query_id", "chunk_id", snippet(plain(F.col("text"))).alias("snippet"), path.alias("heading_path"), search.heading_inherited(F.col("headings"), F.col("page")).alias("heading_inherited"))
 
 
 def top_depth_ladder(spark, sf):
@@ -142,12 +148,14 @@ def library_search(spark, sf):
     some refused; then text, snippet, and what the catalogue says of each hit."""
     c, d = inputs.chunks(spark, sf), inputs.catalogue(spark, sf)
     latest = catalog.latest_versions(d).where("path is not null")
-    searched, counts = search.library_documents(latest, catalog.discoverable(latest, inputs.roots(spark)), c.where("doc % 4 <> 1"))
+    held = c.withColumn("profile", F.when(F.col("doc") % 23 == 5, "precise").otherwise("balanced")).withColumn("version", F.when(F.col("doc") % 10 == 1, 3).otherwise(4))
+    stored = _vectors(spark, sf).withColumn("model", F.when(F.col("doc") % 17 == 3, "older").otherwise("words")).withColumn("model_version", F.lit(1)).withColumn("dims", F.lit(64))
+    vectors = search.in_scope(held, stored, "balanced", 4, "words", 1, 64)
+    searched, counts = search.library_documents(latest, catalog.discoverable(latest, inputs.roots(spark)), vectors)
     i = F.col("query_id") % 5
     q = inputs.queries(spark, sf).withColumn("mode", F.when(i == 3, "semantic").when(i >= 2, "exact").otherwise("hybrid"))
     q = q.withColumn("min_score", F.lit(LEAST)).withColumn("explicit_min_score", (i == 4) & (F.col("query_id") % 2 == 0))
     plan = lexical.plan_queries(q)
-    vectors = _vectors(spark, sf).where("doc % 4 <> 1")
     hits = search.library_search(plan, _asked(spark, sf), lexical.asked_words(c, plan), lexical.chunk_lengths(c), vectors, searched)
     hits = hits.join(c.select("chunk_id", "page", "text"), "chunk_id", "left")
     hits = hits.join(d.select("doc", "content_hash", "path", F.col("last_opened").alias("snapshot_recorded_at")), "doc", "left").crossJoin(F.broadcast(counts))  # one row
@@ -290,7 +298,9 @@ SELECT query_id, status, mode, min_score, part, token_no, token FROM status LEFT
     "top_fused": _fused_sql("SELECT query_id, place AS rank, chunk_id FROM ordered WHERE place <= 12"),
     "top_reading_order": _fused_sql("SELECT query_id, o.doc, row_number() OVER (PARTITION BY query_id, o.doc ORDER BY page, score DESC, chunk_id) AS seq, page, chunk_id FROM ordered o JOIN chunks USING (chunk_id) WHERE place <= 40"),
     "join_late_text": _fused_sql("SELECT query_id, place AS rank, chunk_id, page, length(text) AS chars FROM ordered JOIN chunks USING (chunk_id) WHERE place <= 12"),
-    "txt_snippets": _fused_sql(f"SELECT query_id, chunk_id, {snippet_sql('text')} AS snippet FROM ordered JOIN chunks USING (chunk_id) WHERE place <= 12"),
+    "txt_snippets": _fused_sql(f"""SELECT query_id, chunk_id, {snippet_sql('text')} AS snippet,
+  CASE WHEN o.doc % 5 = 0 THEN '' WHEN page < 3 THEN 'Title' ELSE concat('Title > Part ', page // 3 * 3) END AS heading_path, o.doc % 5 <> 0 AND CASE WHEN page < 3 THEN o.doc % 7 <> 0 AND page <> 1 ELSE page % 3 <> 0 END AS heading_inherited
+FROM ordered o JOIN chunks USING (chunk_id) WHERE place <= 12"""),
     "top_depth_ladder": _ladder_sql("SELECT query_id, depth, chunk_id, place AS rank, candidates_truncated FROM answer"),
     "library_search": _ladder_sql(
         f"""SELECT query_id, status, mode, place AS rank, chunk_id, a.doc, page, score, semantic_score, matched_by, CASE WHEN text IS NOT NULL THEN {snippet_sql('text')} END AS snippet, coalesce(candidates_truncated, false) AS candidates_truncated,
@@ -298,7 +308,7 @@ SELECT query_id, status, mode, min_score, part, token_no, token FROM status LEFT
 FROM modes LEFT JOIN answer a USING (query_id) LEFT JOIN chunks USING (chunk_id) LEFT JOIN catalogue ON catalogue.doc = a.doc, counts""",
         """, latest AS (SELECT doc, path, path_provenance FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_opened DESC, doc DESC) AS n FROM catalogue WHERE path IS NOT NULL) WHERE n = 1),
 seen AS (SELECT DISTINCT doc FROM latest JOIN roots ON path = root OR (starts_with(path, root || '/') AND path[length(root) + 2 : length(root) + 3] <> '..') WHERE path_provenance = 'resolved'),
-inside AS (SELECT DISTINCT doc FROM chunks WHERE doc % 4 <> 1), searched AS (SELECT doc FROM seen JOIN inside USING (doc)),
+inside AS (SELECT DISTINCT doc FROM chunks WHERE doc % 23 <> 5 AND doc % 10 <> 1 AND doc % 17 <> 3), searched AS (SELECT doc FROM seen JOIN inside USING (doc)),
 counts AS (SELECT (SELECT count(*) FROM searched) AS documents_searched, (SELECT count(*) FROM latest) - (SELECT count(*) FROM seen) AS documents_not_discoverable, (SELECT count(*) FROM seen) - (SELECT count(*) FROM searched) AS documents_outside_scope),
 said AS (SELECT query_id, CASE WHEN query_id % 5 = 3 THEN 'semantic' WHEN query_id % 5 >= 2 THEN 'exact' ELSE 'hybrid' END AS m, query_id % 5 = 4 AND query_id % 2 = 0 AS refused, (SELECT count(*) FROM part_tokens p WHERE p.query_id = q.query_id) AS w FROM queries q),
 modes AS (SELECT query_id, CASE WHEN refused THEN 'refused' WHEN w = 0 AND m = 'exact' THEN 'no-words' ELSE 'ok' END AS status, CASE WHEN w = 0 AND m = 'hybrid' THEN 'semantic' ELSE m END AS mode FROM said),

@@ -101,12 +101,10 @@ def agg_worst_case_tokens(spark, sf):
 
 
 def agg_intact_table_rate(spark, sf):
-    """Share of table rows that stand whole in a chunk, for windows of rows."""
-    b, c = _cut(spark, sf, "table")
-    rows = b.select("doc", "pos", F.posexplode(F.split("text", "\n", -1)).alias("n", "row")).where("n >= 2")
-    whole = c.select("doc", "pos", F.explode(F.split("text", "\n", -1)).alias("row")).distinct().withColumn("hit", F.lit(1))
-    x = rows.join(whole, ["doc", "pos", "row"], "left")
-    return x.agg(F.count(F.lit(1)).alias("rows"), F.count("hit").alias("intact"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("rate"))
+    """Tables cut to little room, so that some rows are cut as well."""
+    b = _blocks(spark, sf).where("kind = 'table'").withColumn("room", (F.lit(14) + F.col("pos") % 8).cast("int"))
+    rows = chunking.rows_reaching(b, chunking.cut_blocks(b))
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("intact").alias("intact"), F.round(F.count_if("intact") / F.count(F.lit(1)), 6).alias("rate"))
 
 
 def txt_heading_json(spark, sf):
@@ -207,7 +205,12 @@ c AS (SELECT doc, CAST(ceil(length(array_to_string(w[s + 1 : s + 420], ' ')) / 4
 SELECT doc, count(*) AS chunks, count(*) FILTER (n > 510) AS over_limit, max(n) AS largest FROM c GROUP BY doc""",
     ),
     "agg_worst_case_tokens": with_ctes("prose", "SELECT doc || ':' || page AS id, greatest(len(regexp_extract_all(markdown, '\\w+|[^\\w\\s]')), CAST(ceil(length(markdown) / 4.0) AS INT)) AS tokens FROM prose"),
-    "agg_intact_table_rate": with_ctes("structured", _B + "SELECT CAST(sum(len(string_split(text, chr(10))) - 2) AS BIGINT) AS rows, CAST(sum(len(string_split(text, chr(10))) - 2) AS BIGINT) AS intact, 1.0::DOUBLE AS rate FROM blocks WHERE kind = 'table'"),
+    "agg_intact_table_rate": with_ctes(
+        "structured",
+        _B + """, t AS (SELECT pos, string_split(text, chr(10)) AS l FROM blocks WHERE kind = 'table'),
+r AS (SELECT 14 + pos % 8 - ceil((length(l[1]) + length(l[2]) + 2) / 4) AS room, unnest(l[3:]) AS line FROM t)
+SELECT count(*) AS rows, count(*) FILTER (ceil(length(line) / 4) <= room) AS intact, round(count(*) FILTER (ceil(length(line) / 4) <= room) / count(*), 6) AS rate FROM r""",
+    ),
     "txt_heading_json": with_ctes("structured", _B + "SELECT doc, pos, CASE pos % 3 WHEN 0 THEN title || '@' || page WHEN 1 THEN title || '@-' ELSE '' END AS headings FROM blocks WHERE kind = 'heading'"),
     "txt_embed_inputs": with_ctes("queries", "SELECT query_id AS id, m.model_id, m.prefix || text AS input FROM queries, (VALUES ('small', 'Represent this sentence for searching relevant passages: '), ('multi', 'query: '), ('base', '')) m(model_id, prefix)"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -66,25 +67,49 @@ def suggestion_state(events: DataFrame) -> DataFrame:
     return s.groupBy("doc").agg(F.count_if(F.col("status") == "pending").alias("pending"))
 
 
+LEAST_PERCENT = 4  # so that work that has begun is seen
+
+
 def stage_rollup(events: DataFrame) -> DataFrame:
-    """doc, stage, percent: the latest state of recognition and of indexing, the more pressing first."""
-    last = lambda source: F.max_by(F.struct("status", "percent"), F.when(F.col("source") == source, F.struct("ts", "seq")))
-    e = events.groupBy("doc").agg(last("ocr").alias("o"), last("index").alias("i"))
-    o, i = F.col("o.status"), F.col("i.status")
-    stage = (
-        F.when(o.eqNullSafe("error") | i.eqNullSafe("error"), "failed").when(o.eqNullSafe("running"), "ocr").when(o.eqNullSafe("checking"), "checking-text")
-        .when(i.eqNullSafe("running"), "indexing").when(i.eqNullSafe("checking"), "checking-index").otherwise("ready")
+    """doc, stage, label, percent, source of the latest states of a document's window (source `document`) and of its index
+    job (source `index`); one null stage where there is nothing to show.
+
+    Events: doc, source, status, current, total (pages or chunks), within (share of the current page, of the window only),
+    dismissed, ts, seq. In order: a failure of either, recognition in the window, then in the index job, checking the text,
+    the model's download, indexing, checking the index, and the notice that a text needs no recognition, until dismissed.
+    """
+    state = F.struct("status", "current", "total", "within", "dismissed")
+    last = lambda source: F.max_by(state, F.when(F.col("source") == source, F.struct("ts", "seq")))
+    e = events.groupBy("doc").agg(last("document").alias("w"), last("index").alias("i"))
+    known = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
+    percent = lambda done, total: F.least(F.lit(100), F.greatest(F.lit(LEAST_PERCENT), F.floor(done / total * 100 + 0.5))).cast("int")
+    share = lambda s: F.when(known(s["current"]) & known(s["total"]) & (s["total"] > 0), percent(s["current"], s["total"]))
+    within = F.when(known(F.col("w.within")), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("w.within")))).otherwise(0.0)
+    done = F.least(F.col("w.total").cast("double"), F.greatest(F.lit(0), F.col("w.current") - 1) + within)
+    window = F.when(F.col("w.current").isNotNull() & (F.col("w.total") > 0), percent(done, F.col("w.total")))
+    counted = lambda s, word, plain: F.when(s["current"].isNotNull() & (s["total"] > 0), F.concat(F.lit(word + " "), s["current"].cast("string"), F.lit("/"), s["total"].cast("string"))).otherwise(plain)
+    w, i, none = F.col("w"), F.col("i"), F.lit(None).cast("int")
+    badge = lambda stage, label, percent, source: F.struct(F.lit(stage).alias("stage"), (F.lit(label) if isinstance(label, str) else label).alias("label"), percent.alias("percent"), F.lit(source).alias("source"))
+    cases = (
+        (w["status"] == "error", badge("failed", "OCR failed", none, "document")), (i["status"] == "error", badge("failed", "Index failed", none, "index")),
+        (w["status"] == "running", badge("ocr", counted(w, "OCR", "OCR running"), window, "document")), (i["status"] == "ocr", badge("ocr", counted(i, "OCR", "OCR running"), share(i), "index")),
+        (w["status"] == "checking", badge("checking-text", "Checking text", none, "document")), (i["status"] == "downloading", badge("downloading", "Downloading model", share(i), "index")),
+        (i["status"] == "indexing", badge("indexing", counted(i, "Index", "Indexing"), share(i), "index")), (i["status"] == "checking", badge("checking-index", "Checking index", none, "index")),
+        ((w["status"] == "skipped") & ~F.coalesce(w["dismissed"], F.lit(False)), badge("native-text", "Native text detected", none, "document")),
     )
-    percent = F.when(stage == "ocr", F.col("o.percent")).when(stage == "indexing", F.col("i.percent")).when(stage == "ready", 100)
-    return e.select("doc", stage.alias("stage"), percent.alias("percent"))
+    shown = None
+    for when, then in cases:
+        shown = F.when(when, then) if shown is None else shown.when(when, then)
+    return e.select("doc", shown.alias("b")).select("doc", "b.stage", "b.label", "b.percent", "b.source")
 
 
 def throttled(rows: Iterable[tuple[int, float]], gap_ms: int, last: int | None, best: float) -> tuple[list[tuple[int, float]], int | None, float, tuple[int, float] | None]:
     """Of (ms, progress) in order, what is sent: the first, then at most one each gap; progress never falls back.
-    Also the state after it and the update that waits."""
+    An update without a number, or with one that isn't finite, counts one above the last. Also the state after it and the
+    update that waits."""
     out, pending = [], None
     for ms, p in rows:
-        best = max(best, p)
+        best = max(best, p) if p is not None and math.isfinite(p) else best + 1
         if last is None or ms - last >= gap_ms:
             out.append((ms, best))
             last, pending = ms, None

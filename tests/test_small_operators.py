@@ -25,25 +25,6 @@ def test_a_title_on_every_page(spark):
     assert [r["anchor"] for r in got] == ["notes", *(f"notes-{i}" for i in range(1, 5000))]
 
 
-def test_pages_begin_where_their_longest_window_stands(spark):
-    words = lambda k, n: [f"p{k}w{i}" for i in range(n)]
-    one, two, four = words(1, 30), words(2, 20), words(4, 9)
-    pages = [(1, 1, " ".join(one)), (1, 2, " ".join(two).upper()), (1, 3, "nowhere in the document at all, these words"), (1, 4, ", ".join(four)), (1, 5, None), (2, 1, "x")]
-    whole = [(1, " ".join(["front", *one, *two, "between", *four])), (2, "")]
-    got = layout.page_positions(spark.createDataFrame(pages, "doc long, page int, markdown string"), spark.createDataFrame(whole, "doc long, markdown string"))
-    assert {(r["doc"], r["page"]): (r["position"], r["matched"]) for r in got.collect()} == {
-        (1, 1): (1, True), (1, 2): (31, True), (1, 3): (31, False), (1, 4): (52, True), (1, 5): (52, False), (2, 1): (0, False),
-    }
-
-
-def test_a_page_never_begins_before_the_page_before(spark):
-    text = " ".join(f"same{i}" for i in range(14))
-    pages = spark.createDataFrame([(1, 1, "lead " * 3 + " ".join(f"own{i}" for i in range(14))), (1, 2, text)], "doc long, page int, markdown string")
-    whole = spark.createDataFrame([(1, text + " " + " ".join(f"own{i}" for i in range(14)) + " " + text)], "doc long, markdown string")
-    got = {r["page"]: (r["position"], r["matched"]) for r in layout.page_positions(pages, whole).collect()}
-    assert got[2] == (28, True) and got[1][1] and got[1][0] <= 14
-
-
 def test_replies_keep_the_longest_prefix_that_fits(spark):
     hits = [(q, i, "é" * ((7 * i) % 40)) for q in (1, 2) for i in range(1, 30)] + [(3, 1, "x" * 900)]
     size = lambda r, t: len(json.dumps({"rank": r, "text": t}, ensure_ascii=False, separators=(",", ":")).encode()) + 1

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import annotations, blocks, catalog, chunking, layout, output
+from pagewright.sources import passages
 from pagewright.streaming import jobs
 
 
@@ -72,14 +73,6 @@ def test_page_table():
     assert layout.page_table(lines[:2]) is None
 
 
-def test_quotes_forgive_and_count_overlaps(spark):
-    runs = spark.createDataFrame([(1, 1, t, 72.0, 200.0 - 20 * i, 10.0 * len(t), 14.0) for i, t in enumerate(["The eﬃcient re-", "sult is aaaa here"])], "doc long, page int, text string, x double, y double, width double, height double")
-    quotes = spark.createDataFrame([(1, 1, "a", "EFFICIENT  result"), (1, 1, "b", "aa"), (1, 1, "c", "missing"), (1, 1, "d", None)], "doc long, page int, quote_id string, quote string")
-    got = {r["quote_id"]: r for r in layout.anchor_quotes(runs, quotes).collect()}
-    assert got["a"]["occurrences"] == 1 and len(got["a"]["rects"]) == 2
-    assert got["b"]["occurrences"] == 3 and got["c"]["occurrences"] == 0 and got["d"]["rects"] == []
-
-
 def test_marks_take_the_covered_characters(spark):
     runs = spark.createDataFrame([(1, 1, "abcdefghij", 0.0, 100.0, 100.0, 112.0)], "doc long, page int, text string, left double, right double, bottom double, top double")
     marks = spark.createDataFrame([("m", 1, 1, 0, 20.0, 60.0, 100.0, 112.0), ("low", 1, 1, 0, 0.0, 100.0, 90.0, 104.0)], "annotation_id string, doc long, page int, mark_no int, left double, right double, bottom double, top double")
@@ -109,27 +102,18 @@ def test_throttle():
     assert sent == [(0, 1.0), (500, 5.0)] and pending == (900, 6.0) and (last, best) == (500, 6.0)
 
 
-def test_ingest_is_idempotent(spark, tmp_path):
-    rows = [(1, "one"), (2, "two"), (3, "one")]
-    for n in range(2):
-        spark.createDataFrame(rows[: 2 + n], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        jobs.ingest(jobs.page_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    out = spark.read.parquet(f"{tmp_path}/out")
-    assert sorted(r["markdown"] for r in out.collect()) == ["one", "two"]
-    assert all(r["prefix"] == "h" + r["content_hash"][:1] for r in out.collect())
-
-
-def test_ingest_compares_only_equal_hashes_and_replays(spark, tmp_path):
-    schema = "content_hash string, doc long, page int, markdown string"
-    for n, rows in enumerate([[("00a", 1, 1, "x"), (None, 2, 1, "y"), (None, 3, 1, "y")], [("00a", 4, 1, "x"), ("00b", 5, 1, "z"), ("00a", 4, 2, "w")]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        for again in range(2):  # the second time without a memory of the first: batch 0 holds all files
-            state = f"{tmp_path}/state-{n}-{again}" if again else f"{tmp_path}/state"
-            table = f"{tmp_path}/out-{n}" if again else f"{tmp_path}/out"
-            jobs.ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), table, state).awaitTermination()
-    for table in ("out", "out-1"):
-        got = spark.read.parquet(f"{tmp_path}/{table}").collect()
-        assert sorted(r["markdown"] for r in got) == ["w", "x", "y", "y", "z"]
+def test_ingest_of_a_stream(spark, tmp_path):
+    store = passages.passages(spark, f"{tmp_path}/store", 2)
+    scope = passages.Scope("balanced", 4, "words", 1, 64)
+    for n, rows in enumerate([[(1, "one\n\nmore"), (2, "two")], [(3, "two"), (4, "three")]]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.ingest(jobs.page_stream(spark, f"{tmp_path}/in"), store, scope, jobs.chunked(), f"{tmp_path}/state").awaitTermination()
+        assert store.snapshot().meta[passages.EPOCH] == str(n)
+    assert sorted(r["doc"] for r in store.read("documents").collect()) == [1, 2, 4]
+    assert {r["token"] for r in store.read("postings").collect()} == {"one", "more", "two", "three"}
+    version = store.snapshot().version
+    jobs.ingest(jobs.page_stream(spark, f"{tmp_path}/in"), store, scope, jobs.chunked(), f"{tmp_path}/state-lost").awaitTermination()  # its batch 0 is known
+    assert store.snapshot().version == version
 
 
 def test_throttle_on_a_stream(spark, tmp_path):
