@@ -12,7 +12,7 @@ from pagewright.operators import annotations, blocks, evaluate, layout, placing
 from pagewright.plans import inputs
 from pagewright.plans.inputs import with_ctes
 from pagewright.sources import files, passages
-from pagewright.streaming import jobs
+from pagewright.streaming import jobs, views
 
 
 def _words(spark, sf):
@@ -77,33 +77,65 @@ def _events(spark, sf):
     return inputs.table(spark, sf, "events")
 
 
+def _snapshots(e):
+    """Events as snapshots of windows: some can't be read, some have nothing active."""
+    k = F.col("event_id")
+    window = F.col("user_id") % 25
+    refs = F.array(*[F.concat_ws(":", window, (k * m % 40)) for m in (1, 3, 7)])
+    return e.select(
+        (F.col("user_id") % 4).alias("reader"), window.alias("window"), "ts", k.alias("seq"), (k % 17 != 3).alias("readable"),
+        F.when(k % 5 != 0, F.get(F.array_distinct(refs), (k % 2).cast("int"))).alias("active"), F.array_distinct(refs).alias("refs"),
+    )
+
+
 def st_open_documents(spark, sf):
-    e = _events(spark, sf)
-    refs = F.array(*[F.concat(F.lit("doc-"), ((F.col("event_id") * k) % 40).cast("string")) for k in (1, 3, 7)])
-    return jobs.open_documents(e.select((F.col("user_id") % 25).alias("window"), "ts", F.col("event_id").alias("seq"), refs.alias("refs")))
+    return views.open_documents(_snapshots(_events(spark, sf)))
 
 
-def st_suggestion_state(spark, sf):
+def _live(spark, sf, make, key):
+    """The events folder as a stream, and the view that it ends in."""
+    path = f"{sf}/events.parquet"
+    return views.current(views.run_stream(spark, f"{path}*", spark.read.parquet(path).schema, make, _scratch(spark, "view")), key)
+
+
+def st_open_documents_live(spark, sf):
+    return _live(spark, sf, lambda e: views.open_documents_stream(_snapshots(e)), "reader")
+
+
+def _decisions(e):
     k = F.col("event_id") % 700
     status = F.when(F.col("user_id") % 3 == 0, "pending").when(F.col("user_id") % 3 == 1, "accepted").otherwise("rejected")
-    return jobs.suggestion_state(_events(spark, sf).select((k % 40).alias("doc"), k.alias("suggestion"), status.alias("status"), "ts", F.col("event_id").alias("seq")))
+    return e.select((k % 40).alias("doc"), k.alias("suggestion"), status.alias("status"), "ts", F.col("event_id").alias("seq"))
+
+
+def st_suggestion_state(spark, sf):
+    return views.suggestion_state(_decisions(_events(spark, sf)))
+
+
+def st_suggestion_state_live(spark, sf):
+    return _live(spark, sf, lambda e: views.suggestion_state_stream(_decisions(e)), "doc")
 
 
 STAGES = ("running", "checking", "skipped", "ocr", "downloading", "indexing", "done", "skipped", "checking", "indexing", "idle", "error", "ocr")
 
 
-def st_stage_rollup(spark, sf):
+def _states(e):
     i = F.col("event_id")
     status = F.element_at(F.array(*[F.lit(s) for s in STAGES]), (i % 13 + 1).cast("int"))
-    total = F.when(i % 7 != 0, (i % 5 * 20).cast("int"))
-    return jobs.stage_rollup(
-        _events(spark, sf).select(
-            F.col("user_id").alias("doc"), F.when(i % 2 == 0, "document").otherwise("index").alias("source"), status.alias("status"), F.when(i % 11 != 0, (i % 90).cast("int")).alias("current"),
-            total.alias("total"), F.when(i % 3 != 0, (i % 4 - 1) / 2.0).alias("within"), (i % 8 == 2).alias("dismissed"), "ts", i.alias("seq"),
-        )
+    return e.select(
+        F.col("user_id").alias("doc"), F.when(i % 2 == 0, "document").otherwise("index").alias("source"), status.alias("status"), F.when(i % 11 != 0, (i % 90).cast("int")).alias("current"),
+        F.when(i % 7 != 0, (i % 5 * 20).cast("int")).alias("total"), F.when(i % 3 != 0, (i % 4 - 1) / 2.0).alias("within"), (i % 8 == 2).alias("dismissed"), "ts", i.alias("seq"),
     )
 
 
+def st_stage_rollup(spark, sf):
+    return views.stage_rollup(_states(_events(spark, sf)))
+
+
+def st_stage_rollup_live(spark, sf):
+    return _live(spark, sf, lambda e: views.stage_rollup_stream(_states(e)), "doc")
+
+
 def st_progress_throttle(spark, sf):
     e = _events(spark, sf)
     ms = F.unix_millis(F.col("ts").cast("timestamp")) % 20_000
@@ -149,15 +181,19 @@ def agg_batch_outcome(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        win_text_lines, win_synthetic_outline, win_table_from_lines, txt_quote_anchor, join_page_markers, txt_markdown_scan, st_open_documents, st_suggestion_state, st_stage_rollup,
+        win_text_lines, win_synthetic_outline, win_table_from_lines, txt_quote_anchor, join_page_markers, txt_markdown_scan, st_open_documents, st_open_documents_live, st_suggestion_state, st_suggestion_state_live, st_stage_rollup, st_stage_rollup_live,
         st_progress_throttle, st_ingest, src_corpus_walk, agg_latency, agg_batch_outcome,
     )
 }
 
 SQL = {
-    "st_open_documents": """WITH s AS (SELECT *, user_id % 25 AS w FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 25 ORDER BY ts DESC, event_id DESC) = 1),
-newest AS (SELECT arg_max(w, (ts, event_id)) AS n FROM s), r AS (SELECT w, 'doc-' || (event_id * k) % 40 AS ref, min(i) AS i FROM s, (VALUES (0, 1), (1, 3), (2, 7)) t(i, k) GROUP BY ALL)
-SELECT ref, w AS "window", w = n AND i = 0 AS active, i = 0 AS active_in_window FROM r, newest""",
+    "st_open_documents": """WITH s AS (SELECT *, user_id % 4 AS reader, user_id % 25 AS w, event_id % 17 <> 3 AS readable FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 4, user_id % 25 ORDER BY ts DESC, event_id DESC) = 1),
+counts AS (SELECT reader, CAST(count(*) FILTER (readable) AS INT) AS windows, CAST(count(*) FILTER (NOT readable) AS INT) AS unreadable_windows FROM s GROUP BY reader),
+o AS (SELECT *, row_number() OVER (PARTITION BY reader ORDER BY ts DESC, w DESC) AS n, list_transform([1, 3, 7], lambda m: event_id * m % 40) AS given FROM s WHERE readable),
+r AS (SELECT *, list_filter(given, lambda x, i: NOT list_contains(given[1 : i - 1], x)) AS refs FROM o),
+d AS (SELECT reader, w, n, unnest(refs) AS x, generate_subscripts(refs, 1) AS i, CASE WHEN event_id % 5 <> 0 THEN refs[event_id % 2 + 1] END AS own FROM r),
+a AS (SELECT *, coalesce(own = x, false) AS active_in_window, n = 1 AND coalesce(own = x, false) AS active FROM d)
+SELECT c.reader, CAST(CASE WHEN a.reader IS NOT NULL THEN row_number() OVER (PARTITION BY c.reader ORDER BY NOT active, n, i) END AS INT) AS place, CASE WHEN a.reader IS NOT NULL THEN w || ':' || x END AS ref, w AS "window", active, active_in_window, windows, unreadable_windows FROM counts c LEFT JOIN a ON c.reader = a.reader""",
     "st_suggestion_state": """SELECT doc, count(*) FILTER (u % 3 = 0) AS pending FROM (SELECT event_id % 700 % 40 AS doc, event_id % 700 AS s, arg_max(user_id, (ts, event_id)) AS u FROM events GROUP BY ALL) GROUP BY doc""",
     "st_stage_rollup": """WITH e AS (SELECT user_id AS doc, event_id % 2 AS k, CASE WHEN event_id % 11 <> 0 THEN event_id % 90 END AS c, CASE WHEN event_id % 7 <> 0 THEN event_id % 5 * 20 END AS n, CASE WHEN event_id % 3 <> 0 THEN (event_id % 4 - 1) / 2.0 ELSE 0 END AS x, event_id % 8 = 2 AS d,
   ['running', 'checking', 'skipped', 'ocr', 'downloading', 'indexing', 'done', 'skipped', 'checking', 'indexing', 'idle', 'error', 'ocr'][event_id % 13 + 1] AS s FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) = 1),
@@ -174,3 +210,4 @@ SELECT mode, kind, max(ms) FILTER (i = least(floor(0.5 * n), n - 1)) AS p50, max
     "agg_batch_outcome": """WITH r AS (SELECT o_custkey AS batch, count(*) FILTER (o_orderstatus = 'O') AS succeeded, count(*) FILTER (o_orderstatus <> 'O') AS failed, arg_min(CASE o_orderstatus WHEN 'F' THEN 3 ELSE 4 END, o_orderkey) FILTER (o_orderstatus <> 'O') AS first FROM orders GROUP BY 1)
 SELECT batch, succeeded, failed, CASE WHEN failed = 0 THEN 0 WHEN succeeded > 0 THEN 2 ELSE first END AS exit_code FROM r""",
 }
+SQL |= {f"{name}_live": SQL[name] for name in ("st_open_documents", "st_suggestion_state", "st_stage_rollup")}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import plain
 from pagewright.operators import annotations, chunking, search
 from pagewright.sources import files
-from pagewright.streaming import jobs
+from pagewright.streaming import jobs, views
 
 EVENT = "doc long, source string, status string, current double, total double, within double, dismissed boolean, ts long, seq long"
 
@@ -18,7 +18,7 @@ def badges(spark, **docs):
     names = list(docs)
     rows = [(i, *e, t, t) for i, n in enumerate(names) for t, e in enumerate(docs[n])]
     e = spark.createDataFrame(rows, EVENT).withColumn("current", F.col("current").cast("int")).withColumn("total", F.col("total").cast("int"))
-    return {names[r["doc"]]: (r["stage"], r["label"], r["percent"], r["source"]) for r in jobs.stage_rollup(e).collect()}
+    return {names[r["doc"]]: (r["stage"], r["label"], r["percent"], r["source"]) for r in views.stage_rollup(e).collect()}
 
 
 def test_the_most_pressing_state_is_shown(spark):
