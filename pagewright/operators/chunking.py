@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.groups import fold_groups
 from pagewright.functions.text import chunk_id, plain
 from pagewright.operators import blocks as structure
 
@@ -188,25 +187,3 @@ def word_windows(pages: DataFrame, size: int = 420, overlap: int = 70) -> DataFr
     starts = F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1, F.lit(size - overlap)), lambda s: (s == 0) | (s + overlap < F.size("w"))))
     w = w.select("doc", "page", "w", starts.alias("start_word"))
     return w.select("doc", "page", "start_word", F.array_join(F.slice("w", F.col("start_word") + 1, size), " ").alias("text"))
-
-
-def anchor_ids(headings: DataFrame) -> DataFrame:
-    """doc, pos, anchor: slugs of headings; a slug that has been given out is numbered. A fold over each document's headings."""
-
-    def slug(title: str) -> str:
-        return re.sub(r"\s+", "-", re.sub(r"[^\w\s-]|_", "", title.lower()).strip()) or "section"
-
-    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
-        used, last, out = set(), {}, []  # last: the greatest number given out after a slug
-        for doc, pos, title in rows:
-            base = name = slug(title)
-            n = last.get(base, 0)
-            while name in used:
-                n += 1
-                name = f"{base}-{n}"
-            used.add(name)
-            last[base] = n
-            out.append((doc, pos, name))
-        return out
-
-    return fold_groups(headings.select("doc", "pos", "title"), ["doc"], ["pos"], fold, "doc long, pos int, anchor string")

@@ -7,8 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import plain
-from pagewright.operators import annotations, blocks, evaluate, layout, placing
+from pagewright.operators import evaluate, inline, layout, placing
 from pagewright.plans import inputs
 from pagewright.plans.inputs import with_ctes
 from pagewright.sources import files, passages
@@ -67,10 +66,11 @@ def join_page_markers(spark, sf):
 
 
 def txt_markdown_scan(spark, sf):
-    """Literal search over the visible text of blocks."""
-    b = blocks.blocks(inputs.structured(spark, sf)).select("doc", F.col("pos").alias("page"), plain(F.col("text")).alias("markdown"))
-    t = spark.createDataFrame([("order",), ("URGENT",)], "term string")
-    return annotations.keyword_scan(b, t, 56).drop("source").withColumnRenamed("page", "pos")
+    """Literal search over what documents of several pages show, with links, images and code put in."""
+    p = inputs.structured(spark, sf)
+    note = F.concat(F.lit("\n\nSee [the **order**](/order/urgent) and ![order](urgent.png), `order` or *urgent* ones.\n\n```\norder "), F.col("page").cast("string"), F.lit("\n```"))
+    whole = p.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.concat("markdown", note).alias("t")))), lambda x: x["t"]), "\n\n").alias("markdown"))
+    return inline.markdown_scan(whole, spark.createDataFrame([("order",), ("URGENT",), (" ",)], "term string"), 56)
 
 
 def _events(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import annotations as ops
+from pagewright.operators import links
 from pagewright.plans import inputs
 from pagewright.plans.inputs import with_ctes
 
@@ -108,18 +109,30 @@ def win_comments_reply(spark, sf):
 
 
 def flt_safe_links(spark, sf):
-    """All page addresses, and some of other schemes made from them."""
-    p = inputs.table(spark, sf, "pages").select("page_id", "url")
-    odd = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("mailto:a"), F.col("page_id").cast("string"), F.lit("@example.org"))).when(F.col("page_id") % 4 == 1, F.lit("javascript:alert(1)")).when(F.col("page_id") % 4 == 2, F.lit("/relative/path")).otherwise(F.concat(F.lit("file:///x/"), F.col("page_id").cast("string")))
-    return ops.safe_links(p.unionByName(p.select("page_id", odd.alias("url"))))
+    """All targets in the pages' HTML, all page addresses, and other forms and schemes made from these."""
+    p = inputs.table(spark, sf, "pages")
+    k, url = F.col("page_id"), F.col("url")
+    start = F.regexp_extract("url", r"^[a-z]+://[^/?#]*", 0)
+    loud = F.concat(F.lit(" \t"), F.upper(start), F.substr("url", F.length(start) + 1), F.lit(" "))
+    odd = F.when(k % 5 == 0, F.concat(F.lit("mailto:a"), k.cast("string"), F.lit("@example.org"))).when(k % 5 == 1, F.lit("javascript:alert(1)")).when(k % 5 == 2, F.lit("//relative/path")).when(k % 5 == 3, F.concat(F.lit("file:///x/"), k.cast("string"))).otherwise(loud)
+    steps = F.concat(start, F.lit("/x/./y/../"), k.cast("string"), F.lit(" b"))
+    given = p.select(k, F.array(url, odd, steps).alias("u")).select("page_id", F.posexplode("u").alias("link_no", "url"))
+    return links.safe_links(given.select("page_id", (-F.col("link_no") - 1).alias("link_no"), "url").unionByName(links.page_links(p)))
 
 
 def join_internal_links(spark, sf):
-    """Relative links of the pages' HTML against names that some titles define: page paths of words."""
-    p = inputs.table(spark, sf, "pages")
-    links = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("link_no", "name"))
-    first = p.select(F.regexp_extract("html", r'href="/([^"]*)"', 1).alias("name"), "page_id").where("name <> '' and page_id % 2 = 0")
-    return ops.internal_links(links, first.groupBy("name").agg(F.min("page_id").alias("target")))
+    """The words that the pages' HTML links to as names, page numbers, objects and targets in Markdown; some of the words are
+    names in a catalogue, some are headings."""
+    p = inputs.table(spark, sf, "pages").select(F.col("page_id").alias("doc"), F.posexplode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("n", "w"))
+    size, k = F.length("w").cast("string"), F.col("n") % 4
+    kind = F.when(k == 0, "name").when(k == 1, "index").when(k == 2, "ref").otherwise("url")
+    target = F.when(F.col("doc") % 3 == 0, F.concat(F.lit("other.md#"), "w")).otherwise(F.concat(F.lit("<#"), "w", F.lit(">")))
+    given = p.select("doc", F.col("n").alias("link_no"), kind.alias("kind"), F.when(k == 0, F.col("w")).when(k == 1, size).when(k == 2, F.concat(F.lit("r"), size)).otherwise(target).alias("value"))
+    m = F.length("w") % 3
+    names = p.where("n % 8 = 0").select("doc", F.col("w").alias("name"), F.when(m == 0, "index").when(m == 1, "ref").otherwise("name").alias("kind"), F.when(m == 0, size).when(m == 1, F.concat(F.lit("r"), size)).otherwise(F.col("w")).alias("value")).distinct()
+    refs = p.select("doc", F.concat(F.lit("r"), size).alias("ref"), F.length("w").alias("index")).where("index % 2 = 0").distinct()
+    counts = p.groupBy("doc").agg((F.first("doc") % 4 + 5).alias("pages"))
+    return links.internal_links(given, names, refs, counts, p.where("n % 2 = 1").select("doc", F.col("n").alias("pos"), F.concat(F.lit("**"), "w", F.lit("**")).alias("title")))
 
 
 TERMS = (" the ", "tion", "License", "de la", "zz-none", " ")
@@ -212,12 +225,20 @@ sized AS (SELECT doc, max(total) AS total, unnest(range((SELECT count(*) FROM fi
 replies AS (SELECT s.doc, n, total, '{' || chr(10) || '  "name": ' || coalesce(to_json('customer ' || s.doc)::VARCHAR, 'null') || ',' || chr(10) || '  "documentHash": ' || coalesce(to_json(sha256(s.doc::VARCHAR))::VARCHAR, 'null') || ',' || chr(10) || '  "totalComments": ' || coalesce(to_json(total)::VARCHAR, 'null') || ',' || chr(10) || '  "offset": ' || coalesce(to_json(least(2, total))::VARCHAR, 'null') || ',' || chr(10) || '  "comments": ' || coalesce(CASE WHEN n = 0 THEN '[]' ELSE '[' || chr(10) || '    ' || string_agg(item, ',' || chr(10) || '    ' ORDER BY seq) || chr(10) || '  ]' END, 'null') || ',' || chr(10) || '  "truncated": ' || coalesce(to_json(least(2, total) + n < total)::VARCHAR, 'null') || ',' || chr(10) || '  "nextOffset": ' || coalesce(CASE WHEN least(2, total) + n < total THEN to_json(least(2, total) + n)::VARCHAR END, 'null') || ',' || chr(10) || '  "omittedComments": ' || coalesce(to_json(total - least(2, total) - n)::VARCHAR, 'null') || chr(10) || '}' AS reply FROM sized s LEFT JOIN fit ON fit.doc = s.doc AND fit.seq <= 2 + n GROUP BY s.doc, n, total),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN strlen(reply) <= 800 THEN n ELSE 0 END DESC, n) AS b FROM replies)
 SELECT doc, n AS n_comments, CASE WHEN least(2, total) + n < total THEN least(2, total) + n END AS next_offset, total - least(2, total) - n AS omitted, strlen(reply) AS reply_bytes, reply FROM best WHERE b = 1""",
-    "flt_safe_links": """SELECT page_id, url, regexp_extract(url, '^([a-z]+):', 1) AS scheme, true AS ok FROM pages
-UNION ALL SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'mailto:a' || page_id || '@example.org' WHEN 1 THEN 'javascript:alert(1)' WHEN 2 THEN '/relative/path' ELSE 'file:///x/' || page_id END,
-  CASE page_id % 4 WHEN 0 THEN 'mailto' WHEN 1 THEN 'javascript' WHEN 3 THEN 'file' END, page_id % 4 = 0 FROM pages""",
-    "join_internal_links": """WITH links AS (SELECT page_id, unnest(l) AS name, generate_subscripts(l, 1) - 1 AS link_no FROM (SELECT page_id, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS l FROM pages)),
-names AS (SELECT regexp_extract(html, 'href="/([^"]*)"', 1) AS name, min(page_id) AS target FROM pages WHERE page_id % 2 = 0 GROUP BY 1 HAVING name <> '')
-SELECT page_id, link_no, target, target IS NULL AS broken FROM links LEFT JOIN names USING (name)""",
+    "flt_safe_links": """WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS s FROM pages),
+h AS (SELECT page_id, unnest(l) AS url, generate_subscripts(l, 1) - 1 AS link_no FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages))
+SELECT page_id, -1 AS link_no, url, url AS href FROM p
+UNION ALL SELECT page_id, -2, CASE page_id % 5 WHEN 0 THEN 'mailto:a' || page_id || '@example.org' WHEN 1 THEN 'javascript:alert(1)' WHEN 2 THEN '//relative/path' WHEN 3 THEN 'file:///x/' || page_id ELSE ' ' || chr(9) || upper(s) || url[length(s) + 1 :] || ' ' END,
+  CASE page_id % 5 WHEN 0 THEN 'mailto:a' || page_id || '@example.org' WHEN 4 THEN url END FROM p
+UNION ALL SELECT page_id, -3, s || '/x/./y/../' || page_id || ' b', s || '/x/' || page_id || '%20b' FROM p
+UNION ALL SELECT page_id, link_no, url, CASE WHEN url LIKE 'http%' THEN url END FROM h""",
+    "join_internal_links": """WITH p AS (SELECT page_id AS doc, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS n FROM (SELECT page_id, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS l FROM pages)),
+s AS (SELECT *, lower(regexp_replace(w, '[^\\p{L}\\p{N}\\s-]', '', 'g')) AS slug, length(w) AS z, doc % 4 + 5 AS pages FROM p),
+names AS (SELECT DISTINCT doc, w, z AS nz FROM s WHERE n % 8 = 0), refs AS (SELECT DISTINCT doc, z AS rz FROM s WHERE z % 2 = 0), heads AS (SELECT DISTINCT doc, slug FROM s WHERE n % 2 = 1 AND slug <> ''),
+x AS (SELECT s.doc, n, pages, s.slug, h.slug AS found, CASE WHEN n % 4 = 1 OR (n % 4 = 0 AND nz % 3 = 0) THEN z + 1 WHEN n % 4 = 2 OR (n % 4 = 0 AND nz % 3 = 1) THEN rz + 1 END AS page
+  FROM s LEFT JOIN names USING (doc, w) LEFT JOIN refs ON refs.doc = s.doc AND rz = z LEFT JOIN heads h ON h.doc = s.doc AND h.slug = s.slug)
+SELECT doc, n AS link_no, CASE WHEN n % 4 = 3 THEN CASE WHEN doc % 3 = 0 THEN 'elsewhere' WHEN found IS NOT NULL THEN 'heading' ELSE 'broken' END WHEN page <= pages THEN 'page' ELSE 'broken' END AS outcome,
+  CASE WHEN n % 4 <> 3 AND page <= pages THEN CAST(page AS INT) END AS page, CASE WHEN n % 4 = 3 AND doc % 3 <> 0 THEN found END AS anchor FROM x""",
     "txt_keyword_scan": with_ctes("prose", _TEXT + """, hits AS (SELECT doc, page, text, source, term, trim(term) AS w, list_transform(string_split(lower(text), lower(trim(term))), lambda x: length(x)) AS n FROM searched, terms WHERE trim(term) <> ''),
 starts AS (SELECT *, i - 1 AS ordinal, CAST(list_sum(n[1:i]) + (i - 1) * length(w) AS INT) AS start FROM (SELECT *, unnest(range(1, len(n))) AS i FROM hits))
 SELECT doc, page, term, ordinal, start, CASE WHEN start > 42 THEN '...' ELSE '' END || text[greatest(0, start - 42) + 1 : least(length(text), start + length(w) + 42)] || CASE WHEN start + length(w) + 42 < length(text) THEN '...' ELSE '' END AS snippet, source FROM starts"""),

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators import blocks, chunking
+from pagewright.operators import blocks, chunking, inline
 from pagewright.plans import inputs
 from pagewright.plans.inputs import with_ctes
 from pagewright.plans.retrieval import plain_sql
@@ -129,7 +129,7 @@ def txt_embed_inputs(spark, sf):
 
 
 def win_anchor_ids(spark, sf):
-    return chunking.anchor_ids(blocks.outline(_blocks(spark, sf)))
+    return inline.anchor_ids(blocks.outline(_blocks(spark, sf)))
 
 
 def src_synthetic_library(spark, sf):

@@ -7,21 +7,21 @@ import re
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import bow_vector
-from pagewright.operators import annotations, chunking, layout, output
+from pagewright.operators import annotations, chunking, inline, layout, output
 from pagewright.sources import files
 
 
 def test_repeated_titles_are_numbered(spark):
     titles = ["Scope", "Scope", "Scope-1", "Scope", "!!", "A  b_c", "Scope 1"]
     rows = [(1, i, t) for i, t in enumerate(titles)] + [(2, 0, "Scope")]
-    got = {(r["doc"], r["pos"]): r["anchor"] for r in chunking.anchor_ids(spark.createDataFrame(rows, "doc long, pos int, title string")).collect()}
+    got = {(r["doc"], r["pos"]): r["anchor"] for r in inline.anchor_ids(spark.createDataFrame(rows, "doc long, pos int, title string")).collect()}
     assert [got[1, i] for i in range(7)] == ["scope", "scope-1", "scope-1-1", "scope-2", "section", "a-bc", "scope-1-2"]
     assert got[2, 0] == "scope"
 
 
 def test_a_title_on_every_page(spark):
     rows = [(7, i, "Notes") for i in range(5000)]
-    got = chunking.anchor_ids(spark.createDataFrame(rows, "doc long, pos int, title string")).orderBy("pos").collect()
+    got = inline.anchor_ids(spark.createDataFrame(rows, "doc long, pos int, title string")).orderBy("pos").collect()
     assert [r["anchor"] for r in got] == ["notes", *(f"notes-{i}" for i in range(1, 5000))]
 
 
