@@ -18,7 +18,7 @@ from pagewright.functions.text import chunk_id, plain
 from pagewright.operators import blocks as structure
 
 PROFILES = {"precise": 260, "balanced": 420, "contextual": 640}
-VERSION, SHARE, BETWEEN = 4, 0.15, " > "
+VERSION, SHARE, BETWEEN, SPECIAL = 4, 0.15, " > ", 2
 Counter = Callable[[str], int]
 
 
@@ -27,12 +27,19 @@ def count_quarters(text: str) -> int:
     return -(-len(text) // 4)
 
 
-def longest_prefix(text: str, room: int, count: Counter) -> int:
-    """The most characters whose size fits; sizes never shrink as a text grows."""
-    lo, hi = 0, len(text)
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if count(text[:mid]) <= room else (lo, mid - 1)
+def longest_prefix(text: str, room: int, count: Counter, at: int = 0) -> int:
+    """The most characters from `at` on whose size fits; sizes never shrink as a text grows. Tries double from the least
+    that a token can be, so the work follows what fits and not what is left of the text."""
+    left = len(text) - at
+    lo, hi = 0, min(left, max(1, room))
+    while count(text[at : at + hi]) <= room:
+        lo = hi
+        if hi == left:
+            return left
+        hi = min(left, 2 * hi)
+    while lo < hi - 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if count(text[at : at + mid]) <= room else (lo, mid)
     return lo
 
 
@@ -40,19 +47,24 @@ def cut_prose(text: str, room: int, count: Counter = count_quarters) -> list[str
     """Pieces that fit and together are the text: cut after the last white space that fits, else inside the word."""
     out, at = [], 0
     while at < len(text):
-        rest = text[at:]
-        n = longest_prefix(rest, room, count)
-        if n < len(rest):
-            spaces = [m.end() for m in re.finditer(r"\s", rest[:n])]
-            n = spaces[-1] if spaces else max(1, n)
-        out.append(rest[:n])
+        n = longest_prefix(text, room, count, at)
+        if at + n < len(text):
+            space = next((i for i in range(at + n - 1, at - 1, -1) if _SPACE.match(text[i])), None)
+            n = space + 1 - at if space is not None else max(1, n)
+        out.append(text[at : at + n])
         at += n
     return out or [text]
 
 
+_SPACE = re.compile(r"\s")
+
+
 def cells_end(row: str, at: int) -> bool:
     """Is the pipe at `at` a cell's border? Not after an odd number of backslashes."""
-    return row[at] == "|" and (len(row[:at]) - len(row[:at].rstrip("\\"))) % 2 == 0
+    slashes = at
+    while slashes and row[slashes - 1] == "\\":
+        slashes -= 1
+    return row[at] == "|" and (at - slashes) % 2 == 0
 
 
 def shown(fragment: str) -> str:
@@ -63,15 +75,13 @@ def cut_row(row: str, room: int, count: Counter) -> list[str]:
     """A table row in pieces that fit when shown as rows: cut at cells, else at blanks, else inside a word."""
     out, at = [], 0
     while at < len(row):
-        rest = row[at:]
-        if count(shown(rest)) <= room:
-            out.append(rest)
-            break
-        fits = [n for n in range(1, len(rest)) if count(shown(rest[:n])) <= room]
-        borders = [n for n in fits if cells_end(rest, n - 1)]
-        blanks = [n for n in fits if rest[n - 1] == " "]
-        n = (borders or blanks or fits or [1])[-1]
-        out.append(rest[:n])
+        n = longest_prefix(row, room, lambda x: count(shown(x)), at)
+        if at + n < len(row):
+            ends = range(at + n - 1, at - 1, -1)
+            cell = next((i for i in ends if cells_end(row, i)), None)
+            blank = next((i for i in ends if row[i] == " "), None)
+            n = cell + 1 - at if cell is not None else blank + 1 - at if blank is not None else max(1, n)
+        out.append(row[at : at + n])
         at += n
     return out
 
@@ -105,23 +115,24 @@ def cut_table(text: str, room: int, count: Counter = count_quarters) -> tuple[st
 FRAGMENTS = "doc long, pos int, page int, part int, part_count int, text string, embed_prefix string, fragments array<struct<row:int,part:int,parts:int,piece:string>>"
 
 
+def pieces_of(kind: str, text: str, room: int, count: Counter) -> list[tuple[str, str, list[dict]]]:
+    """(text, header, fragments) of each piece of a block; a table that can't be windowed is cut as prose."""
+    table = cut_table(text, room, count) if kind == "table" else None
+    if not table:
+        return [(p, "", []) for p in cut_prose(text, room, count)]
+    return [("\n".join(p[3] for p in w), table[0], [dict(zip(("row", "part", "parts", "piece"), p, strict=True)) for p in w]) for w in table[1]]
+
+
 def cut_blocks(found: DataFrame, count: Counter = count_quarters) -> DataFrame:
-    """(doc, pos, page, kind, text, room) -> pieces. A block without room vanishes; a table that can't be windowed is
-    cut as prose. Block by block, so parallel over all blocks."""
+    """(doc, pos, page, kind, text, room) -> pieces. A block without room vanishes. Block by block, so parallel over all
+    blocks."""
 
     def run(batches):
         for b in batches:
             out = []
             for doc, pos, page, kind, text, room in zip(b["doc"], b["pos"], b["page"], b["kind"], b["text"], b["room"], strict=True):
-                if room <= 0:
-                    continue
-                table = cut_table(text, room, count) if kind == "table" else None
-                if table:
-                    for i, w in enumerate(table[1]):
-                        out.append((doc, pos, page, i, len(table[1]), "\n".join(p[3] for p in w), table[0], [dict(zip(("row", "part", "parts", "piece"), p, strict=True)) for p in w]))
-                else:
-                    pieces = cut_prose(text, room, count)
-                    out += [(doc, pos, page, i, len(pieces), p, "", []) for i, p in enumerate(pieces)]
+                pieces = pieces_of(kind, text, room, count) if room > 0 else []
+                out += [(doc, pos, page, i, len(pieces), *p) for i, p in enumerate(pieces)]
             yield pd.DataFrame(out, columns=["doc", "pos", "page", "part", "part_count", "text", "embed_prefix", "fragments"])
 
     return found.select("doc", "pos", "page", "kind", "text", "room").mapInPandas(run, FRAGMENTS)
@@ -131,34 +142,70 @@ def size_of(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("int")
 
 
-def breadcrumb(titles: Column, budget: int) -> Column:
+def breadcrumb(titles: list[str], budget: int, count: Counter = count_quarters) -> str:
     """Titles joined, the outermost dropped until they fit a share of the budget; empty if none fits."""
     most = min(int(budget * SHARE), max(0, budget - 1))
-    joined = lambda n: F.concat(F.array_join(F.slice(titles, n + 1, F.size(titles)), BETWEEN), F.lit(BETWEEN))
-    tries = F.filter(F.sequence(F.lit(0), F.greatest(F.size(titles) - 1, F.lit(0))), lambda n: size_of(joined(n)) <= most)
-    return F.when((F.size(titles) > 0) & (F.size(tries) > 0), joined(F.element_at(tries, 1))).otherwise("")
+    for n in range(len(titles)):
+        crumb = BETWEEN.join(titles[n:]) + BETWEEN
+        if count(crumb) <= most:
+            return crumb
+    return ""
 
 
-def chunk_corpus(pages: DataFrame, profile: str = "balanced", budget: int | None = None, count: Counter = count_quarters) -> DataFrame:
+def encoder_budget(budget: int, encoder_limit: int) -> int:
+    """A budget, capped by what the encoder takes besides its special tokens."""
+    return min(budget, encoder_limit - SPECIAL)
+
+
+def chunk_corpus(pages: DataFrame, profile: str = "balanced", budget: int | None = None, count: Counter = count_quarters, encoder_limit: int = 512) -> DataFrame:
     """The whole chunk job: chunk_id, doc, page, idx, part, text, embed_text, headings, local_headings.
 
     Running text makes no chunk, labels fold into the next chunk of their page, the breadcrumb and labels take part of
-    the budget and the text has what is left.
+    the budget and the text has what is left. The given counter sizes all of them, so that no embed_text is over the budget,
+    which the encoder's limit caps. Prefix and pieces are made in one pass over the blocks.
     """
-    budget = budget or PROFILES[profile]
+    budget = encoder_budget(budget or PROFILES[profile], encoder_limit)
     found = structure.blocks(pages)
     paths = structure.heading_paths(found).select("doc", "pos", "headings")
     roles = structure.fold_labels(found, structure.running_text(found, pages)).where("role = 'chunk'").join(paths, ["doc", "pos"])
-    titles = F.transform("headings", lambda h: h["title"])
-    labels = F.coalesce(F.array_join(F.transform("local_headings", lambda x: F.concat(x, F.lit(BETWEEN))), ""), F.lit(""))
-    roles = roles.withColumn("prefix", F.concat(breadcrumb(titles, budget), labels)).withColumn("room", F.lit(budget) - size_of(F.col("prefix")))
-    cut = cut_blocks(roles, count).join(roles.select("doc", "pos", "prefix", "headings", "local_headings"), ["doc", "pos"])
+    local = F.coalesce("local_headings", F.array().cast("array<string>"))
+    roles = roles.select("doc", "pos", "page", "kind", "text", F.transform("headings", lambda h: h["title"]).alias("titles"), local.alias("labels"), F.to_json("headings").alias("headings"))
+    names = roles.columns
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc, pos, page, kind, text, titles, labels, headings in zip(*[b[c] for c in names], strict=True):
+                prefix = breadcrumb(list(titles), budget, count) + "".join(x + BETWEEN for x in labels)
+                room = budget - count(prefix)
+                pieces = pieces_of(kind, text, room, count) if room > 0 else []
+                while room > 1 and pieces and (over := max(count(prefix + header + piece) for piece, header, _ in pieces) - budget) > 0:
+                    room = max(1, room - over)  # sizes of parts need not add up
+                    pieces = pieces_of(kind, text, room, count)
+                out += [(doc, pos, page, i, len(pieces), *p, prefix, headings, list(labels)) for i, p in enumerate(pieces)]
+            yield pd.DataFrame(out, columns=["doc", "pos", "page", "part", "part_count", "text", "embed_prefix", "fragments", "prefix", "headings", "local_headings"])
+
+    cut = roles.mapInPandas(run, FRAGMENTS + ", prefix string, headings string, local_headings array<string>")
     idx = F.row_number().over(Window.partitionBy("doc", "page").orderBy("pos", "part")) - 1
     cut = cut.withColumn("idx", idx).withColumn("embed_text", F.concat("prefix", "embed_prefix", "text"))
+    cut = cut.withColumn("headings", F.from_json("headings", "array<struct<title:string,page:int>>")).withColumn("local_headings", F.when(F.size("local_headings") > 0, F.col("local_headings")))
     ident = chunk_id(F.col("doc"), profile, VERSION, F.col("page"), F.col("idx"), F.col("part"), F.col("text"))
     return cut.select(ident.alias("chunk_id"), "doc", "pos", "page", "idx", "part", "part_count", "text", "embed_text", "headings", "local_headings", "fragments")
 
 
+def truncation(texts: DataFrame, limit: int, count: Counter = count_quarters) -> DataFrame:
+    """All columns of `texts`, and given, embedded: the tokens of `text`, and of the longest start of it that an encoder
+    with this limit keeps."""
+
+    def sizes(values: pd.Series) -> pd.DataFrame:
+        given = [count(t or "") for t in values]
+        kept = [g if g <= limit else count(t[: longest_prefix(t, limit, count)]) for g, t in zip(given, values, strict=True)]
+        return pd.DataFrame({"given": given, "embedded": kept})
+
+    x = texts.withColumn("_n", F.pandas_udf(sizes, "given int, embedded int")("text"))
+    return x.select(*texts.columns, "_n.given", "_n.embedded")
+
+
 def lossless(found: DataFrame, cut: DataFrame) -> DataFrame:
     """doc, pos, lossless: do the pieces, repeated rows counted once, put the block together again?"""
     prose = cut.where("size(fragments) = 0").groupBy("doc", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "").alias("back"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions import wordpieces
 from pagewright.operators import blocks, chunking, inline
 from pagewright.plans import inputs
 from pagewright.plans.inputs import with_ctes
@@ -58,7 +59,7 @@ def win_chunk_index(spark, sf):
 
 
 def txt_chunk_corpus(spark, sf):
-    c = chunking.chunk_corpus(inputs.structured(spark, sf), budget=60)
+    c = chunking.chunk_corpus(inputs.structured(spark, sf), budget=60, count=wordpieces.counter(_vocabulary(spark, sf)))
     return c.select("chunk_id", "doc", "page", "idx", "part", "text", "embed_text", F.array_join("local_headings", "|").alias("local_headings"))
 
 
@@ -88,10 +89,33 @@ def win_word_chunks(spark, sf):
 
 
 def agg_truncation_audit(spark, sf):
-    """Word windows that are over an encoder's limit of tokens."""
-    n = chunking.size_of(F.col("text"))
-    c = chunking.word_windows(inputs.prose(spark, sf))
-    return c.groupBy("doc").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(n > 510).alias("over_limit"), F.max(n).alias("largest"))
+    """Word windows against an encoder's limit of tokens: what each document gives it, and what it keeps."""
+    c = chunking.truncation(chunking.word_windows(inputs.prose(spark, sf)), 510)
+    over = F.col("given") > F.col("embedded")
+    return c.groupBy("doc").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(over).alias("over_limit"), F.max("given").alias("largest"), F.sum("given").alias("given"), F.sum("embedded").alias("embedded"))
+
+
+def _vocabulary(spark, sf):
+    """Pieces: every character, within a word too, and the frequent words of conversations."""
+    words = inputs.table(spark, sf, "conversations").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("piece")).where("piece <> ''")
+    chars = words.select(F.explode(F.split("piece", "")).alias("piece")).where("piece <> ''").distinct()
+    often = words.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n >= 20").select("piece")
+    return often.unionByName(chars).unionByName(chars.select(F.concat(F.lit("##"), "piece").alias("piece"))).distinct()
+
+
+def txt_piece_counts(spark, sf):
+    """Tokens of pages by word pieces, by quarters of characters, and the larger."""
+    pieces = wordpieces.counter(_vocabulary(spark, sf))
+    worst = wordpieces.worst_case(pieces, chunking.count_quarters)
+
+    @F.pandas_udf("pieces int, quarters int, worst int")
+    def sizes(texts):
+        import pandas as pd
+
+        return pd.DataFrame([(pieces(t), chunking.count_quarters(t), worst(t)) for t in texts], columns=["pieces", "quarters", "worst"])
+
+    p = inputs.prose(spark, sf)
+    return p.select("doc", "page", sizes("markdown").alias("n")).select("doc", "page", "n.pieces", "n.quarters", "n.worst")
 
 
 def agg_worst_case_tokens(spark, sf):
@@ -148,7 +172,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         win_blocks, win_heading_path, win_outline, win_outline_parents, agg_running_text, win_label_fold, win_chunk_index, txt_chunk_corpus, txt_chunk_prose, txt_chunk_tables,
-        txt_reassemble, win_word_chunks, agg_truncation_audit, agg_worst_case_tokens, agg_intact_table_rate, txt_heading_json, txt_embed_inputs, win_anchor_ids, src_synthetic_library, sink_passages,
+        txt_reassemble, win_word_chunks, agg_truncation_audit, txt_piece_counts, agg_worst_case_tokens, agg_intact_table_rate, txt_heading_json, txt_embed_inputs, win_anchor_ids, src_synthetic_library, sink_passages,
     )
 }
 
@@ -202,7 +226,7 @@ SELECT doc, page, CAST(s AS INT) AS start_word, array_to_string(w[s + 1 : s + 60
         "prose",
         """, w AS (SELECT doc, page, list_filter(regexp_split_to_array(markdown, '\\s+'), lambda x: x <> '') AS w FROM prose), s AS (SELECT doc, page, w, unnest(range(0, len(w), 350)) AS s FROM w),
 c AS (SELECT doc, CAST(ceil(length(array_to_string(w[s + 1 : s + 420], ' ')) / 4.0) AS INT) AS n FROM s WHERE s = 0 OR s + 70 < len(w))
-SELECT doc, count(*) AS chunks, count(*) FILTER (n > 510) AS over_limit, max(n) AS largest FROM c GROUP BY doc""",
+SELECT doc, count(*) AS chunks, count(*) FILTER (n > 510) AS over_limit, max(n) AS largest, CAST(sum(n) AS BIGINT) AS given, CAST(sum(least(n, 510)) AS BIGINT) AS embedded FROM c GROUP BY doc""",
     ),
     "agg_worst_case_tokens": with_ctes("prose", "SELECT doc || ':' || page AS id, greatest(len(regexp_extract_all(markdown, '\\w+|[^\\w\\s]')), CAST(ceil(length(markdown) / 4.0) AS INT)) AS tokens FROM prose"),
     "agg_intact_table_rate": with_ctes(
