@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,26 +15,29 @@ INSIDE, MOST_PIECES, MOST_BYTES, LONGEST_WORD = "##", 1_000_000, 64 << 20, 100
 END = ""  # marks a node of the trie where a piece ends
 
 
-def _wide(c: str) -> bool:
-    """Ideographs are words of their own."""
-    return unicodedata.category(c) == "Lo" and "CJK" in unicodedata.name(c, "")
+_ASCII = re.compile(r"[a-z0-9]+|[^\sa-z0-9\x00-\x1f\x7f]", re.A)
+_ANY = regex.compile(r"\p{Han}|[[\p{L}\p{N}]--[\p{Han}]]+|[^\s\p{L}\p{N}\p{C}]", regex.V1)
 
 
-def words(text: str) -> Iterator[str]:
+def words(text: str) -> list[str]:
     """Words as the pieces are made of them: lower case without accents, split at white space, signs and ideographs alone."""
-    open_: list[str] = []
-    plain = text.lower() if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
-    for c in plain:
-        if c.isalnum() and (c.isascii() or not _wide(c)):
-            open_.append(c)
-            continue
-        if open_:
-            yield "".join(open_)
-            open_.clear()
-        if not c.isspace() and unicodedata.category(c)[0] != "C":
-            yield c
-    if open_:
-        yield "".join(open_)
+    if text.isascii():
+        return _ASCII.findall(text.lower())
+    return _ANY.findall("".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn"))
+
+
+class _Sizes(dict):
+    """Sizes of words that have been met, as many as fit."""
+
+    def __init__(self, size):
+        super().__init__()
+        self._size = size
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        n = self[word] = self._size(word)
+        return n
 
 
 class WordPieces:
@@ -47,7 +52,7 @@ class WordPieces:
                 node = node.setdefault(c, {})
             if text:
                 node[END] = True
-        self._known: dict[str, int] = {}
+        self._sizes = _Sizes(self.word)
 
     def pieces(self, word: str) -> list[str] | None:
         """The pieces of a word, longest first at each place; null if some place has none."""
@@ -67,18 +72,18 @@ class WordPieces:
         return out
 
     def word(self, word: str) -> int:
-        if word not in self._known:
-            if len(self._known) > 200_000:
-                self._known.clear()
-            found = self.pieces(word) if len(word) <= LONGEST_WORD else None
-            self._known[word] = 1 if found is None else len(found)
-        return self._known[word]
+        found = self.pieces(word) if len(word) <= LONGEST_WORD else None
+        return 1 if found is None else len(found)
 
     def __call__(self, text: str) -> int:
-        return sum(self.word(w) for w in words(text))
+        return sum(map(self._sizes.__getitem__, words(text)))
 
     def __getstate__(self) -> dict:
-        return {"first": self.first, "inside": self.inside, "_known": {}}
+        return {"first": self.first, "inside": self.inside}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._sizes = _Sizes(self.word)
 
 
 class Shared:

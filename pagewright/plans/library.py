@@ -102,9 +102,9 @@ def inc_rechunk_on_version(spark, sf):
     return catalog.stale(_chunk_table(spark, sf), 4)
 
 
-def _store(spark, tables, buckets=8):
+def _store(spark, tables, docs, buckets=8):
     store = passages.passages(spark, f"{files.shared_folder(spark)}/passages-{uuid.uuid4().hex}", buckets)
-    passages.fill(store, tables)
+    passages.fill(store, tables, docs)
     return store
 
 
@@ -127,7 +127,7 @@ def inc_replace_scope(spark, sf):
     """Every tenth document is read again: its scope is replaced, its new chunks come in, and it claims to be complete. Of
     some a chunk is missing, of some there is no text. What the store then holds: chunks and claims, and what was said."""
     c = _scoped(spark, sf)
-    store = _store(spark, _tables(c))
+    store = _store(spark, _tables(c), c.select("doc"))
     docs = c.where("doc % 10 = 0").select("doc").distinct()
     new = c.where("doc % 10 = 0 and page % 2 = 0").withColumn("chunk_id", F.concat("chunk_id", F.lit(":new")))
     passages.begin_replace(store, docs, SCOPE)
@@ -146,7 +146,7 @@ def inc_replace_scope(spark, sf):
 def inc_forget(spark, sf):
     """Every ninth document is taken out of all tables of a stored library; what each table keeps and has lost."""
     c = _scoped(spark, sf)
-    store = _store(spark, {**_tables(c), "documents": _records(spark, sf), "pages": inputs.extracted(spark, sf), "postings": lexical.postings(c), "lengths": lexical.chunk_lengths(c)})
+    store = _store(spark, {**_tables(c), "documents": _records(spark, sf), "pages": inputs.extracted(spark, sf), "postings": lexical.postings(c), "lengths": lexical.chunk_lengths(c)}, inputs.catalogue(spark, sf).select("doc"))
     return passages.forget(store, inputs.catalogue(spark, sf).where("doc % 9 = 4"))
 
 
@@ -160,7 +160,7 @@ def join_missing_postings(spark, sf):
     length of each chunk and the number of its words, as stored."""
     c = _scoped(spark, sf)
     known = c.where("doc % 5 <> 0")
-    store = _store(spark, {"chunks": c, "postings": lexical.postings(known), "lengths": lexical.chunk_lengths(known)}, 4)
+    store = _store(spark, {"chunks": c, "postings": lexical.postings(known), "lengths": lexical.chunk_lengths(known)}, c.select("doc"), 4)
     passages.complete_index(store)
     words = store.read("postings").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("words"))
     return store.read("lengths").join(words, "chunk_id", "left").select("chunk_id", "len", F.coalesce("words", F.lit(0)).alias("words"))

@@ -206,10 +206,10 @@ def txt_fingerprint_ids(spark, sf):
 
 def agg_retrieval_metrics(spark, sf):
     """Do the queries find a passage with the text that they were taken from? Best place of a chunk of such a document."""
-    truth = inputs.table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 40).alias("start"))
+    truth = inputs.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
     docs = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("whole"))
     ranked = search.top_fused(_fused(spark, sf)).join(docs, "doc").join(inputs.queries(spark, sf).select("query_id", "item_id"), "query_id").join(truth, "item_id")
-    best = ranked.where(F.col("whole").contains(F.col("start"))).groupBy("query_id").agg(F.min("place").alias("p"))
+    best = ranked.where(F.col("whole").contains(F.col("passage"))).groupBy("query_id").agg(F.min("place").alias("p"))
     asked = inputs.queries(spark, sf).where("query_id % 3 < 2").select("query_id").join(best, "query_id", "left")
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     return asked.agg(share(F.col("p") == 1).alias("accuracy_at_1"), share(F.col("p") <= 5).alias("recall_at_5"), F.round(F.avg(F.coalesce(1.0 / F.col("p"), F.lit(0.0))), 6).alias("mrr"))
@@ -331,7 +331,7 @@ exa AS (SELECT exact.* FROM exact JOIN searched USING (doc) JOIN modes USING (qu
     ),
     "agg_retrieval_metrics": _fused_sql(
         """, best AS (SELECT query_id, min(place) AS p FROM ordered JOIN documents ON doc = doc_id JOIN queries q USING (query_id) JOIN benchmark b ON b.item_id = q.item_id
-  WHERE place <= 12 AND contains(documents.text, b.text[1:40]) GROUP BY ALL)
+  WHERE place <= 12 AND contains(documents.text, b.text) GROUP BY ALL)
 SELECT round(avg(CASE WHEN p = 1 THEN 1.0 ELSE 0 END), 6) AS accuracy_at_1, round(avg(CASE WHEN p <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5, round(avg(coalesce(1.0 / p, 0)), 6) AS mrr
 FROM queries LEFT JOIN best USING (query_id) WHERE query_id % 3 < 2"""
     ),
