@@ -86,3 +86,26 @@ def test_rows_reach_whole_or_not(spark):
 def test_the_nearest_heading_decides(spark, headings, page, inherited):
     d = spark.createDataFrame([(headings, page)], "h array<struct<title:string,page:int>>, page int")
     assert d.select(search.heading_inherited(F.col("h"), F.col("page")).alias("x")).first()["x"] is inherited
+
+
+def test_all_terms_are_found_in_one_scan(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, 1, "Aaaa bAb  abab ABAB"), (1, 2, None), (2, 1, "term77 and term77777 Straße")], "doc long, page int, markdown string")
+    few = spark.createDataFrame([("aa",), (" AB ",), ("bab",), ("abab",), ("ab",), ("",), (" ",), ("none",), (None,)], "term string")
+    want = {}
+    for doc, text in ((1, "aaaa bab abab abab"), (2, "term77 and term77777 straße")):
+        for term in ("aa", " AB ", "bab", "abab", "ab"):
+            at, n, low = 0, 0, term.strip().lower()
+            while (at := text.find(low, at)) >= 0:
+                want[doc, term, n] = at
+                at, n = at + len(low), n + 1
+    for most in (annotations.MOST_TERMS, 2):
+        monkeypatch.setattr(annotations, "MOST_TERMS", most)
+        got = {(r["doc"], r["term"], r["ordinal"]): r["start"] for r in annotations.keyword_scan(pages, few).collect()}
+        assert got == want
+    monkeypatch.undo()
+    many = spark.range(100_000).select(F.concat(F.lit("term"), F.col("id").cast("string")).alias("term"))
+    scan = annotations.keyword_scan(pages, many)
+    found = sorted((r["term"], r["start"]) for r in scan.collect())
+    assert found == sorted([("term7", 0), ("term77", 0), ("term7", 11), ("term77", 11), ("term777", 11), ("term7777", 11), ("term77777", 11)])
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Exchange" not in plan and "Join" not in plan
