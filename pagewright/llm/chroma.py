@@ -213,8 +213,9 @@ def match_recordings(vectors: DataFrame, key: str, column: str, every: int = 100
 
     Returns key, n_frames, fingerprint_sha256, class_id (the least key of the recordings that share the fingerprint) and
     what `align_recordings` says. Each recording has a row; the queries that a class aligns with stand at one of its
-    recordings, a row for each, the others have their number in n_aligned only. Null vectors have no frames. Repeated
-    rows are recordings of their own; other columns don't matter. An empty table gives an empty table.
+    recordings, a row for each, the others have their number in n_aligned only. Null vectors have no frames. Keys are
+    whole numbers; a null key is no query. Repeated rows are recordings of their own; other columns don't matter, whatever
+    their names. An empty table gives an empty table.
     """
     held = vectors.select(F.col(key).alias("key"), F.col(column).alias("values"))
     prints = fingerprint_audio(audio_of_vectors(held, "key", "values")).withColumn("unit", F.monotonically_increasing_id())

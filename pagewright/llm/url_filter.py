@@ -95,7 +95,7 @@ def judge_urls(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str,
     rows (url, 1 = block; a small table, `labelled_urls` if none is given).
 
     A null or empty url, or one without `://`, has an empty host and path: no rule fits, the model decides. Long urls are
-    taken whole. Of rules of equal length the last given wins. Repeated rows are judged alike. An empty table gives an
+    taken whole. Of rules of equal length the last given wins; a score of exactly the threshold blocks. Repeated rows are judged alike. An empty table gives an
     empty table. Columns of the added names, in any case, are replaced; all others stay, whatever their names.
     """
     model = model or train(labelled_urls() if labelled is None else labelled)
