@@ -1,5 +1,9 @@
 """The training-data pipeline: each stage works on all that the stage before kept.
 
+Every stage gives an empty table for an empty one, takes nulls in any column, and keeps columns that it doesn't know, but for
+the last. Repeated rows: language ID and mixing treat them as documents of their own, the n-gram join keeps one of them, the
+substring stage takes rows of equal id and text as one document, packing gives each a slot. Ties: see the operators.
+
 `run` applies the stages in memory; a runner may as well write each result as Parquet and read it again.
 """
 
