@@ -148,7 +148,7 @@ def library_search(spark, sf):
     some refused; then text, snippet, and what the catalogue says of each hit."""
     c, d = inputs.chunks(spark, sf), inputs.catalogue(spark, sf)
     latest = catalog.latest_versions(d).where("path is not null")
-    held = c.withColumn("profile", F.when(F.col("doc") % 23 == 5, "precise").otherwise("balanced")).withColumn("version", F.when(F.col("doc") % 10 == 1, 3).otherwise(4))
+    held = c.withColumn("profile", F.when(F.col("doc") % 23 == 5, "precise").otherwise("balanced")).withColumn("version", F.when(F.col("doc") % 40 == 1, 3).otherwise(4))
     stored = _vectors(spark, sf).withColumn("model", F.when(F.col("doc") % 17 == 3, "older").otherwise("words")).withColumn("model_version", F.lit(1)).withColumn("dims", F.lit(64))
     vectors = search.in_scope(held, stored, "balanced", 4, "words", 1, 64)
     searched, counts = search.library_documents(latest, catalog.discoverable(latest, inputs.roots(spark)), vectors)
@@ -308,7 +308,7 @@ FROM ordered o JOIN chunks USING (chunk_id) WHERE place <= 12"""),
 FROM modes LEFT JOIN answer a USING (query_id) LEFT JOIN chunks USING (chunk_id) LEFT JOIN catalogue ON catalogue.doc = a.doc, counts""",
         """, latest AS (SELECT doc, path, path_provenance FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_opened DESC, doc DESC) AS n FROM catalogue WHERE path IS NOT NULL) WHERE n = 1),
 seen AS (SELECT DISTINCT doc FROM latest JOIN roots ON path = root OR (starts_with(path, root || '/') AND path[length(root) + 2 : length(root) + 3] <> '..') WHERE path_provenance = 'resolved'),
-inside AS (SELECT DISTINCT doc FROM chunks WHERE doc % 23 <> 5 AND doc % 10 <> 1 AND doc % 17 <> 3), searched AS (SELECT doc FROM seen JOIN inside USING (doc)),
+inside AS (SELECT DISTINCT doc FROM chunks WHERE doc % 23 <> 5 AND doc % 40 <> 1 AND doc % 17 <> 3), searched AS (SELECT doc FROM seen JOIN inside USING (doc)),
 counts AS (SELECT (SELECT count(*) FROM searched) AS documents_searched, (SELECT count(*) FROM latest) - (SELECT count(*) FROM seen) AS documents_not_discoverable, (SELECT count(*) FROM seen) - (SELECT count(*) FROM searched) AS documents_outside_scope),
 said AS (SELECT query_id, CASE WHEN query_id % 5 = 3 THEN 'semantic' WHEN query_id % 5 >= 2 THEN 'exact' ELSE 'hybrid' END AS m, query_id % 5 = 4 AND query_id % 2 = 0 AS refused, (SELECT count(*) FROM part_tokens p WHERE p.query_id = q.query_id) AS w FROM queries q),
 modes AS (SELECT query_id, CASE WHEN refused THEN 'refused' WHEN w = 0 AND m = 'exact' THEN 'no-words' ELSE 'ok' END AS status, CASE WHEN w = 0 AND m = 'hybrid' THEN 'semantic' ELSE m END AS mode FROM said),
