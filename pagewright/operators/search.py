@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from pagewright.functions.text import cosine
 from pagewright.operators import lexical
 
 RRF, DEEPEST, CAP, TOP_K = 60, 1600, 3, 12
+MOST_QUERY_BYTES = 128 << 20
 
 
 def semantic_scores(queries: DataFrame, vectors: DataFrame, least: float | None = None) -> DataFrame:
@@ -29,46 +31,122 @@ def semantic_scores(queries: DataFrame, vectors: DataFrame, least: float | None
     return s.select("query_id", "chunk_id", "doc", "score")
 
 
-def semantic_top(queries: DataFrame, vectors: DataFrame, depth: int = DEEPEST, block: int = 1024) -> DataFrame:
-    """The best `depth` chunks of each query by matrix products over Arrow batches: query_id, chunk_id, doc, score.
+def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
+    """block, ids, least, matrix: the queries dealt by hash to so many blocks, each one row: ids, least scores and
+    unit vectors as little-endian bytes."""
 
-    Queries (query_id, qv, min_score) go out in blocks of at most `block` rows. Each task keeps its own best `depth`, of
-    each batch only what may still be among them (with all ties); the ranking over tasks is the caller's window.
-    """
-    rows = [(r["query_id"], r["qv"], r["min_score"]) for r in queries.orderBy("query_id").toLocalIterator()]
-    parts = None
-    for i in range(0, max(1, len(rows)), block):
-        own = rows[i : i + block]
-        m = np.array([v for _, v, _ in own], np.float64).reshape(len(own), -1)
-        m = m / np.linalg.norm(m, axis=1, keepdims=True).clip(1e-300) if len(own) else m
-        shared = vectors.sparkSession.sparkContext.broadcast((m, np.array([q for q, _, _ in own]), np.array([s for _, _, s in own], np.float64)))
-
-        def best(batches, shared=shared):
-            m, ids, least = shared.value
-            held, floor = None, least
-            for b in batches:
-                if not len(b) or not len(ids):
-                    continue
-                v = np.stack(b["vector"].to_numpy()).astype(np.float64)
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(g["qv"].to_numpy()).astype("<f8")
+        m = m / np.linalg.norm(m, axis=1, keepdims=True).clip(1e-300)
+        row = (g["block"].iloc[0], g["query_id"].to_numpy("<i8").tobytes(), g["min_score"].to_numpy("<f8").tobytes(), m.tobytes())
+        return pd.DataFrame([row], columns=["block", "ids", "least", "matrix"])
+
+    dealt = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "qv", "min_score")
+    return dealt.groupBy("block").applyInPandas(pack, "block int, ids binary, least binary, matrix binary")
+
+
+def vector_tiles(vectors: DataFrame, width: int, tile_bytes: int = 1 << 20) -> DataFrame:
+    """chunk_ids, docs, vectors: the vectors of each partition in tiles of about `tile_bytes`, as unit vectors."""
+    rows = max(1, min(2048, tile_bytes // (8 * max(1, width))))
+
+    def pack(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, rows):
+                b = whole.slice(i, rows)
+                v = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(b.num_rows, -1)
                 v = v / np.linalg.norm(v, axis=1, keepdims=True).clip(1e-300)
+                one = lambda c, b=b: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(c))
+                yield pa.RecordBatch.from_arrays([one("chunk_id"), one("doc"), pa.array([v.tobytes()], pa.binary())], ["chunk_ids", "docs", "vectors"])
+
+    own = vectors.where(F.size("vector") == width).select("chunk_id", "doc", "vector")
+    return own.mapInArrow(pack, "chunk_ids array<string>, docs array<long>, vectors binary")
+
+
+def kept_best(number: np.ndarray, score: np.ndarray, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the best `depth` rows of each number, ties by id; the numbers that have as many; their last scores)."""
+    order = np.lexsort((-score, number))
+    n, s = number[order], score[order]
+    start = np.flatnonzero(np.diff(n, prepend=-1))
+    size = np.diff(start, append=len(n))
+    full = size >= depth
+    last = np.where(full, s[start + np.minimum(size, depth) - 1], -np.inf)
+    floor = np.repeat(last, size)
+    tied = np.flatnonzero((s == floor) & np.repeat(size > depth, size))
+    keep = s >= floor
+    if len(tied):  # of those at the floor, only the least ids find room
+        above = np.add.reduceat(s > floor, start)
+        keep[tied] = False
+        tied = tied[np.argsort(ids[order[tied]], kind="stable")]
+        tied = tied[np.argsort(n[tied], kind="stable")]
+        first = np.flatnonzero(np.diff(n[tied], prepend=-1))
+        place = np.arange(len(tied)) - np.repeat(first, np.diff(first, append=len(tied)))
+        group = np.searchsorted(start, tied, "right") - 1
+        keep[tied[place < depth - above[group]]] = True
+    return order[keep], n[start[full]], last[full]
+
+
+def semantic_top(queries: DataFrame, vectors: DataFrame, depth: int = DEEPEST, block: int = 1024, most_held: int = 2_000_000) -> DataFrame:
+    """The best `depth` chunks of each query by matrix products: query_id, chunk_id, doc, score.
+
+    Queries (query_id, qv, min_score) are packed into blocks of about `block`, vectors into tiles; one stage multiplies
+    each tile by each block. The blocks are broadcast up to MOST_QUERY_BYTES, which are counted first; beyond, Spark pairs
+    partitions of blocks and tiles. A task keeps what may still be among its best (all ties with them): once it holds
+    `most_held` rows it drops the others, or, if few can go, hands them on, and remembers each query's floor. The
+    ranking over tasks is the caller's window. Null vectors, and those of another width than the widest query, take no
+    part.
+    """
+    asked = queries.where("qv is not null")
+    n, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("qv")), F.lit(0))).first()
+    blocks = query_blocks(asked.where(F.size("qv") == width), max(1, -(-n // block)))
+    blocks = F.broadcast(blocks) if n * (8 * width + 16) <= MOST_QUERY_BYTES else blocks
+
+    def best(batches):
+        floors, names = {}, {}  # by block: the least score that still counts, the queries
+        held, size = [], 0  # (block, query's number in it, score, chunk_id, doc)
+
+        def shrink():
+            out = []
+            for k in sorted({h[0] for h in held}):
+                number, score, ids, docs = (np.concatenate(x) for x in zip(*[h[1:] for h in held if h[0] == k], strict=True))
+                rows, full, last = kept_best(number, score, ids, depth)
+                floors[k][full] = np.maximum(floors[k][full], last)
+                out.append((k, number[rows], score[rows], ids[rows], docs[rows]))
+            return out
+
+        def give(rows):
+            for k, number, score, ids, docs in rows:
+                for i in range(0, len(number), 100_000):
+                    at = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[k][number[at]]), pa.array(ids[at], pa.string()), pa.array(docs[at]), pa.array(score[at])], ["query_id", "chunk_id", "doc", "score"])
+
+        for b in batches:
+            for r in range(b.num_rows):
+                k = b.column("block")[r].as_py()
+                if k not in floors:
+                    floors[k] = np.frombuffer(b.column("least")[r].as_py(), "<f8").copy()
+                    names[k] = np.frombuffer(b.column("ids")[r].as_py(), "<i8")
+                m = np.frombuffer(b.column("matrix")[r].as_buffer(), "<f8").reshape(len(names[k]), -1)
+                v = np.frombuffer(b.column("vectors")[r].as_buffer(), "<f8").reshape(-1, m.shape[1])
                 s = np.round(m @ v.T, 6)
-                enough = np.maximum(floor, np.partition(s, -depth, axis=1)[:, -depth]) if s.shape[1] > depth else floor
-                q, c = np.nonzero(s >= enough[:, None])
-                new = pd.DataFrame({"number": q, "chunk_id": b["chunk_id"].to_numpy()[c], "doc": b["doc"].to_numpy()[c], "score": s[q, c]})
-                held = new if held is None else pd.concat([held, new])
-                if len(held) > 2 * depth * len(ids):
-                    held = held.sort_values(["number", "score", "chunk_id"], ascending=[True, False, True]).groupby("number").head(depth)
-                    full = held.groupby("number")["score"].agg(["size", "min"])
-                    full = full[full["size"] >= depth]
-                    floor = floor.copy()
-                    floor[full.index.to_numpy()] = np.maximum(floor[full.index.to_numpy()], full["min"].to_numpy())
-            if held is not None:
-                held = held.sort_values(["number", "score", "chunk_id"], ascending=[True, False, True]).groupby("number").head(depth)
-                yield held.assign(query_id=ids[held["number"].to_numpy()])[["query_id", "chunk_id", "doc", "score"]]
-
-        part = vectors.select("chunk_id", "doc", "vector").mapInPandas(best, "query_id long, chunk_id string, doc long, score double")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+                s[np.isnan(s)] = -np.inf
+                if len(v) > depth:
+                    floors[k] = np.maximum(floors[k], np.partition(s, -depth, axis=1)[:, -depth])
+                q, c = np.nonzero(s >= floors[k][:, None])
+                ids = b.column("chunk_ids")[r].values.take(pa.array(c)).to_numpy(zero_copy_only=False)
+                docs = b.column("docs")[r].values.take(pa.array(c)).to_numpy(zero_copy_only=False)
+                held.append((k, q, s[q, c], ids, docs))
+                size += len(q)
+                if size > most_held:
+                    held = shrink()
+                    size = sum(len(h[1]) for h in held)
+                    if size > most_held // 2:
+                        yield from give(held)
+                        held, size = [], 0
+        if held:
+            yield from give(shrink())
+
+    pairs = vector_tiles(vectors, width).crossJoin(blocks)
+    return pairs.mapInArrow(best, "query_id long, chunk_id string, doc long, score double")
 
 
 def top(scored: DataFrame, by: str, depth: int, descending: bool = True) -> DataFrame:

@@ -161,6 +161,48 @@ def test_semantic_by_blocks_is_semantic_by_expressions(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and a
 
 
+def test_semantic_top_keeps_ties_and_bounds_what_it_holds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = [(f"c{i:03d}", i, [float(x) for x in rng.integers(0, 3, 4)]) for i in range(300)]
+    v += [("null", 900, None), ("narrow", 901, [1.0]), ("hole", 902, [1.0, None, 0.0, 1.0]), ("zero", 903, [0.0] * 4)]
+    q = [(i, [float(x) for x in rng.integers(0, 3, 4)], 0.3) for i in range(9)] + [(50, None, 0.1), (51, [0.0] * 4, 0.1)]
+    vectors = spark.createDataFrame(v, "chunk_id string, doc long, vector array<double>").repartition(3)
+    queries = spark.createDataFrame(q, "query_id long, qv array<double>, min_score double")
+    want = []
+    for i, x, least in q[:9]:
+        scored = []
+        for c, d, y in v[:300]:
+            size = np.linalg.norm(x) * np.linalg.norm(y)
+            s = round(float(np.dot(x, y) / size), 6) if size else 0.0
+            if s >= least:
+                scored.append((-s, c, d))
+        want += [(i, c, d, -s, n + 1) for n, (s, c, d) in enumerate(sorted(scored)[:6])]
+    for how in ({}, {"block": 2}, {"most_held": 40}, {"block": 3, "most_held": 1}):
+        got = search.top(search.semantic_top(queries, vectors, 6, **how), "score", 6).select("query_id", "chunk_id", "doc", "score", "place").collect()
+        assert sorted((r[0], r[4], r[1], r[2], round(r[3], 5)) for r in got) == sorted((i, n, c, d, round(s, 5)) for i, c, d, s, n in want), how
+    assert search.semantic_top(queries.where("query_id < 0"), vectors).count() == 0
+    assert search.semantic_top(queries, vectors.where("doc < 0")).count() == 0
+
+
+def test_best_rows_of_each_number_with_ties_by_id():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for depth in (1, 2, 5):
+        number, score = rng.integers(0, 6, 200), rng.integers(0, 5, 200) / 4
+        ids = np.array([f"i{x}" for x in rng.permutation(200)], object)
+        rows, full, last = search.kept_best(number, score, ids, depth)
+        want, ends = set(), {}
+        for n in set(number.tolist()):
+            own = sorted((-score[i], ids[i]) for i in range(200) if number[i] == n)
+            want |= {(n, *x) for x in own[:depth]}
+            if len(own) >= depth:
+                ends[n] = -own[depth - 1][0]
+        assert {(number[i], -score[i], ids[i]) for i in rows} == want and dict(zip(full.tolist(), last.tolist(), strict=True)) == ends
+
+
 def test_text_expressions(spark):
     d = spark.createDataFrame([("# Title\n\n| a | b |\n|---|:-:|\n| **x** | y |\n- item  `code`\n1. two",)], "t string")
     r = d.select(plain(F.col("t")), snippet(F.lit("a " * 200)), fingerprint(F.lit(" a\n b ")) == fingerprint(F.lit("a b")), tokens(F.lit("Été naïve_x ²")), cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0)))).first()
