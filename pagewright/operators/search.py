@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,13 +54,15 @@ def vector_tiles(vectors: DataFrame, width: int, tile_bytes: int = 1 << 20) -> D
         for whole in batches:
             for i in range(0, whole.num_rows, rows):
                 b = whole.slice(i, rows)
+                b = b.filter(pc.equal(pc.list_value_length(b.column("vector")), width))  # here, as a filter before would reckon derived vectors twice
+                if not b.num_rows:
+                    continue
                 v = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(b.num_rows, -1)
                 v = v / np.linalg.norm(v, axis=1, keepdims=True).clip(1e-300)
                 one = lambda c, b=b: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(c))
                 yield pa.RecordBatch.from_arrays([one("chunk_id"), one("doc"), pa.array([v.tobytes()], pa.binary())], ["chunk_ids", "docs", "vectors"])
 
-    own = vectors.where(F.size("vector") == width).select("chunk_id", "doc", "vector")
-    return own.mapInArrow(pack, "chunk_ids array<string>, docs array<long>, vectors binary")
+    return vectors.select("chunk_id", "doc", "vector").mapInArrow(pack, "chunk_ids array<string>, docs array<long>, vectors binary")
 
 
 def kept_best(number: np.ndarray, score: np.ndarray, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
