@@ -8,6 +8,8 @@ on one offset; the share of differing bits at that offset says how alike they ar
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.common import fields, give, hold, materialize, small_batches
+from pagewright.llm.common import fields, give, hold, join_hot, materialize, small_batches
 
 RATE, FRAME, HOP = 5512, 2048, 512
 WIDTH = 8  # frames that a filter spans
@@ -125,41 +127,92 @@ def print_key(fingerprint: Column) -> Column:
     return F.unhex(F.md5(fingerprint))
 
 
-def align_classes(prints: DataFrame, queries: DataFrame, most_error: float = 0.3, least_frames: int = 16) -> DataFrame:
+def runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """key, code, frame, length: each maximal run of equal integers in a fingerprint, so that a held tone or silence is
+    one row, however long."""
+    for b in batches:
+        p = [np.frombuffer(f, "<u4") for f in b["fingerprint"]]
+        n = [len(x) for x in p]
+        of = np.repeat(np.arange(len(p)), n)
+        frame = np.concatenate([np.zeros(0, np.int64), *[np.arange(k) for k in n]])
+        code = np.concatenate([np.zeros(0, np.uint32), *p]).astype(np.int64)
+        start = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (frame == 0))
+        length = np.diff(start, append=len(code)).astype(np.int32)
+        yield pd.DataFrame({"key": b["key"].to_numpy()[of[start]], "code": code[start], "frame": frame[start].astype(np.int32), "length": length})
+
+
+def join_codes(a: DataFrame, b: DataFrame, bound: int = 2_000, most: int = 1_000_000) -> DataFrame:
+    """`a` (class, code, ...) and `b` (asked, code, ...) joined on the code, no task holding a hot one.
+
+    Codes are counted on both sides. One with more than `bound` rows on a side (or than a part in `most` of all rows, so
+    that at most twice `most` codes are broadcast) is dealt to a grid: rows of each side to as many parts as their
+    count asks for, each part meeting each of the other side once.
+    """
+    n = a.groupBy("code").agg(F.count(F.lit(1)).alias("na")).join(b.groupBy("code").agg(F.count(F.lit(1)).alias("nb")), "code")
+    hot = materialize(n.where(F.greatest("na", "nb") > bound), "hot")
+    seen = hot.agg(F.count(F.lit(1)), F.sum("na"), F.sum("nb")).first()
+    if not seen[0]:
+        return a.join(b, "code")
+    bound = max(bound, max(seen[1], seen[2]) // most)
+    hot = hot.where(F.greatest("na", "nb") > bound).select("code", F.ceil(F.col("na") / bound).cast("int").alias("pa"), F.ceil(F.col("nb") / bound).cast("int").alias("pb"))
+
+    def deal(rows, own, other, mine, theirs):
+        dealt = rows.join(F.broadcast(hot), "code", "left").withColumn(mine, F.pmod(F.xxhash64(*rows.columns), F.coalesce(own, F.lit(1))).cast("int"))
+        return dealt.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("pa", "pb")
+
+    left, right = deal(a, F.col("pa"), F.col("pb"), "i", "j"), deal(b, F.col("pb"), F.col("pa"), "j", "i")
+    return left.join(right, ["code", "i", "j"]).drop("i", "j")
+
+
+def offset_votes(distance: np.ndarray, la: np.ndarray, lb: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int]:
+    """(votes, the offset of the first): the offset histogram of a pair from its pairs of runs of lengths `la` and `lb`,
+    whose starts are `distance` apart, each `n` times. Two runs vote for a range of offsets, rising and falling."""
+    low = distance.astype(np.int64) - lb + 1
+    first = int(low.min())
+    bend = np.zeros(int((low + la + lb).max()) - first + 1, np.int64)
+    for at, sign in ((low, 1), (low + la, -1), (low + lb, -1), (low + la + lb, 1)):
+        np.add.at(bend, at - first, sign * n)
+    return bend.cumsum().cumsum(), first
+
+
+def align_classes(prints: DataFrame, queries: DataFrame, most_error: float = 0.3, least_frames: int = 16, bound: int = 2_000) -> DataFrame:
     """class, asked, offset, bit_error, frames: for each two distinct fingerprints of `prints` and `queries` that align,
     the best offset.
 
-    The integers of both sides are joined. Counting the joined rows by offset gives the histogram of each pair; at every
-    offset of it the bit error is taken over all overlapping frames, at least `least_frames` of them (or the whole of the
-    shorter side). Of the offsets with at most `most_error`, that of least error counts, then that of most equal
+    The runs of equal integers of both sides are joined (hot ones dealt, see `join_codes`) and counted by pair and
+    distance, which gives the histogram of offsets of each pair in one row; it meets its two fingerprints once. At every
+    offset with a vote the bit error is taken over all overlapping frames, at least `least_frames` of them (or the whole
+    of the shorter side). Of the offsets with at most `most_error`, that of least error counts, then that of most equal
     integers, then the least.
     """
-
-    def integers(batches):
-        for b in batches:
-            p = [np.frombuffer(f, "<u4") for f in b["fingerprint"]]
-            n = [len(x) for x in p]
-            of = np.repeat(np.arange(len(p)), n)
-            frame = np.concatenate([np.zeros(0, np.int64), *[np.arange(k) for k in n]])
-            yield pd.DataFrame({"key": b["key"].to_numpy()[of], "code": np.concatenate([np.zeros(0, np.uint32), *p]).astype(np.int64), "frame": frame.astype(np.int32)})
-
     distinct = lambda df: materialize(df.select(print_key(F.col("fingerprint")).alias("key"), "fingerprint").dropDuplicates(["key"]), "prints")
     mine, theirs = distinct(prints), distinct(queries)
-    a = mine.mapInPandas(integers, "key binary, code long, frame int").withColumnRenamed("key", "class")
-    b = theirs.mapInPandas(integers, "key binary, code long, frame int").select(F.col("key").alias("asked"), "code", F.col("frame").alias("their"))
-    histogram = a.join(b, "code").groupBy("class", "asked", (F.col("frame") - F.col("their")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-
-    @F.pandas_udf("bit_error double, frames int")
-    def compare(x: pd.Series, y: pd.Series, offset: pd.Series) -> pd.DataFrame:
-        out = [bit_error(np.frombuffer(f, "<u4"), np.frombuffer(g, "<u4"), int(o)) for f, g, o in zip(x, y, offset, strict=True)]
-        return pd.DataFrame(out, columns=["bit_error", "frames"])
-
-    both = histogram.join(mine.select(F.col("key").alias("class"), F.col("fingerprint").alias("x")), "class").join(theirs.select(F.col("key").alias("asked"), F.col("fingerprint").alias("y")), "asked")
-    least = F.least(F.lit(least_frames), F.octet_length("x") / 4, F.octet_length("y") / 4)
-    both = both.select("class", "asked", "offset", "votes", least.alias("least"), compare("x", "y", "offset").alias("c"))
-    fit = both.where((F.col("c.frames") >= F.col("least")) & (F.col("c.bit_error") <= most_error))
-    best = F.min(F.struct(F.col("c.bit_error").alias("e"), (-F.col("votes")).alias("v"), "offset", F.col("c.frames").alias("f"))).alias("x")
-    return fit.groupBy("class", "asked").agg(best).select("class", "asked", "x.offset", F.col("x.e").alias("bit_error"), F.col("x.f").alias("frames"))
+    schema = "key binary, code long, frame int, length int"
+    a = mine.mapInPandas(runs, schema).select(F.col("key").alias("class"), "code", "frame", F.col("length").alias("la"))
+    b = theirs.mapInPandas(runs, schema).select(F.col("key").alias("asked"), "code", F.col("frame").alias("their"), F.col("length").alias("lb"))
+    met = join_codes(a, b, bound).groupBy("class", "asked", (F.col("frame") - F.col("their")).alias("d"), "la", "lb").agg(F.count(F.lit(1)).alias("n"))
+    pairs = materialize(met.groupBy("class", "asked").agg(F.collect_list(F.struct("d", "la", "lb", "n")).alias("met")), "pairs")
+
+    @F.pandas_udf("offset int, bit_error double, frames int")
+    def compare(x: pd.Series, y: pd.Series, d: pd.Series, la: pd.Series, lb: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = []
+        for f, g, *hits in zip(x, y, d, la, lb, n, strict=True):
+            f, g, best = np.frombuffer(f, "<u4"), np.frombuffer(g, "<u4"), None
+            votes, first = offset_votes(*hits)
+            least = min(least_frames, len(f), len(g))
+            for o in np.flatnonzero(votes):
+                error, frames = bit_error(f, g, int(o) + first)
+                if frames >= least and error <= most_error:
+                    found = (error, -int(votes[o]), int(o) + first, frames)
+                    best = found if best is None else min(best, found)
+            out.append((0, 1.0, -1) if best is None else (best[2], best[0], best[3]))
+        return pd.DataFrame(out, columns=["offset", "bit_error", "frames"])
+
+    both = join_hot(pairs, mine.select(F.col("key").alias("class"), F.col("fingerprint").alias("x")), ["class"])
+    both = join_hot(both, theirs.select(F.col("key").alias("asked"), F.col("fingerprint").alias("y")), ["asked"])
+    column = lambda name: F.transform("met", lambda m: m[name])
+    found = both.select("class", "asked", compare("x", "y", *map(column, ("d", "la", "lb", "n"))).alias("c"))
+    return found.where("c.frames >= 0").select("class", "asked", "c.offset", "c.bit_error", "c.frames")
 
 
 def align_recordings(prints: DataFrame, queries: DataFrame, rec: str, most_error: float = 0.3, least_frames: int = 16) -> DataFrame:

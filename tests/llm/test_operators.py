@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -583,6 +584,36 @@ def test_recordings_keep_every_query_that_aligns_at_the_best_of_all_offsets(spar
     assert sorted((r["id"], r["query"], r["offset"]) for r in got if r["id"] in (0, 1, 2) and r["query"] in (100, 200, 300)) == [(i, q, o) for i in range(3) for q, o in ((100, 0), (200, 0), (300, 4))]
 
 
+def test_offset_votes_of_runs_are_those_of_frames():
+    rng = np.random.default_rng(21)
+    for _ in range(40):
+        x, y = (np.repeat(rng.integers(0, 3, 12), rng.integers(1, 6, 12)).astype(np.uint32) for _ in range(2))
+        want = Counter(i - j for i in range(len(x)) for j in range(len(y)) if x[i] == y[j])
+        (a, b) = (next(chroma.runs([pd.DataFrame({"key": [b"k"], "fingerprint": [p.astype("<u4").tobytes()]})])) for p in (x, y))
+        m = a.merge(b, on="code")
+        votes, first = chroma.offset_votes((m["frame_x"] - m["frame_y"]).to_numpy(), m["length_x"].to_numpy(), m["length_y"].to_numpy(), np.ones(len(m), np.int64))
+        assert {i + first: v for i, v in enumerate(votes) if v} == want
+
+
+def test_hot_codes_are_dealt_to_a_grid(spark):
+    """One code (silence) in every recording: the same alignments whatever the bound."""
+    rng = np.random.default_rng(22)
+    row = lambda i, x: (i, bytearray(x.astype("<u4").tobytes()))
+    silence = lambda n: np.full(n, 7, np.uint32)
+    songs = [rng.integers(0, 1 << 32, 20, dtype=np.uint32) for _ in range(30)]
+    mine = [row(i, np.concatenate([silence(3 + i % 4), x, silence(5)])) for i, x in enumerate(songs)]
+    theirs = [row(i, np.concatenate([songs[i], silence(5 + i % 3)])) for i in range(0, 30, 2)]
+    d, q = (spark.createDataFrame(x, "id long, fingerprint binary") for x in (mine, theirs))
+    shown = lambda df: sorted((bytes(r["class"]), bytes(r["asked"]), r["offset"], round(r["bit_error"], 9), r["frames"]) for r in df.collect())
+    plain = shown(chroma.align_classes(d, q))
+    assert len(plain) >= 15 and shown(chroma.align_classes(d, q, bound=4)) == plain
+    a = d.selectExpr("cast(string(id) as binary) as key", "fingerprint").mapInPandas(chroma.runs, "key binary, code long, frame int, length int")
+    a = a.selectExpr("key as class", "code", "frame", "length as la")
+    b = a.selectExpr("class as asked", "code", "frame as their", "la as lb")
+    pairs = lambda df: sorted((bytes(r["class"]), bytes(r["asked"]), r["code"], r["frame"], r["their"]) for r in df.collect())
+    assert pairs(chroma.join_codes(a, b, bound=7)) == pairs(a.join(b, "code"))
+
+
 def test_copies_of_recordings_are_one_class(spark):
     rng = random.Random(15)
     v = [rng.gauss(0, 0.15) for _ in range(64)]
