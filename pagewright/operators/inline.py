@@ -7,11 +7,11 @@ from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.groups import fold_groups
-from pagewright.operators.annotations import ROUND, occurrences
+from pagewright.operators.annotations import ROUND, scan_texts
 from pagewright.operators.placing import WHITE, is_divider, row_cells
 
 # What is markup within a line, and what lines are.
@@ -115,17 +115,10 @@ def markdown_scan(documents: DataFrame, terms: DataFrame, around: int = ROUND) -
     """doc, term, ordinal, segment, start, snippet: every literal match in what a document shows, ignoring case.
 
     A match lies within one segment, so never in a link's target or an image's text; ordinals count a term's matches over
-    the document, in the order of what is shown. Terms are trimmed, blank ones find nothing.
+    the document, in the order of what is shown. Terms are trimmed, blank ones find nothing; one automaton has them all.
     """
-    s = rendered_segments(documents)
-    t = F.broadcast(terms.select("term", F.trim("term").alias("_t")).where("_t <> ''"))  # a reader's few terms
-    hits = s.crossJoin(t).where(F.contains(F.lower("text"), F.lower("_t")))
-    hits = hits.select("doc", "segment", "text", "term", "_t", F.explode(occurrences(F.col("text"), F.col("_t"))).alias("start"))
-    lo, hi = F.greatest(F.lit(0), F.col("start") - around), F.least(F.length("text"), F.col("start") + F.length("_t") + around)
-    cut = F.concat(F.when(lo > 0, "...").otherwise(""), F.substr("text", lo + 1, hi - lo), F.when(hi < F.length("text"), "...").otherwise(""))
-    hits = hits.select("doc", "term", "segment", "start", cut.alias("snippet"))
-    from pyspark.sql import Window
-
+    s = rendered_segments(documents).select("doc", F.col("segment").alias("page"), F.col("kind").alias("source"), "text")
+    hits = scan_texts(s, terms, around).withColumnRenamed("page", "segment")
     order = Window.partitionBy("doc", "term").orderBy("segment", "start")
     return hits.select("doc", "term", (F.row_number().over(order) - 1).alias("ordinal"), "segment", "start", "snippet")
 

@@ -26,6 +26,9 @@ def test_matches_lie_in_what_is_shown_and_are_numbered_over_the_document(spark):
     assert got == [
         (1, " OWL ", 0, 0, 3, "An owl in..."), (1, " OWL ", 1, 1, 4, "...he owl bo..."), (1, " OWL ", 2, 3, 0, "Owl"), (1, " OWL ", 3, 8, 0, "owlowl"), (1, " OWL ", 4, 8, 3, "owlowl"),
     ]
+    # A long list of terms is one automaton, and only those that are shown are found.
+    many = t.unionByName(spark.range(5_000).selectExpr("concat('owl', id) as term"))
+    assert sorted(tuple(r) for r in inline.markdown_scan(d, many, 3).collect()) == got
 
 
 def test_heading_names(spark):
