@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import plain
+from pagewright.functions.text import once, plain
 
 LABEL_MOST, RUNNING_MOST, RUNNING_SHARE, RUNNING_LEAST = 48, 80, 0.4, 3
 
@@ -19,23 +19,39 @@ def line_kind(line: Column) -> Column:
     )
 
 
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """doc, page, first, b: the blocks of each page as an array of (kind, text), and the number of its first block.
+
+    A page is cut where it is, in time linear in its lines: nothing is exploded, so the one window, which counts the
+    blocks of the pages before, sorts pages and not lines.
+    """
+
+    def cut(lines: Column) -> Column:
+        kinds = F.transform(lines, lambda x: F.when(F.trim(x) != "", line_kind(x)))
+
+        def found(k: Column) -> Column:
+            before = lambda i: F.get(k, i - 1)
+            opens = lambda i: (i == 0) | F.get(k, i).isNull() | (F.get(k, i) == "heading") | before(i).isNull() | (before(i) != F.get(k, i))
+            cuts = F.filter(F.sequence(F.lit(0), F.size(k) - 1), opens)  # a blank line stands alone
+            text = lambda c, s, j: F.trim(F.array_join(F.slice(lines, s + 1, F.coalesce(F.get(c, j + 1), F.size(k)) - s), "\n"))
+            block = lambda c: F.transform(c, lambda s, j: F.when(F.get(k, s).isNotNull(), F.struct(F.get(k, s).alias("kind"), text(c, s, j).alias("text"))))
+            return F.array_compact(once(cuts, block))
+
+        return once(kinds, found)
+
+    p = pages.select("doc", "page", once(F.split(F.coalesce("markdown", F.lit("")), "\n", -1), cut).alias("b"))
+    earlier = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    return p.select("doc", "page", F.coalesce(F.sum(F.size("b")).over(earlier), F.lit(0)).cast("int").alias("first"), "b")
+
+
 def blocks(pages: DataFrame) -> DataFrame:
     """doc, pos, page, kind, level, title, text. A block ends at a blank line, at a change of kind and at a heading;
-    it never crosses a page. The windows are partitioned by page; only the numbering is by document."""
-    lines = pages.select("doc", "page", F.posexplode(F.split(F.coalesce("markdown", F.lit("")), "\n", -1)).alias("n", "line"))
-    lines = lines.withColumn("kind", F.when(F.trim("line") != "", line_kind(F.col("line"))))
-    order = Window.partitionBy("doc", "page").orderBy("n")
-    before = F.lag("kind").over(order)
-    starts = (F.col("kind") == "heading") | before.isNull() | (before != F.col("kind"))
-    lines = lines.withColumn("start", starts.cast("int")).where("kind is not null")
-    lines = lines.withColumn("block", F.sum("start").over(order))
-    found = lines.groupBy("doc", "page", "block").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
-    text = F.trim(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    it never crosses a page. The numbering is by document."""
+    found = page_blocks(pages).select("doc", "page", "first", F.posexplode("b").alias("i", "x")).select("doc", (F.col("first") + F.col("i")).alias("pos"), "page", "x.kind", "x.text")
     heading = F.col("kind") == "heading"
-    found = found.withColumn("text", text).withColumn("level", F.when(heading, F.length(F.regexp_extract("text", r"^(#{1,6})\s", 1))))
-    found = found.withColumn("title", F.when(heading, F.trim(F.regexp_extract("text", r"^#{1,6}\s+(.*)$", 1))))
-    pos = F.row_number().over(Window.partitionBy("doc").orderBy("page", "block")) - 1
-    return found.select("doc", pos.alias("pos"), "page", "kind", "level", "title", "text")
+    level = F.when(heading, F.length(F.regexp_extract("text", r"^(#{1,6})\s", 1)))
+    title = F.when(heading, F.trim(F.regexp_extract("text", r"^#{1,6}\s+(.*)$", 1)))
+    return found.select("doc", "pos", "page", "kind", level.alias("level"), title.alias("title"), "text")
 
 
 def heading_paths(found: DataFrame) -> DataFrame:
