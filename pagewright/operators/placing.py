@@ -1,7 +1,7 @@
 """Places of texts in other texts: pages in a converted document, and quotes in the runs of a page.
 
-Pages are found by windows of words, joined by hash over all documents; what follows for a document (which of the places
-come in order, where a table must not be cut, putting the blocks in) is a fold over its few places and its text.
+Pages are found by windows of words, looked up by hash in their document; this and what follows for a document (which of the
+places come in order, where a table must not be cut, putting the blocks in) is a fold over its text and its pages.
 """
 
 from __future__ import annotations
@@ -11,15 +11,19 @@ import itertools
 import re
 import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagewright.functions.groups import fold_groups
 
 # Window sizes in words, the share of distinct words, what is written for a page, what counts as written.
 SIZES, DISTINCT = (14, 12, 10, 8, 6), 0.65
+AT_ONCE = 64
 UNMATCHED = "\n\n---\n\n## Unmatched Page Markers\n\n"
 _MARKED = re.compile(r"""<a\s+id=["']page-(\d+)["']\s*></a>|^#{1,6}\s+Page\s+(\d+)\b""", re.I | re.M)
 _WORD, _DIVIDER = regex.compile(r"[\p{L}\p{N}]+"), re.compile(r":?-{3,}:?")
@@ -81,43 +85,64 @@ def put_in(text: str, blocks: list[tuple[int, str]]) -> str:
     return text
 
 
-def _places(pages: DataFrame, converted: DataFrame) -> DataFrame:
-    """doc, page, place: the number of the word where each page begins, null if it isn't found.
+def _windows(ids: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each window of n words."""
+    out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+    for k in range(n if len(out) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + len(out)]
+    return out
 
-    Windows of 14, 12, ... 6 words of each page (half overlapping, 65 % distinct at least) are joined by hash to the
-    document's. A page begins at the first place of the longest windows that have one behind the page before.
-    """
 
-    @F.pandas_udf("array<string>")
-    def words(texts: pd.Series) -> pd.Series:
-        return pd.Series([[w for w, _ in match_words(t or "")] for t in texts], dtype=object)
-
-    p = pages.select("doc", "page", words("markdown").alias("w"))
-    c = converted.select("doc", words("markdown").alias("w"))
-    found = None
-    for n in SIZES:
-        starts = lambda step: F.explode(F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)), F.lit(step)), lambda i: i + n <= F.size("w")))  # noqa: E731, B023
-        a = p.select("doc", "page", "w", starts(n // 2).alias("at")).select("doc", "page", F.slice("w", F.col("at") + 1, n).alias("s")).where(F.size(F.array_distinct("s")) >= DISTINCT * n)
-        b = c.select("doc", "w", starts(1).alias("place")).select("doc", "place", F.xxhash64(F.slice("w", F.col("place") + 1, n)).alias("h"))
-        j = a.withColumn("h", F.xxhash64("s")).join(b, ["doc", "h"]).select("doc", "page", F.lit(n).alias("n"), "place")
-        found = j if found is None else found.unionByName(j)
-    spots = found.groupBy("doc", "page", "n").agg(F.sort_array(F.collect_set("place")).alias("spots"))
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """Numbers of words as well-spread 64-bit numbers."""
+    x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
-        cursor, out = 0, []
-        for page, own in itertools.groupby(rows, key=lambda r: r[1]):
-            place = None
-            for *_, spots in own:  # the longest windows first
-                i = bisect.bisect_left(spots, cursor) if spots is not None else 0
-                if spots is not None and i < len(spots):
-                    place = int(spots[i])
-                    break
-            cursor = cursor if place is None else place + 1
-            out.append((*key, page, place))
-        return out
 
-    table = p.select("doc", "page").join(spots, ["doc", "page"], "left").select("doc", "page", (-F.coalesce("n", F.lit(0))).alias("n"), "spots")
-    return fold_groups(table, ["doc"], ["page", "n"], fold, "doc long, page int, place double").withColumn("place", F.when(~F.isnan("place"), F.col("place")).cast("int"))
+def page_places(pages: list[tuple[int, list[str]]], words: list[str]) -> dict[int, int | None]:
+    """The number of the word where each page (page, its words; in order) begins, None if it isn't found.
+
+    Windows of 14, 12, ... 6 words of each page (half overlapping, 65 % distinct at least) are looked up among the
+    document's, whose hashes are sorted once for each size that is asked for. A page begins at the first place of the
+    longest windows that have one behind the page before.
+    """
+    names: dict[str, int] = {}
+    number = lambda ws: np.array([names.setdefault(w, len(names)) for w in ws], np.int64)
+    whole = number(words)
+    hashed, sizes = _spread(whole), {}
+    cursor, out = 0, {}
+    for page, group in itertools.groupby(pages, key=lambda x: x[0]):
+        own = [number(ws) for _, ws in group]
+        place = None
+        for n in SIZES:
+            if n not in sizes:
+                h = _windows(hashed, n)
+                order = np.argsort(h, kind="stable")
+                sizes[n] = h[order], order
+            h, order = sizes[n]
+            for ids in own:
+                at = np.arange(0, max(0, len(ids) - n + 1), n // 2)
+                if not len(at) or not len(h):
+                    continue
+                asked = _windows(_spread(ids), n)[at]
+                lo, hi = np.searchsorted(h, asked, "left"), np.searchsorted(h, asked, "right")
+                for i in np.flatnonzero(hi > lo):
+                    spots = order[lo[i] : hi[i]]  # in order, as the sort is stable
+                    if place is not None and spots[0] >= place:
+                        continue
+                    k = int(np.searchsorted(spots, cursor)) if spots[0] < cursor else 0
+                    if k == len(spots) or (place is not None and spots[k] >= place):
+                        continue
+                    window = ids[at[i] : at[i] + n]
+                    if len(set(window.tolist())) >= DISTINCT * n and np.array_equal(whole[spots[k] : spots[k] + n], window):
+                        place = int(spots[k])
+            if place is not None:
+                break
+        cursor = cursor if place is None else place + 1
+        out[page] = place
+    return out
 
 
 def with_page_markers(pages: DataFrame, converted: DataFrame, notes: DataFrame | None = None, headings: bool = True) -> DataFrame:
@@ -126,44 +151,52 @@ def with_page_markers(pages: DataFrame, converted: DataFrame, notes: DataFrame |
     A page that has its marker already gets none; `notes` (doc, page, block) follow the marker. Pages that have nothing to
     be put in aren't looked for. A place inside a table moves behind it; a page without a place (null) is appended under
     a heading of its own. Documents without pages come back with white space at their ends cut off. Places count in
-    characters of the given text.
+    characters of the given text. The pages of a document stand beside its text in one row, so only texts are shuffled.
     """
-    @F.pandas_udf("array<string>")
-    def has(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({a or b for a, b in _MARKED.findall(t or "")}) for t in texts], dtype=object)
-
-    known = converted.select("doc", has("markdown").alias("has"))
-    n = F.col("page").cast("string")
-    anchor = F.concat(F.lit('<a id="page-'), n, F.lit('"></a>'), F.concat(F.lit("\n\n## Page "), n) if headings else F.lit(""))
-    p = pages.join(known, "doc").withColumn("own", F.when(~F.array_contains("has", n), anchor))
-    p = p.withColumn("block", F.lit(None).cast("string")) if notes is None else p.join(notes.select("doc", "page", "block"), ["doc", "page"], "left")
-    p = p.withColumn("block", F.concat_ws("\n\n", "own", F.when(F.trim("block") != "", F.col("block")))).where("block <> ''").select("doc", "page", "markdown", "block")
-    placed = p.select("doc", "page", "block").join(_places(p, converted), ["doc", "page"])
-    placed = placed.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "place", "block"))).alias("placed"))  # a document's pages
-
-    @F.pandas_udf("markdown string, places array<struct<page:int,position:int,moved_after_table:boolean>>")
-    def put(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, placed in zip(texts, lists, strict=True):
-            text = text or ""
-            at = [place for _, place in match_words(text)]
-            tables = table_ranges(text)
-            starts, blocks, lost, places = [s for s, _ in tables], [], [], []
-            for x in placed if placed is not None else []:
-                if x["place"] is None:
-                    lost.append(x["block"])
-                    places.append({"page": x["page"], "position": None, "moved_after_table": False})
-                else:
-                    position, moved = safe_place(text, tables, starts, at[int(x["place"])])
-                    blocks.append((position, x["block"]))
-                    places.append({"page": x["page"], "position": position, "moved_after_table": moved})
-            done = put_in(text, blocks).strip(WHITE)
-            if lost:
-                done = (done + UNMATCHED + "\n\n".join(lost)).strip(WHITE)
-            out.append((f"{done}\n", places))
-        return pd.DataFrame(out, columns=["markdown", "places"])
-
-    return converted.join(placed, "doc", "left").select("doc", put("markdown", "placed").alias("x")).select("doc", "x.markdown", "x.places")
+    p = pages.select("doc", "page", "markdown").withColumn("block", F.lit(None).cast("string"))
+    p = p if notes is None else p.drop("block").join(notes.select("doc", "page", "block"), ["doc", "page"], "left")
+    p = p.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "block", "markdown"))).alias("pages"))  # a document's pages
+    both = converted.select("doc", "markdown").join(p, "doc", "left")
+
+    def put(text: str | None, own: list | None) -> tuple[str, list[dict]]:
+        text = text or ""
+        has = {a or b for a, b in _MARKED.findall(text)}
+        given = []  # (page, block, text) of pages that have something to be put in
+        for x in own if own is not None else []:
+            n = str(x["page"])
+            anchor = None if n in has else f'<a id="page-{n}"></a>' + (f"\n\n## Page {n}" if headings else "")
+            note = x["block"] if (x["block"] or "").strip(" ") else None
+            if block := "\n\n".join(b for b in (anchor, note) if b is not None):
+                given.append((x["page"], block, x["markdown"]))
+        found = match_words(text) if given else []
+        at = page_places([(page, [w for w, _ in match_words(t or "")]) for page, _, t in given], [w for w, _ in found])
+        tables = table_ranges(text) if given else []
+        starts, blocks, lost, places = [s for s, _ in tables], [], [], []
+        for page, block, _ in given:
+            if at[page] is None:
+                lost.append(block)
+                places.append({"page": page, "position": None, "moved_after_table": False})
+            else:
+                position, moved = safe_place(text, tables, starts, found[at[page]][1])
+                blocks.append((position, block))
+                places.append({"page": page, "position": position, "moved_after_table": moved})
+        done = put_in(text, blocks).strip(WHITE)
+        if lost:
+            done = (done + UNMATCHED + "\n\n".join(lost)).strip(WHITE)
+        return f"{done}\n", places
+
+    fields = both.select("doc").schema.fields + T.StructType.fromDDL("markdown string, places array<struct<page:int,position:int,moved_after_table:boolean>>").fields
+    schema = T.StructType(fields)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, AT_ONCE):  # texts of so many documents are held as Python's
+                few = b.slice(i, AT_ONCE)
+                made = [put(*x) for x in zip(few.column("markdown").to_pylist(), few.column("pages").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([few.column("doc"), *(pa.array(c, arrow.field(k + 1).type) for k, c in enumerate(zip(*made, strict=True)))], schema=arrow)
+
+    return both.mapInArrow(run, schema)
 
 
 def page_positions(pages: DataFrame, converted: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import blocks
+from pagewright.operators import blocks, placing
 
 
 def plan(df):
@@ -16,3 +16,19 @@ def test_blocks_are_cut_in_their_page(spark):
     got = [(r["doc"], r["pos"], r["page"], r["kind"], r["text"]) for r in blocks.blocks(p).orderBy("doc", "pos").collect()]
     own = [("heading", "# A"), ("paragraph", "b\nc"), ("list", "- d")]
     assert got == [(d, 3 * k + i, page, *own[i]) for d, page, k in ((0, 0, 0), (0, 2, 1), (1, 1, 0)) for i in range(3)]
+
+
+def test_pages_are_placed_beside_their_text(spark):
+    p = spark.createDataFrame([(1, i, f"w{i} a b c d e f g h i j k l m n{i} o p q r{i}") for i in range(1, 4)] + [(2, 1, "no such words here at all")], "doc long, page int, markdown string")
+    c = spark.createDataFrame([(1, "\n\n".join(f"W{i} a b c d e f g h i j k l m n{i} o p q r{i}" for i in range(1, 4))), (2, "other"), (3, " alone ")], "doc long, markdown string")
+    done = placing.with_page_markers(p, c, headings=False)
+    assert plan(done).count("Join ") == 1 and "Generate" not in plan(done)  # no row for each word
+    rows = {r["doc"]: r for r in done.collect()}
+    assert [(x["page"], x["position"]) for x in rows[1]["places"]] == [(i, c.first()["markdown"].index(f"W{i}")) for i in (1, 2, 3)]
+    assert [x["position"] for x in rows[2]["places"]] == [None] and rows[3]["markdown"] == "alone\n"
+
+
+def test_windows_are_met_behind_the_page_before():
+    words = "a b c d e f g h".split()
+    assert placing.page_places([(1, words), (2, words), (3, words), (4, ["x"] * 20), (5, [])], words * 2) == {1: 0, 2: 8, 3: None, 4: None, 5: None}
+    assert placing.page_places([(1, ["x"] * 20)], ["x"] * 20) == {1: None}  # too few distinct words
