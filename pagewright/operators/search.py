@@ -62,7 +62,8 @@ def vector_tiles(vectors: DataFrame, width: int, tile_bytes: int = 1 << 20) -> D
                 one = lambda c, b=b: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(c))
                 yield pa.RecordBatch.from_arrays([one("chunk_id"), one("doc"), pa.array([v.tobytes()], pa.binary())], ["chunk_ids", "docs", "vectors"])
 
-    return vectors.select("chunk_id", "doc", "vector").mapInArrow(pack, "chunk_ids array<string>, docs array<long>, vectors binary")
+    kind = vectors.schema["chunk_id"].dataType.simpleString()
+    return vectors.select("chunk_id", F.col("doc").cast("long").alias("doc"), "vector").mapInArrow(pack, f"chunk_ids array<{kind}>, docs array<long>, vectors binary")
 
 
 def kept_best(number: np.ndarray, score: np.ndarray, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,6 +153,38 @@ def semantic_top(queries: DataFrame, vectors: DataFrame, depth: int = DEEPEST, b
     return pairs.mapInArrow(best, "query_id long, chunk_id string, doc long, score double")
 
 
+def semantic_pairs(queries: DataFrame, vectors: DataFrame, block: int = 1024) -> DataFrame:
+    """query_id, chunk_id, doc, score: each query against each vector, as `semantic_scores` gives them, by matrix products.
+
+    `min_score` in `queries` is inclusive; without it every pair is a row, a zero vector's with 0. The result is what it is
+    asked for, a row for each pair, but nothing of it is held or shuffled: a task multiplies a tile of vectors by a block of
+    queries and hands on what is left, a slice of the tile at a time. Null vectors, and those of another width than the
+    widest query, take no part.
+    """
+    least = F.col("min_score") if "min_score" in queries.columns else F.lit(None).cast("double")
+    asked = queries.select("query_id", "qv", F.coalesce(least, F.lit(float("-inf"))).alias("min_score")).where("qv is not null")
+    n, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("qv")), F.lit(0))).first()
+    blocks = query_blocks(asked.where(F.size("qv") == width), max(1, -(-n // block)))
+    blocks = F.broadcast(blocks) if n * (8 * width + 16) <= MOST_QUERY_BYTES else blocks
+    kind = vectors.schema["chunk_id"].dataType.simpleString()
+
+    def score(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                names, low = np.frombuffer(b.column("ids")[r].as_py(), "<i8"), np.frombuffer(b.column("least")[r].as_py(), "<f8")
+                m = np.frombuffer(b.column("matrix")[r].as_buffer(), "<f8").reshape(len(names), -1)
+                v = np.frombuffer(b.column("vectors")[r].as_buffer(), "<f8").reshape(-1, m.shape[1])
+                ids, docs = b.column("chunk_ids")[r].values, b.column("docs")[r].values
+                for i in range(0, len(v), 128):
+                    s = v[i : i + 128] @ m.T
+                    c, q = np.nonzero(~(s < low - 1e-6))  # to the last digit below, once rounded
+                    at = pa.array(c + i)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[q]), ids.take(at), docs.take(at), pa.array(s[c, q]), pa.array(low[q])], ["query_id", "chunk_id", "doc", "score", "low"])
+
+    pairs = vector_tiles(vectors, width).crossJoin(blocks).mapInArrow(score, f"query_id long, chunk_id {kind}, doc long, score double, low double")
+    return pairs.withColumn("score", F.round("score", 6)).where("score >= low").drop("low")
+
+
 def top(scored: DataFrame, by: str, depth: int, descending: bool = True) -> DataFrame:
     """query_id, chunk_id, doc, place (from 1) and the score: the best `depth` of each query, ties by chunk_id."""
     first = F.col(by).desc() if descending else F.col(by).asc()

@@ -45,7 +45,7 @@ def _asked(spark, sf):
 
 
 def _semantic(spark, sf):
-    return search.semantic_scores(_asked(spark, sf), _vectors(spark, sf))
+    return search.semantic_pairs(_asked(spark, sf), _vectors(spark, sf))
 
 
 def _ranked(spark, sf, depth=search.DEEPEST):
@@ -89,7 +89,7 @@ def join_semantic(spark, sf):
     """The given vectors against every hundredth of them."""
     e = inputs.table(spark, sf, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    return search.semantic_scores(q, e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc"), F.col("embedding").alias("vector")))
+    return search.semantic_pairs(q, e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc"), F.col("embedding").alias("vector"))).withColumn("doc", F.col("doc").cast("int"))
 
 
 def flt_min_score(spark, sf):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import blocks, placing
+from pagewright.operators import blocks, placing, search
 
 
 def plan(df):
@@ -32,3 +32,16 @@ def test_windows_are_met_behind_the_page_before():
     words = "a b c d e f g h".split()
     assert placing.page_places([(1, words), (2, words), (3, words), (4, ["x"] * 20), (5, [])], words * 2) == {1: 0, 2: 8, 3: None, 4: None, 5: None}
     assert placing.page_places([(1, ["x"] * 20)], ["x"] * 20) == {1: None}  # too few distinct words
+
+
+def test_all_scores_by_products(spark):
+    v = spark.range(3000).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (F.xxhash64("id", i) % 1000 / 1000).cast("float")).alias("vector"))
+    v = v.withColumn("vector", F.when(F.col("id") == 5, F.array_repeat(F.lit(0.0).cast("float"), 8)).otherwise(F.col("vector")))
+    v = v.select(F.col("id").alias("chunk_id"), (F.col("id") % 7).cast("int").alias("doc"), "vector")
+    q = v.where("chunk_id % 100 = 5").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("qv"))
+    by_products = search.semantic_pairs(q, v)
+    assert "aggregate(" not in plan(by_products)  # no loop over components for each pair
+    key = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", "doc", "score").collect()))
+    assert key(by_products) == key(search.semantic_scores(q, v)) and by_products.count() == 30 * 3000
+    few = q.withColumn("min_score", F.lit(0.5))
+    assert key(search.semantic_pairs(few, v)) == key(search.semantic_scores(few, v)) != []
