@@ -7,11 +7,12 @@ from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.groups import fold_groups
-from pagewright.operators.annotations import ROUND, scan_texts
+from pagewright.operators.annotations import ROUND, _automaton, shared_terms
 from pagewright.operators.placing import WHITE, is_divider, row_cells
 
 # What is markup within a line, and what lines are.
@@ -20,6 +21,7 @@ FENCE, HEADING = re.compile(r"```([\w-]*)\s*", re.A), re.compile(r"#{1,6}\s+(.+)
 BULLET, NUMBER, QUOTE = re.compile(r"[-*+]\s+(.+)"), re.compile(r"\d+[.)]\s+(.+)", re.A), re.compile(r">\s?(.*)")
 RULE, ANCHOR = re.compile(r"[-*_]\s*[-*_]\s*[-*_][-*_\s]*"), re.compile(r"""<a\s+id=["'][-\w]+["']\s*></a>""", re.A)
 UNNAMED = "section"
+AT_ONCE = 10_000  # matches that are handed on together
 
 
 def shown(text: str) -> list[str]:
@@ -116,11 +118,38 @@ def markdown_scan(documents: DataFrame, terms: DataFrame, around: int = ROUND) -
 
     A match lies within one segment, so never in a link's target or an image's text; ordinals count a term's matches over
     the document, in the order of what is shown. Terms are trimmed, blank ones find nothing; one automaton has them all.
+    A document (one row) is rendered and read in one pass, and matches are handed on by the thousands: neither its segments
+    nor those of a batch are held, and nothing is shuffled.
     """
-    s = rendered_segments(documents).select("doc", F.col("segment").alias("page"), F.col("kind").alias("source"), "text")
-    hits = scan_texts(s, terms, around).withColumnRenamed("page", "segment")
-    order = Window.partitionBy("doc", "term").orderBy("segment", "start")
-    return hits.select("doc", "term", (F.row_number().over(order) - 1).alias("ordinal"), "segment", "start", "snippet")
+    schema = T.StructType([*documents.select("doc").schema.fields, *T.StructType.fromDDL("term string, ordinal int, segment int, start int, snippet string").fields])
+    out = None
+    for shared in shared_terms(terms):
+
+        def scan(batches, shared=shared):
+            find = _automaton(*shared.value) if shared.value[1] else None
+            for b in batches:
+                rows = []
+                for doc, markdown in zip(b["doc"], b["markdown"], strict=True):
+                    count: dict[str, int] = {}
+                    for segment, (_, whole) in enumerate(rendered(markdown) if find else ()):
+                        ends: dict[str, int] = {}  # of each term's last match here
+                        for end, (n, names) in find.iter(whole.lower()):
+                            start = end - n + 1
+                            if start >= ends.get(names[0], 0):
+                                ends[names[0]] = end + 1
+                                lo, hi = max(0, start - around), min(len(whole), start + n + around)
+                                said = f"{'...' if lo else ''}{whole[lo:hi]}{'...' if hi < len(whole) else ''}"
+                                for name in names:
+                                    rows.append((doc, name, count.get(name, 0), segment, start, said))
+                                    count[name] = count.get(name, 0) + 1
+                    if len(rows) >= AT_ONCE:
+                        yield pd.DataFrame(rows, columns=schema.names)
+                        rows = []
+                yield pd.DataFrame(rows, columns=schema.names)
+
+        part = documents.select("doc", "markdown").mapInPandas(scan, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def slug(title: str) -> str:
