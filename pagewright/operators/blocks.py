@@ -48,10 +48,15 @@ def blocks(pages: DataFrame) -> DataFrame:
     """doc, pos, page, kind, level, title, text. A block ends at a blank line, at a change of kind and at a heading;
     it never crosses a page. The numbering is by document."""
     found = page_blocks(pages).select("doc", "page", "first", F.posexplode("b").alias("i", "x")).select("doc", (F.col("first") + F.col("i")).alias("pos"), "page", "x.kind", "x.text")
+    return with_headings(found).select("doc", "pos", "page", "kind", "level", "title", "text")
+
+
+def with_headings(found: DataFrame) -> DataFrame:
+    """Adds level and title of blocks that are headings."""
     heading = F.col("kind") == "heading"
     level = F.when(heading, F.length(F.regexp_extract("text", r"^(#{1,6})\s", 1)))
     title = F.when(heading, F.trim(F.regexp_extract("text", r"^#{1,6}\s+(.*)$", 1)))
-    return found.select("doc", "pos", "page", "kind", level.alias("level"), title.alias("title"), "text")
+    return found.withColumn("level", level).withColumn("title", title)
 
 
 def heading_paths(found: DataFrame) -> DataFrame:
@@ -101,6 +106,53 @@ def is_label(kind: Column, text: Column, words: Column) -> Column:
     return shape & (wrapped | (words.rlike("[A-Za-z]") & capitals))
 
 
+def _with_running(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(page_blocks whose blocks also have their `plain` words; doc, running: (plain, pages) of the document's running text).
+
+    Pages are together by document already, so neither counting nor joining shuffles them again.
+    """
+    p = page_blocks(pages).withColumn("b", F.transform("b", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), plain(x["text"]).alias("plain"))))
+    short = F.filter("b", lambda x: (x["kind"] == "paragraph") & F.length(x["plain"]).between(1, RUNNING_MOST))
+    said = F.array_union(F.array(F.lit(None).cast("string")), F.transform(short, lambda x: x["plain"]))  # the null counts pages
+    n = p.select("doc", F.explode(said).alias("plain")).groupBy("doc", "plain").agg(F.count(F.lit(1)).alias("pages"))
+    n = n.where(F.col("plain").isNull() | (F.col("pages") >= RUNNING_LEAST)).groupBy("doc")
+    n = n.agg(F.max(F.when(F.col("plain").isNull(), F.col("pages"))).alias("total"), F.collect_list(F.when(F.col("plain").isNotNull(), F.struct("plain", "pages"))).alias("l"))
+    return p, n.select("doc", F.filter("l", lambda x: x["pages"] >= F.ceil(F.col("total") * RUNNING_SHARE)).alias("running"))
+
+
+def running_in(pages: DataFrame) -> DataFrame:
+    """`running_text` of pages, whose blocks are found on the way."""
+    return _with_running(pages)[1].select("doc", F.inline("running"))
+
+
+def fold_pages(pages: DataFrame) -> DataFrame:
+    """`fold_labels` of pages: doc, pos, page, kind, text, plain, role, local_headings. What becomes of a block is decided
+    within its page, once the document's running text stands beside it."""
+    p, running = _with_running(pages)
+    p = p.join(running, "doc", "left").withColumn("r", F.transform(F.coalesce("running", F.array().cast("array<struct<plain:string,pages:bigint>>")), lambda x: x["plain"]))
+
+    def marked(x: Column) -> Column:
+        run = (x["kind"] == "paragraph") & F.array_contains("r", x["plain"])
+        return F.struct(x["kind"].alias("kind"), x["text"].alias("text"), x["plain"].alias("plain"), run.alias("run"), (~run & is_label(x["kind"], x["text"], x["plain"])).alias("lab"))
+
+    def roles(e: Column) -> Column:
+        stays = F.filter(F.transform(e, lambda x, i: F.when(~x["run"] & ~x["lab"], i)), lambda i: i.isNotNull())
+        row = lambda x, i, role, labels: F.struct(i.alias("i"), x["kind"].alias("kind"), x["text"].alias("text"), x["plain"].alias("plain"), role.alias("role"), labels.alias("local_headings"))
+
+        def rows(c: Column) -> Column:
+            before = lambda k: F.coalesce(F.get(c, k - 1), F.lit(-1))
+            labels = lambda i, k: F.transform(F.filter(F.slice(e, before(k) + 2, i - before(k) - 1), lambda x: x["lab"]), lambda x: x["plain"])
+            chunk = F.transform(c, lambda i, k: row(F.get(e, i), i, F.lit("chunk"), F.when(F.size(labels(i, k)) > 0, labels(i, k))))
+            alone = lambda x, i: F.when(x["run"], "running").when(i < F.coalesce(F.get(c, F.size(c) - 1), F.lit(-1)), "folded").otherwise("chunk")
+            others = F.transform(e, lambda x, i: F.when(x["run"] | x["lab"], row(x, i, alone(x, i), F.lit(None).cast("array<string>"))))
+            return F.concat(chunk, F.array_compact(others))
+
+        return once(stays, rows)
+
+    f = p.select("doc", "page", "first", F.explode(once(F.transform("b", marked), roles)).alias("x"))
+    return f.select("doc", (F.col("first") + F.col("x.i")).alias("pos"), "page", "x.kind", "x.text", "x.plain", "x.role", "x.local_headings")
+
+
 def fold_labels(found: DataFrame, running: DataFrame) -> DataFrame:
     """doc, pos, role, local_headings: what becomes of each block.
 

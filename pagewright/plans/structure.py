@@ -37,14 +37,11 @@ def win_outline_parents(spark, sf):
 
 
 def agg_running_text(spark, sf):
-    p = inputs.structured(spark, sf)
-    return blocks.running_text(blocks.blocks(p), p)
+    return blocks.running_in(inputs.structured(spark, sf))
 
 
 def win_label_fold(spark, sf):
-    p = inputs.structured(spark, sf)
-    b = blocks.blocks(p)
-    f = blocks.fold_labels(b, blocks.running_text(b, p))
+    f = blocks.fold_pages(inputs.structured(spark, sf))
     return f.select("doc", "pos", "role", F.array_join("local_headings", "|").alias("local_headings"))
 
 
@@ -52,9 +49,7 @@ def win_chunk_index(spark, sf):
     """Blocks that make chunks, numbered within their page from 0."""
     from pyspark.sql import Window
 
-    p = inputs.structured(spark, sf)
-    b = blocks.blocks(p)
-    f = blocks.fold_labels(b, blocks.running_text(b, p)).where("role = 'chunk'")
+    f = blocks.fold_pages(inputs.structured(spark, sf)).where("role = 'chunk'")
     return f.select("doc", "page", "pos", (F.row_number().over(Window.partitionBy("doc", "page").orderBy("pos")) - 1).alias("idx"))
 
 

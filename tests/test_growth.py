@@ -45,3 +45,14 @@ def test_all_scores_by_products(spark):
     assert key(by_products) == key(search.semantic_scores(q, v)) and by_products.count() == 30 * 3000
     few = q.withColumn("min_score", F.lit(0.5))
     assert key(search.semantic_pairs(few, v)) == key(search.semantic_scores(few, v)) != []
+
+
+def test_labels_fold_within_their_page(spark):
+    texts = [f"**A {i}**\n\n**B {i}**\n\nContent {i} stands here.\n\nSame footer\n\n- x\n\n**C {i}**" for i in range(4)] + ["ALONE", "", None]
+    p = spark.createDataFrame([(d, i + 1, t) for d in (1, 2) for i, t in enumerate(texts)], "doc long, page int, markdown string")
+    b = blocks.blocks(p)
+    key = lambda df: sorted((r["doc"], r["pos"], r["page"], r["kind"], r["text"], r["plain"], r["role"], r["local_headings"] or []) for r in df.collect())
+    one = blocks.fold_pages(p)
+    assert key(one) == key(blocks.fold_labels(b, blocks.running_text(b, p)))
+    assert plan(one).count("Join ") == 1 and plan(one).count("Window [") <= 2
+    assert sorted(map(tuple, blocks.running_in(p).collect())) == sorted(map(tuple, blocks.running_text(b, p).collect())) == [(1, "Same footer", 4), (2, "Same footer", 4)]
