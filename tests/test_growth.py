@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import blocks, placing, search
+from pagewright.operators import blocks, layout, placing, search
+from pagewright.plans import layouts
 from pagewright.sources import passages
 
 
@@ -67,3 +68,17 @@ def test_the_index_of_a_bucket_is_written_once(spark, tmp_path):
     assert passages.complete_index(store) == 210_000 and passages.missing_chunks(store).count() == 0
     assert store.snapshot().version == filled + 2  # one batch, and the mark that all is there
     assert store.read("postings").count() == 420_000
+
+
+def test_lines_and_tables_are_made_in_their_page(spark):
+    sf = "/root/testdata/sf0.001"
+    lines, tables = layouts.win_text_lines(spark, sf), layouts.win_table_from_lines(spark, sf)
+    assert "Generate explode(t" not in plan(lines) and "Sort" not in plan(lines)  # no row for each word
+    assert "Generate" not in plan(tables) and "Join" not in plan(tables)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(lines) == rows(layout.text_lines(layouts._atoms(spark, sf)))
+    outline = layout.synthetic_outline(layout.page_lines(layouts._atom_pages(spark, sf)))
+    assert "Join" not in plan(outline) and plan(outline).count("MapInArrow") == 1  # lines are made once
+    w = tables.limit(0).sparkSession.createDataFrame([(1, 1, i, j, t, x, x + 5.0 * len(t)) for i in range(4) for j, (t, x) in enumerate((("a", 10.0), (f"b{i}", 90.0), ("pieces", 150.0), ("9", 185.0)))], "doc long, page int, line int, word_no int, text string, x0 double, x1 double")
+    p = w.groupBy("doc", "page").agg(F.collect_list(F.struct("line", "word_no", "text", "x0", "x1")).alias("words"))
+    assert rows(layout.tables_from_pages(p)) == rows(layout.tables_from_words(w)) != []
