@@ -27,13 +27,13 @@ def _plan(spark, sf):
 
 def _matches(spark, sf):
     plan = _plan(spark, sf)
-    return lexical.phrase_matches(lexical.asked_words(inputs.chunks(spark, sf), plan), plan)
+    return lexical.phrase_matches(lexical.asked_hits(inputs.chunks(spark, sf), plan), plan)
 
 
 def _exact(spark, sf):
     c = inputs.chunks(spark, sf)
     plan = _plan(spark, sf)
-    return lexical.bm25(lexical.asked_words(c, plan), plan, lexical.chunk_lengths(c))
+    return lexical.bm25(lexical.asked_hits(c, plan), plan, lexical.chunk_lengths(c))
 
 
 def _vectors(spark, sf):
@@ -156,7 +156,7 @@ def library_search(spark, sf):
     q = inputs.queries(spark, sf).withColumn("mode", F.when(i == 3, "semantic").when(i >= 2, "exact").otherwise("hybrid"))
     q = q.withColumn("min_score", F.lit(LEAST)).withColumn("explicit_min_score", (i == 4) & (F.col("query_id") % 2 == 0))
     plan = lexical.plan_queries(q)
-    hits = search.library_search(plan, _asked(spark, sf), lexical.asked_words(c, plan), lexical.chunk_lengths(c), vectors, searched)
+    hits = search.library_search(plan, _asked(spark, sf), lexical.asked_hits(c, plan), lexical.chunk_lengths(c), vectors, searched)
     hits = hits.join(c.select("chunk_id", "page", "text"), "chunk_id", "left")
     hits = hits.join(d.select("doc", "content_hash", "path", F.col("last_opened").alias("snapshot_recorded_at")), "doc", "left").crossJoin(F.broadcast(counts))  # one row
     return hits.select(
@@ -169,7 +169,7 @@ def top_in_document(spark, sf):
     """Each query in one document, that with its number: no cap, in reading order."""
     c, asked = inputs.chunks(spark, sf), _asked(spark, sf).withColumn("doc", F.col("query_id"))
     plan = _plan(spark, sf)
-    exact = lexical.bm25(lexical.asked_words(c, plan), plan, lexical.chunk_lengths(c))
+    exact = lexical.bm25(lexical.asked_hits(c, plan), plan, lexical.chunk_lengths(c))
     hits = search.late_text(search.document_search(asked, exact, _vectors(spark, sf)), c)
     return search.reading_order(hits).select("query_id", "doc", "seq", "page", "chunk_id", "matched_by")
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import blocks, layout, placing, search
+from pagewright.functions.text import bow_vector, fnv1a
+from pagewright.operators import blocks, layout, lexical, placing, search
 from pagewright.plans import layouts
 from pagewright.sources import passages
 
@@ -70,6 +71,28 @@ def test_the_index_of_a_bucket_is_written_once(spark, tmp_path):
     assert store.read("postings").count() == 420_000
 
 
+def test_words_are_hashed_in_batches(spark):
+    texts = ["The cat, THE hat", "", None, "x " * 3 + "ÄÖ 9k"]
+    v = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", bow_vector(F.col("t")).alias("v"))
+    assert "fnv" not in plan(v) and "aggregate(" not in plan(v) and "transform(" not in plan(v)  # no loop over characters for each word
+    got = {r["i"]: r["v"] for r in v.collect()}
+    slot = lambda w: abs(fnv1a(w)) % 64
+    assert got[1] == [0.0] * 64 and got[2] is None
+    assert got[0][slot("the")] == 2 / 6**0.5 and got[0][slot("cat")] == got[0][slot("hat")] == 1 / 6**0.5
+    assert got[3][slot("x")] == 3 / 10**0.5 and got[3][slot("9k")] == 1 / 10**0.5
+
+
+def test_phrases_are_counted_in_their_chunk(spark):
+    texts = ["a b a b a", "b a", "a a a b", "", None, "c", "b c a b c"]
+    c = spark.createDataFrame([(f"c{i}", i % 3, t) for i, t in enumerate(texts)] + [(None, 1, "a b")], "chunk_id string, doc long, text string")
+    q = spark.createDataFrame([(1, '"a b"'), (2, "a c"), (3, '"b a b" b'), (4, "zz"), (5, '"a a"'), (6, '"c a b c"')], "query_id long, text string")
+    p = lexical.plan_queries(q.withColumn("mode", F.lit("hybrid")).withColumn("min_score", F.lit(0.0)).withColumn("explicit_min_score", F.lit(False)))
+    hits = lexical.asked_hits(c, p)
+    key = lambda df: sorted((r["phrase"], r["chunk_id"], r["doc"], r["len"], r["tf"]) for r in df.collect())
+    assert key(hits) == key(lexical.phrase_hits(lexical.asked_words(c, p), p)) != []
+    assert "Generate" not in plan(hits) and "Join " not in plan(hits)  # no row for each word
+
+
 def test_lines_and_tables_are_made_in_their_page(spark):
     sf = "/root/testdata/sf0.001"
     lines, tables = layouts.win_text_lines(spark, sf), layouts.win_table_from_lines(spark, sf)
