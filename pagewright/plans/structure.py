@@ -58,25 +58,26 @@ def txt_chunk_corpus(spark, sf):
     return c.select("chunk_id", "doc", "page", "idx", "part", "text", "embed_text", F.array_join("local_headings", "|").alias("local_headings"))
 
 
-def _cut(spark, sf, kind):
+def _roomy(spark, sf, kind):
     b = _blocks(spark, sf).where(F.col("kind") == "table") if kind == "table" else blocks.blocks(inputs.prose(spark, sf)).where("kind = 'paragraph'")
-    b = b.withColumn("room", (F.lit(30) + F.col("pos") % 20).cast("int"))
-    return b, chunking.cut_blocks(b)
+    return b.withColumn("room", (F.lit(30) + F.col("pos") % 20).cast("int"))
+
+
+def _cut(spark, sf, kind):
+    return chunking.cut_blocks(_roomy(spark, sf, kind))
 
 
 def txt_chunk_prose(spark, sf):
-    return _cut(spark, sf, "paragraph")[1].select("doc", "pos", "part", "part_count", "text")
+    return _cut(spark, sf, "paragraph").select("doc", "pos", "part", "part_count", "text")
 
 
 def txt_chunk_tables(spark, sf):
-    return _cut(spark, sf, "table")[1].select("doc", "pos", "part", "part_count", "text", "embed_prefix")
+    return _cut(spark, sf, "table").select("doc", "pos", "part", "part_count", "text", "embed_prefix")
 
 
 def txt_reassemble(spark, sf):
-    b, c = _cut(spark, sf, "table")
-    b2, c2 = _cut(spark, sf, "paragraph")
-    t = chunking.lossless(b, c).withColumn("kind", F.lit("table"))
-    return t.unionByName(chunking.lossless(b2, c2).withColumn("kind", F.lit("paragraph")))
+    t, p = (chunking.cut_losslessly(_roomy(spark, sf, kind)).withColumn("kind", F.lit(kind)) for kind in ("table", "paragraph"))
+    return t.unionByName(p)
 
 
 def win_word_chunks(spark, sf):
@@ -122,7 +123,7 @@ def agg_worst_case_tokens(spark, sf):
 def agg_intact_table_rate(spark, sf):
     """Tables cut to little room, so that some rows are cut as well."""
     b = _blocks(spark, sf).where("kind = 'table'").withColumn("room", (F.lit(14) + F.col("pos") % 8).cast("int"))
-    rows = chunking.rows_reaching(b, chunking.cut_blocks(b))
+    rows = chunking.cut_rows_reaching(b)
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("intact").alias("intact"), F.round(F.count_if("intact") / F.count(F.lit(1)), 6).alias("rate"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import bow_vector, fnv1a
-from pagewright.operators import blocks, layout, lexical, placing, search
+from pagewright.operators import blocks, chunking, layout, lexical, placing, search
 from pagewright.plans import layouts
 from pagewright.sources import passages
 
@@ -105,3 +105,15 @@ def test_lines_and_tables_are_made_in_their_page(spark):
     w = tables.limit(0).sparkSession.createDataFrame([(1, 1, i, j, t, x, x + 5.0 * len(t)) for i in range(4) for j, (t, x) in enumerate((("a", 10.0), (f"b{i}", 90.0), ("pieces", 150.0), ("9", 185.0)))], "doc long, page int, line int, word_no int, text string, x0 double, x1 double")
     p = w.groupBy("doc", "page").agg(F.collect_list(F.struct("line", "word_no", "text", "x0", "x1")).alias("words"))
     assert rows(layout.tables_from_pages(p)) == rows(layout.tables_from_words(w)) != []
+
+
+def test_blocks_are_cut_and_judged_in_place(spark):
+    table = "| A | B |\n| --- | --- |\n" + "\n".join(f"| row {i} | {'long words ' * (i % 4)}and {'x' if i % 3 else 'x | y'} |" for i in range(9))
+    rows = [(1, 0, 1, "table", table, 20), (1, 1, 1, "table", table, 40), (1, 2, 1, "table", table, 3), (1, 3, 2, "paragraph", "some words " * 30, 7), (2, 0, 1, "table", "| a |\n| - |", 9), (2, 1, 1, "table", table, 0)]
+    b = spark.createDataFrame(rows, "doc long, pos int, page int, kind string, text string, room int")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    whole, seen = chunking.cut_losslessly(b), chunking.cut_rows_reaching(b)
+    assert key(whole) == key(chunking.lossless(b, chunking.cut_blocks(b))) != []
+    assert key(seen) == key(chunking.rows_reaching(b, chunking.cut_blocks(b))) and {r["intact"] for r in seen.collect()} == {True, False}
+    assert not any(x in plan(df) for df in (whole, seen) for x in ("Join ", "Aggregate"))
+    assert chunking.reassembled([("| b |", "h\n", [{"row": 1, "part": 0, "parts": 1, "piece": "| b |"}]), ("| a |", "h\n", [{"row": 0, "part": 0, "parts": 1, "piece": "| a |"}])]) == "h\n| a |\n| b |"
