@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -39,6 +40,19 @@ def test_repeated_starts_against_all_pairs():
             assert got[k].tolist() == want
 
 
+def test_symbols_for_near_copies_grow_with_their_number(monkeypatch):
+    rng, sizes = random.Random(4), []
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda s: sizes.append(len(s)) or suffix_array(s))
+    some = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    left, right = some(159), some(159)
+    members = [(0, some(i) + left[i:], right[:j] + some(159 - j)) for i, j in ((rng.randrange(159), rng.randrange(159)) for _ in range(400))]
+    members += [(c, some(159), some(159)) for c in range(1, 200) for _ in range(2)]  # alike at the core only: no string repeats
+    found = suffix_dedup.repeated_starts(members)
+    count = Counter((c, a[i:], z[: 159 - len(a[i:])]) for c, a, z in members for i in range(160))
+    assert all(found[k].tolist() == [count[c, a[i:], z[: 159 - len(a[i:])]] > 1 for i in range(160)] for k, (c, a, z) in enumerate(members))
+    assert sum(sizes) < 60_000  # pieces cut wherever any member parts made 124,084
+
+
 def test_anchors_cover_every_start_once_and_move_with_the_text():
     rng = np.random.default_rng(3)
     text = bytes(rng.integers(97, 101, 900, dtype=np.uint8))

@@ -89,6 +89,24 @@ def test_suffix_dedup_of_a_hot_core_is_brute_force(spark, hot):
     assert {r["doc_id"]: bytes(r["kept"]).decode() for r in suffix_dedup.remove_repeats(d, length=100, window=40, hot=hot).collect()} == want
 
 
+def test_suffix_dedup_looks_into_equal_texts_once(spark, monkeypatch):
+    made, real = {}, suffix_dedup.materialize
+
+    def written(df, name):
+        made[name] = real(df, name)
+        return made[name]
+
+    monkeypatch.setattr(suffix_dedup, "materialize", written)
+    same, part = prose(21, 60), prose(22, 60)
+    rows = [(i, same) for i in range(30)] + [(40, "begin " + same[10:200] + " end"), (41, part + " x " + same), (42, part), (43, "alone")]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=100, window=40, hot=3).collect()
+    assert [(r["_text"], r["_n"]) for r in made["equal-texts"].collect()] == [(same, 30)]
+    count = Counter(t[s : s + 100] for _, t in rows for s in range(len(t) - 99))
+    for i, t in rows:
+        gone = {x for s in range(len(t) - 99) if count[t[s : s + 100]] > 1 for x in range(s, s + 100)}
+        assert [bytes(r["kept"]).decode() for r in got if r["doc_id"] == i] == ["".join(c for x, c in enumerate(t) if x not in gone)]
+
+
 def test_ngram_join_is_brute_force(docs, nothing):
     got = ngram_join.near_duplicates(docs).collect()
     sets = [(i, set(ngram_join.shingles(t).tolist())) for i, t in texts(docs)]
