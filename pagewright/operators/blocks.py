@@ -80,6 +80,27 @@ def outline(found: DataFrame, depth: int = 6) -> DataFrame:
     return found.where((F.col("kind") == "heading") & (F.col("level") <= depth)).select("doc", "pos", "level", "title", "page")
 
 
+def page_outline(pages: DataFrame, depth: int = 6) -> DataFrame:
+    """`outline` of pages. A heading is a block of one line, so of a page only its headings and the number of its blocks go
+    on: the window that numbers the blocks sorts no page's text, and no other block is made."""
+
+    def cut(lines: Column) -> Column:
+        kinds = F.transform(lines, lambda x: F.when(F.trim(x) != "", line_kind(x)))
+
+        def found(k: Column) -> Column:
+            opens = lambda x, i: x.isNotNull() & ((i == 0) | (x == "heading") | F.get(k, i - 1).isNull() | (F.get(k, i - 1) != x))
+            starts = F.filter(F.transform(k, lambda x, i: F.when(opens(x, i), i)), lambda i: i.isNotNull())
+            row = lambda i, j: F.when(F.get(k, i) == "heading", F.struct(j.alias("i"), F.get(k, i).alias("kind"), F.trim(F.get(lines, i)).alias("text")))
+            return once(starts, lambda c: F.struct(F.size(c).alias("n"), F.array_compact(F.transform(c, row)).alias("h")))
+
+        return once(kinds, found)
+
+    p = pages.select("doc", "page", once(F.split(F.coalesce("markdown", F.lit("")), "\n", -1), cut).alias("x")).select("doc", "page", "x.n", "x.h")
+    earlier = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.select("doc", "page", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("int").alias("first"), F.col("h"))
+    return outline(with_headings(p.select("doc", "page", "first", F.inline("h")).select("doc", (F.col("first") + F.col("i")).alias("pos"), "page", "kind", "text")), depth)
+
+
 def outline_parents(headings: DataFrame) -> DataFrame:
     """doc, pos, parent_pos: the nearest earlier heading of a smaller level."""
     before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

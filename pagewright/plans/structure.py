@@ -29,11 +29,11 @@ def win_heading_path(spark, sf):
 
 
 def win_outline(spark, sf):
-    return blocks.outline(_blocks(spark, sf), 2)
+    return blocks.page_outline(inputs.structured(spark, sf), 2)
 
 
 def win_outline_parents(spark, sf):
-    return blocks.outline_parents(blocks.outline(_blocks(spark, sf)))
+    return blocks.outline_parents(blocks.page_outline(inputs.structured(spark, sf)))
 
 
 def agg_running_text(spark, sf):
@@ -129,7 +129,7 @@ def agg_intact_table_rate(spark, sf):
 
 def txt_heading_json(spark, sf):
     """Heading lists stored as JSON in two shapes, or broken: titles and pages, never an error."""
-    h = blocks.outline(_blocks(spark, sf))
+    h = blocks.page_outline(inputs.structured(spark, sf))
     entry = F.to_json(F.struct("title", "page"))
     j = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("["), entry, F.lit(']'))).when(F.col("pos") % 3 == 1, F.concat(F.lit('["'), F.col("title"), F.lit('"]'))).otherwise("{broken")
     h = h.withColumn("j", j)
@@ -149,7 +149,7 @@ def txt_embed_inputs(spark, sf):
 
 
 def win_anchor_ids(spark, sf):
-    return inline.anchor_ids(blocks.outline(_blocks(spark, sf)))
+    return inline.anchor_ids(blocks.page_outline(inputs.structured(spark, sf)))
 
 
 def src_synthetic_library(spark, sf):

@@ -129,3 +129,14 @@ def test_throttle_on_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert got[:2] == [(0, 0.0), (600, 2.0)]
+
+
+def test_outline_of_pages_is_that_of_their_blocks(spark):
+    odd = [
+        "# One\n## Two\n\n\ntext\n- a\n- b\n###### Six  \n####### seven", "#  ", "", None, "\n\n", "| a |\n# In a table\n| b |", "  # set in\n#\ttab\n# ", "#no\n1. x\n## Last",
+    ]
+    pages = spark.createDataFrame([(i % 2, i + 1, t) for i, t in enumerate(odd)] + [(None, 1, "# Null\n\n## Doc")], "doc long, page int, markdown string")
+    for depth in (2, 6):
+        want, got = blocks.outline(blocks.blocks(pages), depth), blocks.page_outline(pages, depth)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() >= 6
