@@ -8,26 +8,35 @@ from pyspark.sql import functions as F
 from pagewright.operators import lexical
 
 FEW_WORDS = 1000  # as many are named in a filter of the scan; more are joined only
+MOST_GONE = 1_000_000  # documents that are broadcast
 
 
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def _write(tables: dict[str, DataFrame], path: str, touched: DataFrame) -> None:
-    """Each touched bucket is replaced. It gets one row of nulls besides: else a bucket that loses its last document would
-    have nothing to be replaced by. Hot buckets are spread over several files."""
-    for name, t in tables.items():
-        t = t.unionByName(touched.select("bucket"), allowMissingColumns=True)
-        t = t.hint("rebalance", "bucket").sortWithinPartitions("bucket", *(["token"] if name == "postings" else ["chunk_id"]))
+def _write(new: dict[str, DataFrame], kept: dict[str, DataFrame], path: str, numbers: list[int]) -> None:
+    """Each of the numbered buckets is replaced by its new and its kept rows. It gets one row of nulls besides: else a bucket
+    that loses its last document would have nothing to be replaced by. New rows are dealt to the buckets, hot ones spread
+    over several files; kept rows are in files of their bucket already and are rewritten where they are read."""
+    for name in ("postings", "lengths"):
+        first, *more = [*([new[name].hint("rebalance", "bucket")] if new else []), *([kept[name]] if kept else [])]
+        nulls = first.sparkSession.createDataFrame([(n,) for n in numbers], "bucket int").coalesce(1)
+        t = first.unionByName(nulls, allowMissingColumns=True)
+        for x in more:
+            t = t.unionByName(x)
+        t = t.sortWithinPartitions("bucket", *(["token"] if name == "postings" else ["chunk_id"]))
         t.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
+def _indexed(chunks: DataFrame, buckets: int) -> dict[str, DataFrame]:
+    tables = {"postings": lexical.postings(chunks), "lengths": lexical.chunk_lengths(chunks)}
+    return {name: t.select("*", _bucket(buckets)) for name, t in tables.items()}
+
+
 def write_index(chunks: DataFrame, path: str, buckets: int = 64) -> None:
     """A new index of chunks (chunk_id, doc, text) in an empty folder. Documents of null are one document."""
-    touched = chunks.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    tables = {"postings": lexical.postings(chunks), "lengths": lexical.chunk_lengths(chunks)}
-    _write({name: t.select("*", _bucket(buckets)) for name, t in tables.items()}, path, touched)
+    _write(_indexed(chunks, buckets), {}, path, list(range(buckets)))
 
 
 def replace_documents(path: str, docs: DataFrame, chunks: DataFrame | None = None, buckets: int = 64) -> None:
@@ -39,18 +48,16 @@ def replace_documents(path: str, docs: DataFrame, chunks: DataFrame | None = Non
     """
     spark = docs.sparkSession
     docs = docs.select("doc", _bucket(buckets)).distinct()
-    touched = docs.select("bucket").distinct()
-    numbers = [r["bucket"] for r in touched.collect()]  # at most `buckets`
-    if not numbers:
+    touched = docs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `buckets`
+    if not touched:
         return
-    new = {"postings": lexical.postings(chunks), "lengths": lexical.chunk_lengths(chunks)} if chunks is not None else {}
+    numbers = [r["bucket"] for r in touched]
     gone = docs.select(F.col("doc").alias("gone"))
-    tables = {}
-    for name in ("postings", "lengths"):
-        old = _stored(spark, path, name).where(F.col("bucket").isin(numbers))
-        kept = old.join(gone, F.col("doc").eqNullSafe(F.col("gone")), "left_anti")
-        tables[name] = kept.unionByName(new[name].select("*", _bucket(buckets))) if new else kept
-    _write(tables, path, touched)
+    if sum(r["n"] for r in touched) <= MOST_GONE:
+        gone = F.broadcast(gone)  # else the whole index would be shuffled
+    old = {name: _stored(spark, path, name).where(F.col("bucket").isin(numbers)) for name in ("postings", "lengths")}
+    kept = {name: t.join(gone, F.col("doc").eqNullSafe(F.col("gone")), "left_anti") for name, t in old.items()}
+    _write(_indexed(chunks, buckets) if chunks is not None else {}, kept, path, numbers)
 
 
 def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:

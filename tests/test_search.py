@@ -227,3 +227,21 @@ def test_stored_index_replaces_and_forgets(spark, tmp_path):
     assert sorted((r["chunk_id"], r["doc"], r["len"]) for r in lengths.collect()) == [("a:2", 1, 1), ("a:new", 1, 2), ("e:1", 3, 0)]
     word_index.replace_documents(at, rows(("", 1, ""), ("", 3, "")), None, 4)
     assert [t.count() for t in word_index.read_index(spark, at)] == [0, 0]  # a bucket that is left empty is emptied
+
+
+def test_replacing_in_a_stored_index_shuffles_no_kept_row(spark, tmp_path, monkeypatch):
+    from pagewright.sources import word_index
+
+    plans, real = [], word_index._write
+
+    def write(new, kept, path, numbers):
+        plans.extend(t._jdf.queryExecution().sparkPlan().toString() for t in kept.values())
+        real(new, kept, path, numbers)
+
+    monkeypatch.setattr(word_index, "_write", write)
+    at, chunk = str(tmp_path / "index"), "chunk_id string, doc long, text string"
+    word_index.write_index(spark.createDataFrame([(f"{i}:1", i, f"word{i} all") for i in range(40)], chunk), at, 4)
+    word_index.replace_documents(at, spark.createDataFrame([(f"{i}:2", i, "new") for i in range(5)], chunk), None, 4)
+    assert len(plans) == 2 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+    index, lengths = word_index.read_index(spark, at)
+    assert index.count() == 70 and sorted(r["doc"] for r in lengths.collect()) == list(range(5, 40))
