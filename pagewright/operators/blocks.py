@@ -134,11 +134,16 @@ def _with_running(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     p = page_blocks(pages).withColumn("b", F.transform("b", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), plain(x["text"]).alias("plain"))))
     short = F.filter("b", lambda x: (x["kind"] == "paragraph") & F.length(x["plain"]).between(1, RUNNING_MOST))
-    said = F.array_union(F.array(F.lit(None).cast("string")), F.transform(short, lambda x: x["plain"]))  # the null counts pages
+    return p, _running_of(p.select("doc", F.transform(short, lambda x: x["plain"]).alias("said")))
+
+
+def _running_of(p: DataFrame) -> DataFrame:
+    """doc, running: (plain, pages) of the running text of documents, of whose pages `said` has the short paragraphs."""
+    said = F.array_union(F.array(F.lit(None).cast("string")), "said")  # the null counts pages
     n = p.select("doc", F.explode(said).alias("plain")).groupBy("doc", "plain").agg(F.count(F.lit(1)).alias("pages"))
     n = n.where(F.col("plain").isNull() | (F.col("pages") >= RUNNING_LEAST)).groupBy("doc")
     n = n.agg(F.max(F.when(F.col("plain").isNull(), F.col("pages"))).alias("total"), F.collect_list(F.when(F.col("plain").isNotNull(), F.struct("plain", "pages"))).alias("l"))
-    return p, n.select("doc", F.filter("l", lambda x: x["pages"] >= F.ceil(F.col("total") * RUNNING_SHARE)).alias("running"))
+    return n.select("doc", F.filter("l", lambda x: x["pages"] >= F.ceil(F.col("total") * RUNNING_SHARE)).alias("running"))
 
 
 def running_in(pages: DataFrame) -> DataFrame:
@@ -174,6 +179,45 @@ def fold_pages(pages: DataFrame) -> DataFrame:
     return f.select("doc", (F.col("first") + F.col("x.i")).alias("pos"), "page", "x.kind", "x.text", "x.plain", "x.role", "x.local_headings")
 
 
+def foldable_pages(pages: DataFrame) -> DataFrame:
+    """What `fold_pages` and `heading_paths` decide by, a row for each page: doc, page, first, b (kind, text, run, label),
+    heads (i, level, title), above (level, title, page of the headings that the page
+    stands under, outermost first), again (is it a further row of the page before?).
+
+    Windows and the join sort pages by document and nothing else, and rows stay in the order of pages. `run` is running
+    text, `label` the words of a label that isn't.
+    """
+    p = page_blocks(pages)
+    paragraph = lambda x: x["kind"] == "paragraph"
+    words = F.transform("b", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), F.when(paragraph(x), plain(x["text"])).alias("plain")))
+    p = p.withColumn("b", words).withColumn("said", F.transform(F.filter("b", lambda x: F.length(x["plain"]).between(1, RUNNING_MOST)), lambda x: x["plain"]))
+    running = _running_of(p.select("doc", "said"))
+    lab = lambda x: paragraph(x) & F.length(x["plain"]).between(1, LABEL_MOST) & is_label(x["kind"], x["text"], x["plain"])
+    p = p.withColumn("b", F.transform("b", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), x["plain"].alias("plain"), lab(x).alias("lab")))).drop("said")
+    heads = F.filter(F.transform("b", lambda x, i: F.when(x["kind"] == "heading", F.struct(i.alias("i"), x["text"].alias("text")))), lambda x: x.isNotNull())
+    level = lambda t: F.length(F.regexp_extract(t, r"^(#{1,6})\s", 1))
+    title = lambda t: F.trim(F.regexp_extract(t, r"^#{1,6}\s+(.*)$", 1))
+    p = p.withColumn("heads", F.transform(heads, lambda x: F.struct(x["i"].alias("i"), level(x["text"]).alias("level"), title(x["text"]).alias("title"))))
+    at_level = lambda k: lambda x: x["level"] == k
+    order = Window.partitionBy("doc").orderBy("page")
+    before, kept, above = order.rowsBetween(Window.unboundedPreceding, -1), [], F.lit(-1)
+    p = p.withColumn("again", F.coalesce(F.lag("page").over(order).eqNullSafe(F.col("page")) & (F.col("first") > 0), F.lit(False)))
+    for k in range(1, 7):
+        own = F.try_element_at(F.filter("heads", at_level(k)), F.lit(-1))
+        here = F.when(own.isNotNull(), F.struct((F.col("first") + own["i"]).alias("pos"), own["title"].alias("title"), F.col("page").alias("page")))
+        p = p.withColumn(f"_h{k}", F.last(here, ignorenulls=True).over(before))
+    for k in range(1, 7):
+        at = F.col(f"_h{k}.pos")
+        kept.append(F.when(at > above, F.struct(F.lit(k).alias("level"), F.col(f"_h{k}.title").alias("title"), F.col(f"_h{k}.page").alias("page"))))
+        above = F.greatest(above, F.coalesce(at, F.lit(-1)))
+    p = p.select("doc", "page", "first", "b", "heads", F.array_compact(F.array(*kept)).alias("above"), "again")
+    own = running.select("doc", F.transform("running", lambda x: x["plain"]).alias("r"))
+    p = p.join(own, "doc", "left").withColumn("r", F.coalesce("r", F.array().cast("array<string>")))
+    run = lambda x: paragraph(x) & F.array_contains("r", x["plain"])
+    marked = F.transform("b", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), run(x).alias("run"), F.when(x["lab"] & ~run(x), x["plain"]).alias("label")))
+    return p.select("doc", "page", "first", marked.alias("b"), "heads", "above", "again")
+
+
 def fold_labels(found: DataFrame, running: DataFrame) -> DataFrame:
     """doc, pos, role, local_headings: what becomes of each block.
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pagewright.functions import wordpieces
 from pagewright.functions.text import bow_vector, fnv1a
 from pagewright.operators import blocks, chunking, layout, lexical, placing, search
 from pagewright.plans import layouts
@@ -117,3 +118,24 @@ def test_blocks_are_cut_and_judged_in_place(spark):
     assert key(seen) == key(chunking.rows_reaching(b, chunking.cut_blocks(b))) and {r["intact"] for r in seen.collect()} == {True, False}
     assert not any(x in plan(df) for df in (whole, seen) for x in ("Join ", "Aggregate"))
     assert chunking.reassembled([("| b |", "h\n", [{"row": 1, "part": 0, "parts": 1, "piece": "| b |"}]), ("| a |", "h\n", [{"row": 0, "part": 0, "parts": 1, "piece": "| a |"}])]) == "h\n| a |\n| b |"
+
+
+def test_chunks_are_made_in_their_page(spark):
+    table = "| A | B |\n| --- | --- |\n" + "\n".join(f"| row {i} | {'words ' * (i % 4)}and x |" for i in range(40))
+    texts = [f"# Top\n\n## Part {i}\n**A {i}**\n\n**B {i}**\n\nContent {i} stands here.\n\nSame footer\n\n{table}\n\n**C {i}**" for i in range(2)] + ["text\n### Deep\n- x", "Same footer", None, "ALONE", "# \n##\tnext\nSame footer", "text behind"]
+    p = spark.createDataFrame([(d, i + 1, t) for d in (1, 2, None) for i, t in enumerate(texts)] + [(3, 1, "a\n\nb"), (3, 2, "c"), (3, 2, "c")], "doc long, page int, markdown string")
+    pieces = wordpieces.counter(spark.createDataFrame([(x,) for x in "row words and x a b content stands here same footer text".split()], "piece string"))
+    for count in (chunking.count_quarters, pieces):
+        c = chunking.chunk_corpus(p, budget=60, count=count)
+        after = plan(c).split("MapInArrow")[0]
+        assert "Window" not in after and "Join" not in after  # no block or chunk is sorted
+        want = blocks.heading_paths(blocks.with_headings(blocks.fold_pages(p))).where("role = 'chunk'")
+        key = lambda df: sorted(str((r["doc"], r["pos"], r["page"], [tuple(h) for h in r["headings"]], r["local_headings"] or [])) for r in df.collect())
+        assert key(c.where("part = 0")) == key(want) != []
+        rows = c.collect()
+        assert all(count(r["embed_text"]) <= 60 for r in rows) and len({r["chunk_id"] for r in rows}) == len(rows)
+        assert [r["idx"] for r in sorted(rows, key=lambda r: (r["doc"] or 0, r["pos"])) if r["doc"] == 3] == [0, 1, 0, 1]  # a page in two rows is numbered on
+    sized, w = [], wordpieces.WordPieces(["row", "words", "and", "x"])
+    w._sizes._size = lambda word, real=w.word: sized.append(word) or real(word)
+    w._lines._size = lambda text, real=w.line: sized.append(text) or real(text)
+    assert len(chunking.cut_table(table, 50, w)[1]) > 3 and len(sized) < 100  # rows are sized once, not with each window that they may end
