@@ -183,7 +183,7 @@ def inc_word_index(spark, sf):
     word_index.replace_documents(at, c.where("doc % 11 = 0"), None, 8)
     plan = _plan(spark, sf)
     index, lengths = word_index.read_index(spark, at, plan)
-    return lexical.bm25(lexical.stored_words(index, lengths, plan), plan, lengths)
+    return lexical.bm25(lexical.stored_hits(index, plan), plan, lengths)
 
 
 def join_eligible(spark, sf):

@@ -245,3 +245,32 @@ def test_replacing_in_a_stored_index_shuffles_no_kept_row(spark, tmp_path, monke
     assert len(plans) == 2 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
     index, lengths = word_index.read_index(spark, at)
     assert index.count() == 70 and sorted(r["doc"] for r in lengths.collect()) == list(range(5, 40))
+
+
+@pytest.mark.parametrize("small", [0, 1 << 30])
+def test_a_change_of_the_index_leaves_what_stays(spark, tmp_path, monkeypatch, small):
+    from pagewright.sources import word_index
+
+    monkeypatch.setattr(word_index, "SMALL", small)
+    monkeypatch.setattr(word_index, "MOST_GENERATIONS", 3)
+    at = str(tmp_path / "index")
+    rows = lambda *found: spark.createDataFrame(found, "chunk_id string, doc long, text string")
+    files = lambda: {p for p in (tmp_path / "index").rglob("part-*.parquet") if "/index/gen=" in str(p)}
+    c = {f"{i}:{k}": (i if i else None, f"b a b word{i} all {'b a ' * k}b") for i in range(9) for k in range(3)}
+    word_index.write_index(rows(*[(n, *v) for n, v in c.items()]), at, 4)
+    q = spark.createDataFrame([(1, '"b a b" word3'), (2, "all new"), (3, '"b b"'), (4, '"a b a" all'), (5, "none")], "query_id long, text string")
+    p = lexical.plan_queries(q.withColumn("mode", F.lit("hybrid")).withColumn("min_score", F.lit(0.0)).withColumn("explicit_min_score", F.lit(False)))
+    for step, (out, new) in enumerate([([None, 3, 5], {"3:0": (3, "new all b a b"), "0:9": (None, "b b")}), ([3, 8], {"3:0": (3, "word3 b a b")}), ([1, 77], {"77:1": (77, None)})]):
+        had = files()
+        word_index.replace_documents(at, spark.createDataFrame([(d,) for d in out], "doc long"), rows(*[(n, *v) for n, v in new.items()]) if new else None, 4)
+        assert (had <= files()) == (not small and step != 2)  # what stays is not written again
+        (tmp_path / "index" / "index" / f"gen={90 + 10 * step}").mkdir()  # a run that failed before its commit
+        c = {n: v for n, v in c.items() if v[0] not in out} | (new or {})
+        whole = rows(*[(n, *v) for n, v in c.items()])
+        index, lengths = word_index.read_index(spark, at, p)
+        key = lambda df: sorted(map(str, df.collect()))
+        assert key(lengths) == key(lexical.chunk_lengths(whole))
+        assert key(word_index.read_index(spark, at)[0].drop("len")) == key(lexical.postings(whole).select("token", "chunk_id", "doc", "tf", "positions"))
+        hits = lexical.stored_hits(index, p)
+        assert key(hits) == key(lexical.asked_hits(whole, p).select(*hits.columns)) != []
+        assert key(lexical.bm25(hits, p, lengths)) == key(lexical.bm25(lexical.asked_hits(whole, p), p, lexical.chunk_lengths(whole)))
